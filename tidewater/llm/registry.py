@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import lines, mixing
+from . import lines, mixing, quality, warc
 
 QUERIES = {
+    "op2_warc_zstd": warc.op2_warc_zstd,
+    "op4_quality": quality.op4_quality,
     "op6_source_mix": mixing.op6_source_mix,
     "op9_line_frequency": lines.op9_line_frequency,
 }
 
 SQL = {
+    "op2_warc_zstd": warc.OP2_SQL,
     "op6_source_mix": mixing.OP6_SQL,
     "op9_line_frequency": lines.OP9_SQL,
 }
