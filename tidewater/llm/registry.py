@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, quality, warc
+from . import decontaminate, lines, mixing, quality, sentences, warc
 
 QUERIES = {
     "op2_warc_zstd": warc.op2_warc_zstd,
     "op4_quality": quality.op4_quality,
+    "op5_sentence_spans": sentences.op5_sentence_spans,
     "op6_source_mix": mixing.op6_source_mix,
+    "op8_pigeonhole": decontaminate.op8_pigeonhole,
     "op9_line_frequency": lines.op9_line_frequency,
 }
 
