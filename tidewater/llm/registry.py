@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, mixing, quality, sentences, warc
+from . import decontaminate, lines, minhash, mixing, quality, sentences, warc
 
 QUERIES = {
     "op2_warc_zstd": warc.op2_warc_zstd,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_source_mix": mixing.op6_source_mix,
     "op8_pigeonhole": decontaminate.op8_pigeonhole,
     "op9_line_frequency": lines.op9_line_frequency,
+    "op10_hyperminhash": minhash.op10_hyperminhash,
 }
 
 SQL = {
