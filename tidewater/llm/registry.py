@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, minhash, mixing, quality, sentences, warc
+from . import ann, decontaminate, html, lines, minhash, mixing, quality, sentences, warc
 
 QUERIES = {
     "op2_warc_zstd": warc.op2_warc_zstd,
+    "op3_tree_scoring": html.op3_tree_scoring,
     "op4_quality": quality.op4_quality,
     "op5_sentence_spans": sentences.op5_sentence_spans,
     "op6_source_mix": mixing.op6_source_mix,
+    "op7_robust_graph": ann.op7_robust_graph,
     "op8_pigeonhole": decontaminate.op8_pigeonhole,
     "op9_line_frequency": lines.op9_line_frequency,
     "op10_hyperminhash": minhash.op10_hyperminhash,
