@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, html, lines, minhash, mixing, quality, sentences, warc
+from . import ann, decontaminate, html, lines, minhash, mixing, quality, sentences, suffix, warc
 
 QUERIES = {
+    "op1_suffix_array": suffix.op1_suffix_array,
     "op2_warc_zstd": warc.op2_warc_zstd,
     "op3_tree_scoring": html.op3_tree_scoring,
     "op4_quality": quality.op4_quality,
