@@ -1,11 +1,66 @@
-"""Corpus pipeline over the documents table."""
+"""Corpus pipeline over the documents table: score, clean, deduplicate, decontaminate, mix.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of documents (doc_id, text, lang, source, n_chars);
+the last one adds size, source_size, target, copies and taken. Each is written to the shared folder and read again before the next one runs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.llm.decontaminate import decontaminate
+from tidewater.llm.lines import drop_boilerplate
+from tidewater.llm.minhash import drop_near_duplicates
+from tidewater.llm.mixing import mix_sources
+from tidewater.llm.quality import fit_quality, score_quality
+from tidewater.llm.shared import stored
+
+#: A document stays if it scores this or more.
+LEAST_SCORE = 0.3
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents that score under LEAST_SCORE go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    scored = score_quality(docs, fit_quality(docs, labels), "_score")
+    return scored.where(F.col("_score") >= LEAST_SCORE).drop("_score")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: lines on more than a tenth of a source's documents go from their texts; every document stays."""
+    return drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10, on five-word shingles at 0.8: of each group the document with the smallest doc_id stays."""
+    return drop_near_duplicates(docs, width=5, threshold=0.8)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents that hold a benchmark item go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents that the mix does not take go; `copies` says how often each of the others is taken."""
+    return mix_sources(docs).where("copies > 0")
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("near-duplicates", near_duplicate_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("source mixing", mixing_stage),
+]
+
+#: The classifier's dictionaries and the sketches have no SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
