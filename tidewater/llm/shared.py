@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,23 +42,15 @@ def document_key(doc_id: str = "doc_id", text: str = "text"):
     return F.xxhash64(both), F.xxhash64(F.lit(7), both)
 
 
-def bytes_column(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string or binary Arrow column, and n + 1 offsets into them; nulls are empty."""
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
-    if pa.types.is_string(col.type) or pa.types.is_binary(col.type):
-        kind = np.int32
-    else:
-        kind = np.int64
-    n = len(col)
-    if n == 0:
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    if col.null_count:
-        col = col.fill_null("" if "string" in str(col.type) else b"")
-    _, off, data = col.buffers()
-    offsets = np.frombuffer(off, kind)[col.offset : col.offset + n + 1].astype(np.int64)
-    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
+def portions(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch whose texts have about `most` bytes, with those texts (null: empty): arrays over all bytes stay small."""
+    values = batch.column(column).cast(pa.large_binary())
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(values), 0))
+    part = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a), [x or b"" for x in values.slice(a, b - a).to_pylist()]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
