@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import capacity, estimates, filings, history, identity, joins, outcome, panel, payoff, scalars, shapes, signals, stochastic  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
