@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import document_key, mix64, prefix_hash, span_hash
+from .shared import document_key, mix64, portions, prefix_hash, span_hash
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -74,8 +74,8 @@ def sentence_runs(docs: DataFrame, n: int, least_words: int) -> DataFrame:
     """(run, size, doc_id, key, sentence): a hash of each run of n sentences with its bytes, and its first sentence's number in its text."""
 
     def find(batches):
-        for batch in batches:
-            found = Sentences(_texts(batch.column("text")))
+        for batch, texts in (x for whole in batches for x in portions(whole)):
+            found = Sentences(texts)
             at, hashed, size = found.runs(n, least_words)
             if not len(at):
                 continue
