@@ -225,9 +225,12 @@ def window_runs(texts: list[bytes], window: int, inner: int) -> dict[str, np.nda
     m = len(at)
     low = (hashed & np.uint64(0xFFFFFFFFFF000000)) | at.astype(np.uint64)  # the place settles ties
     grid = np.concatenate([low, np.full(-m % w + w, 2**64 - 1, np.uint64)]).reshape(-1, w)
+    del low
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    del grid
     least = (np.minimum(back[:m], ahead[w - 1 : w - 1 + m]) & np.uint64(0xFFFFFF)).astype(np.int64)
+    del ahead, back
     long = np.flatnonzero(sizes >= window)
     if not len(long):
         return empty
@@ -243,7 +246,7 @@ def window_runs(texts: list[bytes], window: int, inner: int) -> dict[str, np.nda
     return {"text": text, "first": first - offsets[text], "count": count, "span": span - offsets[text], "key": hashed[span].view(np.int64), "ctx": span_hash(prefix, first, first + count - 1 + window).view(np.int64)}
 
 
-def _pieces(text: bytes, window: int, most: int = 2 << 20):
+def _pieces(text: bytes, window: int, most: int = 1 << 20):
     """A long text in pieces that share all but one byte of a window, so that each window is in one of them."""
     step = most - window + 1
     for a in range(0, max(1, len(text) - window + 1), step):
@@ -262,7 +265,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(pack, "doc_id long, dkey long, packed binary")
 
 
-def repeated_windows(docs: DataFrame, window: int, inner: int, solve_symbols: int = 200_000) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int, inner: int, solve_symbols: int = 100_000) -> DataFrame:
     """(dkey, spans): for each document (dkey, text) the ranges (first, last) of starts of windows that also start elsewhere in the corpus.
 
     1. Windows fall into runs by their minimiser. Only hashes go through the shuffle: runs whose key occurs once have no repeats.
@@ -272,8 +275,8 @@ def repeated_windows(docs: DataFrame, window: int, inner: int, solve_symbols: in
     """
 
     def find(batches):
-        for batch, texts in (x for whole in batches for x in portions(whole)):
-            whole = [(0, x) for x in texts] if max(map(len, texts)) <= 4 << 20 else None
+        for batch, texts in (x for whole in batches for x in portions(whole, most=1 << 20)):
+            whole = [(0, x) for x in texts] if max(map(len, texts)) <= 2 << 20 else None
             owner = np.arange(len(texts))
             if whole is None:
                 cut = [(i, *x) for i, t in enumerate(texts) for x in _pieces(t, window)]
