@@ -1 +1,96 @@
-"""Queries."""
+"""Queries of filing texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import asof as A
+from ..operators import filings as L
+from .registry import query
+
+WORDS, CORE = ("the", "and", "is", "which", "une"), ("and", "une")
+_LOWER = "lower(text)"
+
+
+def _count(w):
+    return f"CAST((length({_LOWER}) - length(replace({_LOWER}, '{w}', ''))) / {len(w)} AS INT)"
+
+
+@query("keyword_score", "SELECT doc_id, " + " + ".join(f"{_count(w)} * {4 if w in CORE else 1}" for w in WORDS) + " AS score FROM {filings}")
+def _(t):
+    return t.filings.select("doc_id", L.keyword_score(F.lower("text"), WORDS, CORE).alias("score"))
+
+
+def _snip(w):
+    at = f"instr({_LOWER}, '{w}')"
+    return f"CASE WHEN {at} > 0 THEN trim(substr({_LOWER}, greatest(1, {at} - 30), {at} + {len(w)} + 30 - greatest(1, {at} - 30))) END"
+
+
+@query("snippets", "SELECT doc_id, array_to_string(list_filter([" + ", ".join(_snip(w) for w in WORDS) + "], lambda x: x IS NOT NULL)[1:3], ' ||| ') AS snippets FROM {filings}")
+def _(t):
+    return t.filings.select("doc_id", L.snippets(F.lower("text"), WORDS, 30, 30, 3).alias("snippets"))
+
+
+PHRASES, FORMS = ("and the", "the", "of"), ("8-K", "S-4")
+_FORM_BONUS = "CASE WHEN upper(form) IN ('8-K', 'S-4') THEN 12 WHEN regexp_replace(upper(form), '/A$', '') IN ('8-K', 'S-4') THEN 9 WHEN starts_with(upper(form), 'EX-99') THEN 8 ELSE 0 END"
+_FIELD = "len(regexp_extract_all(lower(text), '\\band[^a-z0-9]+the\\b')) * 4 + len(regexp_extract_all(lower(text), '\\bthe\\b')) + len(regexp_extract_all(lower(text), '\\bof\\b'))"
+
+
+def ascii_text():
+    """Letters beyond ASCII become spaces: engines differ on word boundaries next to them."""
+    return F.regexp_replace(F.lower("text"), "[^\\x00-\\x7F]", " ")
+
+
+_ASCII = r"regexp_replace(lower(text), '[^\x00-\x7F]', ' ', 'g')"
+
+
+@query("field_score", f"WITH s AS (SELECT doc_id, form, {_FIELD.replace('lower(text)', _ASCII)} AS hits FROM {{filings}}) SELECT doc_id, CASE WHEN hits > 0 THEN hits + {_FORM_BONUS} ELSE 0 END AS score, {_FORM_BONUS} AS form_bonus FROM s")
+def _(t):
+    bonus = L.form_bonus(F.col("form"), FORMS)
+    return t.filings.select("doc_id", L.field_score(ascii_text(), PHRASES, bonus).cast("long").alias("score"), bonus.alias("form_bonus"))
+
+
+@query(
+    "proximity_bonus",
+    """WITH c AS (SELECT event_id, max(filing_date) - 200 AS close_date FROM {filings} GROUP BY event_id)
+SELECT doc_id, CAST(filing_date - close_date AS INT) AS days, CASE WHEN abs(filing_date - close_date) <= 45 THEN 25 WHEN abs(filing_date - close_date) <= 120 THEN 10 WHEN abs(filing_date - close_date) <= 270 THEN 3 ELSE 0 END AS bonus
+FROM {filings} f JOIN c ON c.event_id = f.event_id WHERE form <> '8-K' OR filing_date - close_date >= -30""",
+)
+def _(t):
+    """Label evidence from more than 30 days before the close goes; the nearer the rest, the more it counts."""
+    close = t.filings.groupBy("event_id").agg(F.date_sub(F.max("filing_date"), 200).alias("close_date"))
+    days = F.datediff("filing_date", "close_date")
+    j = t.filings.join(close, "event_id").where((F.col("form") != "8-K") | (days >= -30))
+    return j.select("doc_id", days.alias("days"), L.proximity_bonus(days).alias("bonus"))
+
+
+@query(
+    "topk_evidence",
+    f"""WITH s AS (SELECT event_id, doc_id, form, filing_date, form IN ('8-K', 'EX-99.1') AS label, {_count("and")} AS score FROM {{filings}})
+SELECT event_id, doc_id, label, score FROM (SELECT *, row_number() OVER (PARTITION BY event_id, label ORDER BY score DESC, CASE WHEN label THEN -(filing_date - DATE '2000-01-01') ELSE filing_date - DATE '2000-01-01' END, doc_id) AS r FROM s) WHERE r <= 3""",
+)
+def _(t):
+    """The three best rows of each kind: of equal scores the latest for labels, the earliest for terms."""
+    d = t.filings.select("event_id", "doc_id", "filing_date", F.col("form").isin("8-K", "EX-99.1").alias("label"), L.occurrences(F.lower("text"), "and").alias("score"))
+    day = F.datediff("filing_date", F.lit("2000-01-01").cast("date"))
+    best = A.best_row(d, ["event_id", "label"], [F.col("score").desc(), F.when(F.col("label"), -day).otherwise(day), F.col("doc_id")], 3)
+    return best.select("event_id", "doc_id", "label", "score")
+
+
+@query(
+    "doc_select",
+    f"""WITH s AS (SELECT event_id, side, form, {_count("and")} AS score, filing_date FROM {{filings}} WHERE form <> 'DEFM14A')
+SELECT event_id, side, sum(score) AS total, max(score) AS most, array_to_string(list_sort(list_distinct(list(form))), ';') AS forms, count(*) AS docs FROM s GROUP BY event_id, side""",
+)
+def _(t):
+    d = t.filings.where("form <> 'DEFM14A'").select("event_id", "side", "form", L.occurrences(F.lower("text"), "and").alias("score"))
+    return d.groupBy("event_id", "side").agg(F.sum("score").alias("total"), F.max("score").alias("most"), F.array_join(F.array_sort(F.collect_set("form")), ";").alias("forms"), F.count(F.lit(1)).alias("docs"))
+
+
+@query("payload_build")
+def _(t):
+    """One nested JSON payload for each event: its fields' best values and its documents' names."""
+    fields = t.extraction.groupBy("event_id", "field_name").agg(F.min_by("value", F.when(F.col("value").isNotNull(), F.col("row_idx"))).alias("value"))
+    packed = fields.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("field_name", "value"))).alias("fields"))
+    body = F.to_json(F.struct("event_id", F.map_from_entries("fields").alias("fields")))
+    return packed.select("event_id", body.alias("payload"), F.ceil(F.length(body) / 3).alias("tokens"))

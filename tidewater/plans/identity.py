@@ -1 +1,75 @@
-"""Queries."""
+"""Queries of entity resolution."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import asof as A
+from ..operators import identity as I
+from .registry import query
+
+_TOKENS = "list_distinct(string_split({0}, ' '))"
+
+
+@query(
+    "token_match_score",
+    f"""WITH p AS (SELECT p_partkey, lower(p_name) AS a, CASE p_partkey % 4 WHEN 0 THEN lower(p_name) WHEN 1 THEN lower(p_name) || ' extra' WHEN 2 THEN 'other ' || lower(split_part(p_name, ' ', 2)) ELSE 'nothing alike' END AS b FROM part),
+w AS (SELECT *, {_TOKENS.format("a")} AS wa, {_TOKENS.format("b")} AS wb FROM p)
+SELECT p_partkey, CASE WHEN a = b THEN 100e0 WHEN len(list_intersect(wa, wb)) = len(wa) THEN 95e0 WHEN len(list_intersect(wa, wb)) > 0 THEN 80e0 + 15e0 * len(list_intersect(wa, wb)) / greatest(1, len(wa)) ELSE 0e0 END AS score FROM w""",
+)
+def _(t):
+    return names(t).select("p_partkey", I.token_score(F.col("a"), F.col("b")).alias("score"))
+
+
+def names(t):
+    k, a = F.col("p_partkey") % 4, F.lower("p_name")
+    b = F.when(k == 0, a).when(k == 1, F.concat(a, F.lit(" extra"))).when(k == 2, F.concat(F.lit("other "), F.lower(F.split_part("p_name", F.lit(" "), F.lit(2))))).otherwise("nothing alike")
+    return t.part.select("p_partkey", a.alias("a"), b.alias("b"))
+
+
+@query("name_match_score")
+def _(t):
+    """With the sequence measure, which has no SQL."""
+    return names(t).select("p_partkey", I.name_score(F.col("a"), F.col("b")).alias("score"))
+
+
+@query(
+    "cusip_decision",
+    """WITH p AS (SELECT p_partkey AS k, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS nine, 70e0 + p_partkey % 30 AS score FROM part),
+r AS (SELECT k, score, CASE WHEN k % 10 = 9 THEN '' ELSE nine END AS resolved, CASE k % 7 WHEN 0 THEN nine WHEN 1 THEN substr(nine, 2) WHEN 2 THEN 'ZZZZZZZZ' WHEN 3 THEN '' WHEN 4 THEN '1.2E+08' WHEN 5 THEN 'YYYYYYYYY' ELSE substr(nine, 1, 8) || 'X' END AS raw, k % 7 AS m FROM p),
+d AS (SELECT *, CASE WHEN m IN (0, 5, 6) THEN 'ok' WHEN m IN (1, 2) THEN 'short' ELSE 'gap' END AS kind, resolved <> '' AND score >= 84 AS trusted, m IN (0, 1, 6) AS equiv FROM r)
+SELECT k, CASE WHEN kind = 'gap' THEN CASE WHEN trusted THEN resolved ELSE '' END WHEN kind = 'short' AND trusted THEN resolved ELSE raw END AS final,
+  CASE WHEN kind = 'gap' THEN CASE WHEN trusted THEN 'crsp' ELSE '' END WHEN kind = 'short' AND trusted THEN 'crsp' ELSE 'bbg' END AS source,
+  CASE WHEN kind = 'gap' THEN CASE WHEN trusted THEN 'backfilled' ELSE 'still_missing' END WHEN kind = 'short' THEN CASE WHEN trusted AND equiv THEN 'format_fixed' WHEN trusted THEN 'short_replaced' ELSE 'kept_bbg_short' END
+    WHEN NOT trusted THEN 'kept_bbg_uncovered' WHEN equiv THEN 'confirmed' ELSE 'conflict_review' END AS decision,
+  (kind = 'gap' AND NOT trusted) OR (kind = 'short' AND NOT trusted) OR (kind = 'ok' AND trusted AND NOT equiv) AS review FROM d""",
+)
+def _(t):
+    k, nine = F.col("p_partkey"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")
+    m = k % 7
+    raw = F.when(m == 0, nine).when(m == 1, F.substring(nine, 2, 8)).when(m == 2, "ZZZZZZZZ").when(m == 3, "").when(m == 4, "1.2E+08").when(m == 5, "YYYYYYYYY").otherwise(F.concat(F.substring(nine, 1, 8), F.lit("X")))
+    d = t.part.select(k.alias("k"), raw.alias("raw"), F.when(k % 10 == 9, "").otherwise(nine).alias("resolved"), (70.0 + k % 30).alias("score"))
+    return d.select("k", F.inline(F.array(I.reconciled(F.col("raw"), F.col("resolved"), F.col("score")))))
+
+
+@query(
+    "candidate_rank",
+    """WITH c AS (SELECT n.permno, n.comnam, s.s_suppkey, n.namedt, n.nameenddt, (n.permno * 7 + s.s_suppkey) % 100 AS score, DATE '1996-06-01' + CAST(s.s_suppkey * 20 AS INT) AS d FROM {names} n JOIN supplier s ON n.permno % 100 = s.s_suppkey % 100)
+SELECT s_suppkey, permno, comnam FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, (namedt <= d AND d <= nameenddt) DESC, nameenddt DESC, permno) AS r FROM c) WHERE r = 1""",
+)
+def _(t):
+    """The best of a key's candidates: by score, then by the window that holds the date, then the latest."""
+    s = t.supplier.select("s_suppkey", (F.col("s_suppkey") % 100).alias("k"), F.date_add(F.lit("1996-06-01").cast("date"), (F.col("s_suppkey") * 20).cast("int")).alias("d"))
+    j = t.names.withColumn("k", F.col("permno") % 100).join(s, "k").withColumn("score", (F.col("permno") * 7 + F.col("s_suppkey")) % 100)
+    inside = (F.col("namedt") <= F.col("d")) & (F.col("d") <= F.col("nameenddt"))
+    return A.best_row(j, ["s_suppkey"], [F.col("score").desc(), inside.desc(), F.col("nameenddt").desc(), F.col("permno")]).select("s_suppkey", "permno", "comnam")
+
+
+@query(
+    "close_verify",
+    "SELECT event_id, min_by(form, abs(filing_date - DATE '2020-12-01') * 100000 + doc_id) AS form, min(abs(filing_date - DATE '2020-12-01')) AS days FROM {filings} WHERE abs(filing_date - DATE '2020-12-01') <= 150 AND form <> '8-K' GROUP BY event_id",
+)
+def _(t):
+    days = F.abs(F.datediff("filing_date", F.lit("2020-12-01").cast("date")))
+    d = t.filings.where((days <= 150) & (F.col("form") != "8-K"))
+    return d.groupBy("event_id").agg(F.min_by("form", F.struct(days, "doc_id")).alias("form"), F.min(days).cast("long").alias("days"))

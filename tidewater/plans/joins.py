@@ -124,9 +124,9 @@ def _(t):
     return one("target").join(one("acquirer"), ["event_id", "price_date"], "full")
 
 
-@query("theta_prefix", "SELECT p_partkey, n_name FROM (SELECT p_partkey, n_name, row_number() OVER (PARTITION BY p_partkey ORDER BY n_nationkey) AS r FROM part JOIN nation ON contains(lower(p_name || ' ' || p_type), lower(substr(n_name, 1, 2)))) WHERE r = 1")
+@query("theta_prefix", "SELECT p_partkey, n_name FROM (SELECT p_partkey, n_name, row_number() OVER (PARTITION BY p_partkey ORDER BY n_nationkey) AS r FROM part JOIN nation ON contains(p_brand, '#' || substr(n_name, 8))) WHERE r = 1")
 def _(t):
-    parts = t.part.select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("s"))
+    parts = t.part.select("p_partkey", F.col("p_brand").alias("s"))
     # nations are a fixed list of 25, so this side may be broadcast
-    joined = parts.join(F.broadcast(t.nation.select("n_nationkey", "n_name")), F.contains("s", F.lower(F.substring("n_name", 1, 2))))
+    joined = parts.join(F.broadcast(t.nation.select("n_nationkey", "n_name")), F.contains("s", F.concat(F.lit("#"), F.substring("n_name", 8, 9))))
     return A.best_row(joined, ["p_partkey"], [F.col("n_nationkey")]).select("p_partkey", "n_name")

@@ -1 +1,56 @@
-"""Queries."""
+"""Queries of sampled and of exact return distributions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import estimators as E
+from ..operators import payoff as P
+from ..operators import sampling as S
+from .panel import mc_ready
+from .registry import query
+
+DRAWS = 256
+
+
+def draws(t):
+    """Payoff returns of each deal over draws of demand from its leave-one-out fit."""
+    d = mc_ready(t.deals)
+    fits = E.beta_leave_one_out(d.select("event_id", "deal_type", "f_cash"), ["deal_type"], "f_cash").select("event_id", "a", "b")
+    drawn = S.beta_draws(fits, DRAWS, 11)
+    j = drawn.join(d.select("event_id", "cash", F.expr("ratio * acq_price").alias("stock"), "pi_cash", F.expr("cash * 95e-2").alias("m")), "event_id")
+    made = P.prorate(F.col("f"), F.col("pi_cash"), F.col("cash"), F.col("stock"))
+    value = P.overlay(F.col("u"), F.lit(0.88), F.lit(0.07), made["optimal"], F.col("m") * 0.75, F.col("m") * 0.65)
+    return j.select("event_id", "draw_id", (value / F.col("m") - 1).alias("r"))
+
+
+@query("mc_summary")
+def _(t):
+    return S.summary(draws(t), ["event_id"], "r")
+
+
+@query("portfolio_mc")
+def _(t):
+    """Equal-weight means of all deals along each draw, and their summary."""
+    paths = draws(t).groupBy("draw_id").agg(F.avg("r").alias("r")).withColumn("book", F.lit("all"))
+    return S.summary(paths, ["book"], "r")
+
+
+@query(
+    "cvar_summary",
+    """WITH q AS (SELECT deal_type, quantile_cont(x, 5e-2) AS p05, quantile_cont(x, 5e-1) AS p50, quantile_cont(x, 95e-2) AS p95, avg(x) AS mean, avg(CASE WHEN x < 0 THEN 1e0 ELSE 0e0 END) AS loss FROM (SELECT deal_type, acq_price * ratio / cash - 1 AS x FROM {deals}) GROUP BY deal_type)
+SELECT q.deal_type, round(max(mean), 9) AS mean, round(max(p05), 9) AS p05, round(max(p50), 9) AS p50, round(max(p95), 9) AS p95, max(loss) AS loss_probability, round(avg(x), 9) AS cvar05 FROM q JOIN (SELECT deal_type, acq_price * ratio / cash - 1 AS x FROM {deals}) d ON d.deal_type = q.deal_type AND x <= p05 GROUP BY q.deal_type""",
+)
+def _(t):
+    """The empirical sample itself, which SQL can follow exactly."""
+    s = S.summary(t.deals.select("deal_type", F.expr("acq_price * ratio / cash - 1").alias("x")), ["deal_type"], "x")
+    return s.select("deal_type", *[F.round(c, 9).alias(c) for c in ("mean", "p05", "p50", "p95", "cvar05")], "loss_probability")
+
+
+@query("self_impact_proof", "WITH d AS (SELECT event_id, f_cash, pi_cash FROM {deals} WHERE f_cash IS NOT NULL AND pi_cash IS NOT NULL AND event_id % 10 = 0), g AS (SELECT event_id, k / 200e0 AS q, least(1e0, pi_cash / greatest(1e-6, least(1 - 1e-6, f_cash + k / 200e0 * 5e-1))) AS fill FROM d, (SELECT unnest(range(201)) AS k)) SELECT event_id, min(q) FILTER (fill < 9e-1) AS break_even FROM g GROUP BY event_id")
+def _(t):
+    """The least own position at which the cash fill falls below nine tenths, along 201 points."""
+    d = t.deals.where("f_cash IS NOT NULL AND pi_cash IS NOT NULL AND event_id % 10 = 0").select("event_id", "f_cash", "pi_cash", F.explode(F.sequence(F.lit(0), F.lit(200))).alias("k"))
+    q = F.col("k") / 200.0
+    fill = F.least(F.lit(1.0), F.col("pi_cash") / F.greatest(F.lit(P.CLIP), F.least(F.lit(1 - P.CLIP), F.col("f_cash") + q * 0.5)))
+    return d.withColumns({"q": q, "fill": fill}).groupBy("event_id").agg(F.min(F.when(F.col("fill") < 0.9, F.col("q"))).alias("break_even"))
