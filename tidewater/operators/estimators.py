@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def beta_from_moments(n: Column, mean: Column, variance: Column) -> tuple[Column, Column]:
@@ -132,7 +133,7 @@ def kolmogorov_p(statistic: float, n: float) -> float:
 
 def beta_cdf_column(x: Column, a: Column, b: Column) -> Column:
     """beta_cdf over Arrow batches: there is no built-in function for it."""
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def cdf(xs: pd.Series, as_: pd.Series, bs: pd.Series) -> pd.Series:
         return pd.Series([None if pd.isna(p) else beta_cdf(p, q, r) for p, q, r in zip(xs, as_, bs, strict=True)], dtype="float64")
 

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import cusip_class, cusip_equivalent
 
@@ -28,7 +29,7 @@ def token_score(a: Column, b: Column, stop: tuple[str, ...] = ()) -> Column:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching blocks of two strings, 0 to 100. No built-in function has this measure."""
     return pd.Series([100.0 * difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
