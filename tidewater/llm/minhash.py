@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .shared import document_key, mix64, prefix_hash, span_hash, stored
+from .shared import document_key, mix64, portions, prefix_hash, span_hash, stored
 
 #: Buckets of a sketch, bits of mantissa kept of each bucket's least hash, and how the registers are banded.
 BUCKETS, MANTISSA = 128, 10
@@ -94,21 +95,18 @@ def estimate(sketch: np.ndarray, n: float, others: np.ndarray, ms: np.ndarray) -
 
 
 def slack(threshold: float, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """What an estimate may lie below the threshold: six deviations, by the buckets that are filled; small sets all pass."""
-    filled = BUCKETS * (1 - (1 - 1 / BUCKETS) ** np.maximum(n, m))
-    return 6 * np.sqrt(threshold * (1 - threshold) / filled) + 1 / filled
-
-
-def _binary(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+    """What an estimate may lie below the threshold: five deviations of a sample without replacement, as the filled buckets are one of the union."""
+    union = np.maximum(n, m).astype(float)
+    filled = BUCKETS * (1 - (1 - 1 / BUCKETS) ** union)
+    return 5 * np.sqrt(threshold * (1 - threshold) / filled * np.maximum(0.02, 1 - filled / union)) + 1 / filled
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, key, n, cls, sketch) for each document: its set's size, a 64-bit name of the set, its registers."""
 
     def make(batches):
-        for batch in batches:
-            sets = shingle_sets(_binary(batch.column("text")), width)
+        for batch, texts in (x for whole in batches for x in portions(whole)):
+            sets = shingle_sets(texts, width)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -151,6 +149,78 @@ class _Union:
         return x != y
 
 
+def estimated_links(bands: DataFrame, classes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b): pairs of classes in one bucket of a band whose estimate reaches the threshold less its slack: of all such pairs of a bucket a
+    spanning forest, so no more than it has members. A bucket of more than `block` classes is dealt into blocks, each tried against each."""
+    full = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    dealt = (
+        bands.join(full, "band")
+        .withColumn("own", F.pmod(F.xxhash64(F.lit(3), "cls"), blocks).cast("int"))
+        .select("band", "cls", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        .select("band", "cls", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    )
+    rows = dealt.join(classes.select("cls", "n", "sketch"), "cls").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "cls")
+
+    def near(n, regs, x, y):
+        """Whether the pairs x, y (indices, side by side) may be links."""
+        ok = np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9
+        x, y = x[ok], y[ok]
+        filled = (regs[x] != EMPTY) | (regs[y] != EMPTY)
+        same = ((regs[x] == regs[y]) & filled).sum(axis=1) / np.maximum(1, filled.sum(axis=1))
+        c = collision(n[x], n[y])
+        good = (same - c) / (1 - c) >= threshold - slack(threshold, n[x], n[y])
+        return x[good], y[good]
+
+    def of_bucket(cls, own, n, regs, i, j):
+        union, out = _Union(len(cls)), []
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        for x in left.tolist():
+            others = right[right > x] if i == j else right
+            for y in near(n, regs, np.full(len(others), x), others)[1].tolist():
+                if union.join(x, y):
+                    out.append((int(cls[x]), int(cls[y])))
+        return out
+
+    def find(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in _ended(batches):
+            if batch is not None:
+                held.append(batch)
+                if sum(x.num_rows for x in held) < 4096:
+                    continue
+            if not held:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            name = [table.column(k).to_numpy() for k in ("band", "i", "j")]
+            new = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in name], axis=0)]))
+            whole = len(table) if batch is None else int(new[-1])  # the last bucket may go on in the next batch
+            held = table.slice(whole).to_batches()
+            if not whole:
+                continue
+            table = table.slice(0, whole)
+            cls, own, n, i, j = (table.column(k).to_numpy() for k in ("cls", "own", "n", "i", "j"))
+            regs = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+            new = new[new < whole]
+            size = np.diff(np.append(new, whole))
+            two = new[(size == 2) & (i[new] == j[new])]
+            x, y = near(n, regs, two, two + 1)
+            found = list(zip(cls[x].tolist(), cls[y].tolist(), strict=True))
+            for a, m in zip(new.tolist(), size.tolist(), strict=True):
+                if m > 2 or m == 2 and i[a] != j[a]:
+                    z = slice(a, a + m)
+                    found += of_bucket(cls[z], own[z], n[z], regs[z], i[a], j[a])
+            a, b = zip(*found, strict=True) if found else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(find, "a long, b long")
+
+
+def _ended(batches):
+    yield from batches
+    yield None
+
+
 def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of sets[left] with sets[right], as a matrix: products of 0/1 blocks over the hashes that two sets share."""
     use = np.union1d(left, right)
@@ -206,9 +276,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, blo
     threshold or more (in whole hundredths), and the smallest doc_id that links can reach.
 
     Documents with equal sets are one class; each class has a sketch of 128 HyperMinHash registers. Classes that share a band of four registers
-    fall into one candidate component (at similarity 0.8 a pair shares none of 32 bands in about 1 of 10^7 cases). All pairs of such a component
-    are then tried: by size, by the corrected estimate with six deviations of slack, and by their full sets; in blocks of `block` classes against
-    each other, so that no component has to fit in a task, and only a spanning forest of each pair of blocks is returned.
+    (at similarity 0.8 a pair shares none of 32 bands in about 1 of 10^7 cases) are compared by the corrected estimate; those that reach the
+    threshold less five deviations fall into one candidate component. All pairs of such a component are then tried: by size, by the estimate, and
+    by their full sets. Buckets and components are dealt in blocks of `block` classes, each tried against each, so that none has to fit in a task,
+    and only a spanning forest of each pair of blocks is returned.
 
     Nulls: a null text is empty; documents without words have n_shingles 0 and link with nothing; a null doc_id links as others do but is never
     the smallest, and is kept only where no other id is in its component. Rows equal in doc_id and text are one document and are kept or not
@@ -219,9 +290,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, blo
     made = stored(sketches(keyed, width), "sketches")
     classes = stored(made.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("key").alias("key"), F.first("sketch").alias("sketch")), "classes")
     bands = _band_rows(classes)
-    hubs = bands.groupBy("band").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    stars = bands.join(hubs, "band").where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    around = connected_components(stars)
+    around = connected_components(estimated_links(bands, classes, threshold, block))
     sizes = around.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("int")
     members = (
@@ -231,31 +300,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, blo
         .select("root", F.col("node").alias("cls"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("root", "cls", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
-    chosen = stored(around.select(F.col("node").alias("cls")).join(classes.select("cls", "key"), "cls"), "chosen")
-    texts = keyed.join(chosen, "key").select("cls", "text")
+    chosen = stored(members.join(classes.select("cls", "key"), "cls"), "chosen")
 
-    def to_sets(batches):
+    def pack(batches):
+        z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            sets = shingle_sets(_binary(batch.column("text")), width)
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([registers(x).tobytes() for x in sets], pa.binary())], names=["cls", "hashes", "sketch"])
+            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([z.compress(x) for x in texts], pa.binary())], names=["key", "packed"])
 
-    sets = texts.mapInArrow(to_sets, "cls long, hashes binary, sketch binary")
+    # texts are shuffled compressed: they are smaller than the hashes of their shingles
+    texts = keyed.select("key", "text").mapInArrow(pack, "key long, packed binary").join(chosen, "key").select("root", "i", "j", "cls", "own", "packed")
 
     def verify(table: pa.Table) -> pa.Table:
         rows = {}
-        for cls, own, h, s in zip(*(table.column(k).to_pylist() for k in ("cls", "own", "hashes", "sketch")), strict=True):
-            rows[cls] = (own, h, s)
+        for c, o, p in zip(*(table.column(k).to_pylist() for k in ("cls", "own", "packed")), strict=True):
+            rows[c] = (o, p)
         cls = np.array(sorted(rows), np.int64)
         own = np.array([rows[c][0] for c in cls.tolist()])
-        hashes = [np.frombuffer(rows[c][1], np.uint64) for c in cls.tolist()]
-        regs = np.array([np.frombuffer(rows[c][2], np.uint16) for c in cls.tolist()]).reshape(-1, BUCKETS)
+        unpack, sets = zstandard.ZstdDecompressor(), []
+        for c in cls.tolist():
+            sets += shingle_sets([unpack.decompress(rows[c][1])], width)
+        regs = np.array([registers(x) for x in sets]).reshape(-1, BUCKETS)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        n = np.array([len(x) for x in hashes], np.int64)
-        found = links_within(cls, n, regs, hashes, np.flatnonzero(own == i), np.flatnonzero(own == j), threshold)
+        n = np.array([len(x) for x in sets], np.int64)
+        found = links_within(cls, n, regs, sets, np.flatnonzero(own == i), np.flatnonzero(own == j), threshold)
         a, b = zip(*found, strict=True) if found else ([], [])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    links = sets.join(members, "cls").groupBy("root", "i", "j").applyInArrow(verify, "a long, b long")
+    links = texts.groupBy("root", "i", "j").applyInArrow(verify, "a long, b long")
     linked = connected_components(links)
     own = made.select("doc_id", "key", "n", "cls").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = own.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.min("key").alias("least_key"))
@@ -277,3 +349,18 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8
 def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, width=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) < 2 THEN words ELSE list_sort(list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) END AS sh FROM w),
+c AS (SELECT sh, min(doc_id) AS rep, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh),
+e AS (SELECT rep, n, unnest(sh) AS g FROM c),
+l AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.g = b.g AND a.rep < b.rep AND a.n * 100 >= 80 * b.n AND b.n * 100 >= 80 * a.n
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rep AS node, rep AS root FROM c UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(m.root, s.doc_id) AS component_id, coalesce(m.root, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON c.sh = s.sh LEFT JOIN m ON m.node = c.rep
+"""

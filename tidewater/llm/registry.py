@@ -21,4 +21,5 @@ SQL = {
     "op2_warc_zstd": warc.OP2_SQL,
     "op6_source_mix": mixing.OP6_SQL,
     "op9_line_frequency": lines.OP9_SQL,
+    "op10_hyperminhash": minhash.OP10_SQL,
 }
