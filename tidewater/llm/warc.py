@@ -117,11 +117,10 @@ class _Feed:
         return got
 
     def exactly(self, n: int) -> bytes:
-        got = b""
-        while len(got) < n and (x := self.more()):
-            got += x
-        self.left = got[n:]
-        return got[:n]
+        while len(self.left) < n and (x := self.read(_CHUNK)):
+            self.left += x
+        got, self.left = self.left[:n], self.left[n:]
+        return got
 
 
 def read_frames(read: Callable[[int], bytes]) -> Iterator[bytes]:
