@@ -69,13 +69,15 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sketches, bands) keys of the bands, and whether a band has a filled register; empty bands are no candidates."""
+def band_keys(sketches: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sketches, bands) keys of the bands, and which of them count: those with one filled register, two in sets of 64 shingles or more, three in
+    those of 160 or more. A band of one shingle says little about a large set; enough others are left (at similarity 0.8 all fail once in 10^6)."""
     cut = sketches.reshape(len(sketches), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(_BAND_SALT, cut.shape[:2]).copy()
     for k in range(ROWS):
         key = mix64(key * np.uint64(31) + cut[:, :, k])
-    return key, (cut != EMPTY).any(axis=2)
+    least = 1 + (n >= 64).astype(int) + (n >= 160)
+    return key, (cut != EMPTY).sum(axis=2) >= least[:, None]
 
 
 def collision(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -127,11 +129,11 @@ def _band_rows(classes: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             regs = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-            key, ok = band_keys(regs)
+            key, ok = band_keys(regs, batch.column("n").to_numpy())
             cls = np.broadcast_to(batch.column("cls").to_numpy()[:, None], key.shape)
             yield pa.RecordBatch.from_arrays([pa.array(key[ok].view(np.int64)), pa.array(cls[ok])], names=["band", "cls"])
 
-    return classes.select("cls", "sketch").mapInArrow(explode, "band long, cls long")
+    return classes.select("cls", "n", "sketch").mapInArrow(explode, "band long, cls long")
 
 
 class _Union:
@@ -276,7 +278,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, blo
     threshold or more (in whole hundredths), and the smallest doc_id that links can reach.
 
     Documents with equal sets are one class; each class has a sketch of 128 HyperMinHash registers. Classes that share a band of four registers
-    (at similarity 0.8 a pair shares none of 32 bands in about 1 of 10^7 cases) are compared by the corrected estimate; those that reach the
+    (at similarity 0.8 a pair shares no band in about 1 of 10^6 cases) are compared by the corrected estimate; those that reach the
     threshold less five deviations fall into one candidate component. All pairs of such a component are then tried: by size, by the estimate, and
     by their full sets. Buckets and components are dealt in blocks of `block` classes, each tried against each, so that none has to fit in a task,
     and only a spanning forest of each pair of blocks is returned.
@@ -309,7 +311,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, blo
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([z.compress(x) for x in texts], pa.binary())], names=["key", "packed"])
 
     # texts are shuffled compressed: they are smaller than the hashes of their shingles
-    texts = keyed.select("key", "text").mapInArrow(pack, "key long, packed binary").join(chosen, "key").select("root", "i", "j", "cls", "own", "packed")
+    # the chosen grow with the corpus, so they are never broadcast
+    texts = keyed.select("key", "text").mapInArrow(pack, "key long, packed binary").join(chosen.hint("merge"), "key").select("root", "i", "j", "cls", "own", "packed")
 
     def verify(table: pa.Table) -> pa.Table:
         rows = {}
