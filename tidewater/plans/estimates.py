@@ -19,7 +19,7 @@ def _(t):
 @query(
     "beta_loo",
     f"""WITH d AS (SELECT event_id, deal_type, CASE WHEN f_cash > 0 AND f_cash < 1 THEN f_cash END AS x FROM {{deals}} WHERE event_id % 50 = 0),
-s AS (SELECT l.event_id, count(r.x) AS n, avg(r.x) AS m, CASE WHEN count(r.x) > 1 THEN var_samp(r.x) END AS v FROM d l JOIN d r ON l.deal_type = r.deal_type AND l.event_id <> r.event_id GROUP BY l.event_id)
+s AS (SELECT l.event_id, count(r.x) AS n, avg(r.x) AS m, CASE WHEN count(r.x) > 1 THEN var_samp(r.x) END AS v FROM d l LEFT JOIN d r ON l.deal_type = r.deal_type AND l.event_id <> r.event_id GROUP BY l.event_id)
 SELECT event_id, n, round(a, 6) AS a, round(b, 6) AS b FROM (SELECT event_id, n, {_BETA} FROM s)""",
 )
 def _(t):
