@@ -59,7 +59,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def field_specs(spark: SparkSession, path: str) -> DataFrame:
     """{"fields": {name: spec}} or a bare map of specs, to one row for each field."""
     spec = "struct<required:boolean,description:string,timing_bucket:string,release_timing:string,document_keys:array<string>,preferred_forms:array<string>,keywords:array<string>>"
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     specs = F.coalesce(F.from_json("value", f"struct<fields:map<string,{spec}>>")["fields"], F.from_json("value", f"map<string,{spec}>"))
     return raw.select(F.explode(specs).alias("field_name", "spec")).select("field_name", "spec.*")
 
