@@ -57,6 +57,8 @@ def test_lines(spark, docs, none):
     assert {r.n_dropped for r in out.collect()} == {0}
     same = spark.createDataFrame([(i, f"menu\nown {i}\n\n", None) for i in range(8)], "doc_id long, text string, source string")
     cut = lines.drop_boilerplate(same).orderBy("doc_id").collect()
+    salted = lines.drop_boilerplate(same, broadcast_keys=0, salts=3).orderBy("doc_id").collect()
+    assert salted == cut
     assert cut[0].text == "own 0\n\n" and all(r.n_dropped == 1 and r.n_lines == 4 for r in cut)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 
 def _trimmed(line: Column) -> Column:
     return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
@@ -32,7 +34,20 @@ def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text",
     )
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, least_pages: int = 5) -> DataFrame:
+def _with_common(docs: DataFrame, common: DataFrame, host: str, broadcast_keys: int, salts: int) -> DataFrame:
+    """docs with their host's lines. Up to broadcast_keys keys in all go to every task, so that texts are not shuffled; beyond that both sides are
+    dealt by host and one of `salts` numbers, so that a host's texts meet in no one task."""
+    common = stored(common, "boilerplate")
+    keys = common.agg(F.coalesce(F.sum(F.size("_common") + 1), F.lit(0))).first()[0]
+    if keys <= broadcast_keys:
+        return docs.join(F.broadcast(common), F.col(host).eqNullSafe(F.col("_host")), "left")
+    dealt = common.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(F.col("_text")), F.lit(salts)).cast("int")
+    salted = docs.withColumn("_text", F.xxhash64(*[c for c in docs.columns if c != host])).withColumn("_deal", salt).drop("_text")
+    return salted.join(dealt, F.col(host).eqNullSafe(F.col("_host")) & (F.col("_deal") == F.col("_salt")), "left").drop("_salt", "_deal")
+
+
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, least_pages: int = 5, broadcast_keys: int = 100_000, salts: int = 64) -> DataFrame:
     """docs with the lines dropped that are on more than `ratio` of a host's pages; adds n_lines and n_dropped.
 
     Lines end at \\n and compare without white space at their ends. Nulls: null text stays null and has no lines; a null host is a host of its
@@ -40,9 +55,9 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     pages each. Other columns pass through; columns named n_lines or n_dropped are replaced. Empty table: no rows.
     """
     common = boilerplate_lines(docs, host, text, ratio, least_pages)
-    others = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_host", "_common")]
+    others = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_host", "_common", "_salt", "_deal", "_text")]
     lines = F.split(F.col(text), "\n")
-    joined = docs.select(*others).join(common, F.col(host).eqNullSafe(F.col("_host")), "left")
+    joined = _with_common(docs.select(*others), common, host, broadcast_keys, salts)
     keep = F.filter(
         F.arrays_zip(lines.alias("line"), _line_keys(lines).alias("key")),
         lambda x: F.coalesce(~F.array_contains(F.col("_common"), x["key"]), F.lit(True)),
