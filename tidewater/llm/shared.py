@@ -21,9 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     if not got:
         got = "file://" + tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set("spark.checkpoint.dir", got)
+    bound_batches(spark)
     return got.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of so many rows at most in this session, as texts may be long; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = int(spark.conf.get(key))
+    if own <= 0 or own > rows:
+        spark.conf.set(key, str(rows))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -42,7 +51,7 @@ def document_key(doc_id: str = "doc_id", text: str = "text"):
     return F.xxhash64(both), F.xxhash64(F.lit(7), both)
 
 
-def portions(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def portions(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a batch whose texts have about `most` bytes, with those texts (null: empty): arrays over all bytes stay small."""
     values = batch.column(column).cast(pa.large_binary())
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(values), 0))
