@@ -43,70 +43,84 @@ class Sentences:
         self.words = np.diff(np.append(at, len(starts)))
         self.doc = np.searchsorted(self.offsets, self.start, "right") - 1
 
-    def runs(self, n: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First sentence, hash and size in bytes of each run of n sentences of one text; a text of fewer is one run."""
+    def runs(self, n: int, least_words: int, lengthen: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First sentence, the one after the last, hash and size in bytes of each run of one text: n sentences (all, where a text has
+        fewer) that have least_words words. With lengthen, from each sentence on and up to each sentence, the shortest run of n sentences or more that has them."""
         m = len(self.start)
         if not m:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         prefix = prefix_hash(_LOWER[self.data])
         own = span_hash(prefix, self.start, self.end)
         first = np.searchsorted(self.doc, self.doc, "left")
         last = np.searchsorted(self.doc, self.doc, "right")
+        least = np.minimum(n, last - first)
+        words = np.concatenate([[0], np.cumsum(self.words)])
+        sizes = np.concatenate([[0], np.cumsum(self.end - self.start)])
         at = np.arange(m)
-        ok = (at + n <= last) | ((last - first < n) & (at == first))
-        at = at[ok]
-        hashed, size, words = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        for k in range(n):
-            j = np.minimum(at + k, m - 1)
-            there = at + k < last[at]
-            hashed = np.where(there, mix64(hashed + own[j]), hashed)
-            size += np.where(there, self.end[j] - self.start[j], 0)
-            words += np.where(there, self.words[j], 0)
-        keep = words >= least_words
-        return at[keep], hashed[keep], size[keep]
+        to = at + least
+        if lengthen:
+            since = np.minimum(at + 1 - least, np.searchsorted(words, words[at + 1] - least_words, "right") - 1)
+            to = np.maximum(to, np.searchsorted(words, words[at] + least_words, "left"))
+            ahead, back = to <= last, since >= first
+            pairs = np.unique(np.concatenate([at[ahead] * (m + 1) + to[ahead], since[back] * (m + 1) + at[back] + 1]))
+            at, to = pairs // (m + 1), pairs % (m + 1)
+        else:
+            ok = to <= last
+            ok[ok] = words[to[ok]] - words[at[ok]] >= least_words
+            at, to = at[ok], to[ok]
+        hashed, live, k = np.zeros(len(at), np.uint64), np.arange(len(at)), 0
+        while len(live):
+            hashed[live] = mix64(hashed[live] + own[at[live] + k])
+            k += 1
+            live = live[at[live] + k < to[live]]
+        return at, to, hashed, sizes[to] - sizes[at]
 
 
 def _texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def sentence_runs(docs: DataFrame, n: int, least_words: int) -> DataFrame:
-    """(run, size, doc_id, key, sentence): a hash of each run of n sentences with its bytes, and its first sentence's number in its text."""
+def sentence_runs(docs: DataFrame, n: int, least_words: int, lengthen: bool = False) -> DataFrame:
+    """(run, size, doc_id, key, sentence, past): a hash of each run with its bytes, and the numbers in its text of its first sentence and of the one
+    after its last."""
 
     def find(batches):
         for batch, texts in (x for whole in batches for x in portions(whole)):
             found = Sentences(texts)
-            at, hashed, size = found.runs(n, least_words)
+            at, to, hashed, size = found.runs(n, least_words, lengthen)
             if not len(at):
                 continue
             doc = found.doc[at]
             first = np.searchsorted(found.doc, doc, "left")
             pick = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashed.view(np.int64)), pa.array(size.astype(np.int32)), batch.column("doc_id").take(pick), batch.column("key").take(pick), pa.array((at - first).astype(np.int32))],
-                names=["run", "size", "doc_id", "key", "sentence"],
+                [pa.array(hashed.view(np.int64)), pa.array(size.astype(np.int32)), batch.column("doc_id").take(pick), batch.column("key").take(pick), pa.array((at - first).astype(np.int32)), pa.array((to - first).astype(np.int32))],
+                names=["run", "size", "doc_id", "key", "sentence", "past"],
             )
 
-    return docs.mapInArrow(find, "run long, size int, doc_id long, key long, sentence int")
+    return docs.mapInArrow(find, "run long, size int, doc_id long, key long, sentence int, past int")
 
 
-def drop_repeated_runs(docs: DataFrame, n: int = 3, least_words: int = 12) -> DataFrame:
-    """Removes the sentences that lie in a run of n sentences which an earlier document, or the same one before, holds too.
+def drop_repeated_runs(docs: DataFrame, n: int = 3, least_words: int = 12, lengthen: bool = False) -> DataFrame:
+    """Removes the sentences that lie in a run of sentences which an earlier document, or the same one before, holds too.
+
+    With lengthen, runs of fewer than least_words words go on to further sentences until they have them, so that every repeated passage of as many
+    sentences and words is covered by runs, however short its sentences are. Without, such runs do not count.
 
     docs: doc_id, text; returns those documents that lose sentences, with doc_id, text (what is left), n_sentences, n_removed (sentences) and
-    n_spans (maximal removed runs). The first of equal runs, by doc_id (nulls first), then by place, stays. Runs of fewer than least_words words
-    do not count; a text of fewer than n sentences is one run. Sentences compare without regard to A-Z case or to the white space between them.
+    n_spans (maximal removed runs). The first of equal runs, by doc_id (nulls first), then by place, stays. A text of fewer
+    than n sentences is one run. Sentences compare without regard to A-Z case or to the white space between them.
 
     Nulls: a null text is empty and loses nothing. Rows equal in doc_id and text are one document: none of them is a copy of the other. Other
     columns are left out. Empty table: no rows. Only hashes are shuffled to find repeats, counted before the shuffle; texts only to be cut.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", document_key()[0])
-    runs = sentence_runs(keyed, n, least_words)
+    runs = sentence_runs(keyed, n, least_words, lengthen)
     place = F.struct("doc_id", "key", "sentence")
     repeated = runs.groupBy("run", "size").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     later = runs.join(repeated, ["run", "size"]).where(place != F.col("first"))
     # a document's own sentences, so no larger than the document
-    marks = later.groupBy("doc_id", "key").agg(F.collect_set("sentence").alias("runs"))
+    marks = later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("sentence", "past")).alias("runs"))
     hit = keyed.join(marks.withColumnRenamed("doc_id", "_doc_id"), "key").where(F.col("doc_id").eqNullSafe(F.col("_doc_id"))).select("doc_id", "text", "runs")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *(T.StructField(k, T.LongType()) for k in ("n_sentences", "n_removed", "n_spans"))])
 
@@ -117,8 +131,8 @@ def drop_repeated_runs(docs: DataFrame, n: int = 3, least_words: int = 12) -> Da
                 found = Sentences([text])
                 m = len(found.start)
                 gone = np.zeros(m + 1, bool)
-                for s in starts:
-                    gone[s : min(m, s + n)] = True
+                for run in starts:
+                    gone[run["sentence"] : run["past"]] = True
                 gone[m] = False
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], gone])))
                 ends = np.append(found.start, len(text))
@@ -138,4 +152,4 @@ def drop_repeated_runs(docs: DataFrame, n: int = 3, least_words: int = 12) -> Da
 
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return drop_repeated_runs(docs).select("doc_id", "n_sentences", "n_removed", "n_spans", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return drop_repeated_runs(docs, lengthen=True).select("doc_id", "n_sentences", "n_removed", "n_spans", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
