@@ -19,6 +19,24 @@ def labelled_before(df: DataFrame, label: str, order: str) -> DataFrame:
     return df.withColumn("_b", block).join(before, "_b").withColumn("labelled", F.col("_before") + within).drop("_b", "_before")
 
 
+def panel(deals: DataFrame) -> DataFrame:
+    """The holder panel of all deals with a known cash pool, as the derived table holders has it of the first ones; pos counts by date, then within
+    the date, so that no task counts them all."""
+    d = deals.where("pi_cash IS NOT NULL")
+    sums = d.groupBy("announce_date").agg(F.count(F.lit(1)).alias("_n"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(F.col("announce_date").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy("announce_date").orderBy("event_id"))
+    d = d.withColumn("_within", within).alias("d").join(before.alias("b"), F.col("d.announce_date").eqNullSafe(F.col("b.announce_date"))).select("d.*", "_before")
+    return d.withColumn("pos", F.col("_before") + F.col("_within")).drop("_before", "_within").selectExpr(
+        "*",
+        "(party % 32) / 64D AS passive",
+        "CASE WHEN payment_type LIKE '1%' THEN 'cash' WHEN payment_type LIKE '2%' THEN 'stock' ELSE 'mixed' END AS default_rule",
+        "ratio * acq_price AS stock",
+        "cash * (0.9D + (event_id % 13) / 64D) AS target_price",
+        "CASE WHEN event_id % 2 = 0 THEN 0.65D ELSE 1D END AS weight",
+    )
+
+
 def rolling_fit(panel: DataFrame, cfg: CapacityConfig) -> DataFrame:
     """(event_id, p_hat, q_hat, fit_n, sse): for each event the point of the grid with the least weighted squared error over the last labelled
     events before it; of equal ones the smaller p, then q; the defaults where there are too few. panel: event_id, pos, f_cash (null: unlabelled),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -111,8 +113,11 @@ s AS (SELECT event_id, pos, lab, p, q, sum(err) OVER w AS sse, count(err) OVER w
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(sse, 12), p, q) AS k FROM s)
 SELECT event_id, CASE WHEN n >= 10 THEN p ELSE 5e-1 END AS p_hat, CASE WHEN n >= 10 THEN q ELSE 3e-1 END AS q_hat, CASE WHEN n >= 10 THEN n ELSE 0 END AS fit_n, CASE WHEN n >= 10 THEN round(sse, 9) END AS sse FROM r WHERE k = 1""",
 )
-def _(t):
-    return H.rolling_fit(t.holders.where("pos <= 400"), CFG)
+def holder_rolling_fit(t, every=False):
+    return H.rolling_fit(H.panel(t.deals) if every else t.holders.where("pos <= 400"), CFG)
+
+
+query("holder_rolling_fit_all")(partial(holder_rolling_fit, every=True))
 
 
 @query(
