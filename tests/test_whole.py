@@ -28,3 +28,15 @@ def test_holders(spark, name):
     medium = "/root/testdata/sf0.01"  # more deals than the derived table holders has
     n = Tables(spark, medium).deals.where("pi_cash IS NOT NULL").count()
     assert n > 2000 and events(holds(spark, medium, name)) == n
+
+
+@pytest.mark.parametrize("name", ["nb_predict", "outcome_probabilities"])
+def test_outcome_of_each_event(spark, small, name):
+    assert events(holds(spark, small, name)) == Tables(spark, small).training.count()
+
+
+def test_outcome_scores_count_each_event(spark, small):
+    n = Tables(spark, small).training.count()
+    assert QUERIES["brier_scores_all"](spark, small).agg(F.sum("n")).first()[0] == n
+    assert QUERIES["class_metrics_all"](spark, small).agg(F.sum("called")).first()[0] == n
+    assert QUERIES["decision_power_all"](spark, small).count() == QUERIES["decision_power"](spark, small).count()

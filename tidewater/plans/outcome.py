@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -72,20 +74,21 @@ ex AS (SELECT *, exp(s - max(s) OVER (PARTITION BY event_id)) AS e FROM sc),
 po AS (SELECT event_id, label, 9e-1 * e / sum(e) OVER (PARTITION BY event_id) + 1e-1 * prior AS probability FROM ex)"""
 
 
-def predicted(t):
-    rows = training(t).where("event_id % 5 = 0").withColumn("deal_type", F.when(F.col("event_id") % 10 == 0, "unseen").otherwise(F.col("deal_type")))
+def predicted(t, every=False):
+    """Probabilities of a fifth of the events, or of every one."""
+    rows = (training(t) if every else training(t).where("event_id % 5 = 0")).withColumn("deal_type", F.when(F.col("event_id") % 10 == 0, "unseen").otherwise(F.col("deal_type")))
     return B.predict(training(t), rows.drop("label"), "event_id", "label", NUMERIC, CATEGORICAL, PARAMS)
 
 
 @query("nb_predict", f"WITH {PREDICT_SQL} SELECT event_id, label, round(probability, 9) AS probability FROM po")
-def _(t):
-    return predicted(t).select("event_id", "label", F.round("probability", 9).alias("probability"))
+def nb_predict(t, every=False):
+    return predicted(t, every).select("event_id", "label", F.round("probability", 9).alias("probability"))
 
 
 @query("brier_scores", f"WITH {PREDICT_SQL} SELECT q.actual, count(*) // 3 AS n, round(sum((probability - CASE WHEN po.label = actual THEN 1 ELSE 0 END) ** 2) / (count(*) / 3e0), 8) AS brier, round(avg(-ln(greatest(probability, 1e-12))) FILTER (po.label = actual), 8) AS nll FROM po JOIN q ON q.event_id = po.event_id GROUP BY q.actual")
-def _(t):
+def brier_scores(t, every=False):
     actual = t.training.select("event_id", F.col("label").alias("actual"))
-    j = predicted(t).join(actual, "event_id")
+    j = predicted(t, every).join(actual, "event_id")
     hit = F.col("label") == F.col("actual")
     return j.groupBy("actual").agg(
         F.floor(F.count(F.lit(1)) / 3).alias("n"), F.round(F.sum(B.brier(F.col("probability"), hit)) / (F.count(F.lit(1)) / 3.0), 8).alias("brier"), F.round(F.avg(F.when(hit, -F.ln(F.greatest("probability", F.lit(1e-12))))), 8).alias("nll")
@@ -99,8 +102,8 @@ j AS (SELECT w.label AS predicted, q.actual FROM w JOIN q ON q.event_id = w.even
 SELECT b.label, count(*) FILTER (actual = b.label AND predicted = b.label) AS tp, count(*) FILTER (predicted = b.label) AS called, count(*) FILTER (actual = b.label) AS truth,
   count(*) FILTER (actual = b.label AND predicted = b.label) * 1e0 / nullif(count(*) FILTER (predicted = b.label), 0) AS prec, count(*) FILTER (actual = b.label AND predicted = b.label) * 1e0 / nullif(count(*) FILTER (actual = b.label), 0) AS recall FROM j, {_STATES} GROUP BY b.label""",
 )
-def _(t):
-    best = predicted(t).groupBy("event_id").agg(F.min(F.struct((-F.round("probability", 9)).alias("p"), "label"))["label"].alias("predicted"))
+def class_metrics(t, every=False):
+    best = predicted(t, every).groupBy("event_id").agg(F.min(F.struct((-F.round("probability", 9)).alias("p"), "label"))["label"].alias("predicted"))
     j = best.join(t.training.select("event_id", F.col("label").alias("actual")), "event_id")
     rows = j.select(F.inline(F.array(*[F.struct(F.lit(s).alias("label"), (F.col("actual") == s).alias("a"), (F.col("predicted") == s).alias("p")) for s in B.STATES])))
     g = rows.groupBy("label").agg(F.count_if(F.col("a") & F.col("p")).alias("tp"), F.count_if("p").alias("called"), F.count_if("a").alias("truth"))
@@ -161,9 +164,9 @@ w AS (SELECT power, event_id, label FROM (SELECT power, event_id, po.label, row_
 SELECT power, avg(recall) AS balanced_accuracy, avg(f1) AS macro_f1 FROM (SELECT power, b.label, coalesce(count(*) FILTER (actual = b.label AND w.label = b.label) * 1e0 / nullif(count(*) FILTER (actual = b.label), 0), 0e0) AS recall,
   coalesce(2e0 * count(*) FILTER (actual = b.label AND w.label = b.label) / nullif(count(*) FILTER (actual = b.label) + count(*) FILTER (w.label = b.label), 0), 0e0) AS f1 FROM w JOIN q ON q.event_id = w.event_id, {_STATES} GROUP BY power, b.label) GROUP BY power""",
 )
-def _(t):
+def decision_power(t, every=False):
     prior = B.priors(training(t), "label", PARAMS).select("label", "prior")
-    scored = predicted(t).join(F.broadcast(prior), "label").withColumn("power", F.explode(F.array(*[F.lit(x) for x in _POWERS])))
+    scored = predicted(t, every).join(F.broadcast(prior), "label").withColumn("power", F.explode(F.array(*[F.lit(x) for x in _POWERS])))
     value = F.round(F.col("probability") / F.pow("prior", F.col("power")), 9)
     best = scored.groupBy("power", "event_id").agg(F.min(F.struct((-value).alias("v"), "label"))["label"].alias("predicted"))
     j = best.join(t.training.select("event_id", F.col("label").alias("actual")), "event_id")
@@ -178,7 +181,11 @@ def _(t):
     f"""WITH {PREDICT_SQL} SELECT event_id, round(max(probability) FILTER (label = 'completed'), 9) AS p_completed, round(max(probability) FILTER (label = 'terminated'), 9) AS p_terminated, round(max(probability) FILTER (label = 'withdrawn'), 9) AS p_withdrawn,
   'naive_bayes' AS outcome_probability_source, (SELECT count(*) FROM {{training}}) AS outcome_train_n FROM po GROUP BY event_id""",
 )
-def _(t):
+def outcome_probabilities(t, every=False):
     one = lambda s: F.round(F.max(F.when(F.col("label") == s, F.col("probability"))), 9).alias(f"p_{s}")
     n = t.training.agg(F.count(F.lit(1)).alias("outcome_train_n"))
-    return predicted(t).groupBy("event_id").agg(*[one(s) for s in B.STATES]).withColumn("outcome_probability_source", F.lit("naive_bayes")).crossJoin(n)
+    return predicted(t, every).groupBy("event_id").agg(*[one(s) for s in B.STATES]).withColumn("outcome_probability_source", F.lit("naive_bayes")).crossJoin(n)
+
+
+for _f in (nb_predict, brier_scores, class_metrics, decision_power, outcome_probabilities):
+    query(f"{_f.__name__}_all")(partial(_f, every=True))
