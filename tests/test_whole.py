@@ -40,3 +40,9 @@ def test_outcome_scores_count_each_event(spark, small):
     assert QUERIES["brier_scores_all"](spark, small).agg(F.sum("n")).first()[0] == n
     assert QUERIES["class_metrics_all"](spark, small).agg(F.sum("called")).first()[0] == n
     assert QUERIES["decision_power_all"](spark, small).count() == QUERIES["decision_power"](spark, small).count()
+
+
+def test_sizes_of_each_deal(spark, small):
+    d = Tables(spark, small).deals.where("pi_cash IS NOT NULL")
+    assert events(holds(spark, small, "capacity_grid")) == d.where("ratio_type = 'fixed'").count()
+    assert events(holds(spark, small, "self_impact_proof")) == d.where("f_cash IS NOT NULL").count()

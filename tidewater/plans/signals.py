@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..operators import gates as G
@@ -85,12 +87,12 @@ h AS (SELECT *, greatest(1e-6, least(1 - 1e-6, f + q * 5e-1)) AS ff FROM g), p A
 a AS (SELECT event_id, q, avg(v / m - 1) AS mean, quantile_cont(v / m - 1, 5e-2) AS p05, avg(CASE WHEN v / m - 1 < 0 THEN 1e0 ELSE 0e0 END) AS loss FROM p GROUP BY event_id, q)
 SELECT event_id, max(q) FILTER (round(mean, 9) > 5e-3 AND round(p05, 9) >= -25e-2 AND loss <= 5e-1) AS most_feasible, max(round(q * mean, 9)) FILTER (round(mean, 9) > 5e-3 AND round(p05, 9) >= -25e-2 AND loss <= 5e-1) AS best_pnl, count(*) AS points FROM a GROUP BY event_id""",
 )
-def _(t):
+def capacity_grid(t, every=False):
     """For every size of a grid the expected payoff after the own vote's effect on demand, and the largest and the best size that pass the gate."""
     from ..operators import payoff as P
     from .panel import mc_ready
 
-    d = mc_ready(t.deals.where("event_id % 20 = 0"), with_demand=False).select("event_id", "cash", F.expr("ratio * acq_price").alias("stock"), "pi_cash", F.expr("cash * 97e-2").alias("m"))
+    d = mc_ready(t.deals if every else t.deals.where("event_id % 20 = 0"), with_demand=False).select("event_id", "cash", F.expr("ratio * acq_price").alias("stock"), "pi_cash", F.expr("cash * 97e-2").alias("m"))
     d = d.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(50)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(15))))
     q = F.col("k") / 50.0 * 0.05
     r = P.prorate((F.col("j") + 0.5) / 16.0 + q * 0.5, F.col("pi_cash"), F.col("cash"), F.col("stock"))["cash_holder"] / F.col("m") - 1
@@ -99,6 +101,9 @@ def _(t):
     return a.groupBy("event_id").agg(F.max(F.when(ok, F.col("q"))).alias("most_feasible"), F.max(F.when(ok, F.round(F.col("q") * F.col("mean"), 9))).alias("best_pnl"), F.count(F.lit(1)).alias("points"))
 
 
+query("capacity_grid_all")(partial(capacity_grid, every=True))
+
+
 @query(
     "strategy_summary",
     """SELECT count(*) AS priced, count(*) FILTER (signal = 'ENTER') AS enter, count(*) FILTER (signal = 'REVERSE') AS reverse, count(*) FILTER (signal = 'REVIEW') AS review, count(*) FILTER (starts_with(signal, 'PASS')) AS passed,
