@@ -46,3 +46,36 @@ def test_sizes_of_each_deal(spark, small):
     d = Tables(spark, small).deals.where("pi_cash IS NOT NULL")
     assert events(holds(spark, small, "capacity_grid")) == d.where("ratio_type = 'fixed'").count()
     assert events(holds(spark, small, "self_impact_proof")) == d.where("f_cash IS NOT NULL").count()
+
+
+def test_leave_one_out_of_all_deals(spark, small):
+    from statistics import mean, variance
+
+    deals = [(r.event_id, r.deal_type, r.f_cash if r.f_cash and 0 < r.f_cash < 1 else None) for r in Tables(spark, small).deals.collect()]
+    got = {r.event_id: r for r in QUERIES["beta_loo_all"](spark, small).collect()}
+    assert len(got) == len(deals)
+    for i, kind, _ in deals[::97]:
+        x = [f for j, k, f in deals if k == kind and j != i and f is not None]
+        m, v = mean(x), variance(x)
+        assert got[i].n == len(x) and got[i].a == pytest.approx(m * (m * (1 - m) / v - 1), abs=1e-5)
+
+
+def test_inventory_of_each_deal(spark, small):
+    assert events(holds(spark, small, "missing_inventory")) == Tables(spark, small).deals.count() + 1
+
+
+def test_shapes_of_all_rows(spark, small):
+    t = Tables(spark, small)
+    packed = QUERIES["columnar_json_all"](spark, small)
+    assert packed.count() == t.events.count() == packed.select("user_id", "pos").distinct().count()
+    assert QUERIES["union_superset_all"](spark, small).count() == t.deals.count() + t.trades.count()
+
+
+def test_ids_of_seven_digits(spark):
+    from tidewater.plans import scalars
+
+    class Some:
+        deals = spark.sql("SELECT 1234567L AS event_id, 1 AS party, DATE '2020-02-03' AS announce_date, 'x' AS payment_type")
+        customer = spark.sql("SELECT 1 AS c_custkey, 'n' AS c_name")
+
+    assert [r.id[:18] for r in scalars.event_id_build(Some).collect()] == ["E1234567_20200203_"]

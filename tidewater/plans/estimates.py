@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..operators import estimators as S
@@ -22,11 +24,14 @@ def _(t):
 s AS (SELECT l.event_id, count(r.x) AS n, avg(r.x) AS m, CASE WHEN count(r.x) > 1 THEN var_samp(r.x) END AS v FROM d l LEFT JOIN d r ON l.deal_type = r.deal_type AND l.event_id <> r.event_id GROUP BY l.event_id)
 SELECT event_id, n, round(a, 6) AS a, round(b, 6) AS b FROM (SELECT event_id, n, {_BETA} FROM s)""",
 )
-def _(t):
-    d = t.deals.where("event_id % 50 = 0").select("event_id", "deal_type", "f_cash")
+def beta_loo(t, every=False):
+    d = (t.deals if every else t.deals.where("event_id % 50 = 0")).select("event_id", "deal_type", "f_cash")
     return S.beta_leave_one_out(d, ["deal_type"], "f_cash").select("event_id", "n", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 
 
+query("beta_loo_all")(partial(beta_loo, every=True))
+
+
 @query(
     "logit_slope",
     """WITH d AS (SELECT deal_type, ln(f_cash / (1 - f_cash)) AS y, cash - ratio * acq_price AS x FROM {deals} WHERE f_cash > 0 AND f_cash < 1),

@@ -105,9 +105,10 @@ _FILE = "substr(regexp_replace(regexp_replace(regexp_replace({0}, '[^A-Za-z0-9._
   FROM {{deals}} d JOIN customer ON c_custkey = party WHERE d.event_id < 1000000)
 SELECT event_id, id, CAST(strptime(regexp_extract(id, '^E[0-9]+_([0-9]+)_', 1), '%Y%m%d') AS DATE) AS parsed FROM e""",
 )
-def _(t):
-    made = F.concat(F.lit("E"), F.lpad(F.col("event_id").cast("string"), 6, "0"), F.lit("_"), F.date_format("announce_date", "yyyyMMdd"), F.lit("_"), X.file_name(F.concat("c_name", F.lit(" & Sons (Ltd)")), 45), F.lit("__"), X.file_name(F.col("payment_type"), 45))
-    d = t.deals.where("event_id < 1000000").join(t.customer, F.col("c_custkey") == F.col("party")).select("event_id", made.alias("id"))
+def event_id_build(t):
+    key = F.col("event_id").cast("string")
+    made = F.concat(F.lit("E"), F.lpad(key, F.greatest(F.lit(6), F.length(key)), F.lit("0")), F.lit("_"), F.date_format("announce_date", "yyyyMMdd"), F.lit("_"), X.file_name(F.concat("c_name", F.lit(" & Sons (Ltd)")), 45), F.lit("__"), X.file_name(F.col("payment_type"), 45))
+    d = t.deals.join(t.customer, F.col("c_custkey") == F.col("party")).select("event_id", made.alias("id"))
     return d.withColumn("parsed", F.to_date(F.regexp_extract("id", "^E[0-9]+_([0-9]+)_", 1), "yyyyMMdd"))
 
 
