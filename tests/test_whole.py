@@ -79,3 +79,24 @@ def test_ids_of_seven_digits(spark):
         customer = spark.sql("SELECT 1 AS c_custkey, 'n' AS c_name")
 
     assert [r.id[:18] for r in scalars.event_id_build(Some).collect()] == ["E1234567_20200203_"]
+
+
+def test_draws_of_each_deal(spark, small):
+    """Few draws against the same as rows; by default, shares of losses in steps of 1 / 20,000."""
+    from tidewater.operators import payoff, sampling
+    from tidewater.plans import stochastic
+
+    d = stochastic.fitted(Tables(spark, small)).where("event_id % 8 = 0")
+    j = sampling.beta_draws(d, 256, 11).join(d.drop("a", "b"), "event_id")
+    made = payoff.prorate(F.col("f"), F.col("pi_cash"), F.col("cash"), F.col("stock"))["optimal"]
+    j = j.select("event_id", "draw_id", (payoff.overlay(F.col("u"), F.lit(0.88), F.lit(0.07), made, F.col("m") * 0.75, F.col("m") * 0.65) / F.col("m") - 1).alias("r"))
+    names = ["event_id", "mean", "p05", "p50", "p95", "loss_probability"]
+    want = {r.event_id: r for r in sampling.summary(j, ["event_id"], "r").select(names).collect()}
+    got = {r.event_id: r for r in sampling.deal_summaries(d, 256, 11).collect()}
+    assert got and set(got) == set(want)
+    for k, r in want.items():
+        assert [got[k][x] for x in names] == pytest.approx(list(r), abs=1e-9) and got[k].cvar05 <= got[k].p05 + 1e-12
+    paths = {r.draw_id: r.r for r in j.groupBy("draw_id").agg(F.avg("r").alias("r")).collect()}
+    assert {r.draw_id: r.r for r in sampling.mean_paths(d.repartition(3), 256, 11).collect()} == pytest.approx(paths, abs=1e-12)
+    losses = [r.loss_probability * 20_000 for r in QUERIES["mc_summary"](spark, small).collect()]
+    assert losses == pytest.approx([round(x) for x in losses], abs=1e-6) and any(round(x) * 256 % 20_000 for x in losses)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .payoff import CLIP
+
 
 def event_seed(event_id: object, salt: int) -> int:
     return (zlib.crc32(str(event_id).encode()) + salt) % 2**32
@@ -27,6 +30,46 @@ def beta_draws(fits: DataFrame, n: int, salt: int) -> DataFrame:
     return fits.select("event_id", "a", "b").mapInArrow(draw, "event_id long, draw_id long, f double, u double")
 
 
+def _returns(batch: pa.RecordBatch, n: int, salt: int) -> Iterator[tuple[object, np.ndarray]]:
+    """event_id and n returns of each row (event_id, a, b, cash, stock, pi_cash, m), from the draws of beta_draws: the better election after proration,
+    or what is left when the deal is terminated (7 %) or withdrawn (5 %)."""
+    for event_id, a, b, cash, stock, pi, m in zip(*(batch.column(k).to_pylist() for k in ("event_id", "a", "b", "cash", "stock", "pi_cash", "m")), strict=True):
+        rng = np.random.default_rng(event_seed(event_id, salt))
+        f, u = np.clip(rng.beta(a, b, n), CLIP, 1 - CLIP), rng.random(n)
+        cash_fill, stock_fill = np.minimum(1.0, pi / f), np.minimum(1.0, (1 - pi) / (1 - f))
+        best = np.maximum(cash_fill * cash + (1 - cash_fill) * stock, stock_fill * stock + (1 - stock_fill) * cash)
+        yield event_id, np.where(u < 0.88, best, np.where(u < 0.88 + 0.07, m * 0.75, m * 0.65)) / m - 1
+
+
+def deal_summaries(deals: DataFrame, n: int, salt: int) -> DataFrame:
+    """summary() of n returns of each deal, made where they are drawn, so that no draw becomes a row. deals: as _returns reads them."""
+
+    def made(batches):
+        for batch in batches:
+            found = []
+            for event_id, r in _returns(batch, n, salt):
+                p05, p50, p95 = np.quantile(r, (0.05, 0.5, 0.95))
+                found.append((event_id, r.mean(), p05, p50, p95, (r < 0).mean(), r[r <= p05].mean()))
+            names = ["event_id", "mean", "p05", "p50", "p95", "loss_probability", "cvar05"]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.float64() if k else pa.int64()) for k in range(7)], names=names)
+
+    return deals.mapInArrow(made, "event_id long, mean double, p05 double, p50 double, p95 double, loss_probability double, cvar05 double")
+
+
+def mean_paths(deals: DataFrame, n: int, salt: int) -> DataFrame:
+    """(draw_id, r): the mean return over all deals of each of n draws; a task hands on one sum for each draw."""
+
+    def sums(batches):
+        total, count = np.zeros(n), 0
+        for batch in batches:
+            for _, r in _returns(batch, n, salt):
+                total, count = total + r, count + 1
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(total), pa.array(np.full(n, count))], names=["draw_id", "s", "c"])
+
+    return deals.mapInArrow(sums, "draw_id long, s double, c long").groupBy("draw_id").agg((F.sum("s") / F.sum("c")).alias("r"))
+
+
 def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """mean, p05, p50, p95, the mean of what is at or below p05, and the share below 0."""
     q = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"), F.avg(F.when(F.col(value) < 0, 1.0).otherwise(0.0)).alias("loss_probability"))

@@ -12,30 +12,27 @@ from ..operators import sampling as S
 from .panel import mc_ready
 from .registry import query
 
-DRAWS = 256
+DRAWS = 20_000
 
 
-def draws(t):
-    """Payoff returns of each deal over draws of demand from its leave-one-out fit."""
+def fitted(t):
+    """Each deal with the terms of its payoff and the leave-one-out fit of its demand."""
     d = mc_ready(t.deals)
     fits = E.beta_leave_one_out(d.select("event_id", "deal_type", "f_cash"), ["deal_type"], "f_cash").select("event_id", "a", "b")
-    drawn = S.beta_draws(fits, DRAWS, 11)
-    j = drawn.join(d.select("event_id", "cash", F.expr("ratio * acq_price").alias("stock"), "pi_cash", F.expr("cash * 95e-2").alias("m")), "event_id")
-    made = P.prorate(F.col("f"), F.col("pi_cash"), F.col("cash"), F.col("stock"))
-    value = P.overlay(F.col("u"), F.lit(0.88), F.lit(0.07), made["optimal"], F.col("m") * 0.75, F.col("m") * 0.65)
-    return j.select("event_id", "draw_id", (value / F.col("m") - 1).alias("r"))
+    j = fits.join(d.select("event_id", "cash", F.expr("ratio * acq_price").alias("stock"), "pi_cash", F.expr("cash * 95e-2").alias("m")), "event_id")
+    # few bytes but much work: by a fixed count, which is not coalesced
+    return j.repartition(4 * t.spark.sparkContext.defaultParallelism, "event_id")
 
 
 @query("mc_summary")
-def _(t):
-    return S.summary(draws(t), ["event_id"], "r")
+def mc_summary(t, n=DRAWS):
+    return S.deal_summaries(fitted(t), n, 11)
 
 
 @query("portfolio_mc")
-def _(t):
+def portfolio_mc(t, n=DRAWS):
     """Equal-weight means of all deals along each draw, and their summary."""
-    paths = draws(t).groupBy("draw_id").agg(F.avg("r").alias("r")).withColumn("book", F.lit("all"))
-    return S.summary(paths, ["book"], "r")
+    return S.summary(S.mean_paths(fitted(t), n, 11).withColumn("book", F.lit("all")), ["book"], "r")
 
 
 @query(
