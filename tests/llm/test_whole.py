@@ -4,7 +4,7 @@ import pytest
 
 pytest.importorskip("tidewater.llm")
 
-from tidewater.llm import sentences  # noqa: E402
+from tidewater.llm import html, sentences  # noqa: E402
 from tidewater.llm.registry import QUERIES  # noqa: E402
 
 SHORT = "Milk, eggs, bread, butter, salt, sugar, flour, rice, beans, tea, coffee, oil, honey, figs, dates, plums."
@@ -23,3 +23,17 @@ def test_sentence_runs_cover_the_ends_of_a_passage(spark):
     docs = spark.createDataFrame([(1, passage + " other words."), (2, "New. " + passage + " End of it.")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in sentences.drop_repeated_runs(docs, lengthen=True).collect()}
     assert got == {2: "New. End of it."}
+
+
+LONG = "This, that, and more of it, goes on for a good while, so that it counts. " * 4
+
+
+def test_article_is_whole():
+    assert html.main_text(f"<body><nav>Home</nav><article><h1>T</h1><div><p>{LONG}</p></div></article></body>") == f"T\n\n{LONG.strip()}"
+    page = f"<body><article><h1>T</h1><section><p>{LONG}</p><p>{LONG}</p></section><section><h2>U</h2><p>Short.</p></section><ul><li>one</li><li>two</li></ul><blockquote>Said.</blockquote></article><footer>F</footer></body>"
+    assert html.main_text(page).split("\n\n") == ["T", LONG.strip(), LONG.strip(), "U", "Short.", "one", "two", "Said."]
+
+
+def test_siblings_without_article():
+    page = f"<body><div><h1>T</h1><div><p>{LONG}</p></div><ul><li>one</li></ul><div><a href='x'>a link</a></div></div></body>"
+    assert html.main_text(page).split("\n\n") == ["T", LONG.strip(), "one"]

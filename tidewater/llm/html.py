@@ -171,12 +171,23 @@ def score_tree(root: Node) -> list[Node]:
     return list(scored.values())
 
 
+def _up(node: Node | None) -> Iterator[Node]:
+    """A node and what holds it, from within."""
+    while node is not None:
+        yield node
+        node = node.parent
+
+
 def best_nodes(root: Node) -> list[Node]:
-    """The best container with those of its siblings that read like it: a fifth of its score, or a long paragraph with few links."""
+    """The article or main element that holds the best container; where there is none, that container with its headings and those of its siblings
+    that have few links."""
     scored = score_tree(root)
     if not scored:
         return [root]
     best = max(scored, key=lambda n: n.score)
+    holders = [x for x in _up(best) if x.name in ("article", "main")]
+    if holders:
+        best = next((x for x in reversed(holders) if x.name == "article"), holders[-1])
     # an article in one of several sections: a parent that scores three quarters of it holds them all
     while best.parent is not None and best.name not in ("article", "main") and best.parent.score >= 0.75 * best.score and best.parent.name not in ("html",):
         best = best.parent
@@ -189,6 +200,10 @@ def best_nodes(root: Node) -> list[Node]:
         elif isinstance(x, Node) and not x.apart and x.name in BLOCK:
             if x.score >= least and link_density(x) < 0.5:
                 out.append(x)
+            elif x.name in HEADING:
+                out.append(x)
+            elif x.name != "p" and best.name not in ("article", "main") and link_density(x) < 0.25 and _text(x, False).strip():
+                out.append(x)
             elif x.name == "p" and best.name not in ("article", "main"):
                 n, density = len(_text(x, False).strip()), link_density(x)
                 if n > 80 and density < 0.25 or 0 < n <= 80 and density == 0:
