@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,42 +11,81 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    got = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        got = "file://" + tempfile.mkdtemp(prefix="tidewater-")
-        spark.conf.set("spark.checkpoint.dir", got)
-    bound_batches(spark)
-    return got.rstrip("/")
+_OWN_FOLDER: dict[str, str] = {}
+_SCRATCH: list[str] = []
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of so many rows at most in this session, as texts may be long; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    own = int(spark.conf.get(key))
-    if own <= 0 or own > rows:
-        spark.conf.set(key, str(rows))
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of this application under spark.checkpoint.dir, which driver and executors share; it goes when the driver's JVM ends.
+
+    Where that is unset, a temporary folder serves a local master; on a cluster it is an error, as executors would not see each other's files.
+    """
+    context = spark.sparkContext
+    app = context.applicationId
+    if app not in _OWN_FOLDER:
+        root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master is {context.master})")
+            root = "file://" + tempfile.mkdtemp(prefix="tidewater-")
+        _OWN_FOLDER[app] = f"{root.rstrip('/')}/tidewater-{app}"
+        path = context._jvm.org.apache.hadoop.fs.Path(_OWN_FOLDER[app])
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return _OWN_FOLDER[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_SCRATCH[-1] if _SCRATCH else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stored within goes at the end, so what is to stay is written to a path taken before."""
+    folder = fresh_path(spark, "scratch")
+    _SCRATCH.append(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(folder)
+        remove(spark, folder)
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with underscores after it, so that no column of df is called so (columns compare without regard to case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def apart(key: Column) -> Column:
+    """The same key by another expression. A table that has been summed by a key is already dealt by it, and a join would take it as it is, in one
+    stage with the sum; dealt anew, the stage of the join has two plain shuffles, whose hot keys adaptive execution can split."""
+    return key.bitwiseXOR(F.lit(0).cast("long"))
+
+
 def document_key(doc_id: str = "doc_id", text: str = "text"):
     """Two longs that stand for a document's row where doc_id may be null or repeated: rows equal in both are one document."""
     both = F.struct(F.coalesce(F.col(doc_id), F.lit(-1)), F.col(doc_id).isNull(), F.coalesce(F.col(text), F.lit("")))

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import document_key, portions, prefix_hash, span_hash, stored
+from .shared import apart, document_key, portions, prefix_hash, span_hash, stored
 
 
 def suffix_array(text: Sequence[int]) -> list[int]:
@@ -258,20 +258,71 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def pack(batches):
         z = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("dkey"), pa.array([z.compress(x or b"") for x in texts], pa.binary())], names=["doc_id", "dkey", "packed"])
+        for batch, texts in (x for whole in batches for x in portions(whole, most=4 << 20)):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("dkey"), pa.array([z.compress(x) for x in texts], pa.binary())], names=["doc_id", "dkey", "packed"])
 
     return docs.mapInArrow(pack, "doc_id long, dkey long, packed binary")
 
 
-def repeated_windows(docs: DataFrame, window: int, inner: int, solve_symbols: int = 100_000) -> DataFrame:
+def split_large_groups(contexts: DataFrame, rest: int, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Groups of contexts of at most `most` each, and the windows (key, ctx, low, high) that were found to repeat on the way (None: no group was larger).
+
+    contexts: key, ctx, grp, lo, hi, low, high, before, after. Those of one grp share lo bytes before the span and rest - hi after it, and only
+    windows that begin from lo to hi bytes before the span concern them. A larger group is split in the middle of that range: windows that begin
+    at or beyond it can only equal those of contexts with the same bytes from there to the span, the others only those with the same bytes after
+    the span as far as they all reach. So each window goes to one half, in a group of those that share half of what was open. Contexts that agree
+    in all bytes of their windows there repeat each other as a whole (two 64-bit hashes say so); one of them goes on. Ranges halve, and a range of
+    one window leaves one context to a group, so it ends.
+    """
+    ready, repeated = None, None
+    while True:
+        large = stored(contexts.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("grp"), "large-groups")
+        if large.isEmpty():
+            return (contexts if ready is None else ready.unionByName(contexts)), repeated
+        fit = contexts.join(large, "grp", "left_anti")
+        ready = fit if ready is None else ready.unionByName(fit)
+        mid = F.floor((F.col("lo") + F.col("hi") + 1) / 2).cast("int")
+        open_ = contexts.join(large, "grp", "left_semi").withColumn("mid", mid)
+        near = (
+            open_.where("low < mid")
+            .withColumn("grp", F.xxhash64("grp", F.lit(0), F.expr(f"substring(after, 1, {rest} - mid + 1)")))
+            .withColumn("hi", F.col("mid") - 1)
+            .withColumn("high", F.least("high", F.col("mid") - 1))
+        )
+        far = (
+            open_.where("high >= mid")
+            .withColumn("grp", F.xxhash64("grp", F.lit(1), F.expr("substring(before, length(before) - mid + 1, mid)")))
+            .withColumn("lo", F.col("mid"))
+            .withColumn("low", F.greatest("low", "mid"))
+        )
+        cut = (
+            near.unionByName(far)
+            .withColumn("before", F.expr("substring(before, length(before) - high + 1, high)"))
+            .withColumn("after", F.expr(f"substring(after, 1, {rest} - low)"))
+            .withColumn("same_a", F.xxhash64("before", "after"))
+            .withColumn("same_b", F.xxhash64(F.lit(1), "after", "before"))
+            .drop("mid")
+        )
+        cut = stored(cut, "split-groups")
+        alike = ["grp", "low", "high", "same_a", "same_b"]
+        counts = cut.groupBy(*alike).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*alike[:-1], apart(F.col("same_b")).alias("same_b"))
+        again = stored(cut.join(counts, alike).select("key", "ctx", "low", "high"), "repeated-windows")
+        repeated = again if repeated is None else repeated.unionByName(again)
+        names = ("key", "ctx", "lo", "hi", "before", "after")
+        contexts = stored(cut.groupBy(*alike).agg(F.first(F.struct(*names)).alias("one")).select("grp", "low", "high", "one.*"), "contexts")
+
+
+def repeated_windows(docs: DataFrame, window: int, inner: int, solve_symbols: int = 100_000, group: int = 2000) -> DataFrame:
     """(dkey, spans): for each document (dkey, text) the ranges (first, last) of starts of windows that also start elsewhere in the corpus.
 
     1. Windows fall into runs by their minimiser. Only hashes go through the shuffle: runs whose key occurs once have no repeats.
-    2. Runs that are equal as a whole, by key and ctx, repeat as a whole; one of them stands for all.
+    2. Runs that are equal as a whole, by key and ctx, repeat as a whole; one of them stands for all. Both are hashes of 64 bits, of the span and
+       of all bytes of the run: for two different runs to pass for equal, both would have to collide, once in 2^128 of the pairs.
     3. Different runs of one key are fetched, once each, and compared with each other: the suffix array of their symbols gives for each the
-       windows that another one has.
+       windows that another one has. A key with more than `group` of them is split by longer spans first.
+
+    A key that very many runs share stands in no single task: it is summed before each shuffle, and joins with it are between two plain shuffles,
+    whose large partitions adaptive execution splits.
     """
 
     def find(batches):
@@ -295,12 +346,12 @@ def repeated_windows(docs: DataFrame, window: int, inner: int, solve_symbols: in
                 )
 
     runs = stored(docs.select("dkey", "text").mapInArrow(find, "key long, ctx long, dkey long, first long, count int, high int"), "runs")
-    twice = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    twice = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(apart(F.col("key")).alias("key"))
     runs = stored(runs.join(twice, "key", "left_semi"), "shared-runs")
-    place = F.struct("dkey", "first", "count", "high")
-    classes = stored(runs.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.first(place).alias("one")), "run-classes")
-    mixed = classes.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    fetch = classes.join(mixed, "key", "left_semi").select("key", "ctx", "one.*").groupBy("dkey").agg(F.collect_list(F.struct("key", "ctx", "first", "count", "high")).alias("wanted"))
+    # the columns of one row: they are set together
+    classes = stored(runs.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("dkey", "first", "count", "high")]), "run-classes")
+    mixed = classes.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(apart(F.col("key")).alias("key"))
+    fetch = classes.join(mixed, "key", "left_semi").groupBy("dkey").agg(F.collect_list(F.struct("key", "ctx", "first", "count", "high")).alias("wanted"))
 
     def read(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -317,9 +368,11 @@ def repeated_windows(docs: DataFrame, window: int, inner: int, solve_symbols: in
                 yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(names, kinds, strict=True)], names=list(names))
 
     contexts = _packed(docs).join(fetch, "dkey").select("packed", "wanted").mapInArrow(read, "key long, ctx long, low int, high int, before binary, after binary")
+    contexts = stored(contexts.withColumns({"grp": F.col("key"), "lo": F.lit(0), "hi": F.lit(window - inner)}), "contexts")
+    contexts, repeated = split_large_groups(contexts, window - inner, group)
 
     def solve(batches):
-        todo, key, own = Repeats(window, inner), None, {}
+        todo, grp, own = Repeats(window, inner), None, []
 
         def done():
             out = todo.solve()
@@ -328,24 +381,27 @@ def repeated_windows(docs: DataFrame, window: int, inner: int, solve_symbols: in
             return pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()), pa.array(ranges, kind)], names=["key", "ctx", "ranges"])
 
         for batch in batches:
-            for k, ctx, low, high, before, after in zip(*(batch.column(c).to_pylist() for c in ("key", "ctx", "low", "high", "before", "after")), strict=True):
-                if k != key:
+            for k, ctx, g, low, high, before, after in zip(*(batch.column(c).to_pylist() for c in ("key", "ctx", "grp", "low", "high", "before", "after")), strict=True):
+                if g != grp:
                     if len(own) > 1:
-                        todo.add(list(own.values()))
+                        todo.add(own)
                     if len(todo.text) >= solve_symbols:
                         yield done()
                         todo = Repeats(window, inner)
-                    key, own = k, {}
-                own[ctx] = ((k, ctx), before, after, low, high)
+                    grp, own = g, []
+                own.append(((k, ctx, g), before, after, low, high))
         if len(own) > 1:
-            todo.add(list(own.values()))
+            todo.add(own)
         yield done()
 
-    by_key = contexts.repartition("key").sortWithinPartitions("key", "ctx")
-    partly = by_key.mapInArrow(solve, "key long, ctx long, ranges array<struct<low:int,high:int>>")
+    by_group = contexts.repartition("grp").sortWithinPartitions("grp", "ctx", "low")
+    partly = by_group.mapInArrow(solve, "key long, ctx long, ranges array<struct<low:int,high:int>>")
+    if repeated is not None:  # then one run has its windows in several groups
+        partly = partly.unionByName(repeated.select("key", "ctx", F.array(F.struct("low", "high")).alias("ranges")))
+        partly = partly.groupBy("key", "ctx").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     flagged = classes.where("n > 1").select("key", "ctx", F.lit(None).cast("array<struct<low:int,high:int>>").alias("ranges"))
     once = classes.where("n = 1").select("key", "ctx").join(stored(partly, "partly"), ["key", "ctx"])
-    marks = runs.join(flagged.unionByName(once), ["key", "ctx"])
+    marks = runs.join(stored(flagged.unionByName(once), "flags"), ["key", "ctx"])
     whole = F.array(F.struct((F.col("high") - F.col("count") + 1).alias("low"), F.col("high").alias("high")))
     spans = F.transform(F.coalesce("ranges", whole), lambda x: F.struct((F.col("first") + F.col("high") - x["high"]).alias("a"), (F.col("first") + F.col("high") - x["low"]).alias("b")))
     # a document's own runs, so no more than its bytes
@@ -355,7 +411,7 @@ def repeated_windows(docs: DataFrame, window: int, inner: int, solve_symbols: in
 def drop_repeated_strings(docs: DataFrame, window: int = 400, inner: int = 200) -> DataFrame:
     """Removes each byte of a text that a string of `window` bytes covers which also starts anywhere else in the corpus, the same text included.
 
-    docs: doc_id, text. Returns doc_id, kept (the bytes that are left, which may cut a character), n_bytes, n_removed and n_spans (maximal runs
+    docs: doc_id, text; other columns do not count. Returns doc_id, kept (the bytes that are left, which may cut a character), n_bytes, n_removed and n_spans (maximal runs
     removed) for each row. Strings are those of the texts as given; matches never cross texts. inner is the length of the spans by which
     windows meet; it changes the cost only.
 
@@ -392,5 +448,7 @@ def drop_repeated_strings(docs: DataFrame, window: int = 400, inner: int = 200)
 
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the digest, has_repeats says whether a document lost bytes, and text is what is left of it (bytes that are no UTF-8 as U+FFFD)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return drop_repeated_strings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    left = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return drop_repeated_strings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"), left)
