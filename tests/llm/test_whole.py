@@ -1,5 +1,7 @@
 """Rules that no operator may cut short."""
 
+import time
+
 import pytest
 
 pytest.importorskip("tidewater.llm")
@@ -37,3 +39,39 @@ def test_article_is_whole():
 def test_siblings_without_article():
     page = f"<body><div><h1>T</h1><div><p>{LONG}</p></div><ul><li>one</li></ul><div><a href='x'>a link</a></div></div></body>"
     assert html.main_text(page).split("\n\n") == ["T", LONG.strip(), "one"]
+
+
+def nested(piece, size):
+    return piece * (size // len(piece))
+
+
+@pytest.mark.parametrize("piece", ["<div>a, b ", "<ul><li>a, b ", "<b>a ", "<i><div><b><b></i>", "<p><span>a</section>", "<a '", '<a "', "<table><tr><td>a", "</div><p>", "<!-", "<div class='"])
+def test_pages_of_a_megabyte_are_read_in_time_with_their_length(piece):
+    began = time.process_time()
+    html.main_text(nested(piece, 1 << 20) + "'")
+    assert time.process_time() - began < 4
+
+
+def test_wrappers_do_not_hide_the_article():
+    body = f"<h2>T</h2><p>{LONG}</p><p>{LONG}</p>"
+    want = ["T", LONG.strip(), LONG.strip()]
+    side = "<div class='sidebar'><p>Other, things, here.</p></div><div id='footer'><p>All rights, reserved.</p></div>"
+    for head, tail in (("<div class='with-sidebar'>", "</div>"), ("<div class='content tags'>", "</div>"), ("<form action='x'>", "</form>"), ("<div class='page header-layout header'>", "</div>"), ("<div class='sidebar'>", "</div>"), ("<form><div id='content'>", "</div></form>")):
+        assert html.main_text(f"<html><body><nav>Home</nav>{head}{body}{tail}{side}</body></html>").split("\n\n") == want, head
+
+
+def test_form_around_the_whole_page():
+    page = f"<body><form id='aspnet'><div class='menu'><ul><li><a href='x'>Home</a></li></ul></div><div><h1>T</h1><p>{LONG}</p><form><p>Mail, name, here.</p></form></div><div class='footer'>F</div></form></body>"
+    assert html.main_text(page).split("\n\n") == ["T", LONG.strip()]
+
+
+def test_comments_longer_than_the_article():
+    thread = "".join(f"<li><p>{LONG}</p></li>" for _ in range(12))
+    for comments in (f"<div class='comments'><ol>{thread}</ol></div>", f"<section id='comments'><ul>{thread}</ul></section>"):
+        assert html.main_text(f"<body><div id='content'><h1>T</h1><p>{LONG}</p></div>{comments}</body>").split("\n\n") == ["T", LONG.strip()]
+        assert html.main_text(f"<body><article><h1>T</h1><p>{LONG}</p>{comments}</article></body>").split("\n\n") == ["T", LONG.strip()]
+
+
+def test_tables_and_open_elements():
+    page = f"<body><div><h1>T</h1><table><tr><td>{LONG}<td>two<tr><td>three</table><ul><li><p>four<li>five</ul></div><footer>F</footer></body>"
+    assert html.main_text(page).split("\n\n") == ["T", LONG.strip(), "two", "three", "four", "five"]
