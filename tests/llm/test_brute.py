@@ -145,25 +145,28 @@ def test_estimates_are_near_the_truth():
 def test_sentence_runs(spark, small):
     n, least = 3, 12
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect())
-    cut = re.compile(r"(?<=[.!?,;:])[ \t\r\x0b\x0c]+|[ \t\r\x0b\x0c]*\n\s*")
-
-    def units(t):
-        return [u for u in cut.split(t.strip()) if u]
-
-    first, all_runs = {}, {}
-    for i, t in docs:
-        u = units(t)
-        runs = [(k, tuple(u[k : k + n])) for k in range(max(1, len(u) - n + 1)) if u]
-        all_runs[i] = [(k, tuple(y.lower() for y in x)) for k, x in runs if sum(len(y.split()) for y in x) >= least]
-        for k, x in all_runs[i]:
-            first.setdefault(x, (i, k))
+    cut = re.compile(r"(?<=[.!?])[ \t\r\x0b\x0c]+|[ \t\r\x0b\x0c]*\n\s*")
+    units = {i: [u.lower() for u in cut.split(t.strip()) if u] for i, t in docs}
+
+    def runs(u):
+        def enough(a, b):
+            return b - a >= min(n, len(u)) and sum(len(x.split()) for x in u[a:b]) >= least
+
+        ahead = {(a, next((b for b in range(a + 1, len(u) + 1) if enough(a, b)), None)) for a in range(len(u))}
+        back = {(next((a for a in range(b - 1, -1, -1) if enough(a, b)), None), b) for b in range(1, len(u) + 1)}
+        return sorted((a, b) for a, b in ahead | back if a is not None and b is not None)
+
+    first = {}
+    for i, _ in docs:
+        for a, b in runs(units[i]):
+            first.setdefault(tuple(units[i][a:b]), (i, a))
     want = {}
-    for i, t in docs:
-        gone = {j for k, x in all_runs[i] if first[x] != (i, k) for j in range(k, min(k + n, len(units(t))))}
-        if gone:
-            want[i] = (len(units(t)), len(gone))
-    got = {r.doc_id: (r.n_sentences, r.n_removed) for r in sentences.drop_repeated_runs(spark.read.parquet(f"{small}/documents.parquet")).collect()}
-    assert got == want
+    for i, _ in docs:
+        gone = {j for a, b in runs(units[i]) if first[tuple(units[i][a:b])] != (i, a) for j in range(a, b)}
+        want[i] = (len(units[i]), len(gone), sum(j - 1 not in gone for j in gone), [u for j, u in enumerate(units[i]) if j not in gone])
+    rows = sentences.drop_repeated_runs(spark.read.parquet(f"{small}/documents.parquet")).collect()
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.n_spans, [u.lower() for u in cut.split(r.text.strip()) if u]) for r in rows}
+    assert got == want and any(r.n_removed for r in rows)
 
 
 @settings(max_examples=200, deadline=None)

@@ -12,19 +12,20 @@ from tidewater.llm.registry import QUERIES  # noqa: E402
 SHORT = "Milk, eggs, bread, butter, salt, sugar, flour, rice, beans, tea, coffee, oil, honey, figs, dates, plums."
 
 
-def test_sentence_runs_of_short_clauses(spark, tmp_path):
+def test_sentence_runs_of_short_sentences(spark, tmp_path):
     lines = "\n".join(f"line {i}" for i in range(30))
-    rows = [(1, "Alpha. " + SHORT), (2, SHORT), (3, lines), (4, "Before it, other words stand. " + lines), (5, "Milk, eggs, bread."), (6, "One, two, three. " + SHORT + " Four, five, six.")]
+    short = SHORT.replace(",", ".")
+    rows = [(1, "Alpha. " + short), (2, short), (3, lines), (4, "Before it, other words stand.\n" + lines), (5, "Milk. Eggs. Bread."), (6, "One. Two. Three. " + short + " Four. Five. Six.")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.n_removed for r in QUERIES["op5_sentence_spans"](spark, str(tmp_path)).collect()}
-    assert got == {2: 16, 4: 30, 6: 16}
+    assert got == {1: 0, 2: 16, 3: 0, 4: 30, 5: 0, 6: 16}
 
 
 def test_sentence_runs_cover_the_ends_of_a_passage(spark):
     passage = "a b c d e. f g h i j. k l m n o. p."
     docs = spark.createDataFrame([(1, passage + " other words."), (2, "New. " + passage + " End of it.")], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in sentences.drop_repeated_runs(docs, lengthen=True).collect()}
-    assert got == {2: "New. End of it."}
+    got = {r.doc_id: r.text for r in sentences.drop_repeated_runs(docs).collect()}
+    assert got == {1: passage + " other words.", 2: "New. End of it."}
 
 
 LONG = "This, that, and more of it, goes on for a good while, so that it counts. " * 4

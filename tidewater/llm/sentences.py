@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import document_key, mix64, portions, prefix_hash, span_hash
+from .shared import apart, document_key, mix64, packed_texts, portions, prefix_hash, span_hash, stored, unpacked
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STOP = np.zeros(256, bool)
-_STOP[list(b".!?,;:")] = True
+_STOP[list(b".!?")] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -21,7 +21,7 @@ _LOWER[65:91] += 32
 class Sentences:
     """The sentences of a batch of texts, as arrays over all of them: doc, start and end (bytes, white space after it not included) and words.
 
-    A sentence ends at white space after one of .!?,;: and at each line end; long sentences thus count by their clauses.
+    A sentence ends at white space after one of .!? and at each line end.
     """
 
     def __init__(self, texts: list[bytes]):
@@ -43,9 +43,9 @@ class Sentences:
         self.words = np.diff(np.append(at, len(starts)))
         self.doc = np.searchsorted(self.offsets, self.start, "right") - 1
 
-    def runs(self, n: int, least_words: int, lengthen: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First sentence, the one after the last, hash and size in bytes of each run of one text: n sentences (all, where a text has
-        fewer) that have least_words words. With lengthen, from each sentence on and up to each sentence, the shortest run of n sentences or more that has them."""
+    def runs(self, n: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First sentence, the one after the last, hash and size in bytes of the runs of each text, in order of their first sentences: from each
+        sentence on, and up to each sentence, the shortest run of n sentences (all, where a text has fewer) or more that has least_words words."""
         m = len(self.start)
         if not m:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -57,17 +57,11 @@ class Sentences:
         words = np.concatenate([[0], np.cumsum(self.words)])
         sizes = np.concatenate([[0], np.cumsum(self.end - self.start)])
         at = np.arange(m)
-        to = at + least
-        if lengthen:
-            since = np.minimum(at + 1 - least, np.searchsorted(words, words[at + 1] - least_words, "right") - 1)
-            to = np.maximum(to, np.searchsorted(words, words[at] + least_words, "left"))
-            ahead, back = to <= last, since >= first
-            pairs = np.unique(np.concatenate([at[ahead] * (m + 1) + to[ahead], since[back] * (m + 1) + at[back] + 1]))
-            at, to = pairs // (m + 1), pairs % (m + 1)
-        else:
-            ok = to <= last
-            ok[ok] = words[to[ok]] - words[at[ok]] >= least_words
-            at, to = at[ok], to[ok]
+        since = np.minimum(at + 1 - least, np.searchsorted(words, words[at + 1] - least_words, "right") - 1)
+        to = np.maximum(at + least, np.searchsorted(words, words[at] + least_words, "left"))
+        ahead, back = to <= last, since >= first
+        pairs = np.unique(np.concatenate([at[ahead] * (m + 1) + to[ahead], since[back] * (m + 1) + at[back] + 1]))
+        at, to = pairs // (m + 1), pairs % (m + 1)
         hashed, live, k = np.zeros(len(at), np.uint64), np.arange(len(at)), 0
         while len(live):
             hashed[live] = mix64(hashed[live] + own[at[live] + k])
@@ -75,81 +69,96 @@ class Sentences:
             live = live[at[live] + k < to[live]]
         return at, to, hashed, sizes[to] - sizes[at]
 
+    def first_of_their_text(self, at: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+        """Of runs, whether no equal one stands before it in its text."""
+        order = np.lexsort((at, hashed, self.doc[at]))
+        again = np.zeros(len(at), bool)
+        doc, run = self.doc[at][order], hashed[order]
+        again[order[1:]] = (doc[1:] == doc[:-1]) & (run[1:] == run[:-1])
+        return ~again
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
-
-def sentence_runs(docs: DataFrame, n: int, least_words: int, lengthen: bool = False) -> DataFrame:
-    """(run, size, doc_id, key, sentence, past): a hash of each run with its bytes, and the numbers in its text of its first sentence and of the one
-    after its last."""
+def sentence_runs(docs: DataFrame, n: int, least_words: int) -> DataFrame:
+    """(run, size, place, key, sentence, past) from docs (place, key, text): a hash of each different run of a text with its bytes, and the numbers
+    in the text of its first sentence and of the one after its last, where it stands first."""
 
     def find(batches):
         for batch, texts in (x for whole in batches for x in portions(whole)):
             found = Sentences(texts)
-            at, to, hashed, size = found.runs(n, least_words, lengthen)
+            at, to, hashed, size = found.runs(n, least_words)
+            new = found.first_of_their_text(at, hashed)
             if not len(at):
                 continue
+            at, to, hashed, size = at[new], to[new], hashed[new], size[new]
             doc = found.doc[at]
             first = np.searchsorted(found.doc, doc, "left")
             pick = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashed.view(np.int64)), pa.array(size.astype(np.int32)), batch.column("doc_id").take(pick), batch.column("key").take(pick), pa.array((at - first).astype(np.int32)), pa.array((to - first).astype(np.int32))],
-                names=["run", "size", "doc_id", "key", "sentence", "past"],
+                [pa.array(hashed.view(np.int64)), pa.array(size.astype(np.int32)), batch.column("place").take(pick), batch.column("key").take(pick), pa.array((at - first).astype(np.int32)), pa.array((to - first).astype(np.int32))],
+                names=["run", "size", "place", "key", "sentence", "past"],
             )
 
-    return docs.mapInArrow(find, "run long, size int, doc_id long, key long, sentence int, past int")
+    return docs.select("place", "key", "text").mapInArrow(find, "run long, size int, place decimal(38,0), key long, sentence int, past int")
 
 
-def drop_repeated_runs(docs: DataFrame, n: int = 3, least_words: int = 12, lengthen: bool = False) -> DataFrame:
+def drop_repeated_runs(docs: DataFrame, n: int = 3, least_words: int = 12) -> DataFrame:
     """Removes the sentences that lie in a run of sentences which an earlier document, or the same one before, holds too.
 
-    With lengthen, runs of fewer than least_words words go on to further sentences until they have them, so that every repeated passage of as many
-    sentences and words is covered by runs, however short its sentences are. Without, such runs do not count.
+    From each sentence on, and up to each sentence, there is a run of n sentences; where these have fewer than least_words words, of as many more
+    as they need. So a repeated passage of as many sentences and words is covered by runs from end to end, however short its sentences are, and
+    no run is left out.
 
-    docs: doc_id, text; returns those documents that lose sentences, with doc_id, text (what is left), n_sentences, n_removed (sentences) and
-    n_spans (maximal removed runs). The first of equal runs, by doc_id (nulls first), then by place, stays. A text of fewer
-    than n sentences is one run. Sentences compare without regard to A-Z case or to the white space between them.
+    docs: doc_id, text. Returns for each row doc_id, n_removed (sentences), n_spans (maximal removed runs), n_sentences, and text, what is left.
+    The first of equal runs, by doc_id (nulls first), then by a hash of the text, then by place, stays. A text of fewer than n sentences is one run, if
+    it has the words. Sentences compare without regard to A-Z case or to the white space between them.
 
     Nulls: a null text is empty and loses nothing. Rows equal in doc_id and text are one document: none of them is a copy of the other. Other
-    columns are left out. Empty table: no rows. Only hashes are shuffled to find repeats, counted before the shuffle; texts only to be cut.
+    columns are left out. Empty table: no rows. Only hashes are shuffled to find repeats, counted before the shuffle; texts, compressed, to be cut.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", document_key()[0])
-    runs = sentence_runs(keyed, n, least_words, lengthen)
-    place = F.struct("doc_id", "key", "sentence")
-    repeated = runs.groupBy("run", "size").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-    later = runs.join(repeated, ["run", "size"]).where(place != F.col("first"))
+    # the order of documents in one number, so that its least is kept in place by a hash aggregate
+    place = F.coalesce("doc_id", F.lit(-(2**63))).cast("decimal(19,0)") * F.lit(2**60).cast("decimal(19,0)") + F.shiftrightunsigned("key", 4).cast("decimal(19,0)")
+    runs = stored(sentence_runs(keyed.withColumn("place", place.cast("decimal(38,0)")), n, least_words), "sentence-runs")
+    repeated = runs.groupBy("run", "size").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).where("n > 1").select(apart(F.col("run")).alias("run"), "size", "first")
+    later = runs.join(repeated, ["run", "size"]).where(F.col("place") != F.col("first"))
     # a document's own sentences, so no larger than the document
-    marks = later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("sentence", "past")).alias("runs"))
-    hit = keyed.join(marks.withColumnRenamed("doc_id", "_doc_id"), "key").where(F.col("doc_id").eqNullSafe(F.col("_doc_id"))).select("doc_id", "text", "runs")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *(T.StructField(k, T.LongType()) for k in ("n_sentences", "n_removed", "n_spans"))])
+    marks = later.groupBy("key").agg(F.collect_list(F.struct("sentence", "past")).alias("runs"))
+    marked = packed_texts(keyed).join(marks, "key", "left").select("doc_id", "packed", "runs")
+    names = ("n_removed", "n_spans", "n_sentences")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(k, T.LongType()) for k in names), T.StructField("text", T.StringType())])
 
     def cut(batches):
-        for batch in batches:
-            texts, made = [], {"n_sentences": [], "n_removed": [], "n_spans": []}
-            for text, starts in zip(_texts(batch.column("text")), batch.column("runs").to_pylist(), strict=True):
-                found = Sentences([text])
-                m = len(found.start)
-                gone = np.zeros(m + 1, bool)
-                for run in starts:
-                    gone[run["sentence"] : run["past"]] = True
-                gone[m] = False
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], gone])))
-                ends = np.append(found.start, len(text))
-                left, at = [], 0
-                for a, b in zip(edge[::2], edge[1::2], strict=True):
-                    left.append(text[at : found.start[a]])
-                    at = int(ends[b])
-                left.append(text[at:])
-                texts.append(b"".join(left).decode("utf-8", "replace"))
-                made["n_sentences"].append(m)
-                made["n_removed"].append(int(gone.sum()))
-                made["n_spans"].append(len(edge) // 2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), *(pa.array(v, pa.int64()) for v in made.values())], names=["doc_id", "text", *made])
-
-    return hit.mapInArrow(cut, schema)
+        for batch, texts in unpacked(batches):
+            found = Sentences(texts)
+            m = len(found.start)
+            edge = np.zeros(m + 1, np.int64)
+            at, to, hashed, _ = found.runs(n, least_words)
+            again = ~found.first_of_their_text(at, hashed)
+            np.add.at(edge, at[again], 1)
+            np.add.at(edge, to[again], -1)
+            upto = np.searchsorted(found.doc, np.arange(len(texts) + 1))
+            for i, runs in enumerate(batch.column("runs")):
+                for run in runs.as_py() or ():
+                    edge[upto[i] + run["sentence"]] += 1
+                    edge[upto[i] + run["past"]] -= 1
+            gone = np.cumsum(edge)[:m] > 0
+            kept, made = [], {k: [] for k in names}
+            for i, text in enumerate(texts):
+                a, b = int(upto[i]), int(upto[i + 1])
+                mine = gone[a:b]
+                made["n_sentences"].append(b - a)
+                made["n_removed"].append(int(mine.sum()))
+                ends = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]).astype(np.int8)))
+                made["n_spans"].append(len(ends) // 2)
+                if len(ends):
+                    bounds = np.append(found.start[a:b] - found.offsets[i], len(text))[ends].tolist()
+                    text = b"".join(text[x:y] for x, y in zip([0, *bounds[1::2]], [*bounds[::2], len(text)], strict=True))
+                kept.append(text.decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, pa.int64()) for v in made.values()), pa.array(kept, pa.string())], names=["doc_id", *made, "text"])
+
+    return marked.mapInArrow(cut, schema)
 
 
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return drop_repeated_runs(docs, lengthen=True).select("doc_id", "n_sentences", "n_removed", "n_spans", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return drop_repeated_runs(docs).select("doc_id", "n_removed", "n_spans", (F.col("n_removed") > 0).alias("has_repeats"), "text")

@@ -11,8 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -103,6 +105,33 @@ def portions(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -
             yield batch.slice(a, b - a), [x or b"" for x in values.slice(a, b - a).to_pylist()]
 
 
+def packed_texts(docs: DataFrame, column: str = "text") -> DataFrame:
+    """docs with `packed` in place of a text: its UTF-8 bytes (null: none), compressed, as they go through a shuffle; unpacked() gives them back."""
+    others = [f for f in docs.schema.fields if f.name != column]
+
+    def pack(batches):
+        z = zstandard.ZstdCompressor(level=1)
+        for batch, texts in (x for whole in batches for x in portions(whole, column, most=4 << 20)):
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in others), pa.array([z.compress(x) for x in texts], pa.binary())], names=[*(f.name for f in others), "packed"])
+
+    return docs.mapInArrow(pack, T.StructType([*others, T.StructField("packed", T.BinaryType())]))
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of batches with `packed`, and their texts, of about `most` bytes."""
+    z = zstandard.ZstdDecompressor()
+    for batch in batches:
+        texts, size, at = [], 0, 0
+        for i, x in enumerate(batch.column("packed")):
+            texts.append(z.decompress(x.as_py()))
+            size += len(texts[-1])
+            if size >= most:
+                yield batch.slice(at, i + 1 - at), texts
+                texts, size, at = [], 0, i + 1
+        if texts:
+            yield batch.slice(at), texts
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A strong bijection on 64 bits (the splitmix finaliser)."""
     x = x.astype(np.uint64, copy=True)

@@ -6,11 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import apart, document_key, portions, prefix_hash, span_hash, stored
+from .shared import apart, document_key, packed_texts, portions, prefix_hash, span_hash, stored, unpacked
 
 
 def suffix_array(text: Sequence[int]) -> list[int]:
@@ -253,17 +252,6 @@ def _pieces(text: bytes, window: int, most: int = 1 << 20):
         yield a, text[a : a + most]
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, dkey, packed): texts compressed, as they are shuffled twice."""
-
-    def pack(batches):
-        z = zstandard.ZstdCompressor(level=1)
-        for batch, texts in (x for whole in batches for x in portions(whole, most=4 << 20)):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("dkey"), pa.array([z.compress(x) for x in texts], pa.binary())], names=["doc_id", "dkey", "packed"])
-
-    return docs.mapInArrow(pack, "doc_id long, dkey long, packed binary")
-
-
 def split_large_groups(contexts: DataFrame, rest: int, most: int) -> tuple[DataFrame, DataFrame | None]:
     """Groups of contexts of at most `most` each, and the windows (key, ctx, low, high) that were found to repeat on the way (None: no group was larger).
 
@@ -354,11 +342,10 @@ def repeated_windows(docs: DataFrame, window: int, inner: int, solve_symbols: in
     fetch = classes.join(mixed, "key", "left_semi").groupBy("dkey").agg(F.collect_list(F.struct("key", "ctx", "first", "count", "high")).alias("wanted"))
 
     def read(batches):
-        unpack = zstandard.ZstdDecompressor()
         names = ("key", "ctx", "low", "high", "before", "after")
-        for batch in batches:
-            for packed, wanted in zip(batch.column("packed"), batch.column("wanted"), strict=True):
-                text, out = unpack.decompress(packed.as_py()), {k: [] for k in names}
+        for batch, texts in unpacked(batches):
+            for text, wanted in zip(texts, batch.column("wanted"), strict=True):
+                out = {k: [] for k in names}
                 for x in wanted.as_py():
                     span, low = x["first"] + x["high"], x["high"] - x["count"] + 1
                     row = (x["key"], x["ctx"], low, x["high"], text[x["first"] : span], text[span + inner : x["first"] + x["count"] - 1 + window])
@@ -367,7 +354,7 @@ def repeated_windows(docs: DataFrame, window: int, inner: int, solve_symbols: in
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(names, kinds, strict=True)], names=list(names))
 
-    contexts = _packed(docs).join(fetch, "dkey").select("packed", "wanted").mapInArrow(read, "key long, ctx long, low int, high int, before binary, after binary")
+    contexts = packed_texts(docs.select("dkey", "text")).join(fetch, "dkey").select("packed", "wanted").mapInArrow(read, "key long, ctx long, low int, high int, before binary, after binary")
     contexts = stored(contexts.withColumns({"grp": F.col("key"), "lo": F.lit(0), "hi": F.lit(window - inner)}), "contexts")
     contexts, repeated = split_large_groups(contexts, window - inner, group)
 
@@ -419,14 +406,12 @@ def drop_repeated_strings(docs: DataFrame, window: int = 400, inner: int = 200)
     bytes or more goes. Texts shorter than window stay. Other columns are left out. Empty table: no rows.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("dkey", document_key()[0])
-    joined = _packed(keyed).join(repeated_windows(keyed, window, inner), "dkey", "left").select("doc_id", "packed", "spans")
+    joined = packed_texts(keyed).join(repeated_windows(keyed, window, inner), "dkey", "left").select("doc_id", "packed", "spans")
 
     def cut(batches):
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch, texts in unpacked(batches):
             kept, made = [], {"n_bytes": [], "n_removed": [], "n_spans": []}
-            for packed, spans in zip(batch.column("packed"), batch.column("spans"), strict=True):
-                text = unpack.decompress(packed.as_py())
+            for text, spans in zip(texts, batch.column("spans"), strict=True):
                 gone = []
                 for a, b in sorted((x["a"], x["b"] + window) for x in spans.as_py() or []):
                     if gone and a <= gone[-1][1]:
