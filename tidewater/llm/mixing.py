@@ -9,19 +9,22 @@ from pyspark.sql import functions as F
 
 from .shared import WORD, stored
 
-#: Characters that a text of good quality seldom holds; they lower its weight.
+#: Characters that a text of good quality seldom holds, and the characters for a word (blanks counted) between which texts in general lie.
 ODD = "!%$#*|&=+<>{}[]~^0123456789"
+STRIDE = (4.0, 11.0)
 
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def quality_weight(text: Column) -> Column:
-    """From 1/4 to 1: the share of a text's characters that are not ODD ones. Null and empty texts weigh 1."""
+def quality_weight(text: Column, size: Column | None = None) -> Column:
+    """From 1/4 to 1: the share of a text's characters that are not ODD ones, less where its words (size of them) are shorter or longer than in
+    general. Texts without words weigh 1."""
     n = F.length(text)
     share = F.length(F.translate(text, ODD, "")) / F.nullif(n, F.lit(0))
-    return F.coalesce(F.lit(0.25) + F.lit(0.75) * share, F.lit(1.0))
+    stride = n / F.nullif(words(text) if size is None else size, F.lit(0))
+    return F.coalesce(F.lit(0.25) + F.lit(0.75) * share * F.least(F.lit(1.0), stride / F.lit(STRIDE[0]), F.lit(STRIDE[1]) / stride), F.lit(1.0))
 
 
 def draw_key(seed: int, doc_id: Column, weight: Column) -> Column:
@@ -30,28 +33,48 @@ def draw_key(seed: int, doc_id: Column, weight: Column) -> Column:
     return -F.ln((u + 0.5) / F.lit(float(2**48))) / weight
 
 
-def source_targets(sources: DataFrame, weights: Sequence[float], total_share: float, most: float) -> DataFrame:
+def _running(table: DataFrame, order: list[Column], sums: dict[str, str], spread: bool) -> DataFrame:
+    """table with `nth`, the number of rows before each in an order, and for each name in sums the sum of its column over those rows.
+
+    Spread: ranges of the order are summed in tasks of their own, and then the ranges' totals, one row each. Otherwise one window does it, for
+    tables that are known to be small.
+    """
+    if not spread:
+        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return table.withColumns({"nth": F.row_number().over(Window.orderBy(*order)) - 1, **{k: F.coalesce(F.sum(c).over(before), F.lit(0)) for k, c in sums.items()}})
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(table.repartitionByRange(parts, *order).withColumn("range_", F.spark_partition_id()), "ranges")
+    ranges = dealt.groupBy("range_").agg(F.count(F.lit(1)).alias("rows_"), *[F.sum(c).alias(f"of_{k}") for k, c in sums.items()])
+    # a row for each range, so this window and this broadcast hold no more rows than there are shuffle partitions
+    earlier = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("range_", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ["rows_", *(f"of_{k}" for k in sums)]])
+    own = Window.partitionBy("range_").orderBy(*order)
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    joined = dealt.join(F.broadcast(ranges), "range_")
+    return joined.select(
+        *table.columns,
+        (F.row_number().over(own) - 1 + F.col("rows__before")).alias("nth"),
+        *[(F.coalesce(F.sum(c).over(before), F.lit(0)) + F.col(f"of_{k}_before")).alias(k) for k, c in sums.items()],
+    )
+
+
+def source_targets(sources: DataFrame, weights: Sequence[float], total_share: float, most: float, spread: bool = False) -> DataFrame:
     """sources (source, source_size) with target: shares by weight, at most `most` times a source's size, the excess reshared by weight.
 
     The level of that water-filling: with sources in order of cap / weight, the first k are capped, k the least for which the level that the
-    others would get does not exceed the next cap. One row per source goes through these windows, never documents.
+    others would get does not exceed the next cap. One row per source goes through this, never documents; with spread, in many tasks.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_cap = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    onwards = by_cap.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    nth = F.row_number().over(by_name) - 1
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (nth % len(weights) + 1).cast("int"))
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (
-        sources.withColumn("w", w)
-        .withColumn("ratio", F.lit(float(most)) * F.col("source_size") / F.col("w"))
-        .withColumn("rest", F.lit(float(total_share)) * F.sum("source_size").over(whole) - F.lit(float(most)) * F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-        .withColumn("level", F.col("rest") / F.sum("w").over(onwards))
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(whole)["level"])
-        .withColumn("target", F.least(F.lit(float(most)) * F.col("source_size"), F.coalesce(F.col("level"), F.col("ratio")) * F.col("w")))
-        .select("source", "source_size", "target")
-    )
+    named = _running(sources, [F.col("source").asc_nulls_last()], {}, spread)
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("nth") % len(weights) + 1).cast("int"))
+    named = named.withColumn("w", w).drop("nth").withColumn("ratio", F.lit(float(most)) * F.col("source_size") / F.col("w"))
+    ordered = _running(named, [F.col("ratio"), F.col("source").asc_nulls_last()], {"capped": "source_size", "light": "w"}, spread)
+    # totals and the level are a row each
+    total = named.agg(F.sum("source_size"), F.sum("w")).first()
+    rest = F.lit(float(total_share) * (total[0] or 0)) - F.lit(float(most)) * F.col("capped")
+    level = rest / (F.lit(total[1]) - F.col("light"))
+    got = ordered.withColumn("level", level).where(F.col("level") <= F.col("ratio")).agg(F.min(F.struct("ratio", "level"))["level"]).first()[0]
+    share = F.col("ratio") if got is None else F.lit(got)
+    return named.select("source", "source_size", F.least(F.lit(float(most)) * F.col("source_size"), share * F.col("w")).alias("target"))
 
 
 def mix_sources(
@@ -62,74 +85,83 @@ def mix_sources(
     seed: int = 20,
     size: Column | None = None,
     quality: Column | None = None,
-    buckets: int = 1024,
+    bucket_rows: int = 50_000,
+    broadcast_sources: int = 100_000,
+    salts: int = 64,
 ) -> DataFrame:
     """Chooses how often each document enters a mix of sources; keeps every row of docs and adds size, source_size, target, copies and taken.
 
-    docs: doc_id, source, text and any other columns (those named like the added ones are replaced). A source's target is its share by weight of
-    total_share times all words, capped at `most` times its words with the excess reshared. It first takes all of its documents as many whole
-    times as fit (complete epochs), then documents in the order of their exponential keys, scaled by quality, while the prefix sum of sizes
-    fits what is left, and the one that crosses it if that brings the sum nearer.
+    docs: doc_id, source, text and any other columns, whatever their names (those named like the added ones are replaced). A source's target is its
+    share by weight of total_share times all words, capped at `most` times its words with the excess reshared. It first takes all of its documents
+    as many whole times as fit (complete epochs), then documents in the order of their exponential keys, scaled by quality (weights of about 1/4 to
+    1), while the prefix sum of sizes fits what is left, and the one that crosses it if that brings the sum nearer.
 
     The order within a source is found in two levels, so that no source is sorted in one task: sizes are summed by bucket of key, and only the
-    one bucket in which the target falls is put in order. `buckets` bounds that bucket to about a source's rows / buckets.
+    one bucket in which the target falls is put in order. There are as many buckets as hold about bucket_rows rows each. Up to broadcast_sources
+    sources, a row for each goes to every task; beyond that sources are summed over ranges and documents meet their source in one of `salts` parts.
 
     Nulls: null text has size 0; a null source is a source of its own, last in order; a null doc_id draws as the text "null". Empty table: no rows.
     Documents of size 0 are taken with their epoch and cost nothing. Repeated rows share a key and count one by one.
     """
     size = words(F.col("text")) if size is None else size
-    quality = quality_weight(F.col("text")) if quality is None else quality
-    extra = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken", "_key", "_bucket")]
+    quality = quality_weight(F.col("text"), size) if quality is None else quality
+    extra = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    # the row goes as one struct, so that its names clash with none here
+    sized = stored(docs.select(F.struct(*extra).alias("doc"), F.col("source").alias("source"), F.col("doc_id").alias("doc_id"), size.alias("size"), draw_key(seed, F.col("doc_id"), quality).alias("draw")), "mix")
+    buckets = max(1024, -(-sized.count() // bucket_rows))
     # the key is exponential with a rate of 1/4 to 1; this maps it to buckets in order, all of them used
-    bucket = F.floor((1 - F.exp(-F.col("_key") / 2)) * buckets).cast("int")
-    sized = docs.select(*extra, size.alias("size"), draw_key(seed, F.col("doc_id"), quality).alias("_key"))
-    sized = stored(sized.withColumn("_bucket", F.least(bucket, F.lit(buckets - 1))), "mix")
-    by_bucket = sized.groupBy("source", "_bucket").agg(F.sum("size").alias("in_bucket"))
-    by_bucket = stored(by_bucket, "mix-buckets")
-    sources = by_bucket.groupBy("source").agg(F.sum("in_bucket").alias("source_size"))
+    sized = sized.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("draw") / 2)) * buckets).cast("int"), F.lit(buckets - 1)))
+    by_bucket = stored(sized.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket")), "mix-buckets")
+    sources = stored(by_bucket.groupBy("source").agg(F.sum("in_bucket").alias("source_size")), "mix-sources")
+    many = sources.count() > broadcast_sources
     targets = (
-        source_targets(sources, weights, total_share, most)
+        source_targets(sources, weights, total_share, most, many)
         .withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long"))
         .withColumn("left", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
     )
-    upto = Window.partitionBy("source").orderBy("_bucket")
+    upto = Window.partitionBy("source").orderBy("bucket")
     running = by_bucket.withColumn("upto", F.sum("in_bucket").over(upto))
     edge = (
         targets.alias("t")
         .join(running.alias("r"), F.col("t.source").eqNullSafe(F.col("r.source")))
-        .groupBy(F.col("t.source").alias("_source"), "source_size", "target", "epochs", "left")
-        .agg(F.min(F.when(F.col("upto") > F.col("left"), F.struct("_bucket", (F.col("upto") - F.col("in_bucket")).alias("under")))).alias("edge"))
-        .select("_source", "source_size", "target", "epochs", "left", F.col("edge._bucket").alias("edge_bucket"), F.col("edge.under").alias("under"))
+        .groupBy(F.col("t.source").alias("of"), "source_size", "target", "epochs", "left")
+        .agg(F.min(F.when(F.col("upto") > F.col("left"), F.struct("bucket", (F.col("upto") - F.col("in_bucket")).alias("under")))).alias("edge"))
+        .select("of", "source_size", "target", "epochs", "left", F.col("edge.bucket").alias("edge_bucket"), F.col("edge.under").alias("under"))
     )
-    rows = sized.join(edge, F.col("source").eqNullSafe(F.col("_source")))
-    outside = rows.where(~F.col("_bucket").eqNullSafe(F.col("edge_bucket"))).withColumn("part", F.when(F.col("edge_bucket").isNull() | (F.col("_bucket") < F.col("edge_bucket")), 1).otherwise(0))
-    within = Window.partitionBy("source").orderBy("_key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = F.col("source").eqNullSafe(F.col("of"))
+    edge = stored(edge, "mix-edges")
+    if many:
+        salted = sized.withColumn("salt", F.pmod(F.xxhash64("draw", "doc_id", "size"), F.lit(salts)).cast("int"))
+        rows = salted.join(edge.withColumn("part_of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), same & (F.col("salt") == F.col("part_of"))).drop("salt", "part_of")
+    else:
+        rows = sized.join(F.broadcast(edge), same)
+    outside = rows.where(~F.col("bucket").eqNullSafe(F.col("edge_bucket"))).withColumn("part", F.when(F.col("edge_bucket").isNull() | (F.col("bucket") < F.col("edge_bucket")), 1).otherwise(0))
+    within = Window.partitionBy("source").orderBy("draw", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = (
-        rows.where(F.col("_bucket") == F.col("edge_bucket"))
+        rows.where(F.col("bucket") == F.col("edge_bucket"))
         .withColumn("sum", F.col("under") + F.sum("size").over(within))
         .withColumn("part", F.when((F.col("sum") <= F.col("left")) | (F.col("sum") - F.col("left") < F.col("left") - (F.col("sum") - F.col("size"))), 1).otherwise(0))
         .drop("sum")
     )
-    return (
-        outside.unionByName(inside)
-        .withColumn("copies", F.col("epochs") + F.col("part"))
-        .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*extra, "size", "source_size", "target", "copies", "taken")
-    )
+    copies = F.col("epochs") + F.col("part")
+    added = ["size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")]
+    return outside.unionByName(inside).select(*[F.col("doc")[c].alias(c) for c in extra], *added)
 
 
 def op6_source_mix(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    slim = docs.select("doc_id", "source", words(F.col("text")).alias("n"), quality_weight(F.col("text")).alias("q"))
+    sized = docs.withColumn("n", words(F.col("text")))
+    slim = sized.select("doc_id", "source", "n", quality_weight(F.col("text"), F.col("n")).alias("q"))
     return mix_sources(slim, size=F.col("n"), quality=F.col("q")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP6_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  SELECT doc_id, source, size,
     -ln((CAST(('0x' || substr(md5('20:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12)) AS BIGINT) + 0.5e0) / 281474976710656e0)
-      / coalesce(25e-2 + 75e-2 * (CAST(length(translate(text, '!%$#*|&=+<>{}[]~^0123456789', '')) AS DOUBLE) / nullif(length(text), 0)), 1e0) AS k
-  FROM documents),
+      / coalesce(25e-2 + 75e-2 * (CAST(length(translate(text, '!%$#*|&=+<>{}[]~^0123456789', '')) AS DOUBLE) / nullif(length(text), 0)) * least(1e0, stride / 4e0, 11e0 / stride), 1e0) AS k
+  FROM (SELECT *, CAST(length(text) AS DOUBLE) / nullif(size, 0) AS stride
+    FROM (SELECT *, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents))),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
     CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS w
