@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import io
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("tidewater.llm")
 
-from tidewater.llm import ann, decontaminate, html, minhash, quality, registry, sentences, suffix, warc  # noqa: E402
+from tidewater.llm import ann, decontaminate, graph, html, minhash, quality, registry, sentences, suffix, warc  # noqa: E402
 
 
 @settings(max_examples=300, deadline=None)
@@ -128,9 +130,21 @@ def test_large_group_of_near_copies_in_blocks(spark):
         for _ in range(rng.randint(0, 5)):
             w[rng.randrange(60)] = f"x{rng.randrange(999)}"
         rows.append((i, " ".join(w)))
+    for i in range(40):  # a chain, in which only neighbours are near enough
+        rows.append((100 + i, " ".join(f"c{k}" for k in range(i, i + 30))))
     want = components({i: shingles(t, 2) for i, t in rows})
-    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, block=16).collect()}
-    assert got == want
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for kw in ({"block": 16}, {"block": 1}, {"block": 4, "block_shingles": 100}):
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 2, **kw).collect()} == want
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1000])
+def test_components(spark, chunk):
+    rng = random.Random(chunk)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(30)] + [(300, 300 + i) for i in range(40)] + [(5, None)]
+    want = graph.forest([a for a, b in edges if b is not None and a != b], [b for a, b in edges if b is not None and a != b])
+    got = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long"), chunk).collect()}
+    assert got == want and want[230] == 200 and want[339] == 300
 
 
 def test_estimates_are_near_the_truth():
@@ -211,6 +225,24 @@ def test_held_out_quality(spark):
     assert sum(r.predicted == r.quality for r in scored) >= 0.93 * len(scored)
 
 
+def test_quality_scores_by_brute_force(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit_quality(docs, labels)
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    good, bad = (zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad))
+    rows = registry.QUERIES["op4_quality"](spark, small).collect()
+    assert len(rows) == len(text)
+    for r in rows:
+        t = text[r.doc_id]
+        cut = [t[k : k + 1024] for k in range(0, len(t), 1024)]
+        d = (sum(len(bad.compress(x)) for x in cut) - sum(len(good.compress(x)) for x in cut)) / (len(t) + 64)
+        want = 1 / (1 + math.exp(-(model.coefficients[0] + model.coefficients[1] * d)))
+        assert abs(r.score - want) < 1e-12 and r.predicted == (want >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    # labels of the held-out fold change nothing
+    flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert quality.fit_quality(docs, flipped) == model
+
+
 def test_archive_round_trip():
     records = [warc.record_bytes(k, f"http://x/{k}", b"<p>%d</p>" % k * 40, warc.sha1_base32(b"<p>%d</p>" % k * 40), False, None, "1970-01-01T00:00:00Z") for k in range(50)]
     for dictionary in (b"", b"raw content of no special form", warc.train_dictionary(records * 4, 4096)):

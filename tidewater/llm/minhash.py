@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .shared import document_key, mix64, portions, prefix_hash, span_hash, stored
+from .shared import apart, document_key, free_name, mix64, packed_texts, portions, prefix_hash, span_hash, stored
 
 #: Buckets of a sketch, bits of mantissa kept of each bucket's least hash, and how the registers are banded.
 BUCKETS, MANTISSA = 128, 10
@@ -136,33 +138,106 @@ def _band_rows(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "n", "sketch").mapInArrow(explode, "band long, cls long")
 
 
-class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+#: Of a group too large for one task, the members that every block of it is compared with first.
+PIVOTS = 4
 
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
 
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
+def spanning_links(members: DataFrame, solve: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that connect, within each group, whatever its links connect, and the parts (node, root) that they make.
 
+    members: grp, node, blocks, the number of blocks in which a group is dealt. solve takes units (grp, i, j, node, own, part): of each (grp, i, j)
+    the members of blocks i and j (own says which) with what they are known to be connected with; it returns links between members of i and of j
+    that join all of their parts that any such link joins.
 
-def estimated_links(bands: DataFrame, classes: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(a, b): pairs of classes in one bucket of a band whose estimate reaches the threshold less its slack: of all such pairs of a bucket a
-    spanning forest, so no more than it has members. A bucket of more than `block` classes is dealt into blocks, each tried against each."""
-    full = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / block).cast("int")
+    Groups of one block are solved at once. Of larger ones each block is first solved together with a few pivots that go to all blocks: where
+    copies are near each other, that connects nearly all, and the work is in proportion to the group. Then only those outside the group's largest
+    part are compared with the other blocks, and those within it are not compared again. No link between different parts is lost.
+    """
+    blocks = F.col("blocks")
+    own = F.pmod(F.xxhash64(F.lit(3), "node"), blocks).cast("int")
+    units = members.select("grp", own.alias("i"), own.alias("j"), "node", own.alias("own"), F.col("node").alias("part"))
+    large = members.where(blocks > 1)
+    chosen = large.groupBy("grp", "blocks").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64(F.lit(k), "node")) for k in range(PIVOTS)])).alias("nodes"))
+    everywhere = chosen.select("grp", F.explode("nodes").alias("node"), "blocks").select("grp", "node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"))
+    units = units.unionByName(everywhere.select("grp", "i", F.col("i").alias("j"), "node", F.col("i").alias("own"), F.col("node").alias("part")))
+    links = stored(solve(units), "links")
+    parts = connected_components(links)
+    if large.isEmpty():
+        return links, parts
+    placed = large.join(parts, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+    counts = placed.groupBy("grp", "part", "blocks").agg(F.count(F.lit(1)).alias("c"))
+    most = counts.groupBy(apart(F.col("grp")).alias("grp")).agg(F.max_by("part", "c").alias("main"), F.max("c").alias("inside"), F.sum("c").alias("all")).where(F.col("inside") < F.col("all"))
+    most = stored(most, "parts")
+    if most.isEmpty():
+        return links, parts
+    share = lambda n: F.greatest(F.lit(1), F.ceil(n * blocks / F.col("all"))).cast("int")
+    hashed, outside = F.xxhash64(F.lit(4), "node"), F.col("part") != F.col("main")
     dealt = (
-        bands.join(full, "band")
-        .withColumn("own", F.pmod(F.xxhash64(F.lit(3), "cls"), blocks).cast("int"))
-        .select("band", "cls", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("band", "cls", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        placed.join(most, "grp")
+        .withColumns({"few": share(F.col("all") - F.col("inside")), "rest": share(F.col("inside"))})
+        .withColumn("own", F.when(outside, F.pmod(hashed, F.col("few"))).otherwise(F.col("few") + F.pmod(hashed, F.col("rest"))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(outside, F.col("few") + F.col("rest") - 1).otherwise(F.col("few") - 1))))
     )
-    rows = dealt.join(classes.select("cls", "n", "sketch"), "cls").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "cls")
+    again = dealt.select("grp", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"), "node", "own", "part")
+    links = links.unionByName(stored(solve(again), "links"))
+    return links, connected_components(links)
+
+
+def joined_parts(left: np.ndarray, right: np.ndarray, part: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links (indices) between left and right that join all parts that any such link joins; linked(x, others) gives those of others that x links
+    with. A member is not compared with those of its own part, so near copies cost about one comparison each."""
+    part, found = part.copy(), []
+    same = len(left) == len(right) and np.array_equal(left, right)
+    for k, x in enumerate(left.tolist()):
+        others = right[k + 1 :] if same else right
+        others = others[part[others] != part[x]]
+        if not len(others):
+            continue
+        for y in linked(x, others).tolist():
+            if part[y] != part[x]:
+                part[part == part[y]] = part[x]
+                found.append((x, y))
+    return found
+
+
+def _ended(batches):
+    yield from batches
+    yield None
+
+
+def _groups(batches, rows: int = 4096):
+    """Tables of whole groups, sorted by (grp, i, j), of about so many rows, each with where its groups begin."""
+    held: list[pa.RecordBatch] = []
+    for batch in _ended(batches):
+        if batch is not None:
+            held.append(batch)
+            if sum(x.num_rows for x in held) < rows:
+                continue
+        if not sum(x.num_rows for x in held):
+            held = []
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        name = [table.column(k).to_numpy() for k in ("grp", "i", "j")]
+        new = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in name], axis=0)]))
+        whole = len(table) if batch is None else int(new[-1])  # the last group may go on in the next batch
+        held = table.slice(whole).to_batches()
+        if whole:
+            yield table.slice(0, whole), np.append(new[new < whole], whole)
+
+
+def _links(cls: np.ndarray, found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = (cls[np.array(x, np.int64)] for x in (zip(*found, strict=True) if found else ((), ())))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _in_order(units: DataFrame) -> DataFrame:
+    return units.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node")
+
+
+def estimated_parts(bands: DataFrame, classes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(node, root): the parts that classes make which share a bucket of a band and whose estimate reaches the threshold less its slack."""
+    full = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(apart(F.col("band")).alias("band"), "m")
+    members = stored(bands.join(full, "band").select(F.col("band").alias("grp"), F.col("cls").alias("node"), F.ceil(F.col("m") / block).cast("int").alias("blocks")), "buckets")
 
     def near(n, regs, x, y):
         """Whether the pairs x, y (indices, side by side) may be links."""
@@ -174,114 +249,91 @@ def estimated_links(bands: DataFrame, classes: DataFrame, threshold: float, bloc
         good = (same - c) / (1 - c) >= threshold - slack(threshold, n[x], n[y])
         return x[good], y[good]
 
-    def of_bucket(cls, own, n, regs, i, j):
-        union, out = _Union(len(cls)), []
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        for x in left.tolist():
-            others = right[right > x] if i == j else right
-            for y in near(n, regs, np.full(len(others), x), others)[1].tolist():
-                if union.join(x, y):
-                    out.append((int(cls[x]), int(cls[y])))
-        return out
-
     def find(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in _ended(batches):
-            if batch is not None:
-                held.append(batch)
-                if sum(x.num_rows for x in held) < 4096:
-                    continue
-            if not held:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            name = [table.column(k).to_numpy() for k in ("band", "i", "j")]
-            new = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in name], axis=0)]))
-            whole = len(table) if batch is None else int(new[-1])  # the last bucket may go on in the next batch
-            held = table.slice(whole).to_batches()
-            if not whole:
-                continue
-            table = table.slice(0, whole)
-            cls, own, n, i, j = (table.column(k).to_numpy() for k in ("cls", "own", "n", "i", "j"))
+        for table, new in _groups(batches):
+            cls, own, n, part, i, j = (table.column(k).to_numpy() for k in ("node", "own", "n", "part", "i", "j"))
             regs = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-            new = new[new < whole]
-            size = np.diff(np.append(new, whole))
-            two = new[(size == 2) & (i[new] == j[new])]
-            x, y = near(n, regs, two, two + 1)
-            found = list(zip(cls[x].tolist(), cls[y].tolist(), strict=True))
-            for a, m in zip(new.tolist(), size.tolist(), strict=True):
-                if m > 2 or m == 2 and i[a] != j[a]:
-                    z = slice(a, a + m)
-                    found += of_bucket(cls[z], own[z], n[z], regs[z], i[a], j[a])
-            a, b = zip(*found, strict=True) if found else ([], [])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return rows.mapInArrow(find, "a long, b long")
-
-
-def _ended(batches):
-    yield from batches
-    yield None
-
-
-def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sets[left] with sets[right], as a matrix: products of 0/1 blocks over the hashes that two sets share."""
-    use = np.union1d(left, right)
-    owner = np.repeat(use, [len(sets[i]) for i in use])
-    flat = np.concatenate([sets[i] for i in use]) if len(use) else np.zeros(0, np.uint64)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    new = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, bool)
-    name = np.cumsum(new) - 1
-    shared = np.bincount(name, minlength=1)[name] > 1 if len(name) else np.zeros(0, bool)
-    name, owner = name[shared], owner[shared]
-    name = np.unique(name, return_inverse=True)[1] if len(name) else name
-    out = np.zeros((len(left), len(right)), np.float32)
-    where = np.zeros(len(sets), np.int64)
-    step = 4096
-    for a in range(0, int(name[-1]) + 1 if len(name) else 0, step):
-        i, j = np.searchsorted(name, [a, a + step])
-        grid = np.zeros((len(use), step), np.float32)
-        where[use] = np.arange(len(use))
-        grid[where[owner[i:j]], name[i:j] - a] = 1
-        out += grid[where[left]] @ grid[where[right]].T
-    return out
-
-
-def links_within(cls: np.ndarray, n: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of those between left and right (indices): first the estimate, then the full sets. No link joins twice."""
-    union, found = _Union(len(cls)), []
+            size = np.diff(new)
+            pairs = new[:-1][(size == 2) & (i[new[:-1]] == j[new[:-1]])]
+            x, y = near(n, regs, pairs, pairs + 1)
+            found = list(zip(x.tolist(), y.tolist(), strict=True))
+            for a, b in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
+                if b - a > 2 or b - a == 2 and i[a] != j[a]:
+                    mine = np.arange(a, b)
+                    left, right = mine[own[a:b] == i[a]], mine[own[a:b] == j[a]]
+                    here = {p: k for k, p in enumerate(np.unique(part[a:b]).tolist())}
+                    label = np.zeros(b, np.int64)
+                    label[a:b] = [here[p] for p in part[a:b].tolist()]
+                    label[:a] = -1
+                    found += joined_parts(left, right, label, lambda x, o, n=n, regs=regs: near(n, regs, np.full(len(o), x), o)[1])
+            yield _links(cls, found)
+
+    def solve(units: DataFrame) -> DataFrame:
+        rows = units.join(classes.select(F.col("cls").alias("node"), "n", "sketch"), "node")
+        return _in_order(rows).mapInArrow(find, "a long, b long")
+
+    return spanning_links(members, solve)[1]
+
+
+def verified_parts(around: DataFrame, classes: DataFrame, texts: DataFrame, width: int, threshold: float, block: int, block_shingles: int) -> DataFrame:
+    """(node, root): the parts that the links within candidate parts make, by size, estimate and full sets."""
     percent = round(100 * threshold)
-    dense = len(left) * len(right) > 256
-    counts = None
-    place = {int(x): k for k, x in enumerate(right)}
-    for a_at, i in enumerate(left.tolist()):
-        others = right[right > i] if len(left) == len(right) and left[0] == right[0] else right
-        others = others[np.minimum(n[others], n[i]) * 100 >= percent * np.maximum(n[others], n[i])]
-        if not len(others):
-            continue
-        near = estimate(regs[i], n[i], regs[others], n[others]) >= threshold - slack(threshold, n[i], n[others])
-        others = others[near]
-        if dense and counts is None and len(others):
-            counts = common_counts(sets, left, right)
-        for j in others.tolist():
-            if union.find(i) == union.find(j):
-                continue
-            both = int(counts[a_at, place[j]]) if counts is not None else len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= percent * (n[i] + n[j] - both):
-                union.join(i, j)
-                found.append((int(cls[i]), int(cls[j])))
-    return found
-
+    sized = around.join(classes.select(F.col("cls").alias("node"), "n"), "node")
+    sizes = sized.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).select(apart(F.col("root")).alias("root"), "m", "s")
+    blocks = F.ceil(F.greatest(F.col("m") / block, F.least(F.col("m"), F.col("s") / block_shingles))).cast("int")
+    members = stored(around.join(sizes, "root").select(F.col("root").alias("grp"), "node", F.greatest(F.lit(1), blocks).alias("blocks")), "candidates")
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, block: int = 512) -> DataFrame:
+    def find(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for table, new in _groups(batches, 256):
+            for a, b in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
+                rows = table.slice(a, b - a)
+                cls, first = np.unique(rows.column("node").to_numpy(), return_index=True)  # a pivot may stand twice
+                own, part = rows.column("own").to_numpy()[first], np.unique(rows.column("part").to_numpy()[first], return_inverse=True)[1]
+                packed = rows.column("packed")
+                sets = [shingle_sets([unpack.decompress(packed[int(k)].as_py())], width)[0] for k in first]
+                regs = np.array([registers(x) for x in sets]).reshape(-1, BUCKETS)
+                n = np.array([len(x) for x in sets], np.int64)
+
+                def linked(x, others, n=n, regs=regs, sets=sets):
+                    others = others[np.minimum(n[others], n[x]) * 100 >= percent * np.maximum(n[others], n[x])]
+                    if not len(others):
+                        return others
+                    others = others[estimate(regs[x], n[x], regs[others], n[others]) >= threshold - slack(threshold, n[x], n[others])]
+                    both = common_counts(sets[x], [sets[k] for k in others.tolist()])
+                    return others[100 * both >= percent * (n[x] + n[others] - both)]
+
+                i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+                yield _links(cls, joined_parts(np.flatnonzero(own == i), np.flatnonzero(own == j), part, linked))
+
+    def solve(units: DataFrame) -> DataFrame:
+        chosen = stored(units.join(classes.select(F.col("cls").alias("node"), "key"), "node"), "chosen")
+        # the chosen grow with the corpus, so they are never broadcast
+        rows = texts.join(chosen.hint("merge"), "key").select("grp", "i", "j", "node", "own", "part", "packed")
+        return _in_order(rows).mapInArrow(find, "a long, b long")
+
+    return spanning_links(members, solve)[1]
+
+
+def common_counts(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with others."""
+    if not others:
+        return np.zeros(0, np.int64)
+    flat = np.concatenate(others)
+    at = np.searchsorted(one, flat)
+    hit = one[np.minimum(at, len(one) - 1)] == flat
+    return np.add.reduceat(hit, np.concatenate([[0], np.cumsum([len(x) for x in others])[:-1]]), dtype=np.int64)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, block: int = 512, block_shingles: int = 4_000_000) -> DataFrame:
     """(doc_id, key, n_shingles, component_id, kept): documents linked where their sets of `width`-word shingles have a Jaccard similarity of
     threshold or more (in whole hundredths), and the smallest doc_id that links can reach.
 
     Documents with equal sets are one class; each class has a sketch of 128 HyperMinHash registers. Classes that share a band of four registers
     (at similarity 0.8 a pair shares no band in about 1 of 10^6 cases) are compared by the corrected estimate; those that reach the
-    threshold less five deviations fall into one candidate component. All pairs of such a component are then tried: by size, by the estimate, and
-    by their full sets. Buckets and components are dealt in blocks of `block` classes, each tried against each, so that none has to fit in a task,
-    and only a spanning forest of each pair of blocks is returned.
+    threshold less five deviations fall into one candidate part. Within each such part classes are then compared by size, by the estimate, and
+    by their full sets, until all that links connect is connected: see spanning_links. Buckets and candidate parts are dealt in blocks of `block`
+    classes, and of block_shingles shingles where texts are compared, so that none has to fit in a task.
 
     Nulls: a null text is empty; documents without words have n_shingles 0 and link with nothing; a null doc_id links as others do but is never
     the smallest, and is kept only where no other id is in its component. Rows equal in doc_id and text are one document and are kept or not
@@ -291,49 +343,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, blo
     keyed = keyed.withColumn("key", document_key()[0])
     made = stored(sketches(keyed, width), "sketches")
     classes = stored(made.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("key").alias("key"), F.first("sketch").alias("sketch")), "classes")
-    bands = _band_rows(classes)
-    around = connected_components(estimated_links(bands, classes, threshold, block))
-    sizes = around.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("int")
-    members = (
-        around.join(sizes, "root")
-        .withColumn("blocks", blocks)
-        .withColumn("own", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int"))
-        .select("root", F.col("node").alias("cls"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("root", "cls", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    )
-    chosen = stored(members.join(classes.select("cls", "key"), "cls"), "chosen")
-
-    def pack(batches):
-        z = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([z.compress(x) for x in texts], pa.binary())], names=["key", "packed"])
-
+    around = estimated_parts(_band_rows(classes), classes, threshold, 8 * block)
     # texts are shuffled compressed: they are smaller than the hashes of their shingles
-    # the chosen grow with the corpus, so they are never broadcast
-    texts = keyed.select("key", "text").mapInArrow(pack, "key long, packed binary").join(chosen.hint("merge"), "key").select("root", "i", "j", "cls", "own", "packed")
-
-    def verify(table: pa.Table) -> pa.Table:
-        rows = {}
-        for c, o, p in zip(*(table.column(k).to_pylist() for k in ("cls", "own", "packed")), strict=True):
-            rows[c] = (o, p)
-        cls = np.array(sorted(rows), np.int64)
-        own = np.array([rows[c][0] for c in cls.tolist()])
-        unpack, sets = zstandard.ZstdDecompressor(), []
-        for c in cls.tolist():
-            sets += shingle_sets([unpack.decompress(rows[c][1])], width)
-        regs = np.array([registers(x) for x in sets]).reshape(-1, BUCKETS)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        n = np.array([len(x) for x in sets], np.int64)
-        found = links_within(cls, n, regs, sets, np.flatnonzero(own == i), np.flatnonzero(own == j), threshold)
-        a, b = zip(*found, strict=True) if found else ([], [])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    links = texts.groupBy("root", "i", "j").applyInArrow(verify, "a long, b long")
-    linked = connected_components(links)
+    linked = verified_parts(around, classes, packed_texts(keyed.select("key", "text")), width, threshold, block, block_shingles)
     own = made.select("doc_id", "key", "n", "cls").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = own.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.min("key").alias("least_key"))
+    least = own.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.min("key").alias("least_key")).select(apart(F.col("root")).alias("root"), "least", "least_key")
     joined = own.join(least, "root", "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     # without any id in the component, the least key stays
@@ -342,11 +356,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, blo
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """docs with one document of each component of near_duplicates, that with the smallest doc_id; all columns pass through."""
+    """docs with one document of each component of near_duplicates, that with the smallest doc_id; all columns pass through, whatever their names."""
     groups = near_duplicates(docs, width, threshold)
-    gone = groups.where("not kept").select(F.col("key").alias("_gone")).distinct()
-    keyed = docs.withColumn("_key", document_key()[0])
-    return keyed.join(gone, F.col("_key") == F.col("_gone"), "left_anti").select(*docs.columns)
+    key = free_name(docs, "near_key")
+    gone = groups.where("not kept").select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, document_key()[0]).join(gone, key, "left_anti").select(*docs.columns)
 
 
 def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
