@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -155,8 +156,16 @@ def usable(vectors: DataFrame, vec: str) -> DataFrame:
     return vectors.where(F.col(vec).isNotNull() & (F.size(vec) > 0)).where(~bad & F.exists(vec, lambda x: x != 0))
 
 
-def _matrix(column: list, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(-1, width)
+def _rows(batches, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches with a list column as a matrix."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch, batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _lifted(v: np.ndarray, most: float) -> np.ndarray:
+    rest = np.sqrt(np.maximum(0, most - (v * v).sum(axis=1)))
+    return np.concatenate([v, rest[:, None]], axis=1).astype(np.float32)
 
 
 def nearest(
@@ -166,16 +175,18 @@ def nearest(
     vec_id: str = "vec_id",
     vec: str = "embedding",
     shard_rows: int = 8192,
+    shard_bytes: int = 32 << 20,
     query_block: int = 1024,
     params: GraphParams = GraphParams(),  # noqa: B008
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k nearest other rows found, by inner product in double precision, ties to smaller ids.
 
     Every row is indexed. Equal vectors are one node of the graph with their k + 1 smallest ids, which are all that can be among k nearest.
-    Nodes are dealt by hash into shards of about shard_rows; each shard's graph is built in one task and written to the shared folder, and each
-    block of query_block queries is searched in each shard. Vectors get one more component that makes all norms equal, so that the nearest by
-    distance is that of the largest inner product; scores are taken from the original vectors. Vectors of another length than a query's take no
-    part in its search.
+    Nodes are dealt by hash into shards of about shard_rows, fewer where these would take more than shard_bytes; each shard's graph is built in
+    a task of its own and written to the shared folder. A query meets every shard: graphs are read as often as it takes to have as many tasks
+    as the cluster runs at once, and the queries go to them in blocks, one after the other, so a task holds one graph and one block. Vectors get one more
+    component that makes all norms equal, so that the nearest by distance is that of the largest inner product; scores are taken from the
+    original vectors. Vectors of another length than a query's take no part in its search.
 
     Rows with a null id, or a vector that is null, zero or holds null or non-finite components, take no part. Of rows that are equal in id and
     vector one counts. Other columns are left out. Empty tables: no rows.
@@ -188,72 +199,84 @@ def nearest(
     few = ranked.withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))).where(f"r <= {k + 1}")
     nodes = few.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("v", "ids", F.xxhash64(F.lit(5), "v").alias("deal"))
     nodes = stored(nodes.withColumn("dim", F.size("v")).withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), "ann-nodes")
-    shape = nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("norm2").alias("most"))
-    shape = shape.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("n") / shard_rows)).cast("int"))
-    dealt = nodes.join(shape, "dim").withColumn("shard", F.pmod("deal", F.col("shards")).cast("int"))
+    fit = F.least(F.lit(shard_rows), F.greatest(F.lit(1), F.floor(F.lit(shard_bytes) / (8 * F.col("dim")))))
+    shape = nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("norm2").alias("most")).withColumn("shards", F.ceil(F.col("n") / fit).cast("int"))
+    # a row for each length of vector; shards are numbered through
+    shape = stored(shape.withColumn("first", (F.sum("shards").over(Window.orderBy("dim")) - F.col("shards")).cast("int")), "ann-shape")
+    shards = shape.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0]
+    if not shards:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    numbered = nodes.join(shape.select("dim", "most", "shards", "first"), "dim")
+    dealt = numbered.withColumn("shard", (F.col("first") + F.pmod("deal", F.col("shards"))).cast("int"))
 
-    def build(table: pa.Table) -> pa.Table:
-        dim, shard, most = (table.column(c)[0].as_py() for c in ("dim", "shard", "most"))
-        table = table.sort_by("deal")
-        v = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
-        rest = np.sqrt(np.maximum(0, most - (v * v).sum(axis=1)))
-        lifted = np.concatenate([v, rest[:, None]], axis=1).astype(np.float32)
-        edges, entries = build_graph(lifted, params)
-        ids = table.column("ids").to_pylist()
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.array([y for x in ids for y in x], np.int64)
-        return pa.table({
-            "dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "most": pa.array([most], pa.float64()),
-            "vectors": pa.array([v.tobytes()], pa.binary()), "edges": pa.array([edges.astype(np.int32).tobytes()], pa.binary()),
-            "entries": pa.array([entries.astype(np.int64).tobytes()], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary()), "ids": pa.array([flat.tobytes()], pa.binary()),
-        })
+    def build(batches):
+        parts = []
+        for batch, v in _rows(batches, "v"):
+            sizes = np.diff(batch.column("ids").offsets.to_numpy())
+            parts.append((v.astype(np.float64), batch.column("deal").to_numpy(), sizes, batch.column("ids").flatten().to_numpy(), batch.column("shard")[0].as_py(), batch.column("most")[0].as_py()))
+        if not parts:
+            return
+        v, deal, sizes = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        ids = np.split(np.concatenate([x[3] for x in parts]), np.cumsum(sizes)[:-1])
+        order = np.lexsort((*v.T[:2], deal))
+        v, shard, most = v[order], parts[0][4], parts[0][5]
+        edges, entries = build_graph(_lifted(v, most), params)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([shard], pa.int32()), pa.array([v.shape[1]], pa.int32()), pa.array([most], pa.float64()), pa.array([v.tobytes()], pa.binary()), pa.array([edges.astype(np.int32).tobytes()], pa.binary()),
+                pa.array([entries.astype(np.int64).tobytes()], pa.binary()), pa.array([sizes[order].astype(np.int64).tobytes()], pa.binary()), pa.array([np.concatenate([ids[x] for x in order.tolist()]).tobytes()], pa.binary()),
+            ],
+            names=["shard", "dim", "most", "vectors", "edges", "entries", "sizes", "ids"],
+        )
 
-    graph_schema = "dim int, shard int, most double, vectors binary, edges binary, entries binary, sizes binary, ids binary"
-    graphs = stored(dealt.select("dim", "shard", "most", "deal", "v", "ids").groupBy("dim", "shard").applyInArrow(build, graph_schema), "ann-graphs")
+    graph_schema = "shard int, dim int, most double, vectors binary, edges binary, entries binary, sizes binary, ids binary"
+    by_shard = dealt.select("shard", "most", "deal", "v", "ids").repartitionById(shards, "shard")
+    graphs = stored(by_shard.mapInArrow(build, graph_schema), "ann-graphs")
 
     asked = usable(queries.where(F.col(vec_id).isNotNull()), vec).select(F.col(vec_id).cast("long").alias("id"), name.alias("v")).distinct().withColumn("dim", F.size("v"))
-    total = max(1, math.ceil(asked.count() / query_block))
-
-    def pack(table: pa.Table) -> pa.Table:
-        v = table.column("v").combine_chunks().flatten().to_numpy()
-        return pa.table({"dim": table.column("dim")[:1], "block": table.column("block")[:1], "query_ids": pa.array([table.column("id").to_numpy().tobytes()], pa.binary()), "queries": pa.array([v.tobytes()], pa.binary())})
-
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(total)).cast("int")).groupBy("dim", "block").applyInArrow(pack, "dim int, block int, query_ids binary, queries binary")
-    # each block goes to each shard: a set of queries, stated as such, against all rows
-    pairs = blocks.join(shape.select("dim", "shards"), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
-    work = stored(pairs, "ann-blocks").join(graphs, ["dim", "shard"]).repartition(max(1, min(4096, total * max(1, graphs.count()))))
+    asked = stored(asked, "ann-queries")
+    blocks = max(1, math.ceil(asked.count() / query_block))
+    # copies of a graph: never more than there are blocks, nor than keep the cluster busy
+    copies = min(blocks, max(1, math.ceil(2 * spark.sparkContext.defaultParallelism / shards)))
+    graph_rows = graphs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select("shard", "copy", F.lit(-1).alias("block"), F.struct("dim", "most", "vectors", "edges", "entries", "sizes", "ids").alias("graph"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    # each query goes to each shard: a set of queries, stated as such, against all rows, in blocks
+    sent = asked.join(shape.select("dim", "shards", "first"), "dim").withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("shards") - 1)))
+    query_rows = sent.select("shard", F.pmod("block", F.lit(copies)).alias("copy"), "block", F.lit(None).cast(graph_rows.schema["graph"].dataType).alias("graph"), "id", "v")
+    work = graph_rows.unionByName(query_rows).withColumn("task", (F.col("shard") * copies + F.col("copy")).cast("int"))
+    work = work.repartitionById(shards * copies, "task").sortWithinPartitions("block", "id")
 
     def search(batches):
+        graph = None
         for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                v, q = _matrix([row["vectors"]], dim), _matrix([row["queries"]], dim)
-                edges = np.frombuffer(row["edges"], np.int32).reshape(len(v), -1).astype(np.int64)
-                rest = np.sqrt(np.maximum(0, row["most"] - (v * v).sum(axis=1)))
-                lifted = np.concatenate([v, rest[:, None]], axis=1).astype(np.float32)
-                asked_ids = np.frombuffer(row["query_ids"], np.int64)
-                sizes, flat = np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["ids"], np.int64)
-                first = np.concatenate([[0], np.cumsum(sizes)])
-                beam = max(params.search_beam, k + 1)
+            if batch.num_rows and batch.column("block")[0].as_py() < 0:  # the graph comes first
+                g = batch.column("graph")[0].as_py()
+                v = np.frombuffer(g["vectors"], np.float64).reshape(-1, g["dim"])
+                sizes = np.frombuffer(g["sizes"], np.int64)
+                graph = (v, _lifted(v, g["most"]), np.frombuffer(g["edges"], np.int32).reshape(len(v), -1).astype(np.int64), np.frombuffer(g["entries"], np.int64), sizes, np.frombuffer(g["ids"], np.int64), np.concatenate([[0], np.cumsum(sizes)]), g["most"])
+                batch = batch.slice(1)
+            if not batch.num_rows or graph is None:
+                continue
+            v, lifted, edges, entries, sizes, flat, first, most = graph
+            asked_ids = batch.column("id").to_numpy()
+            q = batch.column("v").flatten().to_numpy().reshape(len(asked_ids), -1)
+            for a in range(0, len(q), 256):
                 out = []
-                for a in range(0, len(q), 256):
-                    part = np.concatenate([q[a : a + 256], np.zeros((len(q[a : a + 256]), 1))], axis=1)
-                    # a query's length does not change the order of inner products, only that of distances
-                    part *= np.sqrt(row["most"]) / np.maximum(1e-300, np.linalg.norm(part, axis=1, keepdims=True))
-                    near, _ = beam_search(lifted, edges, np.frombuffer(row["entries"], np.int64), part.astype(np.float32), beam)
-                    for i, found in enumerate(near):
-                        found = found[found >= 0]
-                        score = (v[found] * q[a + i]).sum(axis=1)
-                        who = np.concatenate([flat[first[x] : first[x + 1]] for x in found.tolist()])
-                        score = np.repeat(score, sizes[found])
-                        other = who != asked_ids[a + i]
-                        who, score = who[other], score[other]
-                        best = np.lexsort((who, -score))[:k]
-                        out.append((np.full(len(best), asked_ids[a + i]), who[best], score[best]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                part = np.concatenate([q[a : a + 256], np.zeros((len(q[a : a + 256]), 1))], axis=1)
+                # a query's length does not change the order of inner products, only that of distances
+                part *= np.sqrt(most) / np.maximum(1e-300, np.linalg.norm(part, axis=1, keepdims=True))
+                near, _ = beam_search(lifted, edges, entries, part.astype(np.float32), max(params.search_beam, k + 1))
+                for i, found in enumerate(near):
+                    found = found[found >= 0]
+                    score = np.repeat((v[found] * q[a + i]).sum(axis=1), sizes[found])
+                    who = np.concatenate([flat[first[x] : first[x + 1]] for x in found.tolist()])
+                    other = who != asked_ids[a + i]
+                    who, score = who[other], score[other]
+                    best = np.lexsort((who, -score))[:k]
+                    out.append((np.full(len(best), asked_ids[a + i]), who[best], score[best]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
-    found = work.mapInArrow(search, "query_id long, vec_id long, score double")
+    found = work.select("block", "graph", "id", "v").mapInArrow(search, "query_id long, vec_id long, score double")
     by_query = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     best = found.withColumn("rank", F.row_number().over(by_query)).where(f"rank <= {k}")
     return best.select("query_id", "rank", "vec_id", "score")
