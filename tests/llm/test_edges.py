@@ -108,6 +108,38 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+FOREIGN = b"""WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: 9\r\n\r\nsoftware:\r\n\r\n
+WARC/1.0\r\nWARC-Type: request\r\nWARC-Record-ID: <urn:uuid:2>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: 4\r\n\r\nGET \r\n\r\n
+WARC/1.0\r\nwarc-type: response\r\nWARC-Record-ID: <urn:uuid:3>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Target-URI:\r\n http://a/b\r\n\t?c\r\nContent-Length: 37\r\n\r\nHTTP/1.1 200 OK\r\nServer: x\r\n y\r\n\r\nabc\r\n\r\n
+WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:4>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Block-Digest: xxh:0\r\nWARC-Truncated: length\r\nContent-Length: 43\r\n\r\nHTTP/1.0 200 OK\r\nContent-Length: 99\r\n\r\nabcd\r\n\r\n
+WARC/1.0\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:5>\r\nWARC-Refers-To: <urn:uuid:3>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: 0\r\n\r\n\r\n\r\n
+WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <urn:uuid:6>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: 1\r\n\r\nm\r\n\r\n"""
+
+
+def test_archives_of_others_are_read(spark, tmp_path):
+    records = [x + b"\r\n\r\n" if not x.endswith(b"\r\n\r\n") else x for x in FOREIGN.split(b"\r\n\r\n\n")]
+    name = f"{tmp_path}/foreign.warc.zst"
+    with open(name, "wb") as out:
+        for r in records:
+            out.write(warc.zstandard.ZstdCompressor().compress(r))
+    paths = spark.createDataFrame([(f"file://{name}",), (None,)], "path string")
+    got = {r.record_id: r for r in warc.read_archives(paths).collect()}
+    assert set(got) == {"<urn:uuid:3>", "<urn:uuid:4>", "<urn:uuid:5>"}
+    three, four, five = (got[f"<urn:uuid:{k}>"] for k in (3, 4, 5))
+    assert (three.url, three.payload, three.payload_bytes, three.page_id) == ("http://a/b ?c", b"abc", 3, None) and three.payload_digest == warc.sha1_base32(b"abc")
+    assert (four.payload, four.payload_bytes, four.record_type) == (b"abcd", 4, "response")
+    assert (five.record_type, five.refers_to_record, five.payload, five.payload_bytes) == ("revisit", "<urn:uuid:3>", None, None)
+    for bad in (records[2].replace(b"abc", b"ab"), records[2].replace(b"HTTP/", b"HTML/"), records[2].replace(b"warc-type", b"warc-kind"), records[3].replace(b"WARC-Truncated: length\r\n", b""), records[0].replace(b"WARC/1.0", b"WARC/2.0"), records[5].replace(b"WARC-Type", b"WARC-Block-Digest: sha1:AAAA\r\nWARC-Type")):
+        with pytest.raises(warc.WarcError):
+            warc.parse_record(bad)
+
+
+def test_revisits_name_the_record_they_revisit(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", "same") for i in range(4)], "page_id long, url string, html string")
+    by = {r.page_id: r for r in warc.read_archives(warc.write_archives(pages)).collect()}
+    assert by[0].refers_to_record is None and {by[i].refers_to_record for i in (1, 2, 3)} == {by[0].record_id} and len({r.record_id for r in by.values()}) == 4
+
+
 def test_ann(spark):
     nan = float("nan")
     rows = [(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0]), (62, [1.0, nan, 0.0]), (63, [1.0, None, 1.0]), (None, [1.0, 1.0, 1.0]), (64, [1.0, 2.0]), (65, [2.0, 1.0]), (65, [2.0, 1.0])]
@@ -121,6 +153,8 @@ def test_ann(spark):
     for q in (0, 20, 40):
         want = sorted((-sum(a * b for a, b in zip(own[q], own[i])), i) for i in own if i != q)[:4]
         assert got[q] == [(i, -s) for s, i in want]
+    many = ann.nearest(v, v.where("vec_id % 20 = 0 or vec_id >= 60"), k=4, shard_bytes=64, query_block=2).collect()
+    assert sorted(map(tuple, many)) == sorted(map(tuple, out))
     assert ann.nearest(v.limit(0), v).count() == 0 and ann.nearest(v, v.limit(0)).count() == 0
 
 

@@ -20,10 +20,13 @@ SKIPPABLE_MAGIC = 0x184D2A5D
 FRAME_MAGIC = bytes.fromhex("28b52ffd")
 DICT_MAGIC = bytes.fromhex("37a430ec")
 VERSION = b"WARC/1.1"
+VERSIONS = (b"WARC/1.0", VERSION)
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
-RECORD_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+HASHES = {"sha1": hashlib.sha1, "md5": hashlib.md5, "sha256": hashlib.sha256}
+
+RECORD_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, record_id string, refers_to_record string, payload binary"
 _CHUNK = 1 << 16
 
 
@@ -52,23 +55,29 @@ def _unfield(value: str) -> str:
     return out.decode("utf-8", "surrogatepass")
 
 
+def record_id(name: object) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page {name}')}>"
+
+
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, revisit: bool, refers_to: int | None, date: str) -> bytes:
-    """One record. A revisit's block has the HTTP headers only; its Content-Length there is still the full payload's."""
+    """One record. A revisit's block has the HTTP headers only; its Content-Length there is still the full payload's. It names the record of the
+    page that it refers to, as a page's response has a name of its page_id only."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>"),
+        ("WARC-Record-ID", record_id(page_id) if page_id is not None and not revisit else record_id(f"{page_id} {revisit} {url} {digest}")),
         ("WARC-Date", date),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"),
     ]
     if url is not None:
         head.append(("WARC-Target-URI", _field(url)))
+        head.append(("X-URI-Encoding", "percent"))
     if page_id is not None:
         head.append(("X-Page-ID", str(page_id)))
     if revisit:
-        head += [("WARC-Profile", REVISIT_PROFILE), ("X-Refers-To-Page-ID", str(refers_to))]
+        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page-ID", str(refers_to))]
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     lines = [VERSION, *(f"{k}: {v}".encode("utf-8", "surrogateescape") for k, v in head)]
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -157,19 +166,46 @@ def read_frames(read: Callable[[int], bytes]) -> Iterator[bytes]:
 
 
 def _headers(text: bytes) -> dict[str, str]:
-    out = {}
+    """Fields by lower-case name; a line that begins with a blank goes on with the one before. Of repeated fields the first counts."""
+    lines: list[bytes] = []
     for line in text.split(b"\r\n"):
+        if line[:1] in (b" ", b"\t") and lines:
+            lines[-1] += b" " + line.strip()
+        elif line:
+            lines.append(line)
+    out: dict[str, str] = {}
+    for line in lines:
         name, colon, value = line.partition(b":")
         if not colon or not name.strip():
             raise WarcError(f"not a header: {line[:80]!r}")
-        out[name.strip().lower().decode()] = value.strip().decode("utf-8", "surrogateescape")
+        out.setdefault(name.strip().lower().decode("utf-8", "replace"), value.strip().decode("utf-8", "surrogateescape"))
     return out
 
 
-def parse_record(record: bytes) -> dict:
-    """A record's fields; WarcError where a header is missing, a length is wrong or a digest does not fit."""
+def _check_digest(value: str | None, data: bytes, what: str) -> None:
+    """A digest in base32 or hexadecimal; of an unknown algorithm, or none, nothing can be said."""
+    name, _, digest = (value or "").partition(":")
+    if name.lower() in HASHES and digest:
+        raw = HASHES[name.lower()](data).digest()
+        if len(digest) == 2 * len(raw):
+            fits = digest.lower() == raw.hex()
+        else:
+            fits = digest.upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("=")
+        if not fits:
+            raise WarcError(f"the {what}'s digest does not fit")
+
+
+def parse_record(record: bytes) -> dict | None:
+    """The fields of a response or revisit; None for records of other types. WarcError where a header is missing, a length is wrong or a digest
+    that is given does not fit.
+
+    Versions 1.0 and 1.1. payload_bytes is the length that the HTTP header of a revisit tells (null: none), and the payload's own of a response, whose
+    HTTP Content-Length has to agree unless the record is marked as truncated or the payload is encoded for transfer. payload_digest is the
+    SHA-1 in base32, of the payload, or as a revisit gives it. A block that is not HTTP is its own payload where the record's Content-Type
+    does not say that it is HTTP.
+    """
     version, _, rest = record.partition(b"\r\n")
-    if version != VERSION:
+    if version not in VERSIONS:
         raise WarcError(f"not a record: {version[:40]!r}")
     head, gap, rest = rest.partition(b"\r\n\r\n")
     fields = _headers(head)
@@ -179,28 +215,40 @@ def parse_record(record: bytes) -> dict:
     if not gap or not n.isdigit() or len(rest) != int(n) + 4 or rest[-4:] != b"\r\n\r\n":
         raise WarcError(f"Content-Length is {n}; the block and its end have {len(rest)} bytes")
     block = rest[:-4]
-    if fields.get("warc-block-digest", "") != f"sha1:{sha1_base32(block)}":
-        raise WarcError("the block's digest does not fit")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    status, _, http = http.partition(b"\r\n")
-    full = _headers(http).get("content-length", "")
-    if not status.startswith(b"HTTP/") or not full.isdigit():
-        raise WarcError("the block is not an HTTP response")
-    kind, digest = fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind == "response" and (len(payload) != int(full) or sha1_base32(payload) != digest):
-        raise WarcError("the payload does not fit its length or digest")
-    if kind == "revisit" and (payload or "x-refers-to-page-id" not in fields):
-        raise WarcError("a revisit has no payload and names what it revisits")
+    _check_digest(fields.get("warc-block-digest"), block, "block")
+    kind = fields["warc-type"].lower()
     if kind not in ("response", "revisit"):
-        raise WarcError(f"record type {kind}")
+        return None
+    truncated = "warc-truncated" in fields
+    full, payload = None, block
+    if block.startswith(b"HTTP/"):
+        lines, _, payload = block.partition(b"\r\n\r\n")
+        http = _headers(lines.partition(b"\r\n")[2])
+        length = http.get("content-length", "")
+        full = int(length) if length.isdigit() else None
+        if kind == "response" and full is not None and full != len(payload) and not truncated and not {"transfer-encoding", "content-encoding"} & set(http):
+            raise WarcError(f"HTTP Content-Length is {full}; the payload has {len(payload)} bytes")
+    elif block and fields.get("content-type", "application/http").startswith("application/http"):
+        raise WarcError("the block is not an HTTP response")
+    given = fields.get("warc-payload-digest", "")
+    if kind == "response":
+        if not truncated:
+            _check_digest(given, payload, "payload")
+        full, digest = len(payload), sha1_base32(payload)
+    else:
+        digest = given.partition(":")[2].upper() if given.lower().startswith("sha1:") else None
+        if not {"warc-refers-to", "warc-refers-to-target-uri", "warc-payload-digest", "x-refers-to-page-id"} & set(fields):
+            raise WarcError("a revisit does not say what it revisits")
     number = lambda k: int(fields[k]) if k in fields else None
     return {
         "page_id": number("x-page-id"),
-        "url": _unfield(fields["warc-target-uri"]) if "warc-target-uri" in fields else None,
+        "url": (_unfield(fields["warc-target-uri"]) if fields.get("x-uri-encoding") == "percent" else fields["warc-target-uri"].strip("<>")) if "warc-target-uri" in fields else None,
         "record_type": kind,
         "refers_to": number("x-refers-to-page-id"),
-        "payload_bytes": int(full),
+        "payload_bytes": full,
         "payload_digest": digest,
+        "record_id": fields["warc-record-id"],
+        "refers_to_record": fields.get("warc-refers-to"),
         "payload": payload if kind == "response" else None,
     }
 
@@ -278,7 +326,9 @@ def write_archives(pages: DataFrame, root: str | None = None, archive_mb: int =
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records of archives (path): page_id, url, record_type, refers_to, payload_bytes, payload_digest and payload (null for revisits).
+    """The responses and revisits of archives (path): page_id, url, record_type, refers_to, payload_bytes, payload_digest, record_id,
+    refers_to_record and payload (null for revisits). page_id and refers_to are null in archives that others wrote; records of other types are
+    passed over.
 
     Streams each archive frame by frame; fails with WarcError on a record that is not as its headers say. Null paths are left out.
     """
@@ -293,9 +343,11 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 files, name = fs.FileSystem.from_uri(path)
                 with files.open_input_stream(name, compression=None) as stream:
                     for frame in read_frames(stream.read):
-                        rows.append(parse_record(frame))
+                        if (row := parse_record(frame)) is None:
+                            continue
                         if not with_payload:
-                            rows[-1]["payload"] = None
+                            row["payload"] = None
+                        rows.append(row)
                         size += len(frame)
                         if size > 8 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
