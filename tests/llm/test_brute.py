@@ -209,14 +209,33 @@ def test_edits_within_the_budget_are_found(spark):
             s[k : k + 1] = rng.choice([["z"], [], ["q", "q"]])
         rows.append((i, "before  " + "".join(s).upper() + "\nafter"))
     bench = [(k, t) for k, t in enumerate(items)]
-    want = set()
+
+    def least(p, t):
+        """The distance of p to whole words of t, cell by cell."""
+        edge = [k in (0, len(t)) or not (t[k - 1].isalnum() and t[k].isalnum()) for k in range(len(t) + 1)]
+        row = [0 if e else 10**6 for e in edge]
+        for c in p:
+            new = [row[0] + 1]
+            for j in range(1, len(t) + 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (t[j - 1] != c)))
+            row = new
+        return min(d for d, e in zip(row, edge) if e)
+
+    rows += [(60 + k, f"x{items[k]} y") for k in range(3)] + [(70 + k, f"x {items[k]}, y") for k in range(3)]
+    want = {}
     for i, t in rows:
         for k, item in bench:
             p = decontaminate.normalised(item)
-            if decontaminate.myers(p, decontaminate.normalised(t), decontaminate.budget(len(p), 0.05)):
-                want.add((i, k))
+            if (d := least(p, decontaminate.normalised(t))) <= decontaminate.budget(len(p), 0.05):
+                want[i, k] = d
     out = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), block_chars=200)
-    assert {(r.doc_id, r.item_id) for r in out.collect()} == want and want
+    assert {(r.doc_id, r.item_id): r.distance for r in out.collect()} == want and len(want) > 20
+
+
+def test_items_match_whole_words(spark):
+    bench = spark.createDataFrame([(1, "art"), (2, "大学"), (3, "c++")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a party"), (2, "Art, of course"), (3, "state of the art"), (4, "他在大学里"), (5, "smart artful heart"), (6, "use C++!")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == {(2, 1), (3, 1), (4, 2), (6, 3)}
 
 
 def test_held_out_quality(spark):

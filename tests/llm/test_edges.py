@@ -73,7 +73,7 @@ def test_mixing(docs, none):
 
 
 def test_decontaminate(spark, docs, none):
-    bench = spark.createDataFrame([(1, "jumps over it again, the quick brown fax jumps over"), (2, None), (3, " "), (1, "é" * 40)], "item_id long, text string")
+    bench = spark.createDataFrame([(1, "jumps over it again, the quick brown fax jumps over"), (2, None), (3, " "), (1, "é" * 500)], "item_id long, text string")
     out = decontaminate.contaminated(docs, bench, rate=0.1).collect()
     assert {(r.doc_id, r.item_id, r.distance) for r in out} == {(7, 1, 1), (8, 1, 0)}
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
@@ -117,7 +117,7 @@ WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <urn:uuid:6>\r\nWARC-Date: 20
 
 
 def test_archives_of_others_are_read(spark, tmp_path):
-    records = [x + b"\r\n\r\n" if not x.endswith(b"\r\n\r\n") else x for x in FOREIGN.split(b"\r\n\r\n\n")]
+    records = [x + b"\r\n\r\n" for x in FOREIGN.removesuffix(b"\r\n\r\n").split(b"\r\n\r\n\n")]
     name = f"{tmp_path}/foreign.warc.zst"
     with open(name, "wb") as out:
         for r in records:

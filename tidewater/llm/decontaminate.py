@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import portions
+
 
 def normalised(text: str | None) -> str:
     """Lower case, one space for each run of white space."""
@@ -54,6 +57,28 @@ def myers(pattern: str, text: str, most: int, masks: dict[str, int] | None = Non
     return best if best[0] <= most else None
 
 
+def at_edge(text: str, k: int) -> bool:
+    """Whether no word of letters and digits goes on over place k. Scripts from U+2E80 on are written without spaces: each letter is a word."""
+    return not (0 < k < len(text) and text[k - 1].isalnum() and text[k].isalnum() and max(text[k - 1], text[k]) < "\u2e80")
+
+
+def edged(pattern: str, text: str, a: int, b: int, most: int) -> tuple[int, int] | None:
+    """(distance, end) of the best match of the whole pattern to whole words of text[a:b], the first such end; None if over `most` edits."""
+    n = b - a
+    codes = np.frombuffer(text[a:b].encode("utf-32-le", "surrogatepass"), np.uint32)
+    step = np.arange(n + 1)
+    edge = np.array([at_edge(text, k) for k in range(a, b + 1)])
+    far = len(pattern) + n + 1
+    row = np.where(edge, 0, far)
+    for c in pattern:
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (codes != ord(c)))
+        row = np.minimum.accumulate(new - step) + step
+    row = np.where(edge, row, far)
+    k = int(row.argmin())
+    return (int(row[k]), a + k) if row[k] <= most else None
+
+
 def symbol_masks(pattern: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -93,15 +118,18 @@ class Matcher:
                 if lo is not None and (s is None or s > hi + 2 * errors + 1):
                     a, b = max(0, lo - errors), hi + len(pattern) + errors
                     exact = text.find(pattern, a, b)
+                    while exact >= 0 and not (at_edge(text, exact) and at_edge(text, exact + len(pattern))):
+                        exact = text.find(pattern, exact + 1, b)
                     if exact >= 0:
                         best = (0, exact + len(pattern))
                         break
                     if errors:
                         if k not in self.masks:
                             self.masks[k] = symbol_masks(pattern)
-                        got = myers(pattern, text[a:b], errors, self.masks[k])
+                        # Myers' distance is no more than that to whole words, which only its hits are measured by
+                        got = myers(pattern, text[a:b], errors, self.masks[k]) and edged(pattern, text, a, min(b, len(text)), errors)
                         if got and (best is None or got[0] < best[0]):
-                            best = (got[0], a + got[1])
+                            best = got
                     lo = None
                 if s is not None:
                     lo, hi = (s, s) if lo is None else (lo, s)
@@ -124,11 +152,12 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int,
     yield rows
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_chars: int = 8 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_chars: int = 2 << 20) -> DataFrame:
     """(doc_id, item_id, distance, at): the documents that hold a benchmark item with at most rate * (its length) edits, wherever it stands.
 
-    Whole texts are searched, in lower case and with single spaces; `at` is the code point there at which the best match ends (the first of
-    equal ones). The benchmark is read in blocks of block_chars characters; one block at a time goes to the tasks, documents are not shuffled.
+    Whole texts are searched, in lower case and with single spaces; a match begins and ends where words do. `at` is the code point there at which
+    the best match ends (the first of equal ones). The benchmark, a stated set of queries, is read in blocks of block_chars characters (an
+    automaton of about 50 bytes for each in every worker); one block at a time goes to the tasks, documents are not shuffled.
     Nulls: null or blank texts and items match nothing; a null doc_id or item_id is passed on. Repeated rows are reported each; repeated items
     too. Other columns are left out. Empty tables: no rows. An item shorter than 1 / rate characters is matched exactly.
     """
@@ -138,10 +167,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, bloc
 
         def find(batches, block=block):
             matcher = Matcher(block, rate)
-            for batch in batches:
+            for batch, texts in (x for whole in batches for x in portions(whole, most=4 << 20)):
                 found = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                    found += [(doc_id, *x) for x in matcher.find(normalised(text.as_py()))]
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+                    found += [(doc_id, *x) for x in matcher.find(normalised(text.decode("utf-8", "replace")))]
                 columns = list(zip(*found, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "distance", "at"])
 
@@ -150,16 +179,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, bloc
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_chars: int = 8 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_chars: int = 2 << 20) -> DataFrame:
     """docs without the rows that hold a benchmark item. All columns pass through; see contaminated for what matches."""
     out = docs
-    at = docs.columns.index("text")
     for block in _blocks(benchmark, block_chars):
 
         def clean(batches, block=block):
             matcher = Matcher(block, rate)
-            for batch in batches:
-                keep = [next(matcher.find(normalised(text.as_py())), None) is None for text in batch.column(at)]
+            for batch, texts in (x for whole in batches for x in portions(whole, most=4 << 20)):
+                keep = [next(matcher.find(normalised(text.decode("utf-8", "replace"))), None) is None for text in texts]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         out = out.mapInArrow(clean, docs.schema)

@@ -306,10 +306,12 @@ def verified_parts(around: DataFrame, classes: DataFrame, texts: DataFrame, widt
                 i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
                 yield _links(cls, joined_parts(np.flatnonzero(own == i), np.flatnonzero(own == j), part, linked))
 
+    # the texts of candidates, which grow with the corpus and are never broadcast, leave the other texts once
+    keys = stored(around.select("node").join(classes.select(F.col("cls").alias("node"), "key"), "node"), "candidate-keys")
+    own_texts = stored(texts.join(keys.hint("merge"), "key").select("node", "packed"), "candidate-texts")
+
     def solve(units: DataFrame) -> DataFrame:
-        chosen = stored(units.join(classes.select(F.col("cls").alias("node"), "key"), "node"), "chosen")
-        # the chosen grow with the corpus, so they are never broadcast
-        rows = texts.join(chosen.hint("merge"), "key").select("grp", "i", "j", "node", "own", "part", "packed")
+        rows = units.join(own_texts.hint("merge"), "node").select("grp", "i", "j", "node", "own", "part", "packed")
         return _in_order(rows).mapInArrow(find, "a long, b long")
 
     return spanning_links(members, solve)[1]
