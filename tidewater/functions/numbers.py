@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,3 +120,40 @@ def quarter_before(d: Column, lag: int) -> tuple[Column, Column]:
 
 def signed_log(x: Column) -> Column:
     return F.signum(x) * F.log1p(F.abs(x))
+
+
+def proration_factor(c: Column, option: str) -> Column:
+    """The share of an option's elections that is filled, out of prose: the first percentage, else decimal below 1, in a window around a mention of the
+    option that speaks of proration or elections; the whole text where it is mentioned but no window does."""
+    t = F.lower(clean(c))
+    parts, width = F.split(t, option), len(option)
+    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.length(F.array_join(F.slice(parts, F.lit(1), i), option)))
+    cut = F.transform(F.slice(starts, F.lit(1), F.size(parts) - 1), lambda s: F.substr(t, F.greatest(F.lit(0), s - 120) + 1, s + width + 180 - F.greatest(F.lit(0), s - 120)))
+    near = F.filter(cut, lambda w: F.contains(w, F.lit("prorat")) | F.contains(w, F.lit("election")))
+    windows = F.when(F.size(near) > 0, near).when(F.contains(t, F.lit(option)), F.array(t)).otherwise(F.array().cast("array<string>"))
+    found = F.transform(windows, lambda w: F.coalesce(extracted(w, r"([0-9]+(?:\.[0-9]+)?)\s*%") / 100, extracted(w, r"\b(0\.[0-9]+)\b")))
+    return bounded_share(F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0)))
+
+
+def cap_fraction(c: Column, shares_out: Column) -> Column:
+    """A cap as a share: what fraction() reads, else a number of more than 100 shares over those outstanding."""
+    n = first_number(c)
+    return F.coalesce(fraction(c), F.when((shares_out > 0) & (n > 100), bounded_share(n / shares_out)))
+
+
+def date_window(d: Column, before: int, after: int) -> tuple[Column, Column]:
+    return F.date_sub(d, before), F.date_add(d, after)
+
+
+def display_money(x: Column) -> Column:
+    return F.coalesce(F.when(~F.isnan(x), F.concat(F.lit("$"), F.format_number(x, 0))), F.lit("n/a"))
+
+
+def display_percent(x: Column) -> Column:
+    return F.coalesce(F.when(~F.isnan(x), F.concat(F.replace(F.format_number(x, 2), F.lit(","), F.lit("")), F.lit("%"))), F.lit("n/a"))
+
+
+def number_or_null(columns: Sequence[str], name: str, missing: float | None = None) -> Column:
+    """A column as numbers, or null (or a value) throughout where a table does not have it."""
+    fill = F.lit(missing).cast("double")
+    return F.coalesce(F.col(name).try_cast("double"), fill) if name in columns else fill

@@ -183,3 +183,38 @@ def cusip_equivalent(raw: Column, nine: Column) -> Column:
     base = F.substring(c, 1, 8)
     short = (F.length(b) == 8) & ((F.concat(F.lit("0"), b) == c) | (b == base))
     return (b != "") & (c != "") & ((b == c) | short | ((F.length(b) == 9) & (F.substring(b, 1, 8) == base)))
+
+
+def category(c: Column) -> Column:
+    """What a payment or a default rule offers: cash or stock, cash and stock, one of them, mixed, else its first 80 characters."""
+    t = F.regexp_replace(F.lower(clean(c)), r"\s+", " ")
+    cash, stock = _mentions(t)
+    return (
+        F.when(t == "", F.lit("__missing__"))
+        .when(F.contains(t, F.lit("cash or stock")), F.lit("cash_or_stock"))
+        .when(F.contains(t, F.lit("cash and stock")), F.lit("cash_and_stock"))
+        .when(cash & ~stock, F.lit("cash"))
+        .when(stock & ~cash, F.lit("stock"))
+        .when(F.contains(t, F.lit("mixed")) | cash & stock, F.lit("mixed"))
+        .otherwise(F.substring(t, 1, 80))
+    )
+
+
+def path_value(c: Column, *path: str) -> Column:
+    """What a JSON text holds at a path; objects and lists as JSON, null where the path ends."""
+    return F.get_json_object(c, "$" + "".join(f"['{x}']" for x in path))
+
+
+def filing_urls(base: str, cik: Column, accession: Column, document: Column) -> dict[str, Column]:
+    """Addresses of a filing under base: its folder, main document, full text and index."""
+    folder = F.concat(F.lit(f"{base}/"), cik.cast("long").cast("string"), F.lit("/"), F.replace(accession, F.lit("-"), F.lit("")), F.lit("/"))
+    return {"base_url": folder, "primary_url": F.concat(folder, document), "complete_txt_url": F.concat(folder, accession, F.lit(".txt")), "index_json_url": F.concat(folder, F.lit("index.json"))}
+
+
+def display_name_parts(c: Column) -> dict[str, Column]:
+    """The ten-digit id, the ticker before it and the name that a search result's display name holds; null or empty where there is none."""
+    return {
+        "cik10": F.nullif(F.regexp_extract(c, r"\(CIK ([0-9]{10})\)", 1), F.lit("")),
+        "name": F.trim(F.get(F.split(c, r"  \("), F.lit(0))),
+        "ticker": F.regexp_extract(c, r"\(([A-Z][A-Z0-9.-]{0,6})\)\s*\(CIK", 1),
+    }

@@ -1,4 +1,4 @@
-"""Joins on time and on validity windows, as equi-joins with ordered aggregates: one shuffle on the key, no range join."""
+"""Joins on time, as windows over both sides in one order, and on validity windows: one shuffle on the key, no range join."""
 
 from __future__ import annotations
 
@@ -10,17 +10,28 @@ from pyspark.sql import functions as F
 
 def asof(left: DataFrame, right: DataFrame, on: Sequence[str], at: str, time: str, values: Sequence[str], how: str = "backward") -> DataFrame:
     """left with the values of right's row nearest in time: backward (last on or before `at`), forward (first on or after), nearest (backward, else
-    the least distance, the earlier of equal ones). Rows of right with a null time or first value do not count; left's rows must be distinct in
-    their own columns. Of rows at the same time the one with the greater values counts."""
-    own, out = left.columns, [F.col(f"_hit.{v}").alias(v) for v in values]
-    right = right.where(F.col(time).isNotNull() & F.col(values[0]).isNotNull()).select(*on, F.col(time).alias("_time"), F.struct(*values).alias("_v"))
-    t, d = F.col("_time"), F.col(at)
-    before = F.max(F.when(t <= d, F.struct(t.alias("t"), F.col("_v").alias("v"))))["v"]
-    after = F.min(F.when(t >= d, F.struct(t.alias("t"), F.col("_v").alias("v"))))["v"]
-    near = F.min(F.struct(F.abs(F.datediff(t, d)).alias("far"), t.alias("t"), F.col("_v").alias("v")))["v"]
-    hit = {"backward": before, "forward": after, "nearest": F.coalesce(before, near)}[how]
-    joined = left.join(right, list(on), "left")
-    return joined.groupBy(*own).agg(hit.alias("_hit")).select(*own, *out)
+    the first after). Rows of right with a null time or first value do not count; rows of left with a null key or `at` find none. Every row of left stays,
+    repeated ones too. Of rows at the same time the one with the greater values counts, forward the one with the smaller ones.
+
+    Both sides go one after the other along (key, time), and each row of left takes the last value that it has passed: one shuffle, and rows as
+    many as both sides have, however long a key's history is.
+    """
+    own = left.columns
+    found = right.where(F.col(time).isNotNull() & F.col(values[0]).isNotNull())
+    asked = left.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(on)], F.col(at).alias("at"), F.struct(*own).alias("row"), F.lit(None).cast(found.select(F.struct(*values)).schema[0].dataType).alias("v"))
+    rows = asked.unionByName(found.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(on)], F.col(time).alias("at"), F.lit(None).cast(asked.schema["row"].dataType).alias("row"), F.struct(*values).alias("v")))
+    key = [f"k_{i}" for i in range(len(on))]
+    quote = F.col("v").isNotNull().cast("int")
+    # at the same time quotes come before the rows that ask, going on or going back
+    past = Window.partitionBy(*key).orderBy(F.col("at"), quote.desc(), F.col("v").asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy(*key).orderBy(F.col("at").desc(), quote.desc(), F.col("v").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before, after = F.last("v", ignorenulls=True).over(past), F.last("v", ignorenulls=True).over(ahead)
+    hit = {"backward": before, "forward": after, "nearest": F.coalesce(before, after)}[how]
+    known = F.col("at").isNotNull()
+    for k in key:
+        known = known & F.col(k).isNotNull()
+    matched = rows.withColumn("hit", F.when(known, hit)).where("row is not null")
+    return matched.select(*[F.col("row")[c].alias(c) for c in own], *[F.col("hit")[v].alias(v) for v in values])
 
 
 def best_row(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:

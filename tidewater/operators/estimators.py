@@ -101,26 +101,29 @@ def weighted_logit_line(df: DataFrame, share: str, x: str, weight: str) -> DataF
     return s.withColumn("slope", slope).select("n", "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("sw")).alias("intercept"))
 
 
-def beta_cdf(x: float, a: float, b: float) -> float:
-    """The regularised incomplete beta function, by its continued fraction (modified Lentz)."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - beta_cdf(1 - x, b, a)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    c, d = 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > 1e-300 else 1e-300)
-    f = d
+_gammaln = np.frompyfunc(math.lgamma, 1, 1)
+
+
+def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function, by its continued fraction (modified Lentz), of all values side by side."""
+    x, a, b = np.broadcast_arrays(*(np.asarray(v, float) for v in (x, a, b)))
+    inside = (x > 0) & (x < 1)
+    turned = x > (a + 1) / (a + b + 2)  # the fraction settles faster from the other end
+    x0, a0, b0 = np.where(turned, 1 - x, x), np.where(turned, b, a), np.where(turned, a, b)
+    x0 = np.where(inside, x0, 0.5)
+    front = np.exp(((_gammaln(a0 + b0) - _gammaln(a0) - _gammaln(b0)).astype(float)) + a0 * np.log(x0) + b0 * np.log1p(-x0)) / a0
+    tiny = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
+    c, d = np.ones_like(x0), 1 / tiny(1 - (a0 + b0) * x0 / (a0 + 1))
+    f = d.copy()
     for m in range(1, 300):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            d = 1 / (d if abs(d) > 1e-300 else 1e-300)
-            c = 1 + num / c
-            c = c if abs(c) > 1e-300 else 1e-300
-            f *= c * d
-        if abs(c * d - 1) < 1e-14:
+        for num in (m * (b0 - m) * x0 / ((a0 + 2 * m - 1) * (a0 + 2 * m)), -(a0 + m) * (a0 + b0 + m) * x0 / ((a0 + 2 * m) * (a0 + 2 * m + 1))):
+            d = 1 / tiny(1 + num * d)
+            c = tiny(1 + num / c)
+            f = f * c * d
+        if np.all(np.abs(c * d - 1) < 1e-14):
             break
-    return front * f
+    out = np.where(turned, 1 - front * f, front * f)
+    return np.where(inside, out, (x >= 1).astype(float))
 
 
 def kolmogorov_p(statistic: float, n: float) -> float:
@@ -135,7 +138,8 @@ def beta_cdf_column(x: Column, a: Column, b: Column) -> Column:
     """beta_cdf over Arrow batches: there is no built-in function for it."""
     @F.pandas_udf(T.DoubleType())
     def cdf(xs: pd.Series, as_: pd.Series, bs: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(p) else beta_cdf(p, q, r) for p, q, r in zip(xs, as_, bs, strict=True)], dtype="float64")
+        known = xs.notna() & as_.notna() & bs.notna()
+        return pd.Series(beta_cdf(xs.fillna(0.5), as_.fillna(1.0), bs.fillna(1.0))).where(known.to_numpy())
 
     return cdf(x, a, b)
 

@@ -37,21 +37,32 @@ def panel(deals: DataFrame) -> DataFrame:
     )
 
 
-def rolling_fit(panel: DataFrame, cfg: CapacityConfig) -> DataFrame:
+def rolling_fit(panel: DataFrame, cfg: CapacityConfig, block: int = 512) -> DataFrame:
     """(event_id, p_hat, q_hat, fit_n, sse): for each event the point of the grid with the least weighted squared error over the last labelled
     events before it; of equal ones the smaller p, then q; the defaults where there are too few. panel: event_id, pos, f_cash (null: unlabelled),
-    weight, passive, default_rule, cash, stock, target_price."""
+    weight, passive, default_rule, cash, stock, target_price.
+
+    Events with as many labelled ones before them share a fit, so there is one for each labelled event. Fits are made in blocks of so many, each
+    with the labelled events before it that its first ones look back on.
+    """
+    counted = labelled_before(panel, "f_cash", "pos")
     steps = F.sequence(F.lit(0), F.lit(cfg.grid - 1))
-    grid = labelled_before(panel, "f_cash", "pos").withColumn("_p", F.explode(steps)).withColumn("_q", F.explode(steps))
+    grid = counted.where("f_cash IS NOT NULL").withColumn("_p", F.explode(steps)).withColumn("_q", F.explode(steps))
     p, q = F.col("_p") / float(cfg.grid - 1), F.col("_q") / float(cfg.grid - 1)
     votes = predicted_votes(p, q, F.col("passive"), F.col("default_rule"), F.col("cash"), F.col("stock"), F.col("target_price"))
     miss = F.col("f_cash") - votes["cash_demand"]
-    errors = grid.select("event_id", "labelled", "_p", "_q", (F.col("weight") * miss * miss).alias("err"))
-    last = Window.partitionBy("_p", "_q").orderBy("labelled").rangeBetween(-cfg.rolling_events, -1)
-    fits = errors.select("event_id", "_p", "_q", F.sum("err").over(last).alias("sse"), F.count("err").over(last).alias("n"))
-    best = fits.groupBy("event_id").agg(F.min(F.struct(F.round("sse", 12).alias("s"), "_p", "_q", "sse", "n")).alias("best")).select("event_id", "best.*")
+    errors = grid.select("labelled", "_p", "_q", (F.col("weight") * miss * miss).alias("err"))
+    # events after the last labelled one look back on it as well
+    last = counted.agg(F.count("f_cash").alias("labelled"))
+    errors = errors.unionByName(last.withColumn("_p", F.explode(steps)).withColumn("_q", F.explode(steps)).withColumn("err", F.lit(None).cast("double")))
+    own = F.floor(F.col("labelled") / block)
+    carried = F.when(F.pmod("labelled", F.lit(block)) >= block - cfg.rolling_events, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = errors.withColumn("_b", F.explode(carried))
+    before = Window.partitionBy("_b", "_p", "_q").orderBy("labelled").rangeBetween(-cfg.rolling_events, -1)
+    fits = dealt.select("_b", "labelled", "_p", "_q", F.sum("err").over(before).alias("sse"), F.count("err").over(before).alias("n")).where(F.col("_b") == own)
+    best = fits.groupBy("labelled").agg(F.min(F.struct(F.round("sse", 12).alias("s"), "_p", "_q", "sse", "n")).alias("best")).select("labelled", "best.*")
     enough = F.col("n") >= cfg.least_events
-    return best.select(
+    return counted.select("event_id", "labelled").join(best, "labelled").select(
         "event_id",
         F.when(enough, F.col("_p") / float(cfg.grid - 1)).otherwise(cfg.default_p).alias("p_hat"),
         F.when(enough, F.col("_q") / float(cfg.grid - 1)).otherwise(cfg.default_q).alias("q_hat"),

@@ -17,17 +17,65 @@ def event_seed(event_id: object, salt: int) -> int:
     return (zlib.crc32(str(event_id).encode()) + salt) % 2**32
 
 
+def _drawn(fits: DataFrame, n: int, salt: int, shape, columns: list[str], rows: int) -> DataFrame:
+    """(event_id, draw_id, f, u) from shape(row, rng) -> (a, b), in batches of about so many rows."""
+
+    def draw(batches):
+        for batch in batches:
+            values = batch.to_pylist()
+            step = max(1, rows // n)
+            for k in range(0, len(values), step):
+                part = values[k : k + step]
+                f, u = np.empty((len(part), n)), np.empty((len(part), n))
+                for i, x in enumerate(part):
+                    rng = np.random.default_rng(event_seed(x["event_id"], salt))
+                    f[i] = rng.beta(*shape(x, rng), n)
+                    u[i] = rng.random(n)
+                ids = np.repeat(np.array([x["event_id"] for x in part], np.int64), n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.tile(np.arange(n), len(part))), pa.array(f.ravel()), pa.array(u.ravel())], names=["event_id", "draw_id", "f", "u"])
+
+    return fits.select("event_id", *columns).mapInArrow(draw, "event_id long, draw_id long, f double, u double")
+
+
 def beta_draws(fits: DataFrame, n: int, salt: int) -> DataFrame:
     """fits (event_id, a, b) to (event_id, draw_id, f, u): n draws of demand with a uniform for the outcome, from a generator seeded by the event
     alone, so that neither order nor partitioning changes them."""
+    return _drawn(fits, n, salt, lambda x, rng: (x["a"], x["b"]), ["a", "b"], 1 << 16)
 
-    def draw(batches):
+
+def _conditioned(x: dict, rng: np.random.Generator, uncertain: bool) -> tuple[float, float]:
+    spread, slope, error = x["spread"], x["slope"], x["se_slope"]
+    if spread is None or slope is None or not np.isfinite(spread) or not np.isfinite(slope):
+        return x["a"], x["b"]
+    if uncertain and error is not None and np.isfinite(error):
+        slope = rng.normal(slope, error)
+    mean, k = 1 / (1 + np.exp(-(x["intercept"] + slope * spread))), x["a"] + x["b"]
+    return max(mean * k, 0.5), max((1 - mean) * k, 0.5)
+
+
+_DEMAND = ["a", "b", "intercept", "slope", "se_slope", "spread"]
+
+
+def demand_draws(fits: DataFrame, n: int, salt: int, condition: bool = True, uncertain: bool = True) -> DataFrame:
+    """beta_draws given the spread: the Beta keeps its concentration a + b and is centred at the logistic line's mean, no parameter under one half. With
+    uncertain, the slope is drawn once for each event from its standard error. fits: event_id, a, b, intercept, slope, se_slope, spread; without a
+    spread or a slope, and with condition=False, draws are unconditional."""
+    return _drawn(fits, n, salt, lambda x, rng: _conditioned(x, rng, uncertain) if condition else (x["a"], x["b"]), _DEMAND, 1 << 16)
+
+
+def demand_summaries(fits: DataFrame, n: int, salt: int) -> DataFrame:
+    """(event_id, mean, p05, p50, p95) of demand_draws(), made where they are drawn, so that no draw becomes a row."""
+
+    def made(batches):
         for batch in batches:
-            for event_id, a, b in zip(*(batch.column(k).to_pylist() for k in ("event_id", "a", "b")), strict=True):
-                rng = np.random.default_rng(event_seed(event_id, salt))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, event_id, np.int64)), pa.array(np.arange(n)), pa.array(rng.beta(a, b, n)), pa.array(rng.random(n))], names=["event_id", "draw_id", "f", "u"])
+            found = []
+            for x in batch.to_pylist():
+                rng = np.random.default_rng(event_seed(x["event_id"], salt))
+                f = rng.beta(*_conditioned(x, rng, True), n)
+                found.append((x["event_id"], f.mean(), *np.quantile(f, (0.05, 0.5, 0.95))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.float64() if k else pa.int64()) for k in range(5)], names=["event_id", "mean", "p05", "p50", "p95"])
 
-    return fits.select("event_id", "a", "b").mapInArrow(draw, "event_id long, draw_id long, f double, u double")
+    return fits.select("event_id", *_DEMAND).mapInArrow(made, "event_id long, mean double, p05 double, p50 double, p95 double")
 
 
 def _returns(batch: pa.RecordBatch, n: int, salt: int) -> Iterator[tuple[object, np.ndarray]]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -101,7 +99,7 @@ def _(t):
 
 @query(
     "holder_rolling_fit",
-    """WITH o AS (SELECT *, count(f_cash) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lab, f_cash AS y FROM {holders} WHERE pos <= 400),
+    """WITH o AS (SELECT *, count(f_cash) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lab, f_cash AS y FROM {holders}),
 g AS (SELECT o.*, ip / 1e1 AS p, iq / 1e1 AS q FROM o, (SELECT unnest(range(11)) AS ip) a, (SELECT unnest(range(11)) AS iq) b),
 v0 AS (SELECT *, least(q, 1 - passive) AS rat0 FROM g),
 v1 AS (SELECT *, greatest(0e0, 1 - passive - rat0) AS irr0, CASE WHEN cash < target_price AND stock < target_price THEN 'exit' WHEN stock >= cash THEN 'stock' ELSE 'cash' END AS action, CASE default_rule WHEN 'cash' THEN 1e0 WHEN 'stock' THEN 0e0 ELSE 5e-1 END AS dflt FROM v0),
@@ -113,11 +111,8 @@ s AS (SELECT event_id, pos, lab, p, q, sum(err) OVER w AS sse, count(err) OVER w
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(sse, 12), p, q) AS k FROM s)
 SELECT event_id, CASE WHEN n >= 10 THEN p ELSE 5e-1 END AS p_hat, CASE WHEN n >= 10 THEN q ELSE 3e-1 END AS q_hat, CASE WHEN n >= 10 THEN n ELSE 0 END AS fit_n, CASE WHEN n >= 10 THEN round(sse, 9) END AS sse FROM r WHERE k = 1""",
 )
-def holder_rolling_fit(t, every=False):
-    return H.rolling_fit(H.panel(t.deals) if every else t.holders.where("pos <= 400"), CFG)
-
-
-query("holder_rolling_fit_all")(partial(holder_rolling_fit, every=True))
+def holder_rolling_fit(t):
+    return H.rolling_fit(H.panel(t.deals), CFG)
 
 
 @query(

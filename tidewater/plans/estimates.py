@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..operators import estimators as S
@@ -20,18 +18,17 @@ def _(t):
 
 @query(
     "beta_loo",
-    f"""WITH d AS (SELECT event_id, deal_type, CASE WHEN f_cash > 0 AND f_cash < 1 THEN f_cash END AS x FROM {{deals}} WHERE event_id % 50 = 0),
-s AS (SELECT l.event_id, count(r.x) AS n, avg(r.x) AS m, CASE WHEN count(r.x) > 1 THEN var_samp(r.x) END AS v FROM d l LEFT JOIN d r ON l.deal_type = r.deal_type AND l.event_id <> r.event_id GROUP BY l.event_id)
+    f"""WITH d AS (SELECT event_id, deal_type, CASE WHEN f_cash > 0 AND f_cash < 1 THEN f_cash END AS x FROM {{deals}}),
+g AS (SELECT deal_type, count(x) AS n, sum(x - 5e-1) AS s, sum((x - 5e-1) * (x - 5e-1)) AS q FROM d GROUP BY deal_type),
+o AS (SELECT event_id, n - count(x) OVER (PARTITION BY event_id) AS n, s - coalesce(x - 5e-1, 0) AS s, q - coalesce((x - 5e-1) * (x - 5e-1), 0) AS q FROM d JOIN g USING (deal_type)),
+s AS (SELECT event_id, n, s / nullif(n, 0) + 5e-1 AS m, CASE WHEN n > 1 THEN (q - s * s / n) / (n - 1) END AS v FROM o)
 SELECT event_id, n, round(a, 6) AS a, round(b, 6) AS b FROM (SELECT event_id, n, {_BETA} FROM s)""",
 )
-def beta_loo(t, every=False):
-    d = (t.deals if every else t.deals.where("event_id % 50 = 0")).select("event_id", "deal_type", "f_cash")
+def beta_loo(t):
+    d = t.deals.select("event_id", "deal_type", "f_cash")
     return S.beta_leave_one_out(d, ["deal_type"], "f_cash").select("event_id", "n", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 
 
-query("beta_loo_all")(partial(beta_loo, every=True))
-
-
 @query(
     "logit_slope",
     """WITH d AS (SELECT deal_type, ln(f_cash / (1 - f_cash)) AS y, cash - ratio * acq_price AS x FROM {deals} WHERE f_cash > 0 AND f_cash < 1),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -65,7 +63,7 @@ def _(t):
 
 
 PREDICT_SQL = f"""{PRIORS_SQL}, {NUM_SQL}, {CAT_SQL},
-q AS (SELECT event_id, log_value, CAST(year AS DOUBLE) AS year_x, CASE WHEN event_id % 10 = 0 THEN 'unseen' ELSE deal_type END AS deal_type, payment_type, label AS actual FROM {{training}} WHERE event_id % 5 = 0),
+q AS (SELECT event_id, log_value, CAST(year AS DOUBLE) AS year_x, CASE WHEN event_id % 10 = 0 THEN 'unseen' ELSE deal_type END AS deal_type, payment_type, label AS actual FROM {{training}}),
 qn AS (SELECT event_id, 'log_value' AS feature, log_value AS x FROM q UNION ALL SELECT event_id, 'year_x', year_x FROM q), qc AS (SELECT event_id, 'deal_type' AS feature, deal_type AS v FROM q UNION ALL SELECT event_id, 'payment_type', payment_type FROM q),
 li AS (SELECT event_id, label, -5e-1 * (ln(2 * 3.141592653589793e0 * var) + (x - mean) * (x - mean) / var) AS ll FROM qn JOIN ns ON ns.feature = qn.feature
   UNION ALL SELECT qc.event_id, ct.label, ln((coalesce(cc.n, 0) + 1e0) / (ct.total + 1e0 * cw.words)) FROM qc JOIN ct ON ct.feature = qc.feature JOIN cw ON cw.feature = qc.feature LEFT JOIN cc ON cc.label = ct.label AND cc.feature = qc.feature AND cc.v = qc.v),
@@ -74,21 +72,21 @@ ex AS (SELECT *, exp(s - max(s) OVER (PARTITION BY event_id)) AS e FROM sc),
 po AS (SELECT event_id, label, 9e-1 * e / sum(e) OVER (PARTITION BY event_id) + 1e-1 * prior AS probability FROM ex)"""
 
 
-def predicted(t, every=False):
-    """Probabilities of a fifth of the events, or of every one."""
-    rows = (training(t) if every else training(t).where("event_id % 5 = 0")).withColumn("deal_type", F.when(F.col("event_id") % 10 == 0, "unseen").otherwise(F.col("deal_type")))
+def predicted(t):
+    """Probabilities of every event."""
+    rows = training(t).withColumn("deal_type", F.when(F.col("event_id") % 10 == 0, "unseen").otherwise(F.col("deal_type")))
     return B.predict(training(t), rows.drop("label"), "event_id", "label", NUMERIC, CATEGORICAL, PARAMS)
 
 
 @query("nb_predict", f"WITH {PREDICT_SQL} SELECT event_id, label, round(probability, 9) AS probability FROM po")
-def nb_predict(t, every=False):
-    return predicted(t, every).select("event_id", "label", F.round("probability", 9).alias("probability"))
+def nb_predict(t):
+    return predicted(t).select("event_id", "label", F.round("probability", 9).alias("probability"))
 
 
 @query("brier_scores", f"WITH {PREDICT_SQL} SELECT q.actual, count(*) // 3 AS n, round(sum((probability - CASE WHEN po.label = actual THEN 1 ELSE 0 END) ** 2) / (count(*) / 3e0), 8) AS brier, round(avg(-ln(greatest(probability, 1e-12))) FILTER (po.label = actual), 8) AS nll FROM po JOIN q ON q.event_id = po.event_id GROUP BY q.actual")
-def brier_scores(t, every=False):
+def brier_scores(t):
     actual = t.training.select("event_id", F.col("label").alias("actual"))
-    j = predicted(t, every).join(actual, "event_id")
+    j = predicted(t).join(actual, "event_id")
     hit = F.col("label") == F.col("actual")
     return j.groupBy("actual").agg(
         F.floor(F.count(F.lit(1)) / 3).alias("n"), F.round(F.sum(B.brier(F.col("probability"), hit)) / (F.count(F.lit(1)) / 3.0), 8).alias("brier"), F.round(F.avg(F.when(hit, -F.ln(F.greatest("probability", F.lit(1e-12))))), 8).alias("nll")
@@ -102,8 +100,8 @@ j AS (SELECT w.label AS predicted, q.actual FROM w JOIN q ON q.event_id = w.even
 SELECT b.label, count(*) FILTER (actual = b.label AND predicted = b.label) AS tp, count(*) FILTER (predicted = b.label) AS called, count(*) FILTER (actual = b.label) AS truth,
   count(*) FILTER (actual = b.label AND predicted = b.label) * 1e0 / nullif(count(*) FILTER (predicted = b.label), 0) AS prec, count(*) FILTER (actual = b.label AND predicted = b.label) * 1e0 / nullif(count(*) FILTER (actual = b.label), 0) AS recall FROM j, {_STATES} GROUP BY b.label""",
 )
-def class_metrics(t, every=False):
-    best = predicted(t, every).groupBy("event_id").agg(F.min(F.struct((-F.round("probability", 9)).alias("p"), "label"))["label"].alias("predicted"))
+def class_metrics(t):
+    best = predicted(t).groupBy("event_id").agg(F.min(F.struct((-F.round("probability", 9)).alias("p"), "label"))["label"].alias("predicted"))
     j = best.join(t.training.select("event_id", F.col("label").alias("actual")), "event_id")
     rows = j.select(F.inline(F.array(*[F.struct(F.lit(s).alias("label"), (F.col("actual") == s).alias("a"), (F.col("predicted") == s).alias("p")) for s in B.STATES])))
     g = rows.groupBy("label").agg(F.count_if(F.col("a") & F.col("p")).alias("tp"), F.count_if("p").alias("called"), F.count_if("a").alias("truth"))
@@ -121,39 +119,6 @@ def _(t):
     return d.select("year", "label", "n", F.round("mean", 8).alias("mean"), F.round("var", 8).alias("var"))
 
 
-_GRID = [(w, s) for w in (0.25, 0.5, 1.0) for s in (0.0, 10.0)]
-
-
-@query(
-    "nb_tune",
-    """WITH g AS (SELECT * FROM (VALUES (25e-2, 0e0), (25e-2, 1e1), (5e-1, 0e0), (5e-1, 1e1), (1e0, 0e0), (1e0, 1e1)) g(weight, strength)),
-y AS (SELECT DISTINCT year FROM {training}), s AS (SELECT v.year, b.label, max(b.base) AS base, count(t.label) AS n, avg(t.log_value) AS mean, greatest(var_samp(t.log_value), 1e-4) AS var
-  FROM y v CROSS JOIN (VALUES ('completed', 88e-2), ('terminated', 7e-2), ('withdrawn', 5e-2)) b(label, base) LEFT JOIN {training} t ON t.label = b.label AND t.year < v.year GROUP BY v.year, b.label),
-ok AS (SELECT year, sum(n) AS total FROM s GROUP BY year HAVING min(n) >= 10),
-sc AS (SELECT g.weight, g.strength, r.event_id, r.label AS actual, s.label, ln(greatest((s.n + g.strength * s.base) / (ok.total + g.strength), 1e-12)) + g.weight * (-5e-1 * (ln(2 * 3.141592653589793e0 * s.var) + (r.log_value - s.mean) * (r.log_value - s.mean) / s.var)) AS sc
-  FROM {training} r JOIN ok ON ok.year = r.year JOIN s ON s.year = r.year, g),
-e AS (SELECT *, exp(sc - max(sc) OVER w) AS e FROM sc WINDOW w AS (PARTITION BY weight, strength, event_id)),
-p AS (SELECT *, e / sum(e) OVER (PARTITION BY weight, strength, event_id) AS p FROM e)
-SELECT weight, strength, count(DISTINCT event_id) AS n, round(sum((p - CASE WHEN label = actual THEN 1 ELSE 0 END) ** 2) / count(DISTINCT event_id), 8) AS brier FROM p GROUP BY weight, strength""",
-)
-def _(t):
-    """Mean Brier score of each point of a grid over expanding validation years: all fits come from one running window."""
-    rows = t.training
-    stats = B.expanding_numeric(rows, "label", "year", "log_value", 5.0).withColumn("var", F.greatest("var", F.lit(1e-4)))
-    base = t.spark.createDataFrame(list(zip(B.STATES, (0.88, 0.07, 0.05), strict=True)), "label string, base double")
-    of_year = Window.partitionBy("year")
-    stats = stats.join(F.broadcast(base), "label").withColumns({"least": F.min("n").over(of_year), "total": F.sum("n").over(of_year)}).where("least >= 10")
-    grid = F.broadcast(t.spark.createDataFrame(_GRID, "weight double, strength double"))
-    j = rows.select("event_id", "year", F.col("label").alias("actual"), "log_value").join(stats, "year").crossJoin(grid)
-    prior = (F.col("n") + F.col("strength") * F.col("base")) / (F.col("total") + F.col("strength"))
-    s = j.withColumn("s", F.ln(F.greatest(prior, F.lit(1e-12))) + F.col("weight") * B.gaussian(F.col("log_value"), F.col("mean"), F.col("var")))
-    one = Window.partitionBy("weight", "strength", "event_id")
-    e = s.withColumn("e", F.exp(F.col("s") - F.max("s").over(one)))
-    p = e.withColumn("p", F.col("e") / F.sum("e").over(one))
-    g = p.groupBy("weight", "strength").agg(F.count_if(F.col("label") == F.col("actual")).alias("n"), F.sum(B.brier(F.col("p"), F.col("label") == F.col("actual"))).alias("b"))
-    return g.select("weight", "strength", "n", F.round(F.col("b") / F.col("n"), 8).alias("brier"))
-
-
 _POWERS = (0.0, 0.25, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 
 
@@ -164,9 +129,9 @@ w AS (SELECT power, event_id, label FROM (SELECT power, event_id, po.label, row_
 SELECT power, avg(recall) AS balanced_accuracy, avg(f1) AS macro_f1 FROM (SELECT power, b.label, coalesce(count(*) FILTER (actual = b.label AND w.label = b.label) * 1e0 / nullif(count(*) FILTER (actual = b.label), 0), 0e0) AS recall,
   coalesce(2e0 * count(*) FILTER (actual = b.label AND w.label = b.label) / nullif(count(*) FILTER (actual = b.label) + count(*) FILTER (w.label = b.label), 0), 0e0) AS f1 FROM w JOIN q ON q.event_id = w.event_id, {_STATES} GROUP BY power, b.label) GROUP BY power""",
 )
-def decision_power(t, every=False):
+def decision_power(t):
     prior = B.priors(training(t), "label", PARAMS).select("label", "prior")
-    scored = predicted(t, every).join(F.broadcast(prior), "label").withColumn("power", F.explode(F.array(*[F.lit(x) for x in _POWERS])))
+    scored = predicted(t).join(F.broadcast(prior), "label").withColumn("power", F.explode(F.array(*[F.lit(x) for x in _POWERS])))
     value = F.round(F.col("probability") / F.pow("prior", F.col("power")), 9)
     best = scored.groupBy("power", "event_id").agg(F.min(F.struct((-value).alias("v"), "label"))["label"].alias("predicted"))
     j = best.join(t.training.select("event_id", F.col("label").alias("actual")), "event_id")
@@ -181,11 +146,7 @@ def decision_power(t, every=False):
     f"""WITH {PREDICT_SQL} SELECT event_id, round(max(probability) FILTER (label = 'completed'), 9) AS p_completed, round(max(probability) FILTER (label = 'terminated'), 9) AS p_terminated, round(max(probability) FILTER (label = 'withdrawn'), 9) AS p_withdrawn,
   'naive_bayes' AS outcome_probability_source, (SELECT count(*) FROM {{training}}) AS outcome_train_n FROM po GROUP BY event_id""",
 )
-def outcome_probabilities(t, every=False):
+def outcome_probabilities(t):
     one = lambda s: F.round(F.max(F.when(F.col("label") == s, F.col("probability"))), 9).alias(f"p_{s}")
     n = t.training.agg(F.count(F.lit(1)).alias("outcome_train_n"))
-    return predicted(t, every).groupBy("event_id").agg(*[one(s) for s in B.STATES]).withColumn("outcome_probability_source", F.lit("naive_bayes")).crossJoin(n)
-
-
-for _f in (nb_predict, brier_scores, class_metrics, decision_power, outcome_probabilities):
-    query(f"{_f.__name__}_all")(partial(_f, every=True))
+    return predicted(t).groupBy("event_id").agg(*[one(s) for s in B.STATES]).withColumn("outcome_probability_source", F.lit("naive_bayes")).crossJoin(n)

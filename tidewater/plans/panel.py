@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -173,17 +171,14 @@ def _(t):
 
 @query(
     "missing_inventory",
-    "SELECT event_id, field, filled FROM (SELECT event_id, unnest(['pi_cash', 'f_cash', 'cash']) AS field, unnest([pi_cash IS NOT NULL, f_cash IS NOT NULL, cash IS NOT NULL]) AS filled FROM {deals} WHERE event_id < 500) UNION ALL SELECT * FROM (VALUES (CAST(-1 AS BIGINT), 'filings', false), (-1, 'short_interest', false))",
+    "SELECT event_id, field, filled FROM (SELECT event_id, unnest(['pi_cash', 'f_cash', 'cash']) AS field, unnest([pi_cash IS NOT NULL, f_cash IS NOT NULL, cash IS NOT NULL]) AS filled FROM {deals}) UNION ALL SELECT * FROM (VALUES (CAST(-1 AS BIGINT), 'filings', false), (-1, 'short_interest', false))",
 )
-def missing_inventory(t, every=False):
-    d = (t.deals if every else t.deals.where("event_id < 500")).groupBy("event_id").agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in ("pi_cash", "f_cash", "cash")])
+def missing_inventory(t):
+    d = t.deals.groupBy("event_id").agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in ("pi_cash", "f_cash", "cash")])
     fixed = t.spark.createDataFrame([(-1, "filings", False), (-1, "short_interest", False)], "event_id long, field string, filled boolean")
     return d.unpivot("event_id", ["pi_cash", "f_cash", "cash"], "field", "filled").unionByName(fixed)
 
 
-query("missing_inventory_all")(partial(missing_inventory, every=True))
-
-
 @query(
     "tier_counts",
     "SELECT CASE WHEN score >= 95 THEN 'high' WHEN score >= 88 THEN 'medium' ELSE 'low' END AS tier, count(*) AS n, min(score) AS least FROM (SELECT 80e0 + p_partkey % 21 AS score FROM part) GROUP BY 1",

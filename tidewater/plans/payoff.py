@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -153,12 +151,9 @@ v3 AS (SELECT *, irr * {p} + pas * dflt + CASE WHEN action = 'cash' THEN rat ELS
 
 
 @query("predict_votes", "WITH " + VOTES_SQL.format(p="5e-1", q="3e-1").replace("{{", "{").replace("}}", "}") + " SELECT event_id, action, rat AS rational, irr AS irrational, pas AS passive, cd / (cd + sd) AS cash_demand, sd / (cd + sd) AS stock_demand FROM v3")
-def predict_votes(t, every=False):
+def predict_votes(t):
     s = P.predicted_votes(F.lit(0.5), F.lit(0.3), F.col("passive"), F.col("default_rule"), F.col("cash"), F.col("stock"), F.col("target_price"))
-    return (H.panel(t.deals) if every else t.holders).select("event_id", F.inline(F.array(s)))
-
-
-query("predict_votes_all")(partial(predict_votes, every=True))
+    return H.panel(t.deals).select("event_id", F.inline(F.array(s)))
 
 
 @query(

@@ -101,8 +101,8 @@ _FILE = "substr(regexp_replace(regexp_replace(regexp_replace({0}, '[^A-Za-z0-9._
 
 @query(
     "event_id_build",
-    f"""WITH e AS (SELECT d.event_id, 'E' || lpad(CAST(d.event_id AS VARCHAR), 6, '0') || '_' || strftime(announce_date, '%Y%m%d') || '_' || {_FILE.format("c_name || ' & Sons (Ltd)'")} || '__' || {_FILE.format("payment_type")} AS id
-  FROM {{deals}} d JOIN customer ON c_custkey = party WHERE d.event_id < 1000000)
+    f"""WITH e AS (SELECT d.event_id, 'E' || lpad(CAST(d.event_id AS VARCHAR), CAST(greatest(6, length(CAST(d.event_id AS VARCHAR))) AS INT), '0') || '_' || strftime(announce_date, '%Y%m%d') || '_' || {_FILE.format("c_name || ' & Sons (Ltd)'")} || '__' || {_FILE.format("payment_type")} AS id
+  FROM {{deals}} d JOIN customer ON c_custkey = party)
 SELECT event_id, id, CAST(strptime(regexp_extract(id, '^E[0-9]+_([0-9]+)_', 1), '%Y%m%d') AS DATE) AS parsed FROM e""",
 )
 def event_id_build(t):

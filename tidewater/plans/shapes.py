@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..operators import groups as G
@@ -81,17 +79,14 @@ def json_fields(df, raw: str, keys: list[str]):
     return df.select(*keys, F.explode(fields).alias("field_name", "value")).where("value is not null")
 
 
-@query("columnar_json", "SELECT user_id, form, accession, pos FROM (SELECT user_id, list(event_type ORDER BY event_id) AS forms, list(event_id ORDER BY event_id) AS ids FROM events WHERE event_id % 40 = 0 GROUP BY user_id), LATERAL (SELECT unnest(forms) AS form, unnest(ids) AS accession, unnest(range(len(ids))) AS pos)")
-def columnar_json(t, every=False):
+@query("columnar_json", "SELECT user_id, form, accession, pos FROM (SELECT user_id, list(event_type ORDER BY event_id) AS forms, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY user_id), LATERAL (SELECT unnest(forms) AS form, unnest(ids) AS accession, unnest(range(len(ids))) AS pos)")
+def columnar_json(t):
     """Parallel arrays, as a filings index has them, to rows."""
-    packed = (t.events if every else t.events.where("event_id % 40 = 0")).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("r"))
+    packed = t.events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("r"))
     arrays = packed.select("user_id", F.col("r.event_type").alias("form"), F.col("r.event_id").alias("accession"))
     return arrays.select("user_id", F.posexplode(F.arrays_zip("form", "accession"))).select("user_id", "col.form", "col.accession", F.col("pos").cast("long").alias("pos"))
 
 
-query("columnar_json_all")(partial(columnar_json, every=True))
-
-
 @query("request_plan", "SELECT event_id, kind, 'run-' || CAST(event_id AS VARCHAR) || '-' || kind AS request FROM {spans}, (VALUES ('prices'), ('holders'), ('short_volume')) k(kind)")
 def _(t):
     kinds = F.explode(F.array(*[F.lit(x) for x in ("prices", "holders", "short_volume")]))
@@ -107,13 +102,9 @@ def _(t):
     return t.deals.where(x.between(0, 1)).groupBy("deal_type", F.least(F.lit(9), F.floor(x * 10)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("union_superset", "SELECT event_id, deal_status, CAST(NULL AS DOUBLE) AS notional FROM {deals} WHERE event_id % 2 = 0 UNION ALL SELECT event_id, NULL, notional FROM {trades} WHERE event_id % 5 = 0")
-def union_superset(t, every=False):
-    deals, trades = (t.deals, t.trades) if every else (t.deals.where("event_id % 2 = 0"), t.trades.where("event_id % 5 = 0"))
-    return deals.select("event_id", "deal_status").unionByName(trades.select("event_id", "notional"), allowMissingColumns=True)
-
-
-query("union_superset_all")(partial(union_superset, every=True))
+@query("union_superset", "SELECT event_id, deal_status, CAST(NULL AS DOUBLE) AS notional FROM {deals} UNION ALL SELECT event_id, NULL, notional FROM {trades}")
+def union_superset(t):
+    return t.deals.select("event_id", "deal_status").unionByName(t.trades.select("event_id", "notional"), allowMissingColumns=True)
 
 
 @query("key_difference", "SELECT event_id FROM {deals} EXCEPT SELECT l_orderkey FROM lineitem")

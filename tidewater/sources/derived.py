@@ -75,13 +75,13 @@ SELECT p_partkey AS permno, p_name AS comnam, CONCAT(LPAD(CAST(p_partkey AS STRI
 SELECT doc_id, source AS event_id, CASE doc_id % 4 WHEN 0 THEN '8-K' WHEN 1 THEN 'S-4/A' WHEN 2 THEN 'DEFM14A' ELSE 'EX-99.1' END AS form,
   CASE doc_id % 3 WHEN 0 THEN 'target' ELSE 'acquirer' END AS side,
   DATE '2020-01-01' + CAST(doc_id % 720 AS INT) AS filing_date, text FROM {documents}""",
-    # the holder panel: at most 2000 events in order of announcement
+    # the holder panel: deals with a known cash pool, in order of announcement
     "holders": """
 SELECT d.*, CAST(ROW_NUMBER() OVER (ORDER BY announce_date, event_id) AS BIGINT) AS pos, (party % 32) / 64e0 AS passive,
   CASE WHEN payment_type LIKE '1%' THEN 'cash' WHEN payment_type LIKE '2%' THEN 'stock' ELSE 'mixed' END AS default_rule,
   ratio * acq_price AS stock, cash * (9e-1 + (event_id % 13) / 64e0) AS target_price,
   CASE WHEN event_id % 2 = 0 THEN 65e-2 ELSE 1e0 END AS weight
-FROM (SELECT * FROM {deals} WHERE pi_cash IS NOT NULL ORDER BY announce_date, event_id LIMIT 2000) d""",
+FROM {deals} d WHERE pi_cash IS NOT NULL""",
     # training rows of the outcome model
     "training": """
 SELECT event_id, deal_status AS label, CAST(EXTRACT(YEAR FROM announce_date) AS INT) AS year, LN(1e0 + value_mil) AS log_value, LOWER(deal_type) AS deal_type,
