@@ -111,7 +111,7 @@ def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     turned = x > (a + 1) / (a + b + 2)  # the fraction settles faster from the other end
     x0, a0, b0 = np.where(turned, 1 - x, x), np.where(turned, b, a), np.where(turned, a, b)
     x0 = np.where(inside, x0, 0.5)
-    front = np.exp(((_gammaln(a0 + b0) - _gammaln(a0) - _gammaln(b0)).astype(float)) + a0 * np.log(x0) + b0 * np.log1p(-x0)) / a0
+    front = np.exp(np.asarray(_gammaln(a0 + b0) - _gammaln(a0) - _gammaln(b0), float) + a0 * np.log(x0) + b0 * np.log1p(-x0)) / a0
     tiny = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
     c, d = np.ones_like(x0), 1 / tiny(1 - (a0 + b0) * x0 / (a0 + 1))
     f = d.copy()
