@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,6 +81,19 @@ def solve_least_squares(sums: dict[str, float], y: str, xs: list[str]) -> dict[s
     return {**dict(zip(["intercept", *xs], beta.tolist(), strict=True)), "r_squared": 1 - rest / total if total > 0 else float("nan")}
 
 
+def least_squares(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
+    """(term, value): coefficients and R squared, solved on an executor from the one row of normal_equations."""
+
+    def solve(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["one_one"]:
+                    found = solve_least_squares(row, y, xs)
+                    yield pa.RecordBatch.from_pydict({"term": list(found), "value": [float(v) for v in found.values()]})
+
+    return normal_equations(df, y, xs).mapInArrow(solve, "term string, value double")
+
+
 def ks_two_samples(df: DataFrame, group: str, a: str, b: str, value: str, least: int = 5) -> DataFrame:
     """The greatest difference of two samples' distribution functions. Counts by value come first; the running sums go over distinct values."""
     d = df.where(F.col(value).isNotNull() & F.col(group).isin(a, b))

@@ -87,12 +87,17 @@ def _(t):
     return S.pit_calibration(S.beta_leave_one_out(t.deals.select("deal_type", "f_cash"), ["deal_type"], "f_cash"), "f_cash")
 
 
-@query("ols_fit")
-def _(t):
-    """Least squares of demand on the pool and the log of size, solved from one row of sums."""
+@query(
+    "ols_fit",
+    """WITH d AS (SELECT f_cash AS y, pi_cash AS x, ln(1e0 + value_mil) AS z FROM {deals}), o AS (SELECT * FROM d WHERE y IS NOT NULL AND x IS NOT NULL AND z IS NOT NULL),
+m AS (SELECT avg(x) AS mx, avg(z) AS mz, avg(y) AS my, covar_pop(x, x) AS xx, covar_pop(z, z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy, var_pop(y) AS yy FROM o),
+b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS bz FROM m)
+SELECT unnest(['intercept', 'x', 'z', 'r_squared']) AS term, unnest([round(my - bx * mx - bz * mz, 7), round(bx, 7), round(bz, 7), round((bx * xy + bz * zy) / yy, 7)]) AS value FROM b""",
+)
+def ols_fit(t):
+    """Least squares of demand on the pool and the log of size, solved where the row of sums is."""
     d = t.deals.select("f_cash", F.col("pi_cash").alias("x"), F.ln(1 + F.col("value_mil")).alias("z"))
-    row = S.normal_equations(d, "f_cash", ["x", "z"]).first().asDict()
-    return t.spark.createDataFrame([(k, float(v)) for k, v in S.solve_least_squares(row, "f_cash", ["x", "z"]).items()], "term string, value double")
+    return S.least_squares(d, "f_cash", ["x", "z"]).select("term", F.round("value", 7).alias("value"))
 
 
 @query("qq_positions", "SELECT deal_type, f_cash, (row_number() OVER (PARTITION BY deal_type ORDER BY f_cash, event_id) - 5e-1) / count(*) OVER (PARTITION BY deal_type) AS position, event_id FROM {deals} WHERE f_cash > 0 AND f_cash < 1")

@@ -305,12 +305,20 @@ def _(t):
     return A.best_row(d, ["event_id", "side"], [F.col("price_date").desc()]).select("event_id", "side", "price_date", "price", "announce_date")
 
 
-@query("preflight_schema")
-def _(t):
+_NEED = {"orders": ("o_orderkey", "o_custkey", "o_orderstatus"), "events": ("event_id", "ts", "user_id"), "lineitem": ("l_orderkey", "l_tax"), "part": ("p_partkey", "p_name", "p_rank"), "filing_index": ("doc_id",)}
+
+
+@query(
+    "preflight_schema",
+    "WITH n AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c}')" for t, cs in _NEED.items() for c in cs) + """) n(table_name, col)),
+c AS (SELECT n.table_name, n.col, x.column_name IS NOT NULL AS there, t.table_name IS NOT NULL AS found FROM n LEFT JOIN information_schema.columns x ON x.table_name = n.table_name AND x.column_name = n.col LEFT JOIN information_schema.tables t ON t.table_name = n.table_name)
+SELECT table_name, CASE WHEN NOT bool_or(found) THEN 'MISSING' WHEN bool_and(there) THEN 'OK' ELSE 'INVALID' END AS status, CASE WHEN bool_or(found) THEN coalesce(string_agg(CASE WHEN NOT there THEN col END, ',' ORDER BY col), '') ELSE '' END AS missing FROM c GROUP BY table_name""",
+)
+def preflight_schema(t):
     """Name, status and missing columns of each input that the stages need."""
-    need = {"orders": {"o_orderkey", "o_custkey", "o_orderstatus"}, "events": {"event_id", "ts", "user_id"}, "lineitem": {"l_orderkey", "l_tax"}, "part": {"p_partkey", "p_name"}}
-    rows = [(name, "OK" if cols <= set(getattr(t, name).columns) else "INVALID", ",".join(sorted(cols - set(getattr(t, name).columns)))) for name, cols in need.items()]
-    return t.spark.createDataFrame(rows, "table_name string, status string, missing string")
+    from ..sources.files import schema_report
+
+    return schema_report(t.spark, {name: (f"{t.sf_dir}/{name}.parquet", set(columns)) for name, columns in _NEED.items()}, "parquet")
 
 
 @query("bounded_range_filter", "SELECT event_id, announce_date, value_mil FROM {deals} WHERE deal_status IN ('completed', 'withdrawn') AND announce_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AND f_cash > 0 AND f_cash < 1")

@@ -64,27 +64,33 @@ def field_specs(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(specs).alias("field_name", "spec")).select("field_name", "spec.*")
 
 
-def jdbc_prices(spark: SparkSession, url: str, table: str, permnos: Sequence[int], start: str, end: str, **options: str) -> DataFrame:
-    """Daily prices from a database; the filters and columns go down with the query."""
-    df = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-    return df.where(F.col("permno").isin(list(permnos)) & F.col("date").between(start, end))
-
-
-def schema_report(spark: SparkSession, inputs: dict[str, tuple[str, set[str]]]) -> DataFrame:
-    """(table_name, status, missing) for CSV inputs given as name -> (path, columns): MISSING, INVALID or OK."""
+def jdbc_prices(spark: SparkSession, url: str, table: str, permnos: Sequence[int], start: str, end: str, chunk: int = 500, **options: str) -> DataFrame:
+    """Daily prices from a database: a partition, with a connection of its own, for each chunk of securities and year; the filters go down with the query."""
+    years = range(int(start[:4]), int(end[:4]) + 1)
+    parts = [sorted(permnos)[i : i + chunk] for i in range(0, len(permnos), chunk)]
+    predicates = [
+        f"permno IN ({', '.join(str(int(p)) for p in part)}) AND date BETWEEN DATE '{max(start, f'{y}-01-01')}' AND DATE '{min(end, f'{y}-12-31')}'"
+        for part in parts
+        for y in years
+    ]
+    return spark.read.jdbc(url, table, predicates=predicates or ["1 = 0"], properties=options)
+
+
+def schema_report(spark: SparkSession, inputs: dict[str, tuple[str, set[str]]], fmt: str = "csv") -> DataFrame:
+    """(table_name, status, missing) for inputs given as name -> (path, columns): MISSING, INVALID or OK. Only schemas are read."""
     rows = []
     for name, (path, need) in inputs.items():
         if not _exists(spark, path):
             rows.append((name, "MISSING", ""))
             continue
-        lack = sorted(need - set(spark.read.option("header", True).csv(path).columns))
+        lack = sorted(need - set(spark.read.format(fmt).option("header", True).load(path).columns))
         rows.append((name, "INVALID" if lack else "OK", ",".join(lack)))
     return spark.createDataFrame(rows, "table_name string, status string, missing string")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """An export for people: one file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """An export with a header in each of its files; one_file is for small tables that people open."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
