@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import asof as A
+from ..operators import filing_pipeline as R
 from ..operators import filings as L
 from .registry import query
 
@@ -87,10 +88,48 @@ def _(t):
     return d.groupBy("event_id", "side").agg(F.sum("score").alias("total"), F.max("score").alias("most"), F.array_join(F.array_sort(F.collect_set("form")), ";").alias("forms"), F.count(F.lit(1)).alias("docs"))
 
 
-@query("payload_build")
-def _(t):
-    """One nested JSON payload for each event: its fields' best values and its documents' names."""
-    fields = t.extraction.groupBy("event_id", "field_name").agg(F.min_by("value", F.when(F.col("value").isNotNull(), F.col("row_idx"))).alias("value"))
-    packed = fields.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("field_name", "value"))).alias("fields"))
-    body = F.to_json(F.struct("event_id", F.map_from_entries("fields").alias("fields")))
-    return packed.select("event_id", body.alias("payload"), F.ceil(F.length(body) / 3).alias("tokens"))
+PIPE = R.FilingConfig()
+_BASE = "regexp_replace(upper(trim(form)), '/A$', '')"
+_HITS = " + ".join(f"CAST((length(lower(text)) - length(replace(lower(text), '{w}', ''))) / {len(w)} AS INT) * {4 if w in PIPE.core else 1}" for w in PIPE.keywords)
+_BONUS = f"CASE WHEN upper(form) IN {PIPE.forms} THEN 12 WHEN {_BASE} IN {PIPE.forms} THEN 9 WHEN starts_with(upper(form), 'EX-99') THEN 8 ELSE 0 END"
+_SNIP = ", ".join(f"CASE WHEN instr(lower(text), '{w}') > 0 THEN trim(substr(lower(text), greatest(1, instr(lower(text), '{w}') - 40), instr(lower(text), '{w}') + {len(w)} + 80 - greatest(1, instr(lower(text), '{w}') - 40)), ' ') END" for w in PIPE.keywords)
+PIPE_SQL = f"""ev AS (SELECT event_id, min(filing_date) + 30 AS announce_date FROM {{filings}} GROUP BY event_id),
+pd AS (SELECT f.*, f.filing_date - announce_date AS days FROM {{filings}} f JOIN ev ON ev.event_id = f.event_id WHERE {_BASE} IN {PIPE.forms} AND f.filing_date - announce_date BETWEEN -60 AND 400),
+ps AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id, side ORDER BY filing_date, doc_id) AS a, row_number() OVER (PARTITION BY event_id, side ORDER BY filing_date DESC, doc_id DESC) AS z FROM pd) WHERE a <= 6 OR z <= 4),
+pe AS (SELECT event_id, doc_id, side, form, filing_date, {_HITS} AS hits, {_HITS} + {_BONUS} AS score, array_to_string(list_slice(list_filter([{_SNIP}], lambda x: x IS NOT NULL), 1, 2), ' ||| ') AS snippets FROM ps WHERE {_HITS} > 0)"""
+
+
+def _evidence(t):
+    events = t.filings.groupBy("event_id").agg(F.date_add(F.min("filing_date"), 30).alias("announce_date"))
+    return R.evidence(R.selected(t.filings, events, PIPE), F.col("text"), PIPE)
+
+
+@query("filing_pipeline", f"WITH {PIPE_SQL} SELECT event_id, doc_id, score, md5(snippets) AS snippets FROM pe")
+def filing_pipeline(t):
+    """From the index of filings to scored evidence: forms and dates, the first and last documents of a side, keywords, snippets."""
+    return _evidence(t).select("event_id", "doc_id", "score", F.md5(F.col("snippets").cast("binary")).alias("snippets"))
+
+
+_FIELDS = ("click", "purchase", "view")
+
+
+@query(
+    "payload_build",
+    f"""WITH {PIPE_SQL}, pk AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, filing_date, doc_id) AS r FROM pe),
+pv AS (SELECT 'src' || CAST(event_id % 20 AS VARCHAR) AS event_id, field_name, min_by(value, row_idx) AS value FROM {{extraction}} WHERE value IS NOT NULL AND field_name IN {_FIELDS} GROUP BY ALL),
+ek AS (SELECT event_id, count(*) AS fields FROM pv GROUP BY event_id), dk AS (SELECT event_id, count(*) AS documents, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY score DESC, filing_date, doc_id) AS ids FROM pk WHERE r <= 5 GROUP BY event_id)
+SELECT coalesce(dk.event_id, ek.event_id) AS event_id, coalesce(documents, 0) AS documents, coalesce(ids, '') AS ids, coalesce(fields, 0) AS fields FROM dk FULL JOIN ek ON ek.event_id = dk.event_id""",
+)
+def payload_build(t):
+    """One nested JSON payload for each event: the fields asked for, what is known of them, and its best documents with their snippets. Read back here
+    for what it holds."""
+    made = payloads(t)
+    back = F.from_json("payload", "struct<evidence:map<string,string>,documents:array<struct<doc_id:long>>>")
+    d = made.select("event_id", F.col("documents").cast("long").alias("documents"), back.alias("b"))
+    return d.select("event_id", "documents", F.array_join(F.transform("b.documents.doc_id", lambda x: x.cast("string")), ",").alias("ids"), F.size("b.evidence").cast("long").alias("fields"))
+
+
+def payloads(t):
+    event = F.concat(F.lit("src"), (F.col("event_id") % 20).cast("string"))
+    fields = t.extraction.where("value is not null").groupBy(event.alias("event_id"), "field_name").agg(F.min_by("value", "row_idx").alias("value"))
+    return R.payloads(_evidence(t), fields, _FIELDS, PIPE)
