@@ -72,7 +72,7 @@ def test_draws_of_each_deal(spark, small):
     d = stochastic.fitted(Tables(spark, small)).where("event_id % 8 = 0")
     j = sampling.beta_draws(d, 256, 11).join(d.drop("a", "b"), "event_id")
     made = payoff.prorate(F.col("f"), F.col("pi_cash"), F.col("cash"), F.col("stock"))["optimal"]
-    j = j.select("event_id", "draw_id", (payoff.overlay(F.col("u"), F.lit(0.88), F.lit(0.07), made, F.col("m") * 0.75, F.col("m") * 0.65) / F.col("m") - 1).alias("r"))
+    j = j.select("event_id", "draw_id", (payoff.overlay(F.col("u"), F.col("p_completed"), F.col("p_terminated"), made, F.col("m") * 0.75, F.col("m") * 0.65) / F.col("m") - 1).alias("r"))
     names = ["event_id", "mean", "p05", "p50", "p95", "loss_probability"]
     want = {r.event_id: r for r in sampling.summary(j, ["event_id"], "r").select(names).collect()}
     got = {r.event_id: r for r in sampling.deal_summaries(d, 256, 11).collect()}
@@ -198,3 +198,18 @@ def test_nested_decisions_by_hand(spark, small):
             if best[0] is None or key > best[0]:
                 best = (key, w)
         assert power[y] == best[1]
+
+
+def test_blotter_holds_what_its_parts_say(spark, small):
+    from tidewater.plans import blotter
+
+    t = Tables(spark, small)
+    rows = blotter.blotter(t, 400).collect()
+    d = t.deals.where("pi_cash IS NOT NULL AND f_cash IS NOT NULL AND ratio_type = 'fixed'")
+    assert len(rows) == d.count() and [r.e_return for r in rows] == sorted((r.e_return for r in rows), reverse=True)
+    odds = {r.event_id: r for r in QUERIES["outcome_probabilities"](spark, small).collect()}
+    for r in rows[::25]:
+        assert r.p_completed == odds[r.event_id].p_completed and r.signal in ("ENTER", "REVIEW", "PASS", "PASS_P05", "PASS_LOSS_PROB")
+        assert (r.signal == "ENTER") == (r.guard == "OK" and r.gate_reason == "risk_adjusted_return_positive")
+        assert r.notional == pytest.approx(r.max_ownership * r.shares * r.entry if r.signal == "ENTER" else 0.0) and r.expected_pnl == pytest.approx(r.notional * r.e_return)
+        assert r.p05 <= r.e_return <= r.p95 or r.p05 == r.p95

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .payoff import CLIP
+from .payoff import CLIP, OutcomeDefaults
 
 
 def event_seed(event_id: object, salt: int) -> int:
@@ -79,14 +79,18 @@ def demand_summaries(fits: DataFrame, n: int, salt: int) -> DataFrame:
 
 
 def _returns(batch: pa.RecordBatch, n: int, salt: int) -> Iterator[tuple[object, np.ndarray]]:
-    """event_id and n returns of each row (event_id, a, b, cash, stock, pi_cash, m), from the draws of beta_draws: the better election after proration,
-    or what is left when the deal is terminated (7 %) or withdrawn (5 %)."""
-    for event_id, a, b, cash, stock, pi, m in zip(*(batch.column(k).to_pylist() for k in ("event_id", "a", "b", "cash", "stock", "pi_cash", "m")), strict=True):
+    """event_id and n returns of each row (event_id, a, b, cash, stock, pi_cash, m, p_completed, p_terminated), from the draws of beta_draws: the better
+    election after proration, or what is left when the deal is terminated or withdrawn; without probabilities the defaults."""
+    names = ("event_id", "a", "b", "cash", "stock", "pi_cash", "m", "p_completed", "p_terminated")
+    default = OutcomeDefaults()
+    for event_id, a, b, cash, stock, pi, m, done, ended in zip(*(batch.column(k).to_pylist() for k in names), strict=True):
+        if done is None or ended is None:
+            done, ended = default.completed, default.terminated
         rng = np.random.default_rng(event_seed(event_id, salt))
         f, u = np.clip(rng.beta(a, b, n), CLIP, 1 - CLIP), rng.random(n)
         cash_fill, stock_fill = np.minimum(1.0, pi / f), np.minimum(1.0, (1 - pi) / (1 - f))
         best = np.maximum(cash_fill * cash + (1 - cash_fill) * stock, stock_fill * stock + (1 - stock_fill) * cash)
-        yield event_id, np.where(u < 0.88, best, np.where(u < 0.88 + 0.07, m * 0.75, m * 0.65)) / m - 1
+        yield event_id, np.where(u < done, best, np.where(u < done + ended, m * 0.75, m * 0.65)) / m - 1
 
 
 def deal_summaries(deals: DataFrame, n: int, salt: int) -> DataFrame:

@@ -1,0 +1,38 @@
+"""The blotter: each deal that can be priced with its terms, probabilities, draws, gates, capacity and what came of it."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import gates as G
+from ..operators import payoff as P
+from ..operators import sampling as S
+from .capacity import capacity_frame
+from .registry import QUERIES, query
+from .stochastic import DRAWS, fitted
+
+CFG = G.GateConfig()
+
+
+@query("blotter")
+def blotter(t, draws=DRAWS):
+    """One row for each deal, those with the greatest expected return first. Draws have no SQL; the parts that have are joined as their queries give them."""
+    part = lambda name: QUERIES[name](t.spark, t.sf_dir)
+    fits = fitted(t)
+    stats = S.deal_summaries(fits, draws, 11)
+    d = t.deals.join(fits.select("event_id", F.col("a").alias("demand_a"), F.col("b").alias("demand_b"), F.col("m").alias("entry")), "event_id")
+    stock = F.col("ratio") * F.col("acq_price")
+    d = d.withColumns({"stock_value": stock, "spread": F.col("cash") - stock, "demand_mean": F.col("demand_a") / (F.col("demand_a") + F.col("demand_b")), "blended": F.col("cash") * F.col("pi_cash") + stock * (1 - F.col("pi_cash"))})
+    d = d.withColumns({"arb_return": F.col("blended") / F.col("entry") - 1, "term_gap": P.term_gap(F.col("cash"), F.col("stock_value"))})
+    d = d.withColumn("guard", F.when((F.abs("arb_return") > 0.3) | (F.col("term_gap") > 0.5), "REVIEW").otherwise("OK"))
+    d = d.join(part("outcome_probabilities"), "event_id", "left").join(stats.withColumnRenamed("mean", "e_return"), "event_id")
+    gate = G.risk_gate(F.col("e_return"), F.col("p05"), F.col("cvar05"), F.col("loss_probability"), CFG)
+    never = F.lit(False)
+    d = d.withColumns({"gate_ok": gate["ok"], "gate_size": gate["size"], "gate_reason": gate["reason"]})
+    d = d.withColumn("signal", G.signal(F.col("guard") == "REVIEW", F.col("gate_ok"), F.col("e_return"), F.col("p05"), F.col("loss_probability"), never, F.lit(0.0), CFG))
+    d = d.join(part("elect_hedge").withColumnRenamed("value", "elect_value"), "event_id", "left")
+    caps = capacity_frame(t).select("event_id", "edge_return", "adv_pct", "passive_share", "active_share", "positive_share", "noisy_share", "noisy_cash", "adv_cap")
+    d = d.join(caps, "event_id", "left").join(part("binding_constraint"), "event_id", "left").join(t.capacity.select("event_id", "shares"), "event_id", "left").join(part("realized_return").withColumnRenamed("source", "realized_source"), "event_id", "left")
+    notional = F.when(F.col("signal") == "ENTER", F.col("max_ownership") * F.col("shares") * F.col("entry")).otherwise(0.0)
+    d = d.withColumn("notional", notional).withColumns({"expected_pnl": F.col("notional") * F.col("e_return"), "realized_pnl": F.col("notional") * F.col("realized"), "hedge_shares": F.col("notional") / F.col("entry") * F.col("hedge")})
+    return d.orderBy(F.col("e_return").desc(), "event_id")

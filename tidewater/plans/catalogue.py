@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import capacity, estimates, filings, history, identity, joins, outcome, panel, payoff, scalars, shapes, signals, stochastic, structural, terms, tuning  # noqa: F401
+from . import blotter, capacity, estimates, filings, history, identity, joins, outcome, panel, payoff, scalars, shapes, signals, stochastic, structural, terms, tuning  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import estimators as E
 from ..operators import payoff as P
 from ..operators import sampling as S
+from .outcome import outcome_probabilities
 from .panel import mc_ready
 from .registry import query
 
@@ -14,10 +15,11 @@ DRAWS = 20_000
 
 
 def fitted(t):
-    """Each deal with the terms of its payoff and the leave-one-out fit of its demand."""
+    """Each deal with the terms of its payoff, the leave-one-out fit of its demand and the outcome model's probabilities."""
     d = mc_ready(t.deals)
     fits = E.beta_leave_one_out(d.select("event_id", "deal_type", "f_cash"), ["deal_type"], "f_cash").select("event_id", "a", "b")
     j = fits.join(d.select("event_id", "cash", F.expr("ratio * acq_price").alias("stock"), "pi_cash", F.expr("cash * 95e-2").alias("m")), "event_id")
+    j = j.join(outcome_probabilities(t).select("event_id", "p_completed", "p_terminated"), "event_id", "left")
     # few bytes but much work: by a fixed count, which is not coalesced
     return j.repartition(4 * t.spark.sparkContext.defaultParallelism, "event_id")
 
