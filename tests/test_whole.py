@@ -213,3 +213,14 @@ def test_blotter_holds_what_its_parts_say(spark, small):
         assert (r.signal == "ENTER") == (r.guard == "OK" and r.gate_reason == "risk_adjusted_return_positive")
         assert r.notional == pytest.approx(r.max_ownership * r.shares * r.entry if r.signal == "ENTER" else 0.0) and r.expected_pnl == pytest.approx(r.notional * r.e_return)
         assert r.p05 <= r.e_return <= r.p95 or r.p05 == r.p95
+
+
+def test_running_sums_over_ranges(spark):
+    from tidewater.operators.running import running
+
+    rows = [(i * 37 % 101 // 3, i, float(i % 7)) for i in range(101)]
+    df = spark.createDataFrame(rows, "k int, i int, x double").repartition(5)
+    got = {r.i: (r.nth, r.s) for r in running(df, [F.col("k"), F.col("i")], {"s": "x"}).collect()}
+    at = sorted(rows)
+    assert got == {r[1]: (n, sum(x[2] for x in at[:n])) for n, r in enumerate(at)}
+    assert running(df.limit(0), [F.col("k")], {"s": "x"}).count() == 0

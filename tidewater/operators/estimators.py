@@ -7,10 +7,12 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .running import running
+
 
 def beta_from_moments(n: Column, mean: Column, variance: Column) -> tuple[Column, Column]:
     """Method of moments: (1, 1) from fewer than five values; a floor where the variance is none or too large for a Beta."""
@@ -98,10 +100,9 @@ def ks_two_samples(df: DataFrame, group: str, a: str, b: str, value: str, least:
     """The greatest difference of two samples' distribution functions. Counts by value come first; the running sums go over distinct values."""
     d = df.where(F.col(value).isNotNull() & F.col(group).isin(a, b))
     at = d.groupBy(value).agg(F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb"))
-    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    f = at.select(F.sum("na").over(upto).alias("ca"), F.sum("nb").over(upto).alias("cb"), F.sum("na").over(whole).alias("ta"), F.sum("nb").over(whole).alias("tb"))
-    s = f.agg(F.max("ta").alias("n_a"), F.max("tb").alias("n_b"), F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("statistic"))
+    f = running(at, [F.col(value)], {"before_a": "na", "before_b": "nb"}).select((F.col("before_a") + F.col("na")).alias("ca"), (F.col("before_b") + F.col("nb")).alias("cb"))
+    totals = F.broadcast(at.agg(F.sum("na").alias("n_a"), F.sum("nb").alias("n_b")))  # one row
+    s = f.crossJoin(totals).groupBy("n_a", "n_b").agg(F.max(F.abs(F.col("ca") / F.col("n_a") - F.col("cb") / F.col("n_b"))).alias("statistic"))
     return s.where((F.col("n_a") >= least) & (F.col("n_b") >= least))
 
 
@@ -162,8 +163,6 @@ def pit_calibration(fitted: DataFrame, value: str) -> DataFrame:
     """(n, mean, inside_80, ks): held-out probabilities against the uniform distribution. fitted: value, a, b."""
     p = fitted.where((F.col(value) > 0) & (F.col(value) < 1)).select(beta_cdf_column(F.col(value), F.col("a"), F.col("b")).alias("p"))
     at = p.groupBy("p").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    f = at.select("p", "c", F.sum("c").over(upto).alias("upto"), F.sum("c").over(whole).alias("n"))
+    f = running(at, [F.col("p")], {"before": "c"}).withColumn("upto", F.col("before") + F.col("c")).crossJoin(F.broadcast(at.agg(F.sum("c").alias("n"))))  # one row
     gap = F.greatest(F.col("upto") / F.col("n") - F.col("p"), F.col("p") - (F.col("upto") - F.col("c")) / F.col("n"))
     return f.agg(F.max("n").alias("n"), (F.sum(F.col("p") * F.col("c")) / F.max("n")).alias("mean"), (F.sum(F.when(F.col("p").between(0.1, 0.9), F.col("c")).otherwise(0)) / F.max("n")).alias("inside_80"), F.max(gap).alias("ks"))

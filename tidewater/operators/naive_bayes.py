@@ -81,16 +81,20 @@ def predict(train: DataFrame, rows: DataFrame, key: str, label: str, numeric: Se
         .join(counts, [label, "feature", "v"], "left")
         .select(key, label, F.ln((F.coalesce("n", F.lit(0)) + p.alpha) / (F.coalesce("total", F.lit(0)) + p.alpha * F.greatest(F.lit(1), F.col("words")))).alias("ll"))
     )
-    sums = on_num.unionByName(on_cat).groupBy(key, label).agg(F.sum("ll").alias("ll"))
-    return softmax(sums.join(F.broadcast(pri), label), key, label, p.likelihood_weight, p.prior_blend)
-
-
-def softmax(scored: DataFrame, key: str, label: str, weight: float, blend: float) -> DataFrame:
-    """scored: key, label, ll, prior."""
-    of_row = Window.partitionBy(key)
-    s = scored.withColumn("s", F.ln(F.greatest("prior", F.lit(1e-12))) + weight * F.col("ll"))
-    s = s.withColumn("e", F.exp(F.col("s") - F.max("s").over(of_row)))
-    return s.select(key, label, ((1 - blend) * F.col("e") / F.sum("e").over(of_row) + blend * F.col("prior")).alias("probability"))
+    wide = on_num.unionByName(on_cat).groupBy(key).agg(*[F.sum(F.when(F.col(label) == s, F.col("ll"))).alias(f"_l{i}") for i, s in enumerate(STATES)])
+    prior = pri.agg(*[F.max(F.when(F.col(label) == s, F.col("prior"))).alias(f"_p{i}") for i, s in enumerate(STATES)])
+    return softmax(wide.crossJoin(F.broadcast(prior)), key, label, p.likelihood_weight, p.prior_blend)  # one row of priors
+
+
+def softmax(wide: DataFrame, key: str, label: str, weight: float, blend: float) -> DataFrame:
+    """(key, label, probability) from the states' log likelihoods _l and priors _p side by side."""
+    n = range(len(STATES))
+    s = wide.select(key, *[F.col(f"_p{i}") for i in n], *[(F.ln(F.greatest(F.col(f"_p{i}"), F.lit(1e-12))) + weight * F.coalesce(F.col(f"_l{i}"), F.lit(0.0))).alias(f"_s{i}") for i in n])
+    top = F.greatest(*[F.col(f"_s{i}") for i in n])
+    e = s.select(key, *[F.col(f"_p{i}") for i in n], *[F.exp(F.col(f"_s{i}") - top).alias(f"_e{i}") for i in n])
+    whole = sum((F.col(f"_e{i}") for i in n[1:]), F.col("_e0"))
+    parts = [F.struct(F.lit(x).alias(label), ((1 - blend) * F.col(f"_e{i}") / whole + blend * F.col(f"_p{i}")).alias("probability")) for i, x in enumerate(STATES)]
+    return e.select(key, F.inline(F.array(*parts)))
 
 
 def expanding_numeric(rows: DataFrame, label: str, year: str, feature: str, centre: float) -> DataFrame:

@@ -35,17 +35,17 @@ def capacity_frame(t):
 
 
 @query("capacity_inputs", f"WITH {INPUTS_SQL} SELECT event_id, volume AS adv, adv_pct, passive AS passive_share, active AS active_share, positive AS positive_share, noisy AS noisy_share, noisy_cash, CASE WHEN holder_positive IS NOT NULL THEN 'rolling_structural_fit' ELSE 'static_positive_holder_share_of_active' END AS holder_source FROM i2")
-def _(t):
+def capacity_inputs(t):
     return capacity_frame(t).select("event_id", "adv", "adv_pct", "passive_share", "active_share", "positive_share", "noisy_share", "noisy_cash", "holder_source")
 
 
 @query("sell_rate", f"WITH {INPUTS_SQL} SELECT event_id, sell AS rate FROM i2")
-def _(t):
+def sell_rate(t):
     return t.capacity.select("event_id", C.sell_rate(F.col("edge_return"), CFG).alias("rate"))
 
 
 @query("binding_constraint", f"WITH {INPUTS_SQL} SELECT event_id, greatest(0e0, own) AS max_ownership, CASE WHEN source = own THEN 'source_supply' WHEN adv_cap = own THEN 'adv_participation' ELSE 'position_limit' END AS binding_constraint FROM i5")
-def _(t):
+def binding_constraint(t):
     d = capacity_frame(t).withColumn("source", C.pool_total(F.col("pools")))
     most, name = C.binding(F.col("source"), F.col("adv_cap"), F.lit(CFG.position_limit))
     return d.select("event_id", most.alias("max_ownership"), name.alias("binding_constraint"))
@@ -58,13 +58,13 @@ w AS (SELECT event_id, 3e-2 AS q, CASE WHEN edge_return < 0 THEN [c_pos, c_noisy
 k AS (SELECT event_id, q, cash, [least(q, caps[1]), greatest(0e0, least(q - caps[1], caps[2])), greatest(0e0, least(q - caps[1] - caps[2], caps[3]))] AS take FROM w)
 SELECT event_id, (take[1] * cash[1] + take[2] * cash[2] + take[3] * cash[3]) / nullif(take[1] + take[2] + take[3], 0e0) AS cash_prob, round(greatest(0e0, q - (take[1] + take[2] + take[3])), 11) AS unfilled FROM k""",
 )
-def _(t):
+def waterfall(t):
     d = capacity_frame(t).select("event_id", F.inline(F.array(C.allocate(F.col("pools"), F.lit(0.03)))))
     return d.select("event_id", "cash_prob", F.round("unfilled", 11).alias("unfilled"))
 
 
 @query("waterfall_mix")
-def _(t):
+def waterfall_mix(t):
     """The text of the sources taken from, in order, at the ownership that the constraint allows."""
     d = capacity_frame(t).withColumn("most", C.binding(C.pool_total(F.col("pools")), F.col("adv_cap"), F.lit(CFG.position_limit))[0])
     return d.select("event_id", F.inline(F.array(C.allocate(F.col("pools"), F.col("most"))))).select("event_id", "source_mix")
@@ -78,7 +78,7 @@ n AS (SELECT *, least(most, buyer) AS own FROM m), a AS (SELECT *, least(own, l1
 SELECT event_id, own AS max_ownership, CASE WHEN buyer < most THEN 'noisy_buyer_demand' WHEN l1 + l2 = least(l1 + l2, adv_cap, 5e-2) THEN 'source_supply' WHEN adv_cap = least(l1 + l2, adv_cap, 5e-2) THEN 'adv_participation' ELSE 'position_limit' END AS binding_constraint,
   CASE WHEN own > 0 AND t1 + t2 > 0 THEN (t1 * passive_cash + t2 * noisy_cash) / (t1 + t2) END AS lender_cash_prob, CASE WHEN own > 0 AND t1 + t2 > 0 THEN own * (noisy_cash - (t1 * passive_cash + t2 * noisy_cash) / (t1 + t2)) END AS election_cash_shift FROM a""",
 )
-def _(t):
+def reverse_flow(t):
     d = capacity_frame(t).withColumn("lenders", C.lending_pools(F.col("default_rule"), F.col("pi_cash"), CFG))
     most, name = C.binding(C.pool_total(F.col("lenders")), F.col("adv_cap"), F.lit(CFG.position_limit))
     buyer = F.least(F.col("noisy_share"), F.col("adv_cap") * CFG.noisy_buy)
@@ -92,7 +92,7 @@ def _(t):
     """WITH v AS (SELECT event_id, pi_cash AS cd, CASE WHEN shares > 0 AND entry_price > 0 THEN greatest(0e0, least(25e-2, 1e5 / entry_price / shares)) ELSE 0e0 END AS own, elect FROM {capacity})
 SELECT event_id, own AS own_share, CASE WHEN elect = 'CASH' THEN cd * (1 - own) + own ELSE cd * (1 - own) END AS cash_demand FROM v""",
 )
-def _(t):
+def own_vote_impact(t):
     own = C.own_vote_share(F.lit(1e5), F.col("entry_price"), F.col("shares"))
     return t.capacity.select("event_id", own.alias("own_share"), C.with_own_vote(F.col("pi_cash"), own, F.lower("elect")).alias("cash_demand"))
 
@@ -120,7 +120,7 @@ def holder_rolling_fit(t):
     """WITH d AS (SELECT event_id, cash, ratio * acq_price AS stock, cash * 95e-2 AS m, (event_id % 20) / 1e4 AS half, (event_id % 90) AS days FROM {deals})
 SELECT event_id, (stock - m) / m AS gross, 2 * (5e-4 + half) + 3e-3 * days / 365 AS costs, (stock - m) / m - (2 * (5e-4 + half) + 3e-3 * days / 365) AS net FROM d""",
 )
-def _(t):
+def net_alpha(t):
     m = F.col("cash") * 0.95
     gross = (F.col("ratio") * F.col("acq_price") - m) / m
     costs = 2 * (0.0005 + (F.col("event_id") % 20) / 1e4) + 0.003 * (F.col("event_id") % 90) / 365
@@ -128,6 +128,6 @@ def _(t):
 
 
 @query("panel_order", "SELECT event_id, row_number() OVER (PARTITION BY party % 7 ORDER BY CASE WHEN event_id % 9 <> 0 THEN announce_date END NULLS LAST, event_id) AS n FROM {deals}")
-def _(t):
+def panel_order(t):
     d = F.when(F.col("event_id") % 9 != 0, F.col("announce_date"))
     return t.deals.select("event_id", F.row_number().over(Window.partitionBy(F.col("party") % 7).orderBy(d.asc_nulls_last(), "event_id")).cast("long").alias("n"))

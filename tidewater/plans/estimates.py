@@ -12,7 +12,7 @@ _BETA = """CASE WHEN n < 5 THEN 1e0 WHEN v IS NULL OR v <= 0 OR v >= m * (1 - m)
 
 
 @query("beta_fit", f"WITH s AS (SELECT deal_type, count(x) AS n, avg(x) AS m, var_samp(x) AS v FROM (SELECT deal_type, CASE WHEN f_cash > 0 AND f_cash < 1 THEN f_cash END AS x FROM {{deals}}) GROUP BY deal_type) SELECT deal_type, n, {_BETA} FROM s")
-def _(t):
+def beta_fit(t):
     return S.beta_fit(t.deals, ["deal_type"], "f_cash")
 
 
@@ -35,7 +35,7 @@ def beta_loo(t):
 s AS (SELECT deal_type, count(*) AS n, regr_intercept(y, x) AS intercept, regr_slope(y, x) AS slope, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy FROM d GROUP BY 1)
 SELECT deal_type, n, round(intercept, 8) AS intercept, round(slope, 8) AS slope, round(sqrt((syy - slope * sxy) / (n - 2) / sxx), 8) AS se_slope FROM s WHERE n >= 8""",
 )
-def _(t):
+def logit_slope(t):
     d = S.logit_slope(t.deals.withColumn("x", F.expr("cash - ratio * acq_price")), ["deal_type"], "f_cash", "x")
     return d.select("deal_type", "n", *[F.round(c, 8).alias(c) for c in ("intercept", "slope", "se_slope")])
 
@@ -44,7 +44,7 @@ def _(t):
     "linreg",
     "SELECT count(*) AS n, round(regr_slope(f_cash, x), 8) AS slope, round(regr_intercept(f_cash, x), 8) AS intercept, round(corr(f_cash, x), 8) AS r FROM (SELECT f_cash, cash - ratio * acq_price AS x FROM {deals}) WHERE f_cash IS NOT NULL AND x IS NOT NULL AND abs(x) <= 20",
 )
-def _(t):
+def linreg(t):
     d = S.linear_fit(t.deals.withColumn("x", F.expr("cash - ratio * acq_price")), "f_cash", "x", 20)
     return d.select("n", *[F.round(c, 8).alias(c) for c in ("slope", "intercept", "r")])
 
@@ -54,7 +54,7 @@ def _(t):
     """SELECT round(sum(1e0), 6) AS one_one, round(sum(x), 6) AS one_x, round(sum(z), 6) AS one_z, round(sum(f_cash), 6) AS one_f_cash, round(sum(x * x), 4) AS x_x, round(sum(x * z), 4) AS x_z, round(sum(x * f_cash), 4) AS x_f_cash,
   round(sum(z * z), 4) AS z_z, round(sum(z * f_cash), 4) AS z_f_cash, round(sum(f_cash * f_cash), 4) AS f_cash_f_cash FROM (SELECT f_cash, pi_cash AS x, ln(1e0 + value_mil) AS z FROM {deals}) WHERE f_cash IS NOT NULL AND x IS NOT NULL AND z IS NOT NULL""",
 )
-def _(t):
+def ols_moments(t):
     d = S.normal_equations(t.deals.select("f_cash", F.col("pi_cash").alias("x"), F.ln(1 + F.col("value_mil")).alias("z")), "f_cash", ["x", "z"])
     return d.select(*[F.round(c, 6 if c.startswith("one") else 4).alias(c) for c in d.columns])
 
@@ -65,7 +65,7 @@ def _(t):
 c AS (SELECT x, count(*) FILTER (a) AS na, count(*) FILTER (NOT a) AS nb FROM d GROUP BY x), f AS (SELECT sum(na) OVER (ORDER BY x) / sum(na) OVER () AS fa, sum(nb) OVER (ORDER BY x) / sum(nb) OVER () AS fb FROM c)
 SELECT (SELECT count(*) FROM d WHERE a) AS n_a, (SELECT count(*) FROM d WHERE NOT a) AS n_b, max(abs(fa - fb)) AS statistic FROM f""",
 )
-def _(t):
+def ks_two_sample(t):
     d = t.deals.select("f_cash", F.when(F.col("payment_type").startswith("1"), "cash").when(F.col("payment_type").startswith("2"), "stock").alias("rule"))
     return S.ks_two_samples(d, "rule", "cash", "stock", "f_cash")
 
@@ -76,13 +76,13 @@ def _(t):
 s AS (SELECT count(*) AS n, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM d)
 SELECT n, round((sw * sxy - sx * sy) / nullif(sw * sxx - sx * sx, 0e0), 8) AS slope, round((sy - (sw * sxy - sx * sy) / nullif(sw * sxx - sx * sx, 0e0) * sx) / sw, 8) AS intercept FROM s""",
 )
-def _(t):
+def wls_logit(t):
     d = t.deals.select("f_cash", F.expr("cash - ratio * acq_price").alias("x"), F.expr("CASE event_id % 3 WHEN 0 THEN 0e0 WHEN 1 THEN 65e-2 ELSE 1e0 END").alias("w"))
     return S.weighted_logit_line(d, "f_cash", "x", "w").select("n", F.round("slope", 8).alias("slope"), F.round("intercept", 8).alias("intercept"))
 
 
 @query("pit_calibration")
-def _(t):
+def pit_calibration(t):
     """Held-out probabilities of the leave-one-out fits; the Beta function has no SQL."""
     return S.pit_calibration(S.beta_leave_one_out(t.deals.select("deal_type", "f_cash"), ["deal_type"], "f_cash"), "f_cash")
 
@@ -101,7 +101,7 @@ def ols_fit(t):
 
 
 @query("qq_positions", "SELECT deal_type, f_cash, (row_number() OVER (PARTITION BY deal_type ORDER BY f_cash, event_id) - 5e-1) / count(*) OVER (PARTITION BY deal_type) AS position, event_id FROM {deals} WHERE f_cash > 0 AND f_cash < 1")
-def _(t):
+def qq_positions(t):
     from pyspark.sql import Window
 
     w = Window.partitionBy("deal_type")

@@ -18,7 +18,7 @@ def _count(w):
 
 
 @query("keyword_score", "SELECT doc_id, " + " + ".join(f"{_count(w)} * {4 if w in CORE else 1}" for w in WORDS) + " AS score FROM {filings}")
-def _(t):
+def keyword_score(t):
     return t.filings.select("doc_id", L.keyword_score(F.lower("text"), WORDS, CORE).alias("score"))
 
 
@@ -28,7 +28,7 @@ def _snip(w):
 
 
 @query("snippets", "SELECT doc_id, array_to_string(list_filter([" + ", ".join(_snip(w) for w in WORDS) + "], lambda x: x IS NOT NULL)[1:3], ' ||| ') AS snippets FROM {filings}")
-def _(t):
+def snippets(t):
     return t.filings.select("doc_id", L.snippets(F.lower("text"), WORDS, 30, 30, 3).alias("snippets"))
 
 
@@ -46,7 +46,7 @@ _ASCII = r"regexp_replace(lower(text), '[^\x00-\x7F]', ' ', 'g')"
 
 
 @query("field_score", f"WITH s AS (SELECT doc_id, form, {_FIELD.replace('lower(text)', _ASCII)} AS hits FROM {{filings}}) SELECT doc_id, CASE WHEN hits > 0 THEN hits + {_FORM_BONUS} ELSE 0 END AS score, {_FORM_BONUS} AS form_bonus FROM s")
-def _(t):
+def field_score(t):
     bonus = L.form_bonus(F.col("form"), FORMS)
     return t.filings.select("doc_id", L.field_score(ascii_text(), PHRASES, bonus).cast("long").alias("score"), bonus.alias("form_bonus"))
 
@@ -57,7 +57,7 @@ def _(t):
 SELECT doc_id, CAST(filing_date - close_date AS INT) AS days, CASE WHEN abs(filing_date - close_date) <= 45 THEN 25 WHEN abs(filing_date - close_date) <= 120 THEN 10 WHEN abs(filing_date - close_date) <= 270 THEN 3 ELSE 0 END AS bonus
 FROM {filings} f JOIN c ON c.event_id = f.event_id WHERE form <> '8-K' OR filing_date - close_date >= -30""",
 )
-def _(t):
+def proximity_bonus(t):
     """Label evidence from more than 30 days before the close goes; the nearer the rest, the more it counts."""
     close = t.filings.groupBy("event_id").agg(F.date_sub(F.max("filing_date"), 200).alias("close_date"))
     days = F.datediff("filing_date", "close_date")
@@ -70,7 +70,7 @@ def _(t):
     f"""WITH s AS (SELECT event_id, doc_id, form, filing_date, form IN ('8-K', 'EX-99.1') AS label, {_count("and")} AS score FROM {{filings}})
 SELECT event_id, doc_id, label, score FROM (SELECT *, row_number() OVER (PARTITION BY event_id, label ORDER BY score DESC, CASE WHEN label THEN -(filing_date - DATE '2000-01-01') ELSE filing_date - DATE '2000-01-01' END, doc_id) AS r FROM s) WHERE r <= 3""",
 )
-def _(t):
+def topk_evidence(t):
     """The three best rows of each kind: of equal scores the latest for labels, the earliest for terms."""
     d = t.filings.select("event_id", "doc_id", "filing_date", F.col("form").isin("8-K", "EX-99.1").alias("label"), L.occurrences(F.lower("text"), "and").alias("score"))
     day = F.datediff("filing_date", F.lit("2000-01-01").cast("date"))
@@ -83,7 +83,7 @@ def _(t):
     f"""WITH s AS (SELECT event_id, side, form, {_count("and")} AS score, filing_date FROM {{filings}} WHERE form <> 'DEFM14A')
 SELECT event_id, side, sum(score) AS total, max(score) AS most, array_to_string(list_sort(list_distinct(list(form))), ';') AS forms, count(*) AS docs FROM s GROUP BY event_id, side""",
 )
-def _(t):
+def doc_select(t):
     d = t.filings.where("form <> 'DEFM14A'").select("event_id", "side", "form", L.occurrences(F.lower("text"), "and").alias("score"))
     return d.groupBy("event_id", "side").agg(F.sum("score").alias("total"), F.max("score").alias("most"), F.array_join(F.array_sort(F.collect_set("form")), ";").alias("forms"), F.count(F.lit(1)).alias("docs"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import asof as A
+from ..operators.running import running
 from ..operators import history as H
 from .registry import query
 
@@ -41,22 +42,22 @@ def paid_path(t):
 
 
 @query("ffill_path", f"WITH {_SIDES_SQL} SELECT event_id, price_date, tp AS target_price, ap AS acquirer_price FROM d1")
-def _(t):
+def ffill_path(t):
     return H.both_sides(t.prices)
 
 
 @query("hedge_path", f"WITH {PATH_SQL} SELECT event_id, date, round(daily_return, 9) + 0e0 AS daily_return FROM pa")
-def _(t):
+def hedge_path(t):
     return path(t).select("event_id", "date", (F.round("daily_return", 9) + 0.0).alias("daily_return"))
 
 
 @query("hedge_skipped", f"WITH {PATH_SQL} SELECT event_id, 'fewer_than_two_days' AS reason FROM tr WHERE event_id NOT IN (SELECT event_id FROM pa)")
-def _(t):
+def hedge_skipped(t):
     return H.skipped_trades(path(t), trades(t))
 
 
 @query("settlement_reconcile", f"WITH {PATH_SQL} SELECT tr.event_id, tr.total, round(sum(daily_return), 9) + 0e0 AS path_sum, round(sum(daily_return) - tr.total, 9) + 0e0 AS gap FROM pa JOIN tr ON tr.event_id = pa.event_id WHERE tr.total IS NOT NULL GROUP BY tr.event_id, tr.total")
-def _(t):
+def settlement_reconcile(t):
     j = path(t).join(trades(t).select("event_id", "total").where("total is not null"), "event_id").groupBy("event_id", "total").agg(F.sum("daily_return").alias("s"))
     return j.select("event_id", "total", (F.round("s", 9) + 0.0).alias("path_sum"), (F.round(F.col("s") - F.col("total"), 9) + 0.0).alias("gap"))
 
@@ -72,7 +73,7 @@ def daily(t):
 
 
 @query("portfolio_daily", f"WITH {PORT_SQL} SELECT * FROM po")
-def _(t):
+def portfolio_daily(t):
     return daily(t)
 
 
@@ -80,7 +81,7 @@ def _(t):
     "portfolio_scopes",
     f"WITH {PORT_SQL}, sc AS (SELECT 'all_tradable' AS scope, * FROM pp UNION ALL SELECT 'completion_only', * FROM pp WHERE event_id % 4 <> 0) SELECT scope, date, count(*) AS active_trade_count, round(avg(daily_return), 9) AS equal_weight_return FROM sc GROUP BY ALL",
 )
-def _(t):
+def portfolio_scopes(t):
     p = paid_path(t)
     both = p.withColumn("scope", F.explode(F.when(F.col("event_id") % 4 != 0, F.array(F.lit("all_tradable"), F.lit("completion_only"))).otherwise(F.array(F.lit("all_tradable")))))
     return both.groupBy("scope", "date").agg(F.count(F.lit(1)).alias("active_trade_count"), F.round(F.avg("daily_return"), 9).alias("equal_weight_return"))
@@ -91,12 +92,12 @@ def _(t):
     f"""WITH {PORT_SQL}, c AS (SELECT CAST(unnest(generate_series((SELECT min(date) FROM po), (SELECT max(date) FROM po), INTERVAL 1 DAY)) AS DATE) AS date)
 SELECT c.date, coalesce(active_trade_count, 0) AS active_trade_count, coalesce(equal_weight_return, 0e0) AS equal_weight_return FROM c LEFT JOIN po ON po.date = c.date WHERE isodow(c.date) <= 5""",
 )
-def _(t):
+def bday_calendar(t):
     return H.business_days(daily(t), ["active_trade_count", "equal_weight_return"])
 
 
 @query("drawdown", f"WITH {PATH_SQL}, c AS (SELECT event_id, date, sum(daily_return) OVER (PARTITION BY event_id ORDER BY date) AS s FROM pa) SELECT event_id, date, round(s, 8) + 0e0 AS cumulative, round(max(s) OVER (PARTITION BY event_id ORDER BY date), 8) + 0e0 AS peak, round(s - max(s) OVER (PARTITION BY event_id ORDER BY date), 8) + 0e0 AS drawdown FROM c")
-def _(t):
+def drawdown(t):
     d = H.running(path(t), ["event_id"], ["date"], "daily_return")
     return d.select("event_id", "date", *[(F.round(c, 8) + 0.0).alias(c) for c in ("cumulative", "peak", "drawdown")])
 
@@ -106,7 +107,7 @@ def _(t):
     f"""WITH {PORT_SQL} SELECT count(*) AS day_count, round(avg(r), 8) AS mean_daily, round(stddev_samp(r) * sqrt(252), 8) AS annual_vol, round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe,
   round(avg(r) / sqrt(avg(CASE WHEN r < 0 THEN r * r ELSE 0 END)) * sqrt(252), 6) AS sortino, avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END) AS positive_rate FROM (SELECT equal_weight_return AS r FROM po)""",
 )
-def _(t):
+def annualized_stats(t):
     a = daily(t).agg(*[c.alias(k) for k, c in H.annualised(F.col("equal_weight_return")).items()])
     return a.withColumns({k: F.round(k, n) for k, n in (("mean_daily", 8), ("annual_vol", 8), ("sharpe", 6), ("sortino", 6))})
 
@@ -116,13 +117,13 @@ def _(t):
     """SELECT signal, count(r) AS n, round(avg(r), 9) AS mean, round(median(r), 9) AS median, round(stddev_samp(r), 9) AS std, min(r) AS least, max(r) AS most, count(*) FILTER (r < 0) AS negatives, avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END) AS hit_rate,
   round(avg(r) / stddev_samp(r), 6) AS mean_over_std, round(avg(r) / nullif(sqrt(avg(CASE WHEN r < 0 THEN r * r ELSE 0 END)), 0e0), 6) AS sortino FROM (SELECT signal, realized_return AS r FROM {trades} WHERE realized_return IS NOT NULL) GROUP BY signal""",
 )
-def _(t):
+def risk_block(t):
     g = t.trades.where("realized_return is not null").groupBy("signal").agg(*[c.alias(k) for k, c in H.risk_block(F.col("realized_return")).items()])
     return g.withColumns({k: F.round(k, n) for k, n in (("mean", 9), ("median", 9), ("std", 9), ("mean_over_std", 6), ("sortino", 6))})
 
 
 @query("ex_largest", "SELECT signal, count(*) AS n, round(avg(realized_return), 9) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY realized_return DESC, event_id) AS r FROM {trades} WHERE realized_return IS NOT NULL) WHERE r > 1 GROUP BY signal")
-def _(t):
+def ex_largest(t):
     w = Window.partitionBy("signal").orderBy(F.col("realized_return").desc(), "event_id")
     d = t.trades.where("realized_return is not null").withColumn("r", F.row_number().over(w)).where("r > 1")
     return d.groupBy("signal").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("realized_return"), 9).alias("mean"))
@@ -133,11 +134,10 @@ def _(t):
     f"""WITH {PORT_SQL}, e AS (SELECT event_id, max(date) AS close_date, min_by(notional, date) AS notional, sum(daily_return) AS r FROM pp GROUP BY event_id)
 SELECT row_number() OVER (ORDER BY close_date, event_id) AS event_number, event_id, close_date, notional, round(r, 9) + 0e0 AS event_return, round(sum(r) OVER (ORDER BY close_date, event_id), 8) + 0e0 AS cumulative FROM e""",
 )
-def _(t):
+def event_curve(t):
     e = paid_path(t).groupBy("event_id").agg(F.max("date").alias("close_date"), F.min_by("notional", "date").alias("notional"), F.sum("daily_return").alias("r"))
-    # one row for each event: a report, not a scan
-    w = Window.orderBy("close_date", "event_id")
-    return e.select(F.row_number().over(w).cast("long").alias("event_number"), "event_id", "close_date", "notional", (F.round("r", 9) + 0.0).alias("event_return"), (F.round(F.sum("r").over(w.rowsBetween(Window.unboundedPreceding, 0)), 8) + 0.0).alias("cumulative"))
+    e = running(e, [F.col("close_date"), F.col("event_id")], {"before": "r"})
+    return e.select((F.col("nth") + 1).cast("long").alias("event_number"), "event_id", "close_date", "notional", (F.round("r", 9) + 0.0).alias("event_return"), (F.round(F.col("before") + F.col("r"), 8) + 0.0).alias("cumulative"))
 
 
 @query(
@@ -146,7 +146,7 @@ def _(t):
   row_number() OVER (PARTITION BY p.event_id, p.side ORDER BY price_date DESC) AS r FROM {prices} p JOIN {spans} s ON s.event_id = p.event_id WHERE price_date <= close_date
   WINDOW a AS (PARTITION BY p.event_id, p.side ORDER BY price_date ROWS 19 PRECEDING), b AS (PARTITION BY p.event_id, p.side ORDER BY price_date ROWS 59 PRECEDING)) WHERE r = 1""",
 )
-def _(t):
+def adv20(t):
     w = Window.partitionBy("event_id", "side").orderBy("price_date")
     d = t.prices.join(t.spans.select("event_id", "close_date"), "event_id").where("price_date <= close_date")
     d = d.withColumns({"adv20": F.round(F.avg("volume").over(w.rowsBetween(-19, 0)), 9), "adv60": F.round(F.avg("volume").over(w.rowsBetween(-59, 0)), 9), "rows_seen": F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))})
@@ -154,13 +154,13 @@ def _(t):
 
 
 @query("ratio_trailing20", "SELECT event_id, side, price_date, volume * 1e0 / nullif(volume + 3, 0) AS ratio, round(avg(volume * 1e0 / nullif(volume + 3, 0)) OVER (PARTITION BY event_id, side ORDER BY price_date ROWS 19 PRECEDING), 9) AS ratio_20d FROM {prices}")
-def _(t):
+def ratio_trailing20(t):
     w = Window.partitionBy("event_id", "side").orderBy("price_date").rowsBetween(-19, 0)
     d = t.prices.withColumn("ratio", F.col("volume") / F.nullif(F.col("volume") + 3, F.lit(0)))
     return d.select("event_id", "side", "price_date", "ratio", F.round(F.avg("ratio").over(w), 9).alias("ratio_20d"))
 
 
 @query("active_notional", f"WITH {PORT_SQL} SELECT event_id, date, notional, sum(notional) OVER (PARTITION BY date) AS day_notional, round(notional / nullif(sum(notional) OVER (PARTITION BY date), 0e0), 9) AS share FROM pp")
-def _(t):
+def active_notional(t):
     whole = F.sum("notional").over(Window.partitionBy("date"))
     return paid_path(t).select("event_id", "date", "notional", whole.alias("day_notional"), F.round(F.col("notional") / F.nullif(whole, F.lit(0.0)), 9).alias("share"))

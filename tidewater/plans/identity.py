@@ -17,7 +17,7 @@ _TOKENS = "list_distinct(string_split({0}, ' '))"
 w AS (SELECT *, {_TOKENS.format("a")} AS wa, {_TOKENS.format("b")} AS wb FROM p)
 SELECT p_partkey, CASE WHEN a = b THEN 100e0 WHEN len(list_intersect(wa, wb)) = len(wa) THEN 95e0 WHEN len(list_intersect(wa, wb)) > 0 THEN 80e0 + 15e0 * len(list_intersect(wa, wb)) / greatest(1, len(wa)) ELSE 0e0 END AS score FROM w""",
 )
-def _(t):
+def token_match_score(t):
     return names(t).select("p_partkey", I.token_score(F.col("a"), F.col("b")).alias("score"))
 
 
@@ -28,7 +28,7 @@ def names(t):
 
 
 @query("name_match_score")
-def _(t):
+def name_match_score(t):
     """With the sequence measure, which has no SQL."""
     return names(t).select("p_partkey", I.name_score(F.col("a"), F.col("b")).alias("score"))
 
@@ -44,7 +44,7 @@ SELECT k, CASE WHEN kind = 'gap' THEN CASE WHEN trusted THEN resolved ELSE '' EN
     WHEN NOT trusted THEN 'kept_bbg_uncovered' WHEN equiv THEN 'confirmed' ELSE 'conflict_review' END AS decision,
   (kind = 'gap' AND NOT trusted) OR (kind = 'short' AND NOT trusted) OR (kind = 'ok' AND trusted AND NOT equiv) AS review FROM d""",
 )
-def _(t):
+def cusip_decision(t):
     k, nine = F.col("p_partkey"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")
     m = k % 7
     raw = F.when(m == 0, nine).when(m == 1, F.substring(nine, 2, 8)).when(m == 2, "ZZZZZZZZ").when(m == 3, "").when(m == 4, "1.2E+08").when(m == 5, "YYYYYYYYY").otherwise(F.concat(F.substring(nine, 1, 8), F.lit("X")))
@@ -57,7 +57,7 @@ def _(t):
     """WITH c AS (SELECT n.permno, n.comnam, s.s_suppkey, n.namedt, n.nameenddt, (n.permno * 7 + s.s_suppkey) % 100 AS score, DATE '1996-06-01' + CAST(s.s_suppkey * 20 AS INT) AS d FROM {names} n JOIN supplier s ON n.permno % 100 = s.s_suppkey % 100)
 SELECT s_suppkey, permno, comnam FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, (namedt <= d AND d <= nameenddt) DESC, nameenddt DESC, permno) AS r FROM c) WHERE r = 1""",
 )
-def _(t):
+def candidate_rank(t):
     """The best of a key's candidates: by score, then by the window that holds the date, then the latest."""
     s = t.supplier.select("s_suppkey", (F.col("s_suppkey") % 100).alias("k"), F.date_add(F.lit("1996-06-01").cast("date"), (F.col("s_suppkey") * 20).cast("int")).alias("d"))
     j = t.names.withColumn("k", F.col("permno") % 100).join(s, "k").withColumn("score", (F.col("permno") * 7 + F.col("s_suppkey")) % 100)
@@ -69,7 +69,7 @@ def _(t):
     "close_verify",
     "SELECT event_id, min_by(form, abs(filing_date - DATE '2020-12-01') * 100000 + doc_id) AS form, min(abs(filing_date - DATE '2020-12-01')) AS days FROM {filings} WHERE abs(filing_date - DATE '2020-12-01') <= 150 AND form <> '8-K' GROUP BY event_id",
 )
-def _(t):
+def close_verify(t):
     days = F.abs(F.datediff("filing_date", F.lit("2020-12-01").cast("date")))
     d = t.filings.where((days <= 150) & (F.col("form") != "8-K"))
     return d.groupBy("event_id").agg(F.min_by("form", F.struct(days, "doc_id")).alias("form"), F.min(days).cast("long").alias("days"))

@@ -22,7 +22,7 @@ def training(t):
     """SELECT event_id, CASE WHEN value_mil >= 0 THEN ln(1e0 + value_mil) END AS announced_value_log, CAST(year(announce_date) AS DOUBLE) AS announce_year, lower(deal_type) AS deal_type,
   trim(regexp_replace(lower(payment_type), '[^a-z0-9]+', ' ', 'g')) AS payment_type, CASE WHEN event_id % 3 = 0 THEN 'missing' ELSE 'present' END AS cusip_present FROM {deals}""",
 )
-def _(t):
+def nb_features(t):
     return t.deals.select(
         "event_id",
         F.when(F.col("value_mil") >= 0, F.log1p("value_mil")).alias("announced_value_log"),
@@ -38,7 +38,7 @@ PARAMS = B.NBParams(prior_strength=5.0, shrinkage=0.25, likelihood_weight=0.8, p
 
 
 @query("nb_priors", f"WITH {PRIORS_SQL} SELECT label, n, prior FROM pr")
-def _(t):
+def nb_priors(t):
     return B.priors(training(t), "label", PARAMS)
 
 
@@ -48,7 +48,7 @@ ns AS (SELECT label, l.feature, count(x) AS n, avg(x) AS mean, greatest(75e-2 *
 
 
 @query("nb_numeric_stats", f"WITH {NUM_SQL} SELECT label, feature, n, round(mean, 8) AS mean, round(var, 8) AS var FROM ns")
-def _(t):
+def nb_numeric_stats(t):
     s = B.numeric_stats(B.long_numeric(training(t), ["label"], NUMERIC), "label", PARAMS)
     return s.select("label", "feature", "n", F.round("mean", 8).alias("mean"), F.round("var", 8).alias("var"))
 
@@ -58,7 +58,7 @@ cc AS (SELECT label, feature, v, count(*) AS n FROM lc GROUP BY ALL), ct AS (SEL
 
 
 @query("nb_categorical_counts", f"WITH {CAT_SQL} SELECT label, feature, v, n FROM cc")
-def _(t):
+def nb_categorical_counts(t):
     return B.categorical_counts(B.long_categorical(training(t), ["label"], CATEGORICAL), "label")
 
 
@@ -114,7 +114,7 @@ def class_metrics(t):
 SELECT CAST(s.year AS INT) AS year, b.label, count(t.log_value) AS n, round(avg(t.log_value), 8) AS mean, CASE WHEN count(t.log_value) > 1 THEN round(var_samp(t.log_value), 8) END AS var
 FROM s CROSS JOIN (VALUES ('completed'), ('terminated'), ('withdrawn')) b(label) LEFT JOIN {training} t ON t.label = b.label AND t.year < s.year GROUP BY ALL""",
 )
-def _(t):
+def nb_expanding(t):
     d = B.expanding_numeric(t.training, "label", "year", "log_value", 5.0)
     return d.select("year", "label", "n", F.round("mean", 8).alias("mean"), F.round("var", 8).alias("var"))
 

@@ -19,7 +19,7 @@ h AS (SELECT *, cf * cash + (1 - cf) * stock AS cash_holder, sf * stock + (1 - s
 
 
 @query("prorate", f"WITH {_FILLS} SELECT event_id, cash_holder, stock_holder, blended, greatest(cash_holder, stock_holder) AS optimal FROM h")
-def _(t):
+def prorate(t):
     d = mc_ready(t.deals)
     return d.select("event_id", *[c.alias(k) for k, c in P.prorate(F.col("f_cash"), F.col("pi_cash"), F.col("cash"), F.col("ratio") * F.col("acq_price")).items()])
 
@@ -29,7 +29,7 @@ def _(t):
     f"""WITH {_FILLS} SELECT event_id, blended, greatest(cash_holder, stock_holder) AS optimal, greatest(cash_holder, stock_holder) - blended AS edge,
   (greatest(cash_holder, stock_holder) - blended) / nullif(blended, 0e0) * 100 AS edge_pct FROM h WHERE abs(cash - stock) / greatest(least(abs(cash), abs(stock)), 1e-9) <= 5e-1""",
 )
-def _(t):
+def realized_edge_query(t):
     return realized_edge(t.deals)
 
 
@@ -49,7 +49,7 @@ c AS (SELECT event_id, greatest(0e0, least(1e0, coalesce(CASE WHEN legacy THEN 1
   greatest(0e0, least(1e0, coalesce(CASE WHEN legacy THEN p_break ELSE p_terminated END, 0e0))) AS b, greatest(0e0, least(1e0, coalesce(CASE WHEN legacy THEN 0e0 ELSE p_withdrawn END, 0e0))) AS w FROM l)
 SELECT event_id, CASE WHEN a + b + w > 0 THEN a / (a + b + w) ELSE 1e0 END AS completed, CASE WHEN a + b + w > 0 THEN b / (a + b + w) ELSE 0e0 END AS terminated, CASE WHEN a + b + w > 0 THEN w / (a + b + w) ELSE 0e0 END AS withdrawn FROM c""",
 )
-def _(t):
+def state_probs(t):
     made = P.state_probabilities(F.col("p_completed"), F.col("p_terminated"), F.col("p_withdrawn"), F.col("p_break"))
     return t.odds.select("event_id", *[c.alias(k) for k, c in made.items()])
 
@@ -65,7 +65,7 @@ SELECT event_id, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND w IS NOT NULL THE
   CASE WHEN a IS NOT NULL AND b IS NOT NULL AND w IS NOT NULL THEN CASE WHEN a + b + w > 0 THEN w / (a + b + w) ELSE 0e0 END WHEN k IS NOT NULL THEN k * 35e-2 WHEN coalesce(a, b, w) IS NOT NULL THEN CASE WHEN pa + pb + pw > 0 THEN pw / (pa + pb + pw) ELSE 0e0 END ELSE 5e-2 END AS p_withdrawn,
   CASE WHEN a IS NOT NULL AND b IS NOT NULL AND w IS NOT NULL THEN 'event_explicit_three_state' WHEN k IS NOT NULL THEN 'event_aggregate_break_split' WHEN coalesce(a, b, w) IS NOT NULL THEN 'event_partial_three_state_plus_defaults' ELSE 'default_scenario_no_event_probabilities' END AS source FROM p""",
 )
-def _(t):
+def prob_resolution(t):
     s = P.resolved_probabilities(F.col("p_completed"), F.col("p_terminated"), F.col("p_withdrawn"), F.col("p_break"), P.OutcomeDefaults(), "event")
     return t.odds.select("event_id", F.inline(F.array(s)))
 
@@ -76,7 +76,7 @@ def _(t):
 l AS (SELECT *, CASE WHEN r IS NULL THEN 0e0 ELSE greatest(m - r, 0e0) END AS fall FROM m)
 SELECT event_id, m - greatest(fall, 25e-2 * m) AS terminated_value, m - greatest(fall, 35e-2 * m) AS withdrawn_value, 5e-1 * m + 3e-1 * (m - greatest(fall, 25e-2 * m)) + 2e-1 * (m - greatest(fall, 35e-2 * m)) AS expected_value FROM l""",
 )
-def _(t):
+def break_values(t):
     m, r = F.col("cash"), F.when(F.col("event_id") % 4 != 0, F.col("cash") * (0.6 + (F.col("event_id") % 40) / 64.0))
     terminated, withdrawn = P.break_values(m, r, P.BreakLosses())
     return t.deals.select("event_id", terminated.alias("terminated_value"), withdrawn.alias("withdrawn_value"), (0.5 * m + 0.3 * terminated + 0.2 * withdrawn).alias("expected_value"))
@@ -86,7 +86,7 @@ def _(t):
     "outcome_overlay",
     """SELECT event_id, CASE WHEN (event_id % 64) / 64e0 < 5e-1 THEN cash WHEN (event_id % 64) / 64e0 < 75e-2 THEN cash * 75e-2 ELSE cash * 65e-2 END AS value FROM {deals}""",
 )
-def _(t):
+def outcome_overlay(t):
     u = (F.col("event_id") % 64) / 64.0
     return t.deals.select("event_id", P.overlay(u, F.lit(0.5), F.lit(0.25), F.col("cash"), F.col("cash") * 0.75, F.col("cash") * 0.65).alias("value"))
 
@@ -97,7 +97,7 @@ def _(t):
 SELECT event_id, coalesce(cap, 1 - scap, 5e-1) AS pi_cash, CASE WHEN cap IS NOT NULL THEN 'cash_cap' WHEN scap IS NOT NULL THEN 'stock_cap' ELSE 'default_half' END AS pi_cash_source, ratio * acq_price AS stock_val, cash - ratio * acq_price AS spread,
   CASE WHEN k <> 3 THEN deal_status ELSE '' END AS deal_outcome_label, CASE WHEN k <> 3 THEN 'export' ELSE 'unrecognised' END AS deal_outcome_source, k <> 3 AND deal_status IN ('terminated', 'withdrawn') AS broke FROM x""",
 )
-def _(t):
+def deal_terms(t):
     k = F.col("event_id") % 3
     d = t.deals.withColumns({"cap": F.when(k == 0, F.col("pi_cash")), "scap": F.when(k == 1, 1 - F.col("pi_cash")), "raw": F.when(F.col("event_id") % 4 != 3, F.col("deal_status")).otherwise("pending")})
     label = X.exact_status(F.col("raw"))
@@ -121,7 +121,7 @@ p AS (SELECT e.*, coalesce((SELECT max_by(price, price_date) FROM {prices} p WHE
 v AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN 'floating' ELSE 'fixed' END AS ratio_type, CASE WHEN event_id % 60 = 0 THEN NULL ELSE CAST(event_id % 60 AS DOUBLE) + 5e-1 END AS cash_val, CASE WHEN event_id % 5 <> 0 THEN CAST('0.' || CAST(1 + event_id % 9 AS VARCHAR) AS DOUBLE) END AS ratio FROM p)
 SELECT event_id, deadline, acq AS acq_price, ratio_type, cash_val, ratio, ratio * acq AS stock_val, cash_val - ratio * acq AS spread FROM v""",
 )
-def _(t):
+def deadline_spread(t):
     d = t.spans.select(
         "event_id",
         F.col("announce_date").alias("deadline"),
@@ -137,7 +137,7 @@ def _(t):
 
 
 @query("fill_rates", "SELECT event_id, CASE WHEN pi_cash IS NOT NULL THEN CASE WHEN f_cash <= 1e-12 THEN 1e0 ELSE least(1e0, pi_cash / f_cash) END END AS cash_fill, CASE WHEN pi_cash IS NOT NULL THEN CASE WHEN 1 - f_cash <= 1e-12 THEN 1e0 ELSE least(1e0, (1 - pi_cash) / (1 - f_cash)) END END AS stock_fill FROM {deals} WHERE f_cash IS NOT NULL")
-def _(t):
+def fill_rates(t):
     f, pi = F.col("f_cash"), F.col("pi_cash")
     cash, stock = P.fill_rates(f, 1 - f, pi, 1 - pi)
     return t.deals.where(f.isNotNull()).select("event_id", cash.alias("cash_fill"), stock.alias("stock_fill"))
@@ -162,7 +162,7 @@ def predict_votes(t):
 SELECT event_id, blended / m - 1 AS arb_return, abs(cash - stock) / greatest(least(abs(cash), abs(stock)), 1e-9) AS gap,
   CASE WHEN abs(blended / m - 1) > 3e-1 OR abs(cash - stock) / greatest(least(abs(cash), abs(stock)), 1e-9) > 5e-1 THEN 'REVIEW' ELSE 'OK' END AS guard FROM r""",
 )
-def _(t):
+def quality_guard(t):
     stock = F.col("ratio") * F.col("acq_price")
     market = F.col("cash") * (0.7 + (F.col("event_id") % 32) / 64.0)
     arb = (F.col("cash") * F.col("pi_cash") + stock * (1 - F.col("pi_cash"))) / market - 1
@@ -178,7 +178,7 @@ h AS (SELECT *, CASE WHEN f_cash IS NOT NULL THEN greatest(least(1e0, pi_cash /
 SELECT event_id, CASE WHEN deal_status = 'terminated' THEN -25e-2 WHEN deal_status = 'withdrawn' THEN -35e-2 WHEN optimal IS NOT NULL THEN optimal / m - 1 END AS realized,
   CASE WHEN deal_status = 'terminated' THEN 'terminated_break' WHEN deal_status = 'withdrawn' THEN 'withdrawn_break' WHEN optimal IS NOT NULL THEN 'completed_actual_demand' ELSE 'missing' END AS source FROM h""",
 )
-def _(t):
+def realized_return(t):
     m = F.col("cash") * 0.9
     best = P.prorate(F.col("f_cash"), F.col("pi_cash"), F.col("cash"), F.col("ratio") * F.col("acq_price"))["optimal"]
     best = F.when(F.col("f_cash").isNotNull(), best)
@@ -198,7 +198,7 @@ e AS (SELECT *, least(1e0, pi_cash / f) AS cf, least(1e0, (1 - pi_cash) / (1 - f
 a AS (SELECT event_id, pi_cash, ratio, avg(cf * cash + (1 - cf) * stock) AS e_cash, avg(sf * stock + (1 - sf) * cash) AS e_stock, avg(1 - cf) AS s_cash, avg(sf) AS s_stock FROM e GROUP BY ALL)
 SELECT event_id, CASE WHEN e_cash >= e_stock THEN 'CASH' ELSE 'STOCK' END AS elect, greatest(e_cash, e_stock) AS value, ratio * CASE WHEN e_cash >= e_stock THEN s_cash ELSE s_stock END AS hedge, ratio * (1 - pi_cash) AS reverse_hedge FROM a""",
 )
-def _(t):
+def elect_hedge(t):
     """Expected payoffs over a midpoint quadrature of uniform demand, exact in both engines."""
     d = mc_ready(t.deals, with_demand=False).withColumn("stock", F.col("ratio") * F.col("acq_price"))
     d = d.select("event_id", "cash", "stock", "pi_cash", "ratio", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k")).withColumn("f", (F.col("k") + 0.5) / 16.0)

@@ -13,12 +13,12 @@ _PLAIN = f"replace({_CLEAN}, ',', '')"
 
 
 @query("clean_str", f"SELECT id, {_CLEAN} AS cleaned, CASE WHEN raw IS NULL OR lower(trim(raw)) IN ('', 'nan', 'none', 'null') THEN '' ELSE trim(raw) END AS cleaned_adapter FROM {{prose}}")
-def _(t):
+def clean_str(t):
     return t.prose.select("id", X.clean(F.col("raw")).alias("cleaned"), X.clean(F.col("raw"), X.MISSING_ADAPTER).alias("cleaned_adapter"))
 
 
 @query("first_number", f"SELECT id, TRY_CAST(regexp_extract({_PLAIN}, '(-?[0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE) AS x FROM {{prose}}")
-def _(t):
+def first_number(t):
     return t.prose.select("id", N.first_number(F.col("raw")).alias("x"))
 
 
@@ -27,7 +27,7 @@ def _(t):
     r"""SELECT id, list_filter(list_transform(regexp_extract_all(replace(raw, ',', ''), '([0-9]+\.?[0-9]*)', 1), lambda x: TRY_CAST(x AS DOUBLE)), lambda x: x BETWEEN 1 AND 2000)[1] AS cash_value,
   list_filter(list_transform(regexp_extract_all(replace(raw, ',', ''), '([0-9]+\.?[0-9]*)', 1), lambda x: TRY_CAST(x AS DOUBLE)), lambda x: x BETWEEN 2e-2 AND 5)[1] AS ratio FROM {prose}""",
 )
-def _(t):
+def bounded_number(t):
     return t.prose.select("id", N.bounded_number(F.col("raw"), 1, 2000).alias("cash_value"), N.bounded_number(F.col("raw"), 0.02, 5).alias("ratio"))
 
 
@@ -39,7 +39,7 @@ v AS (SELECT id, TRY_CAST(regexp_extract(t, '([0-9]+\.?[0-9]*)\s*%', 1) AS DOUBL
 SELECT id, CASE WHEN coalesce(pct, CASE WHEN fr BETWEEN 0 AND 1 THEN fr * 100 END) BETWEEN 0 AND 100 THEN coalesce(pct, CASE WHEN fr BETWEEN 0 AND 1 THEN fr * 100 END) END AS pct,
   CASE WHEN small BETWEEN 1 AND 99 THEN small / 100 END AS pct_fraction FROM v""",
 )
-def _(t):
+def percent_parse(t):
     return t.prose.select("id", N.percent(F.col("raw")).alias("pct"), N.percent_fraction(F.replace(F.col("raw"), F.lit(","), F.lit(""))).alias("pct_fraction"))
 
 
@@ -55,7 +55,7 @@ SELECT id, coalesce(pct / 100, a / nullif(b, 0e0), dec, CASE WHEN whole > 1 AND
     WHEN whole > 1 AND whole <= 100 AND regexp_matches(t, 'percent|pct|share') THEN whole / 100
     WHEN whole IS NOT NULL THEN greatest(0e0, least(1e0, CASE WHEN whole / 5e5 > 1 AND whole / 5e5 <= 100 THEN whole / 5e5 / 100 ELSE whole / 5e5 END)) END AS share FROM v""",
 )
-def _(t):
+def fraction_ladder(t):
     return t.prose.select("id", N.fraction(F.col("raw")).alias("fraction"), N.share(F.col("raw"), F.lit(5e5)).alias("share"))
 
 
@@ -66,12 +66,12 @@ SELECT id, coalesce(TRY_CAST(regexp_extract(t, '\$\s*([0-9]+(?:\.[0-9]+)?)', 1)
   coalesce(TRY_CAST(regexp_extract(lower(t), 'exchange ratio (?:of )?([0-9]+(?:\.[0-9]+)?)', 1) AS DOUBLE), TRY_CAST(regexp_extract(lower(t), '([0-9]+(?:\.[0-9]+)?)\s*(?:share|shares)\s+of', 1) AS DOUBLE),
     TRY_CAST(regexp_extract(lower(t), '\b([0-9]+(?:\.[0-9]+)?)\s*:\s*1\b', 1) AS DOUBLE), TRY_CAST(regexp_extract(lower(t), '\b([0-9]+(?:\.[0-9]+)?)\b', 1) AS DOUBLE)) AS exchange_ratio FROM p""",
 )
-def _(t):
+def money_ratio_parse(t):
     return t.prose.select("id", N.money(F.col("raw")).alias("money"), N.exchange_ratio(F.col("raw")).alias("exchange_ratio"))
 
 
 @query("ratio_type_flag", r"SELECT id, CASE WHEN raw IS NOT NULL AND regexp_matches(raw, '(?i)vwap|÷|floating|average (trading|closing|share) price|/\s*\w+\s*(10|5|20)[- ]day|collar') THEN 'floating' ELSE 'fixed' END AS ratio_type FROM {prose}")
-def _(t):
+def ratio_type_flag(t):
     return t.prose.select("id", X.ratio_type(F.col("raw")).alias("ratio_type"))
 
 
@@ -81,7 +81,7 @@ def _(t):
   CAST(try_strptime(nullif(regexp_extract(raw, '\b([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})\b', 1), ''), '%m/%d/%Y') AS DATE),
   CAST(try_strptime(nullif(regexp_extract(raw, '\b((?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{1,2}, [0-9]{4})\b', 1), ''), '%B %d, %Y') AS DATE)) AS d FROM {prose}""",
 )
-def _(t):
+def date_extract(t):
     return t.prose.select("id", N.date_in(F.col("raw")).alias("d"))
 
 
@@ -91,7 +91,7 @@ def _(t):
   CAST(year(date_trunc('quarter', announce_date) - INTERVAL 15 MONTH) AS INT) AS year_5, CAST(quarter(date_trunc('quarter', announce_date) - INTERVAL 15 MONTH) AS INT) AS quarter_5,
   CAST(greatest(1, announce_date - DATE '1998-01-01') AS INT) AS elapsed FROM {deals}""",
 )
-def _(t):
+def quarter_lag(t):
     (y1, q1), (y5, q5) = N.quarter_before(F.col("announce_date"), 1), N.quarter_before(F.col("announce_date"), 5)
     return t.deals.select("event_id", y1.alias("year_1"), q1.alias("quarter_1"), y5.alias("year_5"), q5.alias("quarter_5"), N.elapsed_days(F.lit("1998-01-01").cast("date"), F.col("announce_date"), 30).alias("elapsed"))
 
@@ -118,7 +118,7 @@ def event_id_build(t):
   array_to_string(list_filter(regexp_split_to_array(regexp_replace(replace(regexp_replace(lower(s_name || ' & Co. (Old) Holdings'), '\([^)]*\)', ' ', 'g'), '&', ' and '), '[^a-z0-9 ]+', ' ', 'g'), '\s+'),
     lambda x: x <> '' AND x NOT IN ('inc', 'incorporated', 'corp', 'corporation', 'co', 'company', 'ltd', 'limited', 'llc', 'lp', 'plc', 'holdings', 'holding', 'group', 'the')), ' ') AS company FROM supplier""",
 )
-def _(t):
+def name_normalize(t):
     name = F.concat("s_name", F.lit(" & Co. (Old) Holdings"))
     return t.supplier.select("s_suppkey", X.normal_name(name).alias("plain"), X.company_name(name).alias("company"))
 
@@ -130,7 +130,7 @@ SELECT p_partkey, trim(CASE WHEN contains(x, '/') THEN replace(x, '.', '/') ELSE
   CASE WHEN regexp_matches(y, '^[0-9]{4,}[A-Z]?$') THEN '' ELSE y END AS placeholder, CASE WHEN contains(trim(a), ' ') THEN regexp_extract(trim(a), '([^ ]+)$', 1) ELSE '__missing__' END AS suffix FROM (
   SELECT p_partkey, a, CASE WHEN contains(regexp_replace(a, '\s+', ' ', 'g'), ' ') THEN regexp_replace(regexp_replace(a, '\s+', ' ', 'g'), ' [^ ]{1,3}$', '') ELSE a END AS x, regexp_replace(b, ' [^ ]{1,3}$', '') AS y FROM p)""",
 )
-def _(t):
+def ticker_clean(t):
     k = F.col("p_partkey") % 4
     a = F.concat(F.upper(F.substring("p_name", 1, 4)), F.when(k == 0, " US").when(k == 1, "/A  US").when(k == 2, ".B/C").otherwise(""))
     return t.part.select("p_partkey", X.ticker(a).alias("ticker"), X.ticker(F.concat((F.col("p_partkey") + 1436513).cast("string"), F.lit("D US"))).alias("placeholder"), X.market_suffix(a).alias("suffix"))
@@ -145,7 +145,7 @@ d AS (SELECT permno, base, word, list_sum(list_transform(range(1, 9), lambda i:
     + ((position(substr(word, i, 1) IN '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ*@#') - 1) * CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END) % 10)) END AS w FROM p)
 SELECT permno, base || CAST((10 - s % 10) % 10 AS VARCHAR) AS nine, CAST(CAST((10 - w % 10) % 10 AS BIGINT) AS VARCHAR) AS word_digit FROM d""",
 )
-def _(t):
+def cusip_check_digit(t):
     word = F.substring(F.upper(F.regexp_replace("comnam", "[^A-Za-z0-9]", "")), 1, 8)
     return t.names.select("permno", X.to_cusip9(F.col("ncusip")).alias("nine"), F.when(F.length(word) == 8, X.cusip_check_digit(word)).alias("word_digit"))
 
@@ -156,14 +156,14 @@ def _(t):
   WHEN 2 THEN substr(lpad(CAST(p_partkey AS VARCHAR), 9, '0'), 1, 8) WHEN 3 THEN 'N.A.' WHEN 4 THEN '1.23E+08' ELSE substr(lpad(CAST(p_partkey AS VARCHAR), 9, '0'), 1, 8) || 'X' END AS raw FROM part)
 SELECT k, CASE p.k % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'short_suspect' WHEN 2 THEN 'short_suspect' WHEN 3 THEN 'missing' WHEN 4 THEN 'malformed' ELSE 'ok' END AS kind, p.k % 6 IN (0, 1, 2, 5) AS same FROM p""",
 )
-def _(t):
+def cusip_equiv(t):
     nine, k = F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.col("p_partkey") % 6
     raw = F.when(k == 0, nine).when(k == 1, F.substring(nine, 2, 8)).when(k == 2, F.substring(nine, 1, 8)).when(k == 3, "N.A.").when(k == 4, "1.23E+08").otherwise(F.concat(F.substring(nine, 1, 8), F.lit("X")))
     return t.part.select(F.col("p_partkey").alias("k"), X.cusip_class(raw).alias("kind"), X.cusip_equivalent(raw, nine).alias("same"))
 
 
 @query("coalesce_alias", f"SELECT id, CASE WHEN {_CLEAN} <> '' THEN {_CLEAN} WHEN id % 3 <> 0 THEN 'alias ' || CAST(id AS VARCHAR) ELSE '' END AS v FROM {{prose}}")
-def _(t):
+def coalesce_alias(t):
     second = F.when(F.col("id") % 3 != 0, F.concat(F.lit("alias "), F.col("id").cast("string"))).otherwise("none")
     return t.prose.select("id", X.first_filled(F.col("raw"), second).alias("v"))
 
@@ -174,7 +174,7 @@ def _(t):
 SELECT id, CASE WHEN regexp_matches(t, 'withdraw|acquirer withdrew') THEN 'withdrawn' WHEN regexp_matches(t, 'terminated|termination|abandoned|cancelled|canceled') THEN 'terminated'
   WHEN regexp_matches(t, 'complete|closed|closing|consummated|effective time') THEN 'completed' ELSE '' END AS label, CASE WHEN t IN ('completed', 'terminated', 'withdrawn') THEN t ELSE '' END AS exact FROM p""",
 )
-def _(t):
+def outcome_label(t):
     return t.prose.select("id", X.outcome_label(F.col("raw")).alias("label"), X.exact_status(F.col("raw")).alias("exact"))
 
 
@@ -185,7 +185,7 @@ SELECT id, CASE WHEN contains(t, 'cash') AND NOT contains(t, 'stock') THEN 'cash
   CASE WHEN contains(t, 'mix') OR contains(t, 'blend') THEN 'mixed' WHEN contains(t, 'cash') AND NOT contains(t, 'stock') THEN 'cash' WHEN contains(t, 'stock') AND NOT contains(t, 'cash') THEN 'stock' END AS panel,
   CASE WHEN contains(t, 'cash') AND NOT contains(t, 'stock') THEN 1e0 WHEN contains(t, 'stock') AND NOT contains(t, 'cash') THEN 0e0 ELSE pi END AS probability FROM p""",
 )
-def _(t):
+def default_rule(t):
     raw = F.col("raw")
     return t.prose.select("id", X.default_rule_structural(raw).alias("structural"), X.default_rule_panel(raw).alias("panel"), X.default_rule_probability(raw, (F.col("id") % 64) / 64.0).alias("probability"))
 
@@ -198,7 +198,7 @@ SELECT s_suppkey, CASE WHEN regexp_matches(t, '\b(etf|exchange traded|index fund
   WHEN regexp_matches(t, '\b(elliott|third point|paulson|millennium|citadel|de shaw|two sigma|point72|cnc|glazer|magnetar|soros)\b') THEN 'hedge_or_event_driven' ELSE 'active_or_other_institution' END AS category,
   s_suppkey % 3 <> 0 AS flag FROM p""",
 )
-def _(t):
+def holder_category(t):
     k = F.col("s_suppkey") % 5
     name = F.concat(F.when(k == 0, "Vanguard ").when(k == 1, "BlackRock ").when(k == 2, "Citadel ").when(k == 3, "Index Fund-").otherwise("Plain "), F.col("s_name"))
     flag = F.when(F.col("s_suppkey") % 3 == 0, "No").otherwise("Y")
@@ -210,7 +210,7 @@ def _(t):
     r"""SELECT page_id, trim(regexp_replace(lower(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'),
   '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages""",
 )
-def _(t):
+def html_strip(t):
     return t.pages.select("page_id", X.strip_html(F.col("html")).alias("text"))
 
 
@@ -219,7 +219,7 @@ def _(t):
     """SELECT event_id, sign(value_mil - 100) * ln(1 + abs(value_mil - 100)) AS signed_log, CASE WHEN deal_type LIKE 'A%' THEN 'missing' ELSE 'present' END AS flag,
   CASE WHEN lower(payment_type) LIKE '%urgent%' OR lower(payment_type) LIKE '%high%' THEN 'election' ELSE 'other' END AS menu FROM {deals}""",
 )
-def _(t):
+def text_features(t):
     return t.deals.select(
         "event_id",
         N.signed_log(F.col("value_mil") - 100).alias("signed_log"),

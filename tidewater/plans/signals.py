@@ -27,7 +27,7 @@ _OK = "(mean > 5e-3 AND p05 >= -25e-2 AND loss <= 5e-1)"
     f"""WITH {STATS_SQL} SELECT event_id, {_OK} AS ok, CASE WHEN {_OK} THEN greatest(0e0, least(3e0, mean / greatest(-p05 * 125e-2, -p05, 1e-3))) ELSE 0e0 END AS size,
   CASE WHEN {_OK} THEN 'risk_adjusted_return_positive' WHEN mean <= 5e-3 THEN 'risk_adjusted_return_below_hurdle' WHEN p05 < -25e-2 THEN 'p05_below_floor' ELSE 'loss_probability_above_ceiling' END AS reason FROM s0""",
 )
-def _(t):
+def risk_gate(t):
     return stats(t).select("event_id", F.inline(F.array(G.risk_gate(F.col("mean"), F.col("p05"), F.col("p05") * 1.25, F.col("loss"), CFG))))
 
 
@@ -43,17 +43,17 @@ def signals(t):
 
 
 @query("signal_tree", f"WITH {SIGNAL_SQL} SELECT event_id, signal FROM sg")
-def _(t):
+def signal_tree(t):
     return signals(t).select("event_id", "signal")
 
 
 @query("signal_clean_view", f"WITH {SIGNAL_SQL} SELECT event_id AS \"Event\", signal AS \"Signal\", round(mean * 100, 4) AS \"Expected return, pct\" FROM sg WHERE signal IN ('ENTER', 'REVERSE')")
-def _(t):
+def signal_clean_view(t):
     return signals(t).where(F.col("signal").isin("ENTER", "REVERSE")).select(F.col("event_id").alias("Event"), F.col("signal").alias("Signal"), F.round(F.col("mean") * 100, 4).alias("Expected return, pct"))
 
 
 @query("top_notional", "SELECT event_id, notional FROM {trades} ORDER BY notional DESC, event_id LIMIT 20")
-def _(t):
+def top_notional(t):
     """The 20 largest trades: a report."""
     return t.trades.select("event_id", "notional").orderBy(F.col("notional").desc(), "event_id").limit(20)
 
@@ -65,7 +65,7 @@ f AS (SELECT *, greatest(1e-6, least(1 - 1e-6, greatest(0e0, least(1e0, f_cash +
 p AS (SELECT *, CASE WHEN own = 1 THEN least(1e0, pi_cash / ff) * cash + (1 - least(1e0, pi_cash / ff)) * stock ELSE least(1e0, (1 - pi_cash) / (1 - ff)) * stock + (1 - least(1e0, (1 - pi_cash) / (1 - ff))) * cash END AS value FROM f)
 SELECT event_id, ff AS impacted_share, value / m - 1 AS realized_return, q * 1e6 * (value - m) AS pnl FROM p""",
 )
-def _(t):
+def self_impact_pnl(t):
     from ..operators import payoff as P
 
     k = F.col("event_id")
@@ -112,7 +112,7 @@ def capacity_grid(t):
     """SELECT count(*) AS priced, count(*) FILTER (signal = 'ENTER') AS enter, count(*) FILTER (signal = 'REVERSE') AS reverse, count(*) FILTER (signal = 'REVIEW') AS review, count(*) FILTER (starts_with(signal, 'PASS')) AS passed,
   sum(notional) FILTER (signal IN ('ENTER', 'REVERSE')) AS notional, count(realized_return) AS "realized.covered", round(avg(realized_return), 9) AS "realized.mean", round(corr(expected_return, realized_return), 8) AS "realized.correlation" FROM {trades}""",
 )
-def _(t):
+def strategy_summary(t):
     """The nested summary, flattened to dotted names."""
     s, r = F.col("signal"), F.col("realized_return")
     one = t.trades.agg(

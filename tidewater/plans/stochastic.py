@@ -40,7 +40,7 @@ def portfolio_mc(t, n=DRAWS):
     """WITH q AS (SELECT deal_type, quantile_cont(x, 5e-2) AS p05, quantile_cont(x, 5e-1) AS p50, quantile_cont(x, 95e-2) AS p95, avg(x) AS mean, avg(CASE WHEN x < 0 THEN 1e0 ELSE 0e0 END) AS loss FROM (SELECT deal_type, acq_price * ratio / cash - 1 AS x FROM {deals}) GROUP BY deal_type)
 SELECT q.deal_type, round(max(mean), 9) AS mean, round(max(p05), 9) AS p05, round(max(p50), 9) AS p50, round(max(p95), 9) AS p95, max(loss) AS loss_probability, round(avg(x), 9) AS cvar05 FROM q JOIN (SELECT deal_type, acq_price * ratio / cash - 1 AS x FROM {deals}) d ON d.deal_type = q.deal_type AND x <= p05 GROUP BY q.deal_type""",
 )
-def _(t):
+def cvar_summary(t):
     """The empirical sample itself, which SQL can follow exactly."""
     s = S.summary(t.deals.select("deal_type", F.expr("acq_price * ratio / cash - 1").alias("x")), ["deal_type"], "x")
     return s.select("deal_type", *[F.round(c, 9).alias(c) for c in ("mean", "p05", "p50", "p95", "cvar05")], "loss_probability")
