@@ -178,3 +178,19 @@ def test_sampler_depends_on_the_event_alone(spark):
 def test_name_scores(spark):
     df = spark.createDataFrame([("acme", "acme"), ("acme", "acme tools"), ("acme tools", "acme works"), ("x", "y")], "a string, b string")
     assert [r[0] for r in df.select(identity.token_score(F.col("a"), F.col("b"))).collect()] == [100, 95, 87.5, 0]
+
+
+def test_capacity_settings_of_a_signal_run():
+    from tidewater.operators import capacity
+
+    c = capacity.from_signals({"capacity_build_days": 5.0, "capacity_size_points": 2, "grid": 21, "hurdle": 0.1, "rolling_events": 30})
+    assert (c.build_days, c.size_points, c.grid, c.rolling_events, c.position_limit) == (5.0, 5, 21, 30, 0.05)
+
+
+def test_lists_and_names_of_files(spark):
+    from tidewater.functions import text as X
+
+    got = spark.createDataFrame([('["a", "b"]',), ('"x"',), ("[bad",), ("7",), (None,), ("n/a",), ("[]",)], "c string").select(X.json_list(F.col("c")).alias("v")).collect()
+    assert [r.v for r in got] == [["a", "b"], ["x"], ["[bad"], ["7"], [], [], []]
+    names = ["Doc.HTM", "x.txt", "x-index.htm", "y_lab.xml", "z.pdf", "FilingSummary.xml", None]
+    assert [r.v for r in spark.createDataFrame([(n,) for n in names], "c string").select(X.is_document(F.col("c")).alias("v")).collect()] == [True, True, False, False, False, False, False]

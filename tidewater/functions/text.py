@@ -218,3 +218,32 @@ def display_name_parts(c: Column) -> dict[str, Column]:
         "name": F.trim(F.get(F.split(c, r"  \("), F.lit(0))),
         "ticker": F.regexp_extract(c, r"\(([A-Z][A-Z0-9.-]{0,6})\)\s*\(CIK", 1),
     }
+
+
+def json_list(c: Column) -> Column:
+    """A JSON list's items as text; a scalar, or what is no JSON, is one item; missing text none."""
+    t = clean(c)
+    parsed = F.when(t.startswith("["), F.from_json(t, "array<string>"))
+    string = F.when(t.startswith('"'), F.get_json_object(F.concat(F.lit('{"x":'), t, F.lit("}")), "$.x"))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.coalesce(parsed, F.array(F.coalesce(string, t))))
+
+
+#: Parts of names of files that are no documents, and the endings of those that are.
+NOT_DOCUMENTS = r"(index|filingsummary|metalinks|\.xsd$|_cal\.xml$|_def\.xml$|_lab\.xml$|_pre\.xml$|report[0-9]*\.htm$)"
+DOCUMENT_ENDINGS = (".htm", ".html", ".txt", ".xml")
+
+
+def is_document(name: Column) -> Column:
+    """Whether a file of a filing is a document to read, by its name."""
+    t = F.lower(F.trim(F.coalesce(name, blank())))
+    ends = F.lit(False)
+    for x in DOCUMENT_ENDINGS:
+        ends = ends | t.endswith(x)
+    return ends & ~t.rlike(NOT_DOCUMENTS)
+
+
+def menu_flag(flag: Column, menu: Column, payment: Column) -> Column:
+    """true or false: a flag that says so, else whether the payment or the menu offers cash or stock."""
+    t, m, p = (F.lower(clean(c)) for c in (flag, menu, payment))
+    offered = F.contains(p, F.lit("cash or stock")) | F.contains(m, F.lit("cash election")) & F.contains(m, F.lit("stock election"))
+    return F.when(t.isin("true", "1", "yes"), F.lit("true")).when(t.isin("false", "0", "no"), F.lit("false")).otherwise(F.when(offered, F.lit("true")).otherwise(F.lit("false")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +32,7 @@ class CapacityConfig:
     grid: int = 11
     default_p: float = 0.50
     default_q: float = 0.30
+    size_points: int = 51
 
 
 def inputs(shares: Column, adv: Column, dollar_adv: Column, entry: Column, passive: Column, holder_positive: Column, holder_cash: Column, cfg: CapacityConfig) -> dict[str, Column]:
@@ -116,3 +117,12 @@ def with_own_vote(cash_demand: Column, own: Column, choice: Column) -> Column:
     cash = cash_demand * (1 - own) + F.when(choice == "cash", own).otherwise(0.0)
     stock = (1 - cash_demand) * (1 - own) + F.when(choice == "cash", 0.0).otherwise(own)
     return F.when(cash + stock > 1e-12, cash / (cash + stock)).otherwise(cash)
+
+
+def from_signals(settings: dict) -> CapacityConfig:
+    """The capacity settings among those of a signal run, under its names; a grid has five points at least."""
+    named = {f.name for f in fields(CapacityConfig)}
+    found = {k.removeprefix("capacity_"): v for k, v in settings.items() if k.removeprefix("capacity_") in named}
+    if "size_points" in found:
+        found["size_points"] = max(5, int(found["size_points"]))
+    return CapacityConfig(**found)

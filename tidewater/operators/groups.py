@@ -77,3 +77,11 @@ def weighted_return_pct(pnl: Column, notional: Column) -> Column:
     """Sum of P&L over sum of notional, in percent, over rows with both and a positive notional."""
     ok = pnl.isNotNull() & (notional > 0)
     return F.sum(F.when(ok, pnl)) / F.nullif(F.sum(F.when(ok, notional)), F.lit(0.0)) * 100
+
+
+def row_sum(columns: Sequence[str]) -> Column:
+    """The sum of a row's columns, nulls left out; null where all are."""
+    total = F.lit(0.0)
+    for c in columns:
+        total = total + F.coalesce(F.col(c), F.lit(0.0))
+    return F.when(F.coalesce(*[F.col(c) for c in columns]).isNotNull(), total)

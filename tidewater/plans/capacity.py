@@ -63,7 +63,13 @@ def waterfall(t):
     return d.select("event_id", "cash_prob", F.round("unfilled", 11).alias("unfilled"))
 
 
-@query("waterfall_mix")
+@query(
+    "waterfall_mix",
+    f"""WITH {INPUTS_SQL},
+w AS (SELECT event_id, greatest(0e0, own) AS q, CASE WHEN edge_return < 0 THEN [c_pos, c_noisy, c_pas] ELSE [c_noisy, c_pos, c_pas] END AS caps, CASE WHEN edge_return < 0 THEN ['positive_holders', 'noisy_sellers', 'passive_inactive'] ELSE ['noisy_sellers', 'positive_holders', 'passive_inactive'] END AS names FROM i5),
+k AS (SELECT event_id, q, names, [least(q, caps[1]), greatest(0e0, least(q - caps[1], caps[2])), greatest(0e0, least(q - caps[1] - caps[2], caps[3]))] AS take FROM w)
+SELECT event_id, CASE WHEN q > 0 THEN array_to_string(list_filter([CASE WHEN take[1] > 0 THEN names[1] || ':' || printf('%.2f', take[1] / q) END, CASE WHEN take[2] > 0 THEN names[2] || ':' || printf('%.2f', take[2] / q) END, CASE WHEN take[3] > 0 THEN names[3] || ':' || printf('%.2f', take[3] / q) END], lambda x: x IS NOT NULL), '|') ELSE '' END AS source_mix FROM k""",
+)
 def waterfall_mix(t):
     """The text of the sources taken from, in order, at the ownership that the constraint allows."""
     d = capacity_frame(t).withColumn("most", C.binding(C.pool_total(F.col("pools")), F.col("adv_cap"), F.lit(CFG.position_limit))[0])
