@@ -255,7 +255,7 @@ def test_quality_scores_by_brute_force(spark, small):
         t = text[r.doc_id]
         cut = [t[k : k + 1024] for k in range(0, len(t), 1024)]
         d = (sum(len(bad.compress(x)) for x in cut) - sum(len(good.compress(x)) for x in cut)) / (len(t) + 64)
-        want = 1 / (1 + math.exp(-(model.coefficients[0] + model.coefficients[1] * d)))
+        want = 1 / (1 + math.exp(-(model.coefficients[0] + model.coefficients[1] * d + model.coefficients[2] * len(t) / (len(t) + 64))))
         assert abs(r.score - want) < 1e-12 and r.predicted == (want >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
     # labels of the held-out fold change nothing
     flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))

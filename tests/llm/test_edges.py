@@ -165,7 +165,7 @@ NAMES = ("_key", "_gone", "_host", "_common", "_salt", "_deal", "_text", "_bucke
 def test_columns_of_other_names_keep_their_values(spark, broadcast):
     rows = [(i, ["the menu\none two three four five", "the menu\nsix seven eight nine", None][i % 3], f"s{i % 2}", *(f"{n}{i}" for n in NAMES)) for i in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in NAMES))
-    model = quality.QualityModel(b"", b"", (0.0, 0.0))
+    model = quality.QualityModel(b"", b"", (0.0, 0.0, 0.0))
     bench = spark.createDataFrame([(1, "no such thing")], "item_id long, text string")
     made = {
         "lines": lines.drop_boilerplate(docs, broadcast_keys=broadcast),

@@ -16,28 +16,29 @@ from .shared import portions
 
 @dataclass(frozen=True)
 class QualityModel:
-    """Both dictionaries, the calibrator's two coefficients, and how texts are cut."""
+    """Both dictionaries, the calibrator's three coefficients, and how texts are cut."""
 
     good: bytes
     bad: bytes
-    coefficients: tuple[float, float]
+    coefficients: tuple[float, float, float]
     block: int = 1024
     smoothing: int = 64
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """Rows (1, d): d is the difference of the sizes under both dictionaries over n + smoothing, n a text's bytes.
+        """Rows (1, d, n / (n + smoothing)): d is the difference of the sizes under both dictionaries over n + smoothing, n a text's bytes. The last is
+        for the calibrator alone: the same difference says less of a short text, whose first bytes any dictionary does little for, than of a long one.
 
         Texts are compressed in blocks, all of them, so that a dictionary counts as much at a text's end as at its start; the smoothing lets a
         text of a few bytes score near the base rate.
         """
         good, bad = _compressor(self.good), _compressor(self.bad)
-        out = np.ones((len(texts), 2))
+        out = np.ones((len(texts), 3))
         for i, text in enumerate(texts):
             n, d = len(text), 0
             for k in range(0, n, self.block):
                 part = text[k : k + self.block]
                 d += len(bad.compress(part)) - len(good.compress(part))
-            out[i, 1] = d / (n + self.smoothing)
+            out[i, 1:] = d / (n + self.smoothing), n / (n + self.smoothing)
         return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -105,14 +106,14 @@ def fit_quality(
         if total[row.half] + len(text) <= sample_bytes // 2:
             total[row.half] += len(text)
             texts[row.half, row.quality].append(text)
-    model = QualityModel(_trained(texts[0, 1], dictionary_bytes, block), _trained(texts[0, 0], dictionary_bytes, block), (0.0, 0.0), block)
+    model = QualityModel(_trained(texts[0, 1], dictionary_bytes, block), _trained(texts[0, 0], dictionary_bytes, block), (0.0, 0.0, 0.0), block)
     x = model.features(texts[1, 0] + texts[1, 1])
     y = np.r_[np.zeros(len(texts[1, 0])), np.ones(len(texts[1, 1]))]
     if 0 < y.sum() < len(y):
         w = fit_logistic(x, y)
     else:
         good, bad = (sum(len(texts[h, q]) for h in (0, 1)) for q in (1, 0))
-        w = np.array([np.log((good + 1) / (bad + 1)), 0])
+        w = np.array([np.log((good + 1) / (bad + 1)), 0, 0])
     return QualityModel(model.good, model.bad, tuple(float(v) for v in w), block)
 
 
