@@ -9,7 +9,7 @@ pytest.importorskip("tidewater.llm")
 from tidewater.llm import html, sentences  # noqa: E402
 from tidewater.llm.registry import QUERIES  # noqa: E402
 
-SHORT = "Milk, eggs, bread, butter, salt, sugar, flour, rice, beans, tea, coffee, oil, honey, figs, dates, plums."
+SHORT = "Milk, eggs, bread, butter, salt, sugar, flour, rice, beans, tea, coffee, oil, honey, figs, dates, plums, pears, nuts, corn, peas."
 
 
 def test_sentence_runs_of_short_sentences(spark, tmp_path):
@@ -18,16 +18,23 @@ def test_sentence_runs_of_short_sentences(spark, tmp_path):
     rows = [(1, "Alpha. " + short), (2, short), (3, lines), (4, "Before it, other words stand.\n" + lines), (5, "Milk. Eggs. Bread."), (6, "One. Two. Three. " + short + " Four. Five. Six.")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.n_removed for r in QUERIES["op5_sentence_spans"](spark, str(tmp_path)).collect()}
-    assert got == {1: 0, 2: 16, 3: 0, 4: 30, 5: 0, 6: 16}
+    assert got == {1: 0, 2: 20, 3: 0, 4: 30, 5: 0, 6: 20}
 
 
 def test_sentence_runs_cover_the_ends_of_a_passage(spark):
-    passage = "a b c d e. f g h i j. k l m n o. p."
+    passage = "a b c d e f. g h i j k l. m n o p q r. s t u. v."
     docs = spark.createDataFrame([(1, passage + " other words."), (2, "New. " + passage + " End of it.")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in sentences.drop_repeated_runs(docs).collect()}
     assert got == {1: passage + " other words.", 2: "New. End of it."}
 
 
+def test_long_sentences_count_by_clauses(spark):
+    clauses = [f"clause {k} has five words," for k in range(8)]
+    docs = spark.createDataFrame([(1, "It begins, as ever, so: " + " ".join(clauses) + " and ends."), (2, "Elsewhere " + " ".join(clauses[1:]) + " and goes on. Short, and whole.")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in sentences.drop_repeated_runs(docs).collect()}
+    assert got[2] == "Elsewhere clause 1 has five words, and goes on. Short, and whole."
+
+
 LONG = "This, that, and more of it, goes on for a good while, so that it counts. " * 4
 
 

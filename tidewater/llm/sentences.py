@@ -14,6 +14,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
+_PAUSE = np.zeros(256, bool)
+_PAUSE[list(b",;:")] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -21,10 +23,11 @@ _LOWER[65:91] += 32
 class Sentences:
     """The sentences of a batch of texts, as arrays over all of them: doc, start and end (bytes, white space after it not included) and words.
 
-    A sentence ends at white space after one of .!? and at each line end.
+    A sentence ends at white space after one of .!? and at each line end. One of more than long_words words counts by its clauses, which end after one
+    of ,;: as well: a passage may begin and end within sentences, and of long ones it would hold too few.
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], long_words: int = 20):
         self.data = np.frombuffer(b"\n".join(texts), np.uint8)
         sizes = np.array([len(x) + 1 for x in texts], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -36,6 +39,9 @@ class Sentences:
         gap = np.flatnonzero(np.diff(ink) > 1)
         before, word = ink[gap], ink[gap + 1]
         cut = _STOP[self.data[before]] | (lines[word] > lines[before])
+        sentence = np.cumsum(cut)  # of the word after each gap; that before it is in the same one, unless it is cut there
+        long = np.bincount(np.concatenate([[0], sentence])) > long_words
+        cut |= _PAUSE[self.data[before]] & long[sentence]
         self.start = np.concatenate([ink[:1], word[cut]])
         self.end = np.concatenate([before[cut] + 1, ink[-1:] + 1])
         starts = np.concatenate([ink[:1], word])
@@ -101,12 +107,12 @@ def sentence_runs(docs: DataFrame, n: int, least_words: int) -> DataFrame:
     return docs.select("place", "key", "text").mapInArrow(find, "run long, size int, place decimal(38,0), key long, sentence int, past int")
 
 
-def drop_repeated_runs(docs: DataFrame, n: int = 3, least_words: int = 12) -> DataFrame:
+def drop_repeated_runs(docs: DataFrame, n: int = 3, least_words: int = 20) -> DataFrame:
     """Removes the sentences that lie in a run of sentences which an earlier document, or the same one before, holds too.
 
     From each sentence on, and up to each sentence, there is a run of n sentences; where these have fewer than least_words words, of as many more
     as they need. So a repeated passage of as many sentences and words is covered by runs from end to end, however short its sentences are, and
-    no run is left out.
+    no run is left out. Sentences of more than 20 words count by their clauses: see Sentences.
 
     docs: doc_id, text. Returns for each row doc_id, n_removed (sentences), n_spans (maximal removed runs), n_sentences, and text, what is left.
     The first of equal runs, by doc_id (nulls first), then by a hash of the text, then by place, stays. A text of fewer than n sentences is one run, if
