@@ -162,5 +162,7 @@ def ratio_trailing20(t):
 
 @query("active_notional", f"WITH {PORT_SQL} SELECT event_id, date, notional, sum(notional) OVER (PARTITION BY date) AS day_notional, round(notional / nullif(sum(notional) OVER (PARTITION BY date), 0e0), 9) AS share FROM pp")
 def active_notional(t):
-    whole = F.sum("notional").over(Window.partitionBy("date"))
-    return paid_path(t).select("event_id", "date", "notional", whole.alias("day_notional"), F.round(F.col("notional") / F.nullif(whole, F.lit(0.0)), 9).alias("share"))
+    """A day's trades may be many, so they meet in no one task: sums by day, a row each, go to the trades."""
+    path = paid_path(t).select("event_id", "date", "notional")
+    days = path.groupBy("date").agg(F.sum("notional").alias("day_notional"))
+    return path.join(F.broadcast(days), "date").select("event_id", "date", "notional", "day_notional", F.round(F.col("notional") / F.nullif(F.col("day_notional"), F.lit(0.0)), 9).alias("share"))
