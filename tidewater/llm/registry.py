@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, html, lines, minhash, mixing, quality, sentences, suffix, warc
+from . import ann, decontaminate, divergence, fertility, html, lines, minhash, mixing, quality, resample, sentences, suffix, warc
 
 QUERIES = {
     "op1_suffix_array": suffix.op1_suffix_array,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_pigeonhole": decontaminate.op8_pigeonhole,
     "op9_line_frequency": lines.op9_line_frequency,
     "op10_hyperminhash": minhash.op10_hyperminhash,
+    "op11_word_tries": resample.op11_word_tries,
+    "op12_token_fertility": fertility.op12_token_fertility,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 SQL = {
@@ -22,4 +25,6 @@ SQL = {
     "op6_source_mix": mixing.OP6_SQL,
     "op9_line_frequency": lines.OP9_SQL,
     "op10_hyperminhash": minhash.OP10_SQL,
+    "op11_word_tries": resample.OP11_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }

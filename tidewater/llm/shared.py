@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +74,24 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df, written in an order, with each row's place in it from 0 on as the column `name`.
+
+    The sort deals ranges to tasks; a row's place in its range is part of the id that Spark gives it, and the sizes of the ranges, a row for each, are
+    summed in one task. The row's number in df ends the order, so that rows equal in it are cut into ranges like any others; df is to be a written table.
+    """
+    last, at, of, start = (free_name(df, x) for x in ("_row", "_at", "_range", "_start"))
+    ids = F.monotonically_increasing_id()
+    placed = stored(df.withColumn(last, ids).orderBy(*order, last).drop(last).withColumn(at, ids), "numbered")
+    part = F.shiftright(at, 33)
+    sizes = placed.groupBy(part.alias(of)).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each range, so this side may be broadcast
+    starts = sizes.select(of, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(start))
+    joined = placed.join(F.broadcast(starts), part == F.col(of))
+    return joined.select(*df.columns, (F.col(start) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or with underscores after it, so that no column of df is called so (columns compare without regard to case)."""
     taken = {c.lower() for c in df.columns}
