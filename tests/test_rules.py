@@ -107,11 +107,19 @@ def test_leave_one_out_equals_deletion(spark):
         assert (r.a, r.b) == pytest.approx((m * (m * (1 - m) / v - 1), (1 - m) * (m * (1 - m) / v - 1)))
 
 
-def test_beta_cdf_and_kolmogorov():
-    assert estimators.beta_cdf(0.3, 1, 1) == pytest.approx(0.3)
-    assert estimators.beta_cdf(0.5, 2, 2) == pytest.approx(0.5)
-    assert estimators.beta_cdf(0.2, 2, 3) == pytest.approx(0.1808)
-    assert estimators.kolmogorov_p(0.01, 100) == 1.0 and estimators.kolmogorov_p(0.5, 100) < 1e-6
+def test_beta_cdf_and_kolmogorov(spark):
+    import math
+
+    cdf = lambda x, a, b: estimators.beta_cdf(*(F.lit(v).cast("double") for v in (x, a, b)))
+    # for whole numbers the function is a sum of binomial terms
+    terms = lambda x, a, b: sum(math.comb(a + b - 1, j) * x**j * (1 - x) ** (a + b - 1 - j) for j in range(a, a + b))
+    points = [(0.3, 1, 1), (0.5, 2, 2), (0.2, 2, 3), (0.9, 7, 3), (0.01, 1, 12), (0.6, 40, 30), (0.999, 2, 5)]
+    got = one(spark, **{f"p{i}": cdf(*v) for i, v in enumerate(points)}, low=cdf(0, 2, 3), high=cdf(1.5, 2, 3), none=cdf(None, 2, 3))
+    assert [got[f"p{i}"] for i in range(len(points))] == pytest.approx([terms(*v) for v in points], rel=1e-11) and (got.low, got.high, got.none) == (0, 1, None)
+    assert one(spark, g=estimators.log_gamma(F.lit(0.25))).g == pytest.approx(math.lgamma(0.25), rel=1e-12) and one(spark, p=cdf(0.5, 0.5, 0.5)).p == pytest.approx(0.5)
+    ks = one(spark, a=estimators.kolmogorov_p(F.lit(0.01), F.lit(100)), b=estimators.kolmogorov_p(F.lit(0.5), F.lit(100)), c=estimators.kolmogorov_p(F.lit(0.0043), F.lit(100_000)))
+    # 1.36 is the limiting distribution's five-percent point
+    assert ks.a == 1.0 and ks.b < 1e-6 and ks.c == pytest.approx(0.0494, abs=2e-3)
 
 
 def test_state_probabilities(spark):

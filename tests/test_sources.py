@@ -108,10 +108,10 @@ def test_exports(spark, tmp_path):
     E.write_summary(df, str(tmp_path / "summary.json"))
     assert json.loads((tmp_path / "summary.json").read_text()) == {"n": 1, "x": None, "s": {"a": None, "b": [1.5, None]}, "d": "2020-01-02"}
     assert (tmp_path / "summary.csv").read_text().splitlines()[0] == '"n","x","s.a","s.b","d"'
-    E.write_markdown("Results", {"Rows": spark.range(60).selectExpr("id", "id / 3 AS third"), "One": {"k": "a|b"}}, str(tmp_path / "r.md"))
+    E.write_markdown(spark, "Results", {"Rows": spark.range(60).selectExpr("id", "id / 3 AS third"), "One": {"k": "a|b"}}, str(tmp_path / "r.md"))
     text = (tmp_path / "r.md").read_text()
     assert "| 49 | 16.3333 |" in text and "| 50 |" not in text and "and more" in text and "a\\|b" in text
-    assert E.safely(str(tmp_path), "good", lambda: None)["status"] == "ok" and E.safely(str(tmp_path), "bad", lambda: 1 / 0)["status"] == "error"
+    assert E.safely(spark, str(tmp_path), "good", lambda: None)["status"] == "ok" and E.safely(spark, str(tmp_path), "bad", lambda: 1 / 0)["status"] == "error"
     assert json.loads((tmp_path / "errors.jsonl").read_text())["layer"] == "bad"
-    assert [x["file"] for x in E.write_manifest(str(tmp_path), [("signals", "what to trade")])] == ["errors.jsonl", "r.md", "summary.csv", "summary.json"]
+    assert [x["file"] for x in E.write_manifest(spark, str(tmp_path), [("signals", "what to trade")])] == ["errors.jsonl", "r.md", "summary.csv", "summary.json"]
     assert "signals: what to trade" in (tmp_path / "manifest.md").read_text()

@@ -38,9 +38,7 @@ def test_outcome_scores_count_each_event(spark, small):
 
 
 def test_sizes_of_each_deal(spark, small):
-    d = Tables(spark, small).deals.where("pi_cash IS NOT NULL")
-    assert events(QUERIES["capacity_grid"](spark, small)) == d.where("ratio_type = 'fixed'").count()
-    assert events(QUERIES["self_impact_proof"](spark, small)) == d.where("f_cash IS NOT NULL").count()
+    assert events(QUERIES["capacity_grid"](spark, small)) == Tables(spark, small).quotes.count()
 
 
 def test_rows_without_an_event_in_common_stay(spark):
@@ -100,7 +98,7 @@ def test_draws_of_elections_agree_with_their_terms(spark, small):
         for c in ("cash", "stock"):
             assert got[r.event_id][f"{c}_mean"] == pytest.approx(r[f"{c}_net"], abs=1e-2) and got[r.event_id][f"{c}_cash_fill_mean"] == pytest.approx(r[f"{c}_cash_fill"], abs=1e-3)
     broken = d.withColumns({"p_terminated": F.lit(1.0), "p_withdrawn": F.lit(0.0)})
-    for r in structural.simulated(broken, still, 50).join(d.select("event_id", "cash_terminated"), "event_id").collect():
+    for r in structural.simulated(broken, still, 50).collect():
         assert r.cash_mean == pytest.approx(r.cash_terminated) and r.cash_gross_mean is None
     a, b = (structural.simulated(d.repartition(n), structural.TradeConfig(), 100).orderBy("event_id").collect() for n in (1, 7))
     assert a == b
@@ -129,27 +127,31 @@ def test_nested_decisions_by_hand(spark, small):
     from tidewater.plans import tuning as plans
 
     states, base = ("completed", "terminated", "withdrawn"), (0.88, 0.07, 0.05)
-    data = [r for r in plans.rows(Tables(spark, small)).collect() if r.event_id % 3 == 0]
+    training = Tables(spark, small).training
+    data = [r for r in training.collect() if r.event_id % 3 == 0]
+    numbers, kinds = list(plans.FEATURES.numeric), list(plans.FEATURES.categorical)
+    named = lambda v: v or "__missing__"
 
     def fit(train, p):
         alpha, strength, shrink, weight, blend = p
         n = Counter(r.label for r in train)
         prior = {s: (n[s] + strength * b) / (len(train) + strength) for s, b in zip(states, base)}
         num, cat = {}, {}
-        for k in ("log_value", "year_x"):
-            g = max(variance([r[k] for r in train]), 1e-4)
+        for k in numbers:
+            every = [r[k] for r in train if r[k] is not None]
+            g = max(variance(every), 1e-4)
             for s in states:
-                x = [r[k] for r in train if r.label == s]
-                num[s, k] = (mean(x), max((1 - shrink) * variance(x) + shrink * g, 1e-4)) if len(x) > 1 else (mean([r[k] for r in train]), g)
-        words = {k: {r[k] for r in train} | {"__missing__", "__other__"} for k in ("deal_type", "payment_type")}
+                x = [r[k] for r in train if r.label == s and r[k] is not None]
+                num[s, k] = (mean(x), max((1 - shrink) * variance(x) + shrink * g, 1e-4)) if len(x) > 1 else (mean(every), g)
+        words = {k: {named(r[k]) for r in train} | {"__missing__", "__other__"} for k in kinds}
         for k in words:
-            cat[k] = Counter((r.label, r[k]) for r in train)
+            cat[k] = Counter((r.label, named(r[k])) for r in train)
 
         def score(r):
             s1 = {}
             for s in states:
-                ll = sum(-0.5 * (math.log(2 * math.pi * v) + (r[k] - m) ** 2 / v) for k, (m, v) in ((k, num[s, k]) for k in ("log_value", "year_x")))
-                ll += sum(math.log((cat[k][s, r[k] if r[k] in words[k] else "__other__"] + alpha) / (n[s] + alpha * len(words[k]))) for k in words)
+                ll = sum(-0.5 * (math.log(2 * math.pi * v) + (r[k] - m) ** 2 / v) for k, (m, v) in ((k, num[s, k]) for k in numbers) if r[k] is not None)
+                ll += sum(math.log((cat[k][s, named(r[k]) if named(r[k]) in words[k] else "__other__"] + alpha) / (n[s] + alpha * len(words[k]))) for k in words)
                 s1[s] = math.log(max(prior[s], 1e-12)) + weight * ll
             top = max(s1.values())
             e = {s: math.exp(v - top) for s, v in s1.items()}
@@ -167,7 +169,7 @@ def test_nested_decisions_by_hand(spark, small):
                 score, _ = fit(before[y], p)
                 error[y, p] = [sum((score(r)[s] - (r.label == s)) ** 2 for s in states) for r in data if r.year == y]
     f = plans.FEATURES
-    df = spark.createDataFrame([r.asDict() for r in data], plans.rows(Tables(spark, small)).schema)
+    df = spark.createDataFrame([r.asDict() for r in data], training.schema)
     models = tuning.cut(tuning.yearly_models(df, f))
     errors = tuning.cut(tuning.errors_by_year(df, models, f, tuning.GRID[::7]))
     got = {(r.year, r.alpha, r.strength, r.shrink, r.weight, r.blend): r.error for r in errors.where("least >= 5").collect()}
@@ -200,21 +202,6 @@ def test_nested_decisions_by_hand(spark, small):
         assert power[y] == best[1]
 
 
-def test_blotter_holds_what_its_parts_say(spark, small):
-    from tidewater.plans import blotter
-
-    t = Tables(spark, small)
-    rows = blotter.blotter(t, 400).collect()
-    d = t.deals.where("pi_cash IS NOT NULL AND f_cash IS NOT NULL AND ratio_type = 'fixed'")
-    assert len(rows) == d.count() and [r.e_return for r in rows] == sorted((r.e_return for r in rows), reverse=True)
-    odds = {r.event_id: r for r in QUERIES["outcome_probabilities"](spark, small).collect()}
-    for r in rows[::25]:
-        assert r.p_completed == odds[r.event_id].p_completed and r.signal in ("ENTER", "REVIEW", "PASS", "PASS_P05", "PASS_LOSS_PROB")
-        assert (r.signal == "ENTER") == (r.guard == "OK" and r.gate_reason == "risk_adjusted_return_positive")
-        assert r.notional == pytest.approx(r.max_ownership * r.shares * r.entry if r.signal == "ENTER" else 0.0) and r.expected_pnl == pytest.approx(r.notional * r.e_return)
-        assert r.p05 <= r.e_return <= r.p95 or r.p05 == r.p95
-
-
 def test_running_sums_over_ranges(spark):
     from tidewater.operators.running import running
 

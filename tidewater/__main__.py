@@ -1,4 +1,5 @@
-"""python -m tidewater STAGE SF_DIR OUT: runs the queries of a stage (check, outcome, mc, signal, fast, material) and writes each as Parquet."""
+"""python -m tidewater STAGE SF_DIR OUT: runs the queries of a stage (check, outcome, mc, signal, structural, material, fast or all), writes each as Parquet, and the reports of
+what is there. Run again over the same input, it goes on where it was: tables that are whole stay."""
 
 from __future__ import annotations
 
@@ -6,25 +7,20 @@ import sys
 
 from pyspark.sql import SparkSession
 
-STAGES = {
-    "check": ("preflight_schema",),
-    "outcome": ("deadline_spread", "outcome_probabilities"),
-    "mc": ("deal_terms", "realized_edge", "mc_summary", "portfolio_mc"),
-    "signal": ("signal_tree", "signal_clean_view", "capacity_inputs", "binding_constraint", "hedge_path", "portfolio_daily"),
-    "material": ("confusion_matrix", "brier_scores", "event_curve", "side_performance", "histogram_bins", "strategy_summary"),
-}
-STAGES["fast"] = STAGES["outcome"] + STAGES["mc"] + STAGES["signal"] + STAGES["material"]
+from .runs import STAGES, run_stage, write_reports
 
 
-def main(stage: str, sf_dir: str, out: str) -> None:
+def main(stage: str, sf_dir: str, out: str) -> int:
     from .plans.catalogue import QUERIES
 
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    for name in STAGES[stage]:
-        QUERIES[name](spark, sf_dir).write.mode("overwrite").parquet(f"{out}/{name}")
+    done = run_stage(spark, QUERIES, STAGES[stage], sf_dir, out) + write_reports(spark, STAGES["all"], out)
+    for went in done:
+        print(went["status"], went["layer"], went.get("error", "")[:200])
+    return int(any(went["status"] == "error" for went in done))
 
 
 if __name__ == "__main__":
     if len(sys.argv) != 4 or sys.argv[1] not in STAGES:
         sys.exit(__doc__)
-    main(*sys.argv[1:])
+    sys.exit(main(*sys.argv[1:]))

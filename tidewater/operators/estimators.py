@@ -5,11 +5,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .running import running
 
@@ -116,53 +114,54 @@ def weighted_logit_line(df: DataFrame, share: str, x: str, weight: str) -> DataF
     return s.withColumn("slope", slope).select("n", "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("sw")).alias("intercept"))
 
 
-_gammaln = np.frompyfunc(math.lgamma, 1, 1)
+def log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function of x > 0: eight steps up, then Stirling's series."""
+    z = x + 8
+    shift = F.ln(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7))
+    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - 1 / (1680 * z * z * z * z * z * z * z) + 1 / (1188 * z * z * z * z * z * z * z * z * z)
+    return (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + series - shift
 
 
-def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The regularised incomplete beta function, by its continued fraction (modified Lentz), of all values side by side."""
-    x, a, b = np.broadcast_arrays(*(np.asarray(v, float) for v in (x, a, b)))
-    inside = (x > 0) & (x < 1)
-    turned = x > (a + 1) / (a + b + 2)  # the fraction settles faster from the other end
-    x0, a0, b0 = np.where(turned, 1 - x, x), np.where(turned, b, a), np.where(turned, a, b)
-    x0 = np.where(inside, x0, 0.5)
-    front = np.exp(np.asarray(_gammaln(a0 + b0) - _gammaln(a0) - _gammaln(b0), float) + a0 * np.log(x0) + b0 * np.log1p(-x0)) / a0
-    tiny = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
-    c, d = np.ones_like(x0), 1 / tiny(1 - (a0 + b0) * x0 / (a0 + 1))
-    f = d.copy()
-    for m in range(1, 300):
-        for num in (m * (b0 - m) * x0 / ((a0 + 2 * m - 1) * (a0 + 2 * m)), -(a0 + m) * (a0 + b0 + m) * x0 / ((a0 + 2 * m) * (a0 + 2 * m + 1))):
-            d = 1 / tiny(1 + num * d)
-            c = tiny(1 + num / c)
-            f = f * c * d
-        if np.all(np.abs(c * d - 1) < 1e-14):
-            break
-    out = np.where(turned, 1 - front * f, front * f)
-    return np.where(inside, out, (x >= 1).astype(float))
+def beta_cdf(x: Column, a: Column, b: Column, terms: int = 120) -> Column:
+    """The regularised incomplete beta function: so many pairs of terms of its continued fraction, from the end at which it settles faster. Columns throughout, as a loop over
+    an array inside the row."""
+    turned = x > (a + 1) / (a + b + 2)
+    args = F.struct(F.when(turned, 1 - x).otherwise(x).alias("x"), F.when(turned, b).otherwise(a).alias("a"), F.when(turned, a).otherwise(b).alias("b"))
+    bound = F.transform(F.array(args), lambda v: _fraction(v["x"], v["a"], v["b"], terms))[0]
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(x.isNotNull() & a.isNotNull() & b.isNotNull(), F.when(turned, 1 - bound).otherwise(bound))
 
 
-def kolmogorov_p(statistic: float, n: float) -> float:
-    """The limiting p-value of a Kolmogorov statistic at an effective sample size n."""
-    t = (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * statistic
-    if t < 0.2:
-        return 1.0
-    return max(0.0, min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 101))))
+def _fraction(x: Column, a: Column, b: Column, terms: int) -> Column:
+    tiny = lambda v: F.when(F.abs(v) > 1e-300, v).otherwise(1e-300)
 
+    def term(s: Column, num: Column) -> Column:
+        # a lambda's argument is evaluated once; a column used twice would be twice in the plan
+        new = F.transform(F.array(s), lambda v: F.struct(tiny(1 + num / v["c"]).alias("c"), (1 / tiny(1 + num * v["d"])).alias("d"), v["f"].alias("f")))[0]
+        return F.transform(F.array(new), lambda v: F.struct(v["c"].alias("c"), v["d"].alias("d"), (v["f"] * v["c"] * v["d"]).alias("f")))[0]
 
-def beta_cdf_column(x: Column, a: Column, b: Column) -> Column:
-    """beta_cdf over Arrow batches: there is no built-in function for it."""
-    @F.pandas_udf(T.DoubleType())
-    def cdf(xs: pd.Series, as_: pd.Series, bs: pd.Series) -> pd.Series:
-        known = xs.notna() & as_.notna() & bs.notna()
-        return pd.Series(beta_cdf(xs.fillna(0.5), as_.fillna(1.0), bs.fillna(1.0))).where(known.to_numpy())
+    def step(s: Column, m: Column) -> Column:
+        s = term(s, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)))
+        return term(s, -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
 
-    return cdf(x, a, b)
+    first = 1 / tiny(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("f"))
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.log1p(-x)) / a
+    return front * F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda s: s["f"])
+
+
+def kolmogorov_p(statistic: Column, n: Column) -> Column:
+    """The p-value of a Kolmogorov statistic of n values by its limiting distribution, with Stephens' correction for n."""
+    root = F.sqrt(n.cast("double"))
+    t = (root + 0.12 + 0.11 / root) * statistic
+    terms = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * t * t))
+    return F.when(t < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * terms)))
 
 
 def pit_calibration(fitted: DataFrame, value: str) -> DataFrame:
-    """(n, mean, inside_80, ks): held-out probabilities against the uniform distribution. fitted: value, a, b."""
-    p = fitted.where((F.col(value) > 0) & (F.col(value) < 1)).select(beta_cdf_column(F.col(value), F.col("a"), F.col("b")).alias("p"))
+    """(n, mean, inside_80, ks, p): held-out probabilities against the uniform distribution. fitted: value, a, b."""
+    p = fitted.where((F.col(value) > 0) & (F.col(value) < 1)).select(beta_cdf(F.col(value), F.col("a"), F.col("b")).alias("p"))
     at = p.groupBy("p").agg(F.count(F.lit(1)).alias("c"))
     f = running(at, [F.col("p")], {"before": "c"}).withColumn("upto", F.col("before") + F.col("c")).crossJoin(F.broadcast(at.agg(F.sum("c").alias("n"))))  # one row
     gap = F.greatest(F.col("upto") / F.col("n") - F.col("p"), F.col("p") - (F.col("upto") - F.col("c")) / F.col("n"))
-    return f.agg(F.max("n").alias("n"), (F.sum(F.col("p") * F.col("c")) / F.max("n")).alias("mean"), (F.sum(F.when(F.col("p").between(0.1, 0.9), F.col("c")).otherwise(0)) / F.max("n")).alias("inside_80"), F.max(gap).alias("ks"))
+    found = f.agg(F.max("n").alias("n"), (F.sum(F.col("p") * F.col("c")) / F.max("n")).alias("mean"), (F.sum(F.when(F.col("p").between(0.1, 0.9), F.col("c")).otherwise(0)) / F.max("n")).alias("inside_80"), F.max(gap).alias("ks"))
+    return found.withColumn("p", kolmogorov_p(F.col("ks"), F.col("n")))

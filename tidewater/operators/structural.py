@@ -10,11 +10,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .naive_bayes import MISSING, STATES, gaussian
+from .naive_bayes import MISSING, STATES
 from .payoff import fill_rates
+from .trades import GOLDEN
 
 CHOICES = ("cash", "stock")
 
@@ -83,10 +85,11 @@ def decide(df: DataFrame, cfg: TradeConfig) -> DataFrame:
     cash = F.coalesce(value["cash"], low) >= F.coalesce(value["stock"], low)
     pick = lambda name: F.when(cash, F.col(f"cash_{name}")).otherwise(F.col(f"stock_{name}")) if f"cash_{name}" in df.columns else F.lit(None).cast("double")
     df = df.withColumns({"choice": F.when(cash, "cash").otherwise("stock"), "value": F.when(cash, value["cash"]).otherwise(value["stock"]), "p05": pick("p05"), "loss": pick("loss")})
+    nine = lambda c: F.round(c, 9)  # noqa: E731 - a broken state's loss may be the floor itself
     reason = (
         F.when((F.col("cash") < F.col("entry")) & (F.col("stock") < F.col("entry")), "both_uncapped_evs_negative_rational_exit")
-        .when(F.col("value").isNull() | (F.col("value") < cfg.least_alpha), "risk_adjusted_alpha_below_threshold")
-        .when(F.col("p05") < cfg.least_p05, "mc_p05_alpha_below_threshold")
+        .when(F.col("value").isNull() | (nine("value") < cfg.least_alpha), "risk_adjusted_alpha_below_threshold")
+        .when(nine("p05") < cfg.least_p05, "mc_p05_alpha_below_threshold")
         .when(F.col("loss") > cfg.most_loss_probability, "mc_loss_probability_above_threshold")
         .otherwise("risk_adjusted_alpha_positive")
     )
@@ -97,7 +100,7 @@ def decide(df: DataFrame, cfg: TradeConfig) -> DataFrame:
 def judged(df: DataFrame, cfg: TradeConfig) -> DataFrame:
     """decide() with what came of it: pnl of the executed and of the better election, from the observed demand (observed, null: the predicted one stands in and the
     result is a proxy) or from the break that happened (outcome), and the flags of missed and of losing trades."""
-    broke = F.col("outcome").isin("terminated", "withdrawn")
+    broke = F.coalesce("outcome", F.lit("")).isin("terminated", "withdrawn")
     labelled = broke | F.col("observed").isNotNull()
     trades = F.col("signal") != "no_trade"
     demand, own = F.coalesce("observed", "cash_demand"), F.when(trades, F.col("own_share")).otherwise(0.0)
@@ -136,83 +139,118 @@ def stable_seed(seed: int, *parts: object) -> int:
     return int.from_bytes(hashlib.sha256("|".join(map(str, (seed, *parts))).encode()).digest()[:8], "big")
 
 
-def simulated(df: DataFrame, cfg: TradeConfig, draws: int = 20_000) -> DataFrame:
-    """(event_id, and for both choices CHOICE_mean, _p05, _p50, _p95, _cvar05, _loss, _gross_mean, _cash_fill_mean): net alphas of draws of the outcome and, where the deal
-    completes, of a Beta demand around the predicted one, from a generator seeded by event and choice. df: as elections() gives it."""
+#: What a choice's draws leave: of net alpha, of gross alpha and the cash fill where the deal completes.
+DRAWN = ("mean", "p05", "p50", "p95", "cvar05", "loss", "gross_mean", "cash_fill_mean")
+
+
+def demand_draws(mean: float, event_id: object, choice: str, cfg: TradeConfig, draws: int, even: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Uniforms for the outcome, and demand around a mean: of a Beta, from a generator seeded by event and choice; or, even, mid-points of an interval with the Beta's
+    mean and variance, kept from 0 and 1, which SQL can follow."""
+    if even:
+        k = np.arange(draws)
+        wide = math.sqrt(3 * mean * (1 - mean) / (cfg.concentration + 1))
+        return (k + 1) * GOLDEN % 1, np.clip(mean + wide * (2 * (k + 0.5) / draws - 1), 1e-6, 1 - 1e-6)
+    rng = np.random.default_rng(stable_seed(cfg.seed, event_id, choice))
+    a, b = (max(cfg.least_alpha_beta, m * cfg.concentration) for m in (mean, 1 - mean))
+    return rng.random(draws), rng.beta(a, b, draws)
+
+
+def drawn_choice(x: dict, choice: str, cfg: TradeConfig, draws: int, even: bool) -> list[float | None]:
+    """DRAWN of one deal's choice; none where a term is missing."""
+    if any(x[k] is None for k in ("cash", "stock", "entry", "cash_cap", "stock_cap", "cash_demand")):
+        return [None] * len(DRAWN)
+    u, f = demand_draws(x["cash_demand"], x["event_id"], choice, cfg, draws, even)
+    f = f * (1 - x["own_share"]) + (x["own_share"] if choice == "cash" else 0.0)
+    cash_fill, stock_fill = np.minimum(1, x["cash_cap"] / np.maximum(f, 1e-12)), np.minimum(1, x["stock_cap"] / np.maximum(1 - f, 1e-12))
+    stock_part = 1 - cash_fill if choice == "cash" else stock_fill
+    gross = (1 - stock_part) * x["cash"] + stock_part * x["stock"] - x["entry"]
+    ratio = {"conversion_expected": np.maximum(0, stock_part * (x["ratio"] or 0.0)), "dollar_neutral": x["entry"] / x["entry_acq"] if x["entry_acq"] else 0.0}.get(cfg.hedge, 0.0)
+    short = ratio * x["entry_acq"]
+    cost = (x["entry"] + short) * cfg.cost_bps / 1e4 + 0.5 * x["entry"] * (x["target_spread"] or 0.0) + short * (x["acq_spread"] or 0.0) + short * cfg.borrow_bps / 1e4 * x["days"] / 365
+    broken = x["p_terminated"] + x["p_withdrawn"]
+    net = np.where(u < x["p_terminated"], x[f"{choice}_terminated"], np.where(u < broken, x[f"{choice}_withdrawn"], gross - cost))
+    done = u >= broken
+    p05, p50, p95 = np.quantile(net, (0.05, 0.5, 0.95))
+    return [net.mean(), p05, p50, p95, net[net <= p05].mean(), (net < 0).mean(), gross[done].mean() if done.any() else None, cash_fill[done].mean() if done.any() else None]
+
+
+def simulated(df: DataFrame, cfg: TradeConfig, draws: int = 20_000, even: bool = False) -> DataFrame:
+    """df, as elections() gives it, with CHOICE_DRAWN for both choices: net alphas of draws of the outcome and, where the deal completes, of the demand."""
     need = ["event_id", "cash", "stock", "ratio", "entry", "entry_acq", "cash_cap", "stock_cap", "cash_demand", "own_share", "target_spread", "acq_spread", "days", "p_terminated", "p_withdrawn", *[f"{c}_{x}" for c in CHOICES for x in ("terminated", "withdrawn")]]
-    stats = ("mean", "p05", "p50", "p95", "cvar05", "loss", "gross_mean", "cash_fill_mean")
-
-    def one(x: dict, choice: str) -> list[float | None]:
-        if any(x[k] is None for k in ("cash", "stock", "entry", "cash_cap", "stock_cap", "cash_demand")):
-            return [None] * len(stats)
-        rng = np.random.default_rng(stable_seed(cfg.seed, x["event_id"], choice))
-        a, b = (max(cfg.least_alpha_beta, m * cfg.concentration) for m in (x["cash_demand"], 1 - x["cash_demand"]))
-        u, f = rng.random(draws), rng.beta(a, b, draws)
-        f = f * (1 - x["own_share"]) + (x["own_share"] if choice == "cash" else 0.0)
-        cash_fill, stock_fill = np.minimum(1, x["cash_cap"] / np.maximum(f, 1e-12)), np.minimum(1, x["stock_cap"] / np.maximum(1 - f, 1e-12))
-        stock_part = 1 - cash_fill if choice == "cash" else stock_fill
-        gross = (1 - stock_part) * x["cash"] + stock_part * x["stock"] - x["entry"]
-        ratio = {"conversion_expected": np.maximum(0, stock_part * (x["ratio"] or 0.0)), "dollar_neutral": x["entry"] / x["entry_acq"] if x["entry_acq"] else 0.0}.get(cfg.hedge, 0.0)
-        short = ratio * x["entry_acq"]
-        cost = (x["entry"] + short) * cfg.cost_bps / 1e4 + 0.5 * x["entry"] * (x["target_spread"] or 0.0) + short * (x["acq_spread"] or 0.0) + short * cfg.borrow_bps / 1e4 * x["days"] / 365
-        net = np.where(u < x["p_terminated"], x[f"{choice}_terminated"], np.where(u < x["p_terminated"] + x["p_withdrawn"], x[f"{choice}_withdrawn"], gross - cost))
-        done = u >= x["p_terminated"] + x["p_withdrawn"]
-        p05, p50, p95 = np.quantile(net, (0.05, 0.5, 0.95))
-        return [net.mean(), p05, p50, p95, net[net <= p05].mean(), (net < 0).mean(), gross[done].mean() if done.any() else None, cash_fill[done].mean() if done.any() else None]
-
-    names = [f"{c}_{x}" for c in CHOICES for x in stats]
+    schema = T.StructType([*df.schema.fields, *(T.StructField(f"{c}_{x}", T.DoubleType()) for c in CHOICES for x in DRAWN)])
 
     def run(batches):
         for batch in batches:
-            made = [[*one(x, "cash"), *one(x, "stock")] for x in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("event_id"), *[pa.array([m[k] for m in made], pa.float64()) for k in range(len(names))]], names=["event_id", *names])
-
-    return df.select(*need).mapInArrow(run, "event_id long, " + ", ".join(f"{n} double" for n in names))
-
-
-def rolling_outcomes(rows: DataFrame, numeric: dict[str, float], categorical: Sequence[str], window: int = 250, least: int = 25, alpha: float = 1.0, defaults: tuple[float, ...] = (0.90, 0.07, 0.03), block: int = 1024) -> DataFrame:
+            rows = [dict(zip(need, v, strict=True)) for v in zip(*(batch.column(k).to_pylist() for k in need), strict=True)]
+            made = [[v for c in CHOICES for v in drawn_choice(x, c, cfg, draws, even)] for x in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([m[k] for m in made], pa.float64()) for k in range(2 * len(DRAWN))]], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def _window_scores(rows: pa.Table, numeric: Sequence[str], categorical: Sequence[str], window: int, alpha: float, base: Sequence[float], own: int) -> pa.Table:
+    """One block: each of its own events' fit_n and states' scores. Sums over what came before a place are arrays over all features; a window's are the difference of two."""
+    labelled = rows["labelled"].to_numpy()
+    state = np.array([STATES.index(x) if x in STATES else -1 for x in rows["label"].to_pylist()])
+    order = np.flatnonzero(state >= 0)
+    order = order[np.argsort(labelled[order], kind="stable")]
+    asked = np.flatnonzero(rows["_own"].to_numpy() == own)
+    low, high = (np.searchsorted(labelled[order], labelled[asked] - d) for d in (window, 0))
+    hot = np.eye(len(STATES))[state[order]]
+    upto = lambda values: np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0)])
+    within = lambda values: (s := upto(values))[high] - s[low]
+    n = within(hot)
+    total = n.sum(axis=1)
+    priors = (n + alpha * np.asarray(base)) / (total + alpha * len(STATES))[:, None]
+    score = np.log(np.maximum(priors / priors.sum(axis=1, keepdims=True), 1e-12))
+    x = np.stack([rows[k].to_numpy(zero_copy_only=False).astype(float) for k in numeric], axis=1) if numeric else np.zeros((len(labelled), 0))
+    # about a value of the block, so that squares lose no digits
+    centre = np.array([np.nanmean(c) if np.isfinite(c).any() else 0.0 for c in x.T])
+    known, x = np.isfinite(x), np.nan_to_num(x - centre, nan=0.0)
+    part = hot[:, :, None] * known[order][:, None, :]
+    count, first, second = (within(part * (x[order] ** e)[:, None, :]) for e in range(3))
+    every = [v.sum(axis=1, keepdims=True) for v in (count, first, second)]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        moments = [(s / c, np.maximum((q - s * s / c) / np.maximum(c - 1, 1), 1e-4)) for c, s, q in ((count, first, second), every)]
+    own_enough, some = count >= 2, every[0] > 0
+    mean = np.where(own_enough, moments[0][0], np.where(some, moments[1][0], -centre))
+    var = np.where(own_enough, moments[0][1], np.where(some, moments[1][1], 1.0))
+    at = x[asked][:, None, :]
+    score = score + (-0.5 * (np.log(2 * math.pi * var) + (at - mean) ** 2 / var) * known[asked][:, None, :]).sum(axis=2)
+    for k in categorical:
+        codes = rows[k].combine_chunks().dictionary_encode()
+        names, codes = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+        met = within(hot[:, :, None] * np.eye(len(names))[codes[order]][:, None, :])
+        words = (met.sum(axis=1) > 0).sum(axis=1)
+        if MISSING not in names:
+            words = words + 1
+        else:
+            words = words + (met.sum(axis=1)[:, names.index(MISSING)] == 0)
+        mine = met[np.arange(len(asked)), :, codes[asked]]
+        score = score + np.log((mine + alpha) / (n + alpha * words[:, None]))
+    return pa.table({"event_id": rows["event_id"].take(pa.array(asked)), "fit_n": pa.array(total.astype(np.int64)), **{f"s{i}": pa.array(score[:, i]) for i in range(len(STATES))}})
+
+
+def rolling_outcomes(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], window: int = 250, least: int = 25, alpha: float = 1.0, defaults: tuple[float, ...] = (0.90, 0.07, 0.03), block: int = 1024) -> DataFrame:
     """(event_id, p_STATE, fit_n, source): Naive Bayes probabilities of each event from the last `window` labelled events before it; the defaults where there are
-    fewer than `least`. rows: event_id, labelled (how many labelled events come before), label (null: none), numeric features with values about which sums
-    are taken, categorical ones.
+    fewer than `least`. rows: event_id, labelled (how many labelled events come before), label (null: none), numeric features (null: left out of the score), categorical ones.
 
-    Sums over the window stand in for a fit on each; they are taken in blocks of `block` labelled events, each with those that its first ones look back on.
-    A state's own mean and variance count from two values on, else all states' do; of a category never seen only alpha does.
+    No fit is made twice: sums over blocks of `block` labelled events, each with those that its first ones look back on, stand in for one on each window. A
+    state's own mean and variance count from two values on, else all states' do; of a category never seen only alpha does.
     """
     base = [d / sum(defaults) for d in defaults]
     known = F.when(F.col("label").isin(*STATES), F.col("label"))
-    slim = rows.select("event_id", "labelled", known.alias("label"), *[(F.col(k).cast("double") - c).alias(k) for k, c in numeric.items()], *[F.coalesce(F.nullif(F.col(k).cast("string"), F.lit("")), F.lit(MISSING)).alias(k) for k in categorical])
+    slim = rows.select("event_id", F.col("labelled").cast("long").alias("labelled"), known.alias("label"), *[F.col(k).cast("double").alias(k) for k in numeric], *[F.coalesce(F.nullif(F.col(k).cast("string"), F.lit("")), F.lit(MISSING)).alias(k) for k in categorical])
     own = F.floor(F.col("labelled") / block)
     # labelled events go to the next block as well, if it looks back on them
     carried = F.when(F.col("label").isNotNull() & (F.pmod("labelled", F.lit(block)) >= block - window), F.array(own, own + 1)).otherwise(F.array(own))
-    dealt = slim.withColumn("_b", F.explode(carried))
-    before = Window.partitionBy("_b").orderBy("labelled").rangeBetween(-window, -1)
-    sums = {}
-    for i, s in enumerate(STATES):
-        sums[f"n{i}"] = F.count(F.when(F.col("label") == s, 1)).over(before)
-        for k in numeric:
-            x = F.when(F.col("label") == s, F.col(k))
-            sums |= {f"{k}_c{i}": F.count(x).over(before), f"{k}_s{i}": F.sum(x).over(before), f"{k}_q{i}": F.sum(x * x).over(before)}
-    for k in categorical:
-        sums[f"{k}_words"] = F.size(F.array_union(F.collect_set(F.when(F.col("label").isNotNull(), F.col(k))).over(before), F.array(F.lit(MISSING))))
-        same = Window.partitionBy("_b", k).orderBy("labelled").rangeBetween(-window, -1)
-        sums |= {f"{k}_v{i}": F.count(F.when(F.col("label") == s, 1)).over(same) for i, s in enumerate(STATES)}
-    d = dealt.withColumns(sums).where(F.col("_b") == own)
-    zero = F.lit(0.0)
-    total = F.col("n0") + F.col("n1") + F.col("n2")
-    priors = [(F.col(f"n{i}") + alpha * base[i]) / (total + alpha * 3) for i in range(3)]
-    scores = []
-    for i in range(3):
-        score = F.ln(F.greatest(priors[i] / (priors[0] + priors[1] + priors[2]), F.lit(1e-12)))
-        for k, centre in numeric.items():
-            n, s, q = (F.coalesce(F.col(f"{k}_{x}{i}"), zero) for x in "csq")
-            gn, gs, gq = (sum((F.coalesce(F.col(f"{k}_{x}{j}"), zero) for j in range(3)), zero) for x in "csq")
-            mean = F.when(n >= 2, s / n).when(gn > 0, gs / gn).otherwise(-centre)
-            var = F.when(n >= 2, F.greatest((q - s * s / n) / (n - 1), F.lit(1e-4))).when(gn > 0, F.greatest((gq - gs * gs / gn) / F.greatest(F.lit(1.0), gn - 1), F.lit(1e-4))).otherwise(1.0)
-            score = score + F.coalesce(gaussian(F.col(k), mean, var), zero)
-        for k in categorical:
-            score = score + F.ln((F.col(f"{k}_v{i}") + alpha) / (F.col(f"n{i}") + alpha * F.col(f"{k}_words")))
-        scores.append(score)
-    d = d.select("event_id", total.alias("fit_n"), *[x.alias(f"s{i}") for i, x in enumerate(scores)])
+    dealt = slim.withColumns({"_own": own, "_b": F.explode(carried)})
+    kind = dict(rows.dtypes)["event_id"]
+
+    def scores(key, table):
+        return _window_scores(table, numeric, categorical, window, alpha, base, key[0].as_py())
+
+    d = dealt.groupBy("_b").applyInArrow(scores, f"event_id {kind}, fit_n long, s0 double, s1 double, s2 double")
     top = F.greatest("s0", "s1", "s2")
     d = d.select("event_id", "fit_n", *[F.exp(F.col(f"s{i}") - top).alias(f"e{i}") for i in range(3)])
     whole, enough = F.col("e0") + F.col("e1") + F.col("e2"), F.col("fit_n") >= least

@@ -103,9 +103,8 @@ def own_vote_impact(t):
     return t.capacity.select("event_id", own.alias("own_share"), C.with_own_vote(F.col("pi_cash"), own, F.lower("elect")).alias("cash_demand"))
 
 
-@query(
-    "holder_rolling_fit",
-    """WITH o AS (SELECT *, count(f_cash) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lab, f_cash AS y FROM {holders}),
+#: The rolling fit over a panel.
+HOLDER_FIT_SQL = """WITH o AS (SELECT *, count(f_cash) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lab, f_cash AS y FROM PANEL),
 g AS (SELECT o.*, ip / 1e1 AS p, iq / 1e1 AS q FROM o, (SELECT unnest(range(11)) AS ip) a, (SELECT unnest(range(11)) AS iq) b),
 v0 AS (SELECT *, least(q, 1 - passive) AS rat0 FROM g),
 v1 AS (SELECT *, greatest(0e0, 1 - passive - rat0) AS irr0, CASE WHEN cash < target_price AND stock < target_price THEN 'exit' WHEN stock >= cash THEN 'stock' ELSE 'cash' END AS action, CASE default_rule WHEN 'cash' THEN 1e0 WHEN 'stock' THEN 0e0 ELSE 5e-1 END AS dflt FROM v0),
@@ -115,8 +114,10 @@ v3 AS (SELECT *, irr * p + pas * dflt + CASE WHEN action = 'cash' THEN rat ELSE
 e AS (SELECT event_id, pos, lab, p, q, y, weight * (y - cd / (cd + sd)) * (y - cd / (cd + sd)) AS err FROM v3),
 s AS (SELECT event_id, pos, lab, p, q, sum(err) OVER w AS sse, count(err) OVER w AS n FROM e WINDOW w AS (PARTITION BY p, q ORDER BY lab RANGE BETWEEN 50 PRECEDING AND 1 PRECEDING)),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(sse, 12), p, q) AS k FROM s)
-SELECT event_id, CASE WHEN n >= 10 THEN p ELSE 5e-1 END AS p_hat, CASE WHEN n >= 10 THEN q ELSE 3e-1 END AS q_hat, CASE WHEN n >= 10 THEN n ELSE 0 END AS fit_n, CASE WHEN n >= 10 THEN round(sse, 9) END AS sse FROM r WHERE k = 1""",
-)
+SELECT event_id, CASE WHEN n >= 10 THEN p ELSE 5e-1 END AS p_hat, CASE WHEN n >= 10 THEN q ELSE 3e-1 END AS q_hat, CASE WHEN n >= 10 THEN n ELSE 0 END AS fit_n, CASE WHEN n >= 10 THEN round(sse, 9) END AS sse FROM r WHERE k = 1"""
+
+
+@query("holder_rolling_fit", HOLDER_FIT_SQL.replace("PANEL", "{holders}"))
 def holder_rolling_fit(t):
     return H.rolling_fit(H.panel(t.deals), CFG)
 

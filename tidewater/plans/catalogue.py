@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import blotter, capacity, details, estimates, filings, history, identity, joins, outcome, panel, payoff, scalars, shapes, signals, stochastic, structural, terms, tuning  # noqa: F401
+from . import capacity, details, estimates, filings, history, identity, joins, outcome, panel, payoff, repairs, scalars, shapes, signals, stochastic, structural, terms, trades, tuning  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

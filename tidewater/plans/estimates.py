@@ -81,10 +81,34 @@ def wls_logit(t):
     return S.weighted_logit_line(d, "f_cash", "x", "w").select("n", F.round("slope", 8).alias("slope"), F.round("intercept", 8).alias("intercept"))
 
 
-@query("pit_calibration")
+_PIT = """
+d AS (SELECT deal_type, CASE WHEN f_cash > 0 AND f_cash < 1 THEN f_cash END AS x FROM {deals}),
+g AS (SELECT deal_type, count(x) AS n, sum(x - 5e-1) AS s, sum((x - 5e-1) * (x - 5e-1)) AS q FROM d GROUP BY deal_type),
+o AS (SELECT x, n - 1 AS n, (s - (x - 5e-1)) / (n - 1) + 5e-1 AS mean, ((q - (x - 5e-1) * (x - 5e-1)) - (s - (x - 5e-1)) * (s - (x - 5e-1)) / (n - 1)) / (n - 2) AS var FROM d JOIN g ON g.deal_type = d.deal_type WHERE x IS NOT NULL),
+b AS (SELECT x, CASE WHEN n < 5 THEN 1e0 WHEN var <= 0 OR var >= mean * (1 - mean) THEN greatest(20 * mean, 5e-1) ELSE mean * (mean * (1 - mean) / var - 1) END AS a,
+  CASE WHEN n < 5 THEN 1e0 WHEN var <= 0 OR var >= mean * (1 - mean) THEN greatest(20 * (1 - mean), 5e-1) ELSE (1 - mean) * (mean * (1 - mean) / var - 1) END AS b FROM o),
+t AS (SELECT x > (a + 1) / (a + b + 2) AS turned, CASE WHEN x > (a + 1) / (a + b + 2) THEN 1 - x ELSE x END AS x, CASE WHEN x > (a + 1) / (a + b + 2) THEN b ELSE a END AS a, CASE WHEN x > (a + 1) / (a + b + 2) THEN a ELSE b END AS b FROM b),
+c(turned, x, a, b, m, c, d, f) AS (
+  SELECT turned, x, a, b, 0, 1e0, 1 / (1 - (a + b) * x / (a + 1)), 1 / (1 - (a + b) * x / (a + 1)) FROM t
+  UNION ALL
+  SELECT turned, x, a, b, m, c2, d2, f1 * c2 * d2
+  FROM (SELECT turned, x, a, b, m, f1, 1 + e2 / c1 AS c2, 1 / (1 + e2 * d1) AS d2
+    FROM (SELECT turned, x, a, b, m, -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)) AS e2, c1, d1, f * c1 * d1 AS f1
+      FROM (SELECT turned, x, a, b, m, f, 1 + e1 / c AS c1, 1 / (1 + e1 * d) AS d1
+        FROM (SELECT turned, x, a, b, m + 1 AS m, c, d, f, (m + 1) * (b - (m + 1)) * x / ((a + 2 * (m + 1) - 1) * (a + 2 * (m + 1))) AS e1 FROM c WHERE m < 120))))),
+p AS (SELECT CASE WHEN turned THEN 1 - v ELSE v END AS p FROM (SELECT turned, f * exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x)) / a AS v FROM c WHERE m = 120)),
+u AS (SELECT p, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS n FROM p),
+s AS (SELECT max(n) AS n, avg(p) AS mean, avg(CASE WHEN p BETWEEN 1e-1 AND 9e-1 THEN 1e0 ELSE 0e0 END) AS inside_80, max(greatest(k * 1e0 / n - p, p - (k - 1) * 1e0 / n)) AS ks FROM u),
+z AS (SELECT *, (sqrt(n) + 12e-2 + 11e-2 / sqrt(n)) * ks AS t FROM s)
+SELECT n, round(mean, 8) AS mean, round(inside_80, 8) AS inside_80, round(ks, 8) AS ks,
+  round(CASE WHEN t < 2e-1 THEN 1e0 ELSE greatest(0e0, least(1e0, 2 * (SELECT sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2e0 * k * k * t * t)) FROM range(1, 101) r(k)))) END, 8) AS p FROM z"""
+
+
+@query("pit_calibration", "WITH RECURSIVE " + _PIT.strip())
 def pit_calibration(t):
-    """Held-out probabilities of the leave-one-out fits; the Beta function has no SQL."""
-    return S.pit_calibration(S.beta_leave_one_out(t.deals.select("deal_type", "f_cash"), ["deal_type"], "f_cash"), "f_cash")
+    """Held-out probabilities of the leave-one-out fits against the uniform distribution, with the statistic's p-value; the Beta function is columns too."""
+    d = S.pit_calibration(S.beta_leave_one_out(t.deals.select("deal_type", "f_cash"), ["deal_type"], "f_cash"), "f_cash")
+    return d.select("n", *[F.round(c, 8).alias(c) for c in ("mean", "inside_80", "ks", "p")])
 
 
 @query(

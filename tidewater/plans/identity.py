@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import asof as A
 from ..operators import identity as I
+from ..operators import matching as M
 from .registry import query
 
 _TOKENS = "list_distinct(string_split({0}, ' '))"
@@ -33,6 +34,34 @@ def name_match_score(t):
     return names(t).select("p_partkey", I.name_score(F.col("a"), F.col("b")).alias("score"))
 
 
+def titled(t):
+    """The register: the first four words of each document as its company's name."""
+    first = F.slice(F.split(F.trim("text"), r"\s+"), 1, 4)
+    return t.documents.select(F.col("doc_id").alias("id"), F.concat(F.array_join(first, " "), F.lit(" Inc.")).alias("name"))
+
+
+def asked(t):
+    """Names as others write them: in capitals, in another order, without the last word, with a letter missing or with a word more, and some that are other names."""
+    words = F.split(F.trim("text"), r"\s+")
+    first, k = F.slice(words, 1, 4), F.col("doc_id") % 6
+    join = lambda c: F.array_join(c, " ")
+    name = (
+        F.when(k == 0, F.upper(join(first)))
+        .when(k == 1, join(F.reverse(first)))
+        .when(k == 2, join(F.slice(words, 1, 3)))
+        .when(k == 3, F.regexp_replace(join(first), r"^(\S)\S", "$1"))
+        .when(k == 4, join(F.slice(words, 5, 4)))
+        .otherwise(F.concat(join(first), F.lit(" partners")))
+    )
+    return t.documents.select(F.col("doc_id").alias("id"), F.concat(name, F.lit(" Corp")).alias("name"))
+
+
+@query("company_match")
+def company_match(t):
+    """The register's best entry for every name, over candidates only; the measure has no SQL."""
+    return M.best_matches(asked(t), titled(t))
+
+
 @query(
     "cusip_decision",
     """WITH p AS (SELECT p_partkey AS k, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS nine, 70e0 + p_partkey % 30 AS score FROM part),

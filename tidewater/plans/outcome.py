@@ -5,30 +5,46 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.numbers import first_number
 from ..operators import naive_bayes as B
 from .registry import query
 
-NUMERIC, CATEGORICAL = ("log_value", "year_x"), ("deal_type", "payment_type")
+#: The model's features: numeric ones with a value about which sums are taken, and categorical ones.
+CENTRES = {"log_value": 5.0, "tv_ebitda": 4.0, "announce_year": 1995.0}
+NUMERIC, CATEGORICAL = tuple(CENTRES), ("deal_type", "payment_type", "target_market", "acquirer_market", "target_cusip", "acquirer_cusip")
 _STATES = "(VALUES ('completed', 88e-2), ('terminated', 7e-2), ('withdrawn', 5e-2)) b(label, base)"
 
 
-def training(t):
-    return t.training.withColumn("year_x", F.col("year").cast("double"))
+def long_sql(keys: str, table: str, features: tuple[str, ...], value: str) -> str:
+    """A row for each feature of each row, those of one name under another; a category is never null."""
+    one = "{k}" if value == "x" else "coalesce(nullif({k}, ''), '__missing__')"
+    return " UNION ALL ".join(f"SELECT {keys}, '{k}' AS feature, {one.format(k=k)} AS {value} FROM {table}" for k in features)
 
 
 @query(
     "nb_features",
-    """SELECT event_id, CASE WHEN value_mil >= 0 THEN ln(1e0 + value_mil) END AS announced_value_log, CAST(year(announce_date) AS DOUBLE) AS announce_year, lower(deal_type) AS deal_type,
-  trim(regexp_replace(lower(payment_type), '[^a-z0-9]+', ' ', 'g')) AS payment_type, CASE WHEN event_id % 3 = 0 THEN 'missing' ELSE 'present' END AS cusip_present FROM {deals}""",
+    """SELECT event_id, CASE WHEN value_mil >= 0 THEN ln(1e0 + value_mil) END AS log_value, CASE WHEN event_id % 5 <> 0 THEN (event_id % 400) / 1e1 - 3e0 END AS tv_ebitda, CAST(year(announce_date) AS DOUBLE) AS announce_year, lower(deal_type) AS deal_type,
+  trim(regexp_replace(lower(payment_type), '[^a-z0-9]+', ' ', 'g')) AS payment_type, CASE WHEN party % 7 = 0 THEN '__missing__' WHEN party % 7 = 1 THEN 'LN' ELSE 'US' END AS target_market, CASE WHEN event_id % 9 = 0 THEN '__missing__' ELSE 'US' END AS acquirer_market,
+  CASE WHEN event_id % 3 = 0 THEN 'missing' ELSE 'present' END AS target_cusip, CASE WHEN party % 6 = 0 THEN 'missing' ELSE 'present' END AS acquirer_cusip FROM {deals}""",
 )
 def nb_features(t):
+    """The nine features out of a deal's raw fields: tickers with their market, multiples as text, identifiers that may be missing."""
+    k, p = F.col("event_id"), F.col("party")
+    party = p.cast("string")
+    target = F.when(p % 7 == 0, party).otherwise(F.concat(party, F.when(p % 7 == 1, " LN").otherwise(" US")))
+    acquirer = F.when(k % 9 == 0, "n.a.").otherwise(F.concat(k.cast("string"), F.lit(" us ")))
+    multiple = F.when(k % 5 == 0, "not found").otherwise(F.concat(((k % 400) / 10.0 - 3).cast("string"), F.lit("x")))
     return t.deals.select(
         "event_id",
-        F.when(F.col("value_mil") >= 0, F.log1p("value_mil")).alias("announced_value_log"),
+        F.when(F.col("value_mil") >= 0, F.log1p("value_mil")).alias("log_value"),
+        first_number(multiple).alias("tv_ebitda"),
         F.year("announce_date").cast("double").alias("announce_year"),
         X.normal_name(F.col("deal_type")).alias("deal_type"),
         X.normal_name(F.col("payment_type")).alias("payment_type"),
-        X.present_flag(F.when(F.col("event_id") % 3 == 0, "n.a.").otherwise(F.col("event_id").cast("string"))).alias("cusip_present"),
+        X.market_suffix(target).alias("target_market"),
+        X.market_suffix(acquirer).alias("acquirer_market"),
+        X.present_flag(F.when(k % 3 == 0, "n.a.").otherwise(k.cast("string"))).alias("target_cusip"),
+        X.present_flag(F.when(p % 6 == 0, "").otherwise(party)).alias("acquirer_cusip"),
     )
 
 
@@ -38,32 +54,33 @@ PARAMS = B.NBParams(prior_strength=5.0, shrinkage=0.25, likelihood_weight=0.8, p
 
 @query("nb_priors", f"WITH {PRIORS_SQL} SELECT label, n, prior FROM pr")
 def nb_priors(t):
-    return B.priors(training(t), "label", PARAMS)
+    return B.priors(t.training, "label", PARAMS)
 
 
-NUM_SQL = """ln0 AS (SELECT label, 'log_value' AS feature, log_value AS x FROM {training} UNION ALL SELECT label, 'year_x', CAST(year AS DOUBLE) FROM {training}),
+NUM_SQL = f"""ln0 AS ({long_sql("label", "{training}", NUMERIC, "x")}),
 gs AS (SELECT feature, greatest(var_samp(x), 1e-4) AS gv FROM ln0 WHERE x IS NOT NULL GROUP BY feature),
 ns AS (SELECT label, l.feature, count(x) AS n, avg(x) AS mean, greatest(75e-2 * var_samp(x) + 25e-2 * max(gv), 1e-4) AS var FROM ln0 l JOIN gs ON gs.feature = l.feature WHERE x IS NOT NULL GROUP BY label, l.feature)"""
 
 
 @query("nb_numeric_stats", f"WITH {NUM_SQL} SELECT label, feature, n, round(mean, 8) AS mean, round(var, 8) AS var FROM ns")
 def nb_numeric_stats(t):
-    s = B.numeric_stats(B.long_numeric(training(t), ["label"], NUMERIC), "label", PARAMS)
+    s = B.numeric_stats(B.long_numeric(t.training, ["label"], NUMERIC), "label", PARAMS)
     return s.select("label", "feature", "n", F.round("mean", 8).alias("mean"), F.round("var", 8).alias("var"))
 
 
-CAT_SQL = """lc AS (SELECT label, 'deal_type' AS feature, deal_type AS v FROM {training} UNION ALL SELECT label, 'payment_type', payment_type FROM {training}),
-cc AS (SELECT label, feature, v, count(*) AS n FROM lc GROUP BY ALL), ct AS (SELECT label, feature, sum(n) AS total FROM cc GROUP BY ALL), cw AS (SELECT feature, count(DISTINCT v) + 2 AS words FROM lc GROUP BY feature)"""
+CAT_SQL = f"""lc AS ({long_sql("label", "{training}", CATEGORICAL, "v")}),
+cc AS (SELECT label, feature, v, count(*) AS n FROM lc GROUP BY ALL), ct AS (SELECT label, feature, sum(n) AS total FROM cc GROUP BY ALL),
+cw AS (SELECT feature, len(list_distinct(list(v) || ['__missing__', '__other__'])) AS words FROM lc GROUP BY feature)"""
 
 
 @query("nb_categorical_counts", f"WITH {CAT_SQL} SELECT label, feature, v, n FROM cc")
 def nb_categorical_counts(t):
-    return B.categorical_counts(B.long_categorical(training(t), ["label"], CATEGORICAL), "label")
+    return B.categorical_counts(B.long_categorical(t.training, ["label"], CATEGORICAL), "label")
 
 
 PREDICT_SQL = f"""{PRIORS_SQL}, {NUM_SQL}, {CAT_SQL},
-q AS (SELECT event_id, log_value, CAST(year AS DOUBLE) AS year_x, CASE WHEN event_id % 10 = 0 THEN 'unseen' ELSE deal_type END AS deal_type, payment_type, label AS actual FROM {{training}}),
-qn AS (SELECT event_id, 'log_value' AS feature, log_value AS x FROM q UNION ALL SELECT event_id, 'year_x', year_x FROM q), qc AS (SELECT event_id, 'deal_type' AS feature, deal_type AS v FROM q UNION ALL SELECT event_id, 'payment_type', payment_type FROM q),
+q AS (SELECT * EXCLUDE (deal_type, label), CASE WHEN event_id % 10 = 0 THEN 'unseen' ELSE deal_type END AS deal_type, label AS actual FROM {{training}}),
+qn AS (SELECT * FROM ({long_sql("event_id", "q", NUMERIC, "x")}) WHERE x IS NOT NULL), qc AS ({long_sql("event_id", "q", CATEGORICAL, "v")}),
 li AS (SELECT event_id, label, -5e-1 * (ln(2 * 3.141592653589793e0 * var) + (x - mean) * (x - mean) / var) AS ll FROM qn JOIN ns ON ns.feature = qn.feature
   UNION ALL SELECT qc.event_id, ct.label, ln((coalesce(cc.n, 0) + 1e0) / (ct.total + 1e0 * cw.words)) FROM qc JOIN ct ON ct.feature = qc.feature JOIN cw ON cw.feature = qc.feature LEFT JOIN cc ON cc.label = ct.label AND cc.feature = qc.feature AND cc.v = qc.v),
 sc AS (SELECT event_id, li.label, max(prior) AS prior, ln(max(prior)) + 8e-1 * sum(ll) AS s FROM li JOIN pr ON pr.label = li.label GROUP BY event_id, li.label),
@@ -73,8 +90,8 @@ po AS (SELECT event_id, label, 9e-1 * e / sum(e) OVER (PARTITION BY event_id) +
 
 def predicted(t):
     """Probabilities of every event."""
-    rows = training(t).withColumn("deal_type", F.when(F.col("event_id") % 10 == 0, "unseen").otherwise(F.col("deal_type")))
-    return B.predict(training(t), rows.drop("label"), "event_id", "label", NUMERIC, CATEGORICAL, PARAMS)
+    rows = t.training.withColumn("deal_type", F.when(F.col("event_id") % 10 == 0, "unseen").otherwise(F.col("deal_type")))
+    return B.predict(t.training, rows.drop("label"), "event_id", "label", NUMERIC, CATEGORICAL, PARAMS)
 
 
 @query("nb_predict", f"WITH {PREDICT_SQL} SELECT event_id, label, round(probability, 9) AS probability FROM po")
@@ -129,7 +146,7 @@ SELECT power, avg(recall) AS balanced_accuracy, avg(f1) AS macro_f1 FROM (SELECT
   coalesce(2e0 * count(*) FILTER (actual = b.label AND w.label = b.label) / nullif(count(*) FILTER (actual = b.label) + count(*) FILTER (w.label = b.label), 0), 0e0) AS f1 FROM w JOIN q ON q.event_id = w.event_id, {_STATES} GROUP BY power, b.label) GROUP BY power""",
 )
 def decision_power(t):
-    prior = B.priors(training(t), "label", PARAMS).select("label", "prior")
+    prior = B.priors(t.training, "label", PARAMS).select("label", "prior")
     scored = predicted(t).join(F.broadcast(prior), "label").withColumn("power", F.explode(F.array(*[F.lit(x) for x in _POWERS])))
     value = F.round(F.col("probability") / F.pow("prior", F.col("power")), 9)
     best = scored.groupBy("power", "event_id").agg(F.min(F.struct((-value).alias("v"), "label"))["label"].alias("predicted"))

@@ -77,36 +77,6 @@ def self_impact_pnl(t):
     return d.select("event_id", F.col("ff").alias("impacted_share"), (F.col("value") / F.col("m") - 1).alias("realized_return"), (F.col("q") * 1e6 * (F.col("value") - F.col("m"))).alias("pnl"))
 
 
-@query(
-    "capacity_grid",
-    """WITH d AS (SELECT event_id, cash, ratio * acq_price AS stock, pi_cash, cash * 97e-2 AS m FROM {deals} WHERE pi_cash IS NOT NULL AND ratio_type = 'fixed'),
-g AS (SELECT d.*, k / 50e0 * 5e-2 AS q, (j + 5e-1) / 16e0 AS f FROM d, (SELECT unnest(range(51)) AS k), (SELECT unnest(range(16)) AS j)),
-h AS (SELECT *, greatest(1e-6, least(1 - 1e-6, f + q * 5e-1)) AS ff FROM g), p AS (SELECT *, least(1e0, pi_cash / ff) * cash + (1 - least(1e0, pi_cash / ff)) * stock AS v FROM h),
-a AS (SELECT event_id, q, avg(v / m - 1) AS mean, quantile_cont(v / m - 1, 5e-2) AS p05, avg(CASE WHEN v / m - 1 < 0 THEN 1e0 ELSE 0e0 END) AS loss FROM p GROUP BY event_id, q)
-SELECT event_id, max(q) FILTER (round(mean, 9) > 5e-3 AND round(p05, 9) >= -25e-2 AND loss <= 5e-1) AS most_feasible, max(round(q * mean, 9)) FILTER (round(mean, 9) > 5e-3 AND round(p05, 9) >= -25e-2 AND loss <= 5e-1) AS best_pnl, count(*) AS points FROM a GROUP BY event_id""",
-)
-def capacity_grid(t):
-    """For every size of a grid the expected payoff after the own vote's effect on demand, and the largest and the best size that pass the gate.
-
-    Demand takes 16 mid-points, columns of one row, and the payoff rises or falls along all of them: the least two, between which the fifth percentile
-    lies, are at one end.
-    """
-    from ..operators import payoff as P
-    from .panel import mc_ready
-
-    d = mc_ready(t.deals, with_demand=False).select("event_id", "cash", F.expr("ratio * acq_price").alias("stock"), "pi_cash", F.expr("cash * 97e-2").alias("m"))
-    d = d.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(50)))).withColumn("q", F.col("k") / 50.0 * 0.05)
-    points = [P.prorate(F.lit((j + 0.5) / 16.0) + F.col("q") * 0.5, F.col("pi_cash"), F.col("cash"), F.col("stock"))["cash_holder"] / F.col("m") - 1 for j in range(16)]
-    d = d.select("event_id", "q", *[r.alias(f"r{j}") for j, r in enumerate(points)])
-    r = [F.col(f"r{j}") for j in range(16)]
-    rising = r[0] <= r[15]
-    least, next_ = F.when(rising, r[0]).otherwise(r[15]), F.when(rising, r[1]).otherwise(r[14])
-    losses = sum((F.when(x < 0, 1.0).otherwise(0.0) for x in r[1:]), F.when(r[0] < 0, 1.0).otherwise(0.0))
-    a = d.select("event_id", "q", (sum(r[1:], r[0]) / 16.0).alias("mean"), (least + (next_ - least) * 0.75).alias("p05"), (losses / 16.0).alias("loss"))
-    ok = (F.round("mean", 9) > CFG.hurdle) & (F.round("p05", 9) >= CFG.least_p05) & (F.col("loss") <= CFG.most_loss_probability)
-    return a.groupBy("event_id").agg(F.max(F.when(ok, F.col("q"))).alias("most_feasible"), F.max(F.when(ok, F.round(F.col("q") * F.col("mean"), 9))).alias("best_pnl"), F.count(F.lit(1)).alias("points"))
-
-
 @query(
     "strategy_summary",
     """SELECT count(*) AS priced, count(*) FILTER (signal = 'ENTER') AS enter, count(*) FILTER (signal = 'REVERSE') AS reverse, count(*) FILTER (signal = 'REVIEW') AS review, count(*) FILTER (starts_with(signal, 'PASS')) AS passed,

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import estimators as E
-from ..operators import payoff as P
 from ..operators import sampling as S
 from .outcome import outcome_probabilities
 from .panel import mc_ready
@@ -46,15 +45,6 @@ def cvar_summary(t):
     return s.select("deal_type", *[F.round(c, 9).alias(c) for c in ("mean", "p05", "p50", "p95", "cvar05")], "loss_probability")
 
 
-@query("self_impact_proof", "WITH d AS (SELECT event_id, f_cash, pi_cash FROM {deals} WHERE f_cash IS NOT NULL AND pi_cash IS NOT NULL), g AS (SELECT event_id, k / 200e0 AS q, least(1e0, pi_cash / greatest(1e-6, least(1 - 1e-6, f_cash + k / 200e0 * 5e-1))) AS fill FROM d, (SELECT unnest(range(201)) AS k)) SELECT event_id, min(q) FILTER (fill < 9e-1) AS break_even FROM g GROUP BY event_id")
-def self_impact_proof(t):
-    """The least own position at which the cash fill falls below nine tenths, along 201 points."""
-    d = t.deals.where("f_cash IS NOT NULL AND pi_cash IS NOT NULL").select("event_id", "f_cash", "pi_cash", F.explode(F.sequence(F.lit(0), F.lit(200))).alias("k"))
-    q = F.col("k") / 200.0
-    fill = F.least(F.lit(1.0), F.col("pi_cash") / F.greatest(F.lit(P.CLIP), F.least(F.lit(1 - P.CLIP), F.col("f_cash") + q * 0.5)))
-    return d.withColumns({"q": q, "fill": fill}).groupBy("event_id").agg(F.min(F.when(F.col("fill") < 0.9, F.col("q"))).alias("break_even"))
-
-
 @query("conditioned_demand")
 def conditioned_demand(t, n=DRAWS):
     """Demand given each deal's spread, with the slope's uncertainty: mean, percentiles and tail of the draws."""

@@ -7,29 +7,26 @@ from pyspark.sql import functions as F
 from ..operators import tuning as T
 from ..operators.cuts import cut
 from ..operators.naive_bayes import STATES
+from .outcome import CATEGORICAL, CENTRES, NUMERIC, long_sql
 from .registry import query
 
-FEATURES = T.Features({"log_value": 5.0, "year_x": 1995.0}, ("deal_type", "payment_type"))
+FEATURES = T.Features(CENTRES, CATEGORICAL)
 _NAMES = ", ".join(T.NAMES)
 
 
-def rows(t):
-    return t.training.withColumn("year_x", F.col("year").cast("double"))
-
-
 _GRID = ", ".join(f"({', '.join(f'{v}e0' for v in c)})" for c in (*T.GRID, T.UNTUNED))
 #: Fits on the years before each one, long: states, numeric features, categories; and the scores of each row under each candidate.
 SCORES_SQL = f"""g AS (SELECT * FROM (VALUES {_GRID}) g({_NAMES})), st AS (SELECT * FROM (VALUES ('completed', 88e-2), ('terminated', 7e-2), ('withdrawn', 5e-2)) s(state, base)),
 ys AS (SELECT DISTINCT year FROM {{training}}),
 cl AS (SELECT ys.year, state, base, count(t.label) AS n FROM ys CROSS JOIN st LEFT JOIN {{training}} t ON t.label = state AND t.year < ys.year GROUP BY ALL),
 tt AS (SELECT year, sum(n) AS fit_n, min(n) AS least FROM cl GROUP BY year),
-nl AS (SELECT event_id, year, label, 'log_value' AS feature, log_value AS x FROM {{training}} UNION ALL SELECT event_id, year, label, 'year_x', CAST(year AS DOUBLE) FROM {{training}}),
+nl AS ({long_sql("event_id, year, label", "{training}", NUMERIC, "x")}),
 gm AS (SELECT ys.year, feature, avg(x) AS gmean, greatest(CASE WHEN count(x) > 1 THEN var_samp(x) ELSE 1e0 END, 1e-4) AS gvar FROM ys JOIN nl ON nl.year < ys.year AND x IS NOT NULL GROUP BY ALL),
 om AS (SELECT ys.year, label, feature, count(x) AS n, avg(x) AS mean, var_samp(x) AS var FROM ys JOIN nl ON nl.year < ys.year AND x IS NOT NULL GROUP BY ALL),
 nm AS (SELECT gm.year, state, gm.feature, sh.shrink, CASE WHEN n >= 2 THEN mean ELSE gmean END AS mean, CASE WHEN n >= 2 THEN greatest((1 - shrink) * var + shrink * gvar, 1e-4) ELSE gvar END AS var
   FROM gm CROSS JOIN st CROSS JOIN (SELECT DISTINCT shrink FROM g) sh LEFT JOIN om ON om.year = gm.year AND om.label = state AND om.feature = gm.feature),
 ln1 AS (SELECT event_id, state, shrink, sum(-5e-1 * (ln(2 * 3.141592653589793e0 * var) + (x - mean) * (x - mean) / var)) AS num FROM nl JOIN nm ON nm.year = nl.year AND nm.feature = nl.feature WHERE x IS NOT NULL GROUP BY ALL),
-lc AS (SELECT event_id, year, label, 'deal_type' AS feature, coalesce(nullif(deal_type, ''), '__missing__') AS v FROM {{training}} UNION ALL SELECT event_id, year, label, 'payment_type', coalesce(nullif(payment_type, ''), '__missing__') FROM {{training}}),
+lc AS ({long_sql("event_id, year, label", "{training}", CATEGORICAL, "v")}),
 cc AS (SELECT ys.year, label, feature, v, count(*) AS c FROM ys JOIN lc ON lc.year < ys.year GROUP BY ALL), ct AS (SELECT year, label, feature, sum(c) AS total FROM cc GROUP BY ALL),
 vw AS (SELECT year, feature, list_distinct(list(v) || ['__missing__', '__other__']) AS words FROM cc GROUP BY ALL),
 qc AS (SELECT lc.event_id, lc.year, lc.feature, CASE WHEN list_contains(words, v) THEN v ELSE '__other__' END AS v, len(words) AS k FROM lc JOIN vw ON vw.year = lc.year AND vw.feature = lc.feature),
@@ -50,7 +47,7 @@ _TUNED = "(alpha <> 1e0 OR strength <> 1e0 OR weight <> 1e0)"
 )
 def nb_tune(t):
     """Mean Brier score of all 52 candidates over the last five validation years."""
-    d = rows(t)
+    d = t.training
     models = cut(T.yearly_models(d, FEATURES))
     years = models.join(d.select("year").distinct(), "year").where("least >= 10").select("year").orderBy(F.col("year").desc()).limit(5)
     errors = T.errors_by_year(d.join(F.broadcast(years), "year", "left_semi"), models, FEATURES)
@@ -66,7 +63,7 @@ ch AS (SELECT ou.o, coalesce(alpha, 1e0) AS alpha, coalesce(strength, 1e0) AS st
 @query("nested_tuning", f"WITH {_CHOSEN_SQL} SELECT o AS outer_year, {_NAMES}, round(brier, 8) AS inner_brier, CAST(rows AS BIGINT) AS inner_rows FROM ch")
 def nested_tuning(t):
     """For each outer year the candidate that does best on earlier years."""
-    choices, _ = T.nested(rows(t), FEATURES)
+    choices, _ = T.nested(t.training, FEATURES)
     return choices.select(F.col("outer").alias("outer_year"), *T.NAMES, F.round("brier", 8).alias("inner_brier"), F.col("rows").alias("inner_rows"))
 
 
@@ -81,7 +78,7 @@ SELECT year AS outer_year, count(*) // 3 AS n, round(sum((p - hit) ** 2) / (coun
 )
 def nested_oos(t):
     """Scores of tuned, untuned and prior probabilities in each outer year, none of which its fit or its tuning has seen."""
-    _, p = T.nested(rows(t), FEATURES)
+    _, p = T.nested(t.training, FEATURES)
     own = F.coalesce(*[F.when(F.col("actual") == s, F.col(f"p_{s}")) for s in STATES])
     e, u, q = T.squared_error(), T.squared_error("untuned_p"), T.squared_error("untuned_prior")
     return p.groupBy(F.col("year").alias("outer_year")).agg(
@@ -93,6 +90,6 @@ def nested_oos(t):
 @query("nested_decisions")
 def nested_decisions(t):
     """For each outer year the decision powers that do best on earlier years, and the class scores that they give in it; tests refit by hand."""
-    choices, p = T.nested(rows(t), FEATURES)
+    choices, p = T.nested(t.training, FEATURES)
     found = T.class_scores(p, ["year"]).withColumnsRenamed({"year": "outer_year", "rows": "n"})
     return found.join(choices.select(F.col("outer").alias("outer_year"), "power", "untuned_power"), "outer_year")

@@ -34,6 +34,28 @@ GROUP BY user_id, side, price_date""",
     "spans": """
 SELECT user_id AS event_id, CAST(MIN(ts) AS DATE) + CAST(user_id % 9 AS INT) - 3 AS announce_date,
   CAST(MIN(ts) AS DATE) + CAST(15 + user_id % 21 AS INT) AS close_date FROM {events} GROUP BY user_id""",
+    # prices as a vendor sent them: some events lack the acquirer's, some have another company's
+    "vendor_prices": """
+SELECT event_id, side, price_date, price, volume, CAST(NULL AS BIGINT) AS permno, 'vendor' AS symbol_source FROM {prices} WHERE NOT (side = 'acquirer' AND event_id % 5 = 0)""",
+    # which company the acquirer's identifier names for each event, and when the deal was announced
+    "acquirers": """
+SELECT event_id, announce_date, CONCAT(' ', LPAD(CAST((event_id * 7) % 350 AS STRING), 6, '0'), '-10') AS cusip FROM {spans}""",
+    # which security an identifier stood for, and when; identifiers are given out again
+    "links": """
+SELECT p_partkey AS permno, CONCAT(LPAD(CAST(p_partkey % 300 AS STRING), 6, '0'), '10') AS cusip8, DATE '2023-12-01' + CAST(p_size AS INT) AS from_date, DATE '2023-12-01' + CAST(p_size + 10 + p_partkey % 40 AS INT) AS to_date FROM {part}""",
+    # daily prices of securities
+    "securities": """
+SELECT l_partkey AS permno, DATE '2023-12-20' + CAST(l_orderkey % 60 AS INT) AS price_date, MAX(ABS(l_extendedprice / l_quantity)) AS price, CAST(COUNT(*) AS BIGINT) AS volume FROM {lineitem} GROUP BY l_partkey, l_orderkey % 60""",
+    # sides whose security was found to be another one
+    "price_overrides": """
+SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'acquirer' ELSE 'target' END AS side, (event_id * 13) % 900 AS permno FROM {spans} WHERE event_id % 17 = 3""",
+    # what came back for each request to normalise labels, some of it unusable
+    "answers": """
+SELECT CASE WHEN event_id % 11 = 4 THEN event_id + 1000000 ELSE event_id END AS event_id,
+  CASE event_id % 11 WHEN 1 THEN 'no result could be found' WHEN 2 THEN CONCAT(CHR(123), '"pct_elected_cash": "forty", "disclosure_type": "elected_pct"', CHR(125)) WHEN 3 THEN CONCAT(CHR(123), '"pct_elected_cash": 40, "disclosure_type": "guess"', CHR(125))
+    ELSE CONCAT('Result: ', CHR(123), '"pct_elected_cash": ', CAST(event_id % 130 AS STRING), ', "cash_proration_factor": ', CASE WHEN event_id % 3 = 0 THEN '0.75' ELSE 'null' END,
+      ', "shares_base": ', CAST(event_id * 1000 AS STRING), ', "disclosure_type": "', CASE WHEN event_id % 2 = 0 THEN 'elected_pct' ELSE 'elected_shares_derived' END, '", "basis": "', CASE WHEN event_id % 2 = 0 THEN 'direct' ELSE 'derived' END, '", "notes": "n', CAST(event_id AS STRING), '"', CHR(125), ' done') END AS response
+FROM {spans}""",
     # attribute-value rows, nulls among them
     "extraction": """
 SELECT user_id AS event_id, event_type AS field_name,
@@ -75,6 +97,13 @@ SELECT p_partkey AS permno, p_name AS comnam, CONCAT(LPAD(CAST(p_partkey AS STRI
 SELECT doc_id, source AS event_id, CASE doc_id % 4 WHEN 0 THEN '8-K' WHEN 1 THEN 'S-4/A' WHEN 2 THEN 'DEFM14A' ELSE 'EX-99.1' END AS form,
   CASE doc_id % 3 WHEN 0 THEN 'target' ELSE 'acquirer' END AS side,
   DATE '2020-01-01' + CAST(doc_id % 720 AS INT) AS filing_date, text FROM {documents}""",
+    # what both sides of each deal cost when a trade begins: the target after the announcement (none for some), before the deal, and the acquirer
+    "quotes": """
+SELECT d.*, ratio * entry_acq AS stock, ratio * acq_price AS deadline_stock, CASE WHEN event_id % 11 <> 0 THEN entry * (7e-1 + (event_id % 31) / 64e0) END AS recovery,
+  CASE WHEN event_id % 4 <> 3 THEN deal_status END AS outcome
+FROM (SELECT d.*, acq_price * (1e0 + (event_id % 13 - 6) / 256e0) AS entry_acq,
+    CASE WHEN event_id % 29 <> 0 THEN (pi_cash * cash + (1 - pi_cash) * ratio * acq_price) * (85e-2 + (event_id % 41) / 128e0) * CASE WHEN event_id % 19 = 0 THEN 7e-1 ELSE 1e0 END END AS entry
+  FROM {deals} d WHERE pi_cash IS NOT NULL AND ratio_type = 'fixed') d WHERE entry IS NOT NULL""",
     # the holder panel: deals with a known cash pool, in order of announcement
     "holders": """
 SELECT d.*, CAST(ROW_NUMBER() OVER (ORDER BY announce_date, event_id) AS BIGINT) AS pos, (party % 32) / 64e0 AS passive,
@@ -82,10 +111,28 @@ SELECT d.*, CAST(ROW_NUMBER() OVER (ORDER BY announce_date, event_id) AS BIGINT)
   ratio * acq_price AS stock, cash * (9e-1 + (event_id % 13) / 64e0) AS target_price,
   CASE WHEN event_id % 2 = 0 THEN 65e-2 ELSE 1e0 END AS weight
 FROM {deals} d WHERE pi_cash IS NOT NULL""",
-    # training rows of the outcome model
+    # training rows of the outcome model, with its nine features
     "training": """
-SELECT event_id, deal_status AS label, CAST(EXTRACT(YEAR FROM announce_date) AS INT) AS year, LN(1e0 + value_mil) AS log_value, LOWER(deal_type) AS deal_type,
-  LOWER(payment_type) AS payment_type FROM {deals}""",
+SELECT event_id, deal_status AS label, CAST(EXTRACT(YEAR FROM announce_date) AS INT) AS year, CAST(EXTRACT(YEAR FROM announce_date) AS DOUBLE) AS announce_year, LN(1e0 + value_mil) AS log_value,
+  CASE WHEN event_id % 5 <> 0 THEN (party % 60) / 4e0 - 3e0 + (event_id % 7) / 8e0 END AS tv_ebitda, LOWER(deal_type) AS deal_type, LOWER(payment_type) AS payment_type,
+  CASE party % 7 WHEN 0 THEN '' WHEN 1 THEN 'ln' WHEN 2 THEN 'cn' ELSE 'us' END AS target_market, CASE event_id % 9 WHEN 0 THEN NULL WHEN 1 THEN 'jp' WHEN 2 THEN 'ln' ELSE 'us' END AS acquirer_market,
+  CASE WHEN event_id % 3 = 0 THEN 'missing' ELSE 'present' END AS target_cusip, CASE WHEN party % 6 = 0 THEN 'missing' ELSE 'present' END AS acquirer_cusip FROM {deals}""",
+    # what was disclosed of each deal's elections: the demand itself, or prose of a final or of a preliminary proration
+    "disclosed": """
+SELECT event_id, announce_date, party, deal_status, deal_type, payment_type, value_mil, ratio_type, cash, ratio, acq_price, pi_cash, CASE WHEN event_id % 3 = 0 THEN f_cash END AS reported,
+  CASE WHEN event_id % 3 = 1 AND f_cash > 0 THEN CONCAT('Subject to proration, holders who made cash elections received cash for ', CAST(CAST(FLOOR(1e2 * LEAST(1e0, pi_cash / f_cash) + 37e-2) AS INT) AS STRING), '% of their shares') END AS final_results,
+  CASE WHEN event_id % 3 = 2 AND f_cash > 0 THEN CONCAT('Preliminary results: a cash proration factor of 0.', LPAD(CAST(CAST(FLOOR(99e0 * LEAST(1e0, pi_cash / f_cash) + 37e-2) AS INT) AS STRING), 2, '0')) END AS preliminary_results
+FROM {deals} WHERE pi_cash IS NOT NULL""",
+    # the raw fields that the structural outcome model reads, beside what was disclosed
+    "traits": """
+SELECT d.*, CASE WHEN event_id % 13 <> 0 THEN deal_status END AS label, CASE WHEN event_id % 5 <> 0 THEN (party % 60) / 4e0 - 3e0 + (event_id % 7) / 8e0 END AS tv_ebitda, cash * (9e-1 + (event_id % 13) / 64e0) AS quoted_target,
+  cash * 95e-2 AS entry_target, acq_price * (1e0 + (event_id % 13 - 6) / 256e0) AS entry_acquirer, cash - ratio * acq_price AS deal_spread, (cash - ratio * acq_price) / cash AS deal_spread_pct,
+  CASE WHEN event_id % 8 <> 0 THEN 1e2 * (1 + event_id % 53) END AS target_adv, 1e4 * (1 + event_id % 31) AS target_dollar_adv, CASE WHEN event_id % 4 <> 0 THEN 2e-3 + (event_id % 7) / 1e4 END AS target_quote_spread_pct,
+  1e5 * (1 + event_id % 97) * cash AS target_market_cap, 1e5 * (1 + event_id % 97) AS target_shares, 1e3 * (1 + party % 71) AS acquirer_adv, CASE WHEN event_id % 5 <> 0 THEN 1e-3 + (party % 5) / 1e4 END AS acquirer_quote_spread_pct,
+  (event_id % 33) / 64e0 AS short_ratio, (party % 33) / 64e0 AS short_ratio_20, (party % 32) / 64e0 AS passive_percent, (party % 16) / 64e0 AS etf_percent, CASE WHEN event_id % 3 = 1 THEN 1 - pi_cash END AS stock_cap_fraction,
+  CASE event_id % 5 WHEN 0 THEN 'Cash or Stock' WHEN 1 THEN ' Cash and  stock' WHEN 2 THEN 'Stock' WHEN 3 THEN NULL ELSE 'Cash' END AS payment_raw, CASE party % 4 WHEN 0 THEN 'n/a' WHEN 1 THEN 'mixed' ELSE 'cash' END AS payment_text,
+  CASE event_id % 6 WHEN 0 THEN 'Mixed consideration' WHEN 1 THEN '' ELSE 'stock' END AS other_rule
+FROM {disclosed} d""",
     # three-state probabilities, some of them missing
     "odds": """
 SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN (event_id % 90) / 64e0 END AS p_completed, CASE WHEN event_id % 3 = 0 THEN (event_id % 13) / 64e0 END AS p_terminated,
@@ -125,7 +172,10 @@ def ctes(sql: str) -> str:
     if not needed:
         return body
     head = ",\n".join(f"{x} AS ({plain(DERIVED[x])})" for x in needed)
-    return f"WITH {head},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head}\n{body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{head},\n{body[len(start):]}"
+    return f"WITH {head}\n{body}"
 
 
 class Tables:

@@ -1,4 +1,4 @@
-"""What runs leave for people: summaries as JSON and Markdown, a list of the files, and a log of what failed. Small tables only: each is read whole."""
+"""What runs leave for people: summaries as JSON and Markdown, a list of the files, and a log of what failed, on any file system. Small tables only: each is read whole."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ import os
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
+
+from .store import Store
 
 
 def json_ready(value: Any) -> Any:
@@ -28,8 +30,8 @@ def write_summary(df: DataFrame, path: str) -> dict:
     """A table of one row as a JSON file, its nested parts as they are, and beside it a CSV with dotted names."""
     row = df.first()
     summary = json_ready(row) if row else {}
-    with open(path, "w", encoding="utf-8") as out:
-        json.dump(summary, out, indent=2, sort_keys=True)
+    store = Store(df.sparkSession, path)
+    store.write_text(path, json.dumps(summary, indent=2, sort_keys=True))
 
     def flat(x: dict, at: str = ""):
         for k, v in x.items():
@@ -40,12 +42,11 @@ def write_summary(df: DataFrame, path: str) -> dict:
 
     cells = dict(flat(summary))
     quote = lambda v: '"' + str("" if v is None else v).replace('"', '""') + '"'
-    with open(os.path.splitext(path)[0] + ".csv", "w", encoding="utf-8") as out:
-        out.write(",".join(map(quote, cells)) + "\n" + ",".join(map(quote, cells.values())) + "\n")
+    store.write_text(os.path.splitext(path)[0] + ".csv", ",".join(map(quote, cells)) + "\n" + ",".join(map(quote, cells.values())) + "\n")
     return summary
 
 
-def write_markdown(title: str, sections: dict[str, DataFrame | dict], path: str, most: int = 50) -> None:
+def write_markdown(spark: SparkSession, title: str, sections: dict[str, DataFrame | dict], path: str, most: int = 50) -> None:
     """A report with a table for each section, of at most `most` rows; a note says where there are more."""
     lines = [f"# {title}", ""]
     for name, part in sections.items():
@@ -55,36 +56,25 @@ def write_markdown(title: str, sections: dict[str, DataFrame | dict], path: str,
             lines += ["| " + " | ".join(rows[0]) + " |", "|" + " --- |" * len(rows[0])]
             lines += ["| " + " | ".join("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v).replace("|", "\\|") for v in r.values()) + " |" for r in rows[:most]]
         lines += ["", "and more", ""] if len(rows) > most else [""]
-    with open(path, "w", encoding="utf-8") as out:
-        out.write("\n".join(lines))
-
-
-def write_manifest(folder: str, layers: list[tuple[str, str]] = ()) -> list[dict]:
-    """manifest.json and manifest.md in a folder: its files with their kind and size, and what its layers are for."""
-    found = []
-    for name in sorted(os.listdir(folder)):
-        path = os.path.join(folder, name)
-        if name.startswith("manifest."):
-            continue
-        if os.path.isdir(path):  # a table is a folder of parts
-            size = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
-            found.append({"file": name, "suffix": "table", "size_bytes": size})
-        else:
-            found.append({"file": name, "suffix": os.path.splitext(name)[1].lstrip("."), "size_bytes": os.path.getsize(path)})
-    with open(os.path.join(folder, "manifest.json"), "w", encoding="utf-8") as out:
-        json.dump({"layers": [{"layer": a, "role": b} for a, b in layers], "files": found}, out, indent=2)
-    with open(os.path.join(folder, "manifest.md"), "w", encoding="utf-8") as out:
-        out.write("# Files\n\n" + "".join(f"- {a}: {b}\n" for a, b in layers) + "\n" + "".join(f"- `{x['file']}` ({x['size_bytes']} bytes)\n" for x in found))
+    Store(spark, path).write_text(path, "\n".join(lines))
+
+
+def write_manifest(spark: SparkSession, folder: str, layers: list[tuple[str, str]] = ()) -> list[dict]:
+    """manifest.json and manifest.md in a folder: its files and tables (folders of parts) with their kind and size, and what its layers are for."""
+    store = Store(spark, folder)
+    found = [{"file": n, "suffix": "table" if table else os.path.splitext(n)[1].lstrip("."), "size_bytes": size} for n, size, table in store.names(folder) if not n.startswith(("manifest.", ".", "_"))]
+    store.write_text(f"{folder}/manifest.json", json.dumps({"layers": [{"layer": a, "role": b} for a, b in layers], "files": found}, indent=2))
+    store.write_text(f"{folder}/manifest.md", "# Files\n\n" + "".join(f"- {a}: {b}\n" for a, b in layers) + "\n" + "".join(f"- `{x['file']}` ({x['size_bytes']} bytes)\n" for x in found))
     return found
 
 
-def safely(folder: str, name: str, export: Callable[[], Any]) -> dict:
+def safely(spark: SparkSession, folder: str, name: str, export: Callable[[], Any]) -> dict:
     """Runs an export; what it raises goes to errors.jsonl in the folder, and the others go on."""
     try:
         export()
         return {"layer": name, "status": "ok"}
     except Exception as e:
         error = {"layer": name, "status": "error", "error": str(e)[:2000]}
-        with open(os.path.join(folder, "errors.jsonl"), "a", encoding="utf-8") as out:
-            out.write(json.dumps(error, sort_keys=True) + "\n")
+        store, path = Store(spark, folder), f"{folder}/errors.jsonl"
+        store.write_text(path, (store.read_text(path) if store.exists(path) else "") + json.dumps(error, sort_keys=True) + "\n")
         return error
