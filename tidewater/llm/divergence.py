@@ -82,9 +82,9 @@ def _objects(values: list[bytes]) -> np.ndarray:
     return out
 
 
-def _audit(key, cells: pa.Table, groups: pa.Table, ranks: int) -> pa.Table:
+def _audit(key, cells: pa.Table, groups: pa.Table, ranks: int, chunk: int) -> pa.Table:
     """One chunk of a language's kept terms, two blocks of its sources: sums for each pair of sources, and each source's best terms of the chunk."""
-    lang, _, one, two = (k.as_py() for k in key)
+    lang, nth, one, two = (k.as_py() for k in key)
     sources = sorted(zip(groups["source"].to_pylist(), groups["block"].to_pylist(), groups["total"].to_pylist(), strict=True))
     of_lang, v = groups["of_lang"][0].as_py(), groups["kept"][0].as_py()
     block = np.array([b for _, b, _ in sources])
@@ -99,10 +99,12 @@ def _audit(key, cells: pa.Table, groups: pa.Table, ranks: int) -> pa.Table:
     whole = np.zeros(len(kept), np.int64)
     whole[ids] = cells["in_lang"].to_numpy()
     p = shares(dense, total, v) if v else dense
+    # terms of the chunk that none of these sources has
+    absent, rare = max(0, min(chunk, v - nth * chunk)) - len(kept), shares(np.zeros_like(total), total, v)[:, 0] if v else total[:, 0]
     for i, (name, b, _) in enumerate(sources):
         against = [j for j in range(len(sources)) if (block[j] == two and b == one if one != two else j > i)]
         if against:
-            sums = gaps(p[i], p[against]).sum(axis=1).tolist()
+            sums = (gaps(p[i], p[against]).sum(axis=1) + (absent * gaps(rare[i], rare[against]) if absent else 0)).tolist()
             for j, value in zip(against, sums, strict=True):
                 out += [(name, "pair", sources[j][0], value), (sources[j][0], "pair", name, value)]
     if one == two and len(kept):
@@ -156,7 +158,7 @@ def source_divergence(docs: DataFrame, least_documents: int = 10, ranks: int = 1
     by = ("lang", "chunk", "one", "two")
 
     def audit(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        return _audit(key, left, right, ranks)
+        return _audit(key, left, right, ranks, chunk)
 
     parts = stored(cells.groupBy(*by).cogroup(sources.groupBy(*by)).applyInArrow(audit, "lang binary, source binary, part string, item binary, value long"), "divergence")
     whole = parts.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))

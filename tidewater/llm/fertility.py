@@ -51,21 +51,21 @@ def load_vocabulary(path: str) -> tuple[Callable[[list[str]], list[list[int]]],
 
 
 def repeated_windows(ids: np.ndarray, width: int) -> np.ndarray:
-    """Whether each place lies in a window of `width` ids that is found twice or more. Names of windows are doubled: a window's name is that of its halves."""
+    """Whether each place lies in a window of `width` ids that is found twice or more. Only windows all of whose neighbouring pairs are found twice can be; few are."""
     out = np.zeros(len(ids), bool)
     if len(ids) < width:
         return out
-    size, name = 1, ids
-    while size < width:
-        step = min(size, width - size)
-        _, name = np.unique(name[: len(name) - step] * (int(name.max()) + 1) + name[step:], return_inverse=True)
-        size += step
-    met = np.bincount(name)
-    mark = np.zeros(len(ids) + 1, np.int64)
-    twice = np.flatnonzero(met[name] > 1)
-    np.add.at(mark, twice, 1)
-    np.add.at(mark, twice + width, -1)
-    return np.cumsum(mark[:-1]) > 0
+    _, pair, met = np.unique(ids[:-1] * (int(ids.max()) + 1) + ids[1:], return_inverse=True, return_counts=True)
+    upto = np.concatenate([[0], np.cumsum(met[pair] > 1)])
+    start = np.flatnonzero(upto[width - 1 :] - upto[: len(upto) - width + 1] == width - 1)
+    if len(start):
+        _, name, met = np.unique(np.lib.stride_tricks.sliding_window_view(ids, width)[start], axis=0, return_inverse=True, return_counts=True)
+        twice = start[met[name.ravel()] > 1]
+        mark = np.zeros(len(ids) + 1, np.int64)
+        np.add.at(mark, twice, 1)
+        np.add.at(mark, twice + width, -1)
+        out = np.cumsum(mark[:-1]) > 0
+    return out
 
 
 def base_counts(texts: list[bytes], width: int = 8) -> tuple[list[list[bytes]], dict[str, np.ndarray]]:
@@ -73,8 +73,8 @@ def base_counts(texts: list[bytes], width: int = 8) -> tuple[list[list[bytes]],
     found = [x.split() for x in texts]  # bytes split at space and \t to \r
     n_words = np.array([len(x) for x in found], np.int64)
     chars, symbols, dup = (np.zeros(len(texts), np.int64) for _ in range(3))
-    known: dict[bytes, int] = {}
-    ids = np.array([known.setdefault(w, len(known)) for x in found for w in x], np.int64)
+    coded = pa.array([w for x in found for w in x], pa.binary()).dictionary_encode()
+    ids, known = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
     for i, text in enumerate(texts):
         data = np.frombuffer(text, np.uint8)
         chars[i] = np.count_nonzero((data & 0xC0) != 0x80) - np.count_nonzero(_BLANK[data])
@@ -83,7 +83,7 @@ def base_counts(texts: list[bytes], width: int = 8) -> tuple[list[list[bytes]],
         dup[i] = len(lines) - len(set(lines))
     of = np.repeat(np.arange(len(texts)), n_words)
     # a word's name holds its text, so windows of two texts, or over the end of one, are never equal
-    again = repeated_windows(of * max(1, len(known)) + ids, width)
+    again = repeated_windows(of * max(1, known) + ids, width)
     counts = {"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup}
     return found, counts | {"n_repeat_words": np.bincount(of[again], minlength=len(texts)).astype(np.int64)}
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import numbered, portions, stored
+from .shared import free_name, numbered, portions, stored
 
 #: Bytes as words see them: A-Z in lower case, digits, a-z and all bytes of other characters as they are, the rest a blank.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -173,8 +173,9 @@ def resample(
             break
         seen, least = seen + n, score
     high = eligible & (F.col("score") >= F.lit(least).cast("long")) if least is not None else F.lit(False)
-    ranked = numbered(scored.where(high), [F.col("score").desc(), F.col("doc_id").asc_nulls_last()], "place")
-    rank = F.when(F.col("place") < wanted, F.col("place") + 1)
+    place = free_name(scored, "place")
+    ranked = numbered(scored.where(high), [F.col("score").desc(), F.col("doc_id").asc_nulls_last()], place)
+    rank = F.when(F.col(place) < wanted, F.col(place) + 1)
     drawn = ranked.select(*scored.columns, rank.alias("rank"))
     return drawn.unionByName(scored.where(~high).withColumn("rank", F.lit(None).cast("long")))
 
