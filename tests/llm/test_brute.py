@@ -156,16 +156,34 @@ def test_estimates_are_near_the_truth():
         assert abs(got - j) < 0.2
 
 
+SENTENCE_END = re.compile(r"(?<=[.!?])[ \t\r\x0b\x0c]+|[ \t\r\x0b\x0c]*\n\s*")
+
+
+def covered_by_repeats(texts, n):
+    """For each text its sentences, and which of them lie in a run of n of them (all, of a text with fewer) that stands somewhere before: the method as it is told."""
+    split = [[" ".join(u.split()).lower() for u in SENTENCE_END.split(t.strip()) if u] for t in texts]
+    seen, out = set(), []
+    for u in split:
+        gone = set()
+        k = min(n, len(u))
+        for a in range(len(u) - k + 1 if u else 0):
+            run = tuple(u[a : a + k])
+            if run in seen:
+                gone |= set(range(a, a + k))
+            seen.add(run)
+        out.append((u, gone))
+    return out
+
+
 def test_sentence_runs(spark, small):
     n, least = 3, 20
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect())
-    cut = re.compile(r"(?<=[.!?])[ \t\r\x0b\x0c]+|[ \t\r\x0b\x0c]*\n\s*")
+    whole = dict(zip((i for i, _ in docs), covered_by_repeats([t for _, t in docs], n), strict=True))
 
-    def split(text):
-        whole = [u for u in cut.split(text.strip()) if u]
-        return [v.lower() for u in whole for v in (re.split(r"(?<=[,;:])\s+", u) if len(u.split()) > 20 else [u])]
+    def clauses(u):
+        return re.split(r"(?<=[,;:])\s+", u) if len(u.split()) > 20 else [u]
 
-    units = {i: split(t) for i, t in docs}
+    units = {i: [c for u in whole[i][0] for c in clauses(u)] for i, _ in docs}
 
     def runs(u):
         def enough(a, b):
@@ -175,18 +193,36 @@ def test_sentence_runs(spark, small):
         back = {(next((a for a in range(b - 1, -1, -1) if enough(a, b)), None), b) for b in range(1, len(u) + 1)}
         return sorted((a, b) for a, b in ahead | back if a is not None and b is not None)
 
+    def places(i):
+        """The clauses of each sentence."""
+        at = 0
+        for u in whole[i][0]:
+            yield range(at, at + len(clauses(u)))
+            at += len(clauses(u))
+
     first = {}
     for i, _ in docs:
         for a, b in runs(units[i]):
             first.setdefault(tuple(units[i][a:b]), (i, a))
     want = {}
     for i, _ in docs:
-        gone = {j for a, b in runs(units[i]) if first[tuple(units[i][a:b])] != (i, a) for j in range(a, b)}
-        want[i] = (len(units[i]), len(gone), sum(j - 1 not in gone for j in gone), [u for j, u in enumerate(units[i]) if j not in gone])
+        by_sentences = {j for k, at in enumerate(places(i)) if k in whole[i][1] for j in at}
+        gone = by_sentences | {j for a, b in runs(units[i]) if first[tuple(units[i][a:b])] != (i, a) for j in range(a, b)}
+        want[i] = (len(units[i]), len(gone), sum(j - 1 not in gone for j in gone), len(gone - by_sentences), [u for j, u in enumerate(units[i]) if j not in gone])
     rows = sentences.drop_repeated_runs(spark.read.parquet(f"{small}/documents.parquet")).collect()
     words = lambda units: " ".join(units).split()
-    got = {r.doc_id: (r.n_sentences, r.n_removed, r.n_spans, r.text.lower().split()) for r in rows}
-    assert got == {i: (*w[:3], words(w[3])) for i, w in want.items()} and any(r.n_removed for r in rows)
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.n_spans, r.n_by_clauses, r.text.lower().split()) for r in rows}
+    assert got == {i: (*w[:4], words(w[4])) for i, w in want.items()} and any(r.n_removed > r.n_by_clauses for r in rows)
+
+
+def test_every_run_of_sentences_counts(spark):
+    rng = random.Random(8)
+    # short sentences out of few, so that runs of every length repeat
+    texts = [" ".join(rng.choice(["A b.", "C!", "D e f?", "G h i j k.", "L", "M n.\n"]) for _ in range(rng.randint(0, 9))) for _ in range(120)]
+    for n in (1, 2, 3):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        got = {r.doc_id: r.text.lower().split() for r in sentences.drop_repeated_runs(docs, n=n, least_words=10**6).collect()}
+        assert got == {i: " ".join(x for j, x in enumerate(u) if j not in gone).split() for i, (u, gone) in enumerate(covered_by_repeats(texts, n))}
 
 
 @settings(max_examples=200, deadline=None)

@@ -18,7 +18,14 @@ def test_sentence_runs_of_short_sentences(spark, tmp_path):
     rows = [(1, "Alpha. " + short), (2, short), (3, lines), (4, "Before it, other words stand.\n" + lines), (5, "Milk. Eggs. Bread."), (6, "One. Two. Three. " + short + " Four. Five. Six.")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.n_removed for r in QUERIES["op5_sentence_spans"](spark, str(tmp_path)).collect()}
-    assert got == {1: 0, 2: 20, 3: 0, 4: 30, 5: 0, 6: 20}
+    assert got == {1: 0, 2: 20, 3: 0, 4: 30, 5: 3, 6: 20}
+
+
+def test_short_repeats_go_whatever_their_words(spark):
+    three = "The cat sat on mats. The dog ate one bone. The bird sang all day."
+    rows = [(1, three), (2, three), (3, f"New words here. {three} Old words there."), (4, "Two only. Words."), (5, "two  only. WORDS."), (6, "Two only. Others.")]
+    got = {r.doc_id: (r.text, r.n_by_clauses) for r in sentences.drop_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (three, 0), 2: ("", 0), 3: ("New words here. Old words there.", 0), 4: ("Two only. Words.", 0), 5: ("", 0), 6: ("Two only. Others.", 0)}
 
 
 def test_sentence_runs_cover_the_ends_of_a_passage(spark):
