@@ -24,19 +24,31 @@ PARAGRAPH = frozenset("p pre td blockquote li dd h2 h3".split())
 CONTAINER = frozenset("div section article main body".split())
 #: Parts of lists and tables, which are no containers of their own.
 PARTS = frozenset("tr thead tbody tfoot table ul ol dl li dt dd p".split())
-#: Words within a class, id or role that mark what is not the article, and names of layouts that only mention such a part.
+#: Words within a class, id or role that mark what is not the article; words that may mark it, or a part of an article that is called so; and names of layouts that
+#: only mention such a part. Names in camel case count by their words.
 ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|paywall|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|widget|footer|foot|masthead|topbar|toolbar|header|social|share|sharing|related|recommend\w*|"
-    r"comments?|disqus|replies|reply|discussion|login|signup|search|pager|pagination|tags|copyright|complementary|contentinfo|skip)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|paywall|"
+    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|aside|widget|footer|masthead|topbar|toolbar|social|share|sharing|related|recommend\w*|"
+    r"comments?|disqus|login|signup|pager|pagination|copyright|complementary|contentinfo|skip)(?:$|[\s_-])",
     re.I,
 )
+UNSURE = re.compile(r"(?:^|[\s_-])(?:notice|alert|side|foot|header|replies|reply|discussion|responses?|search|tags)(?:$|[\s_-])", re.I)
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+#: What the lines of a reader's post say beside its text: when it was written, or how to answer it.
+STAMP = re.compile(
+    r"\b\d+\s*(?:s|m|h|d|w|sec|min|hr|second|minute|hour|day|week|month|year)s?\.?\s+ago\b|\b\d{1,2}:\d{2}\b|\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|"
+    r"\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4}\b|\byesterday\b|\bjust now\b",
+    re.I,
+)
+ANSWER = re.compile(r"\b(?:reply|replies|answer|report|flag|upvote|like|likes|says|said|wrote)\b", re.I)
 LAYOUT = re.compile(r"(?:with|without|has|no|show|hide)[_-]", re.I)
 #: Classes that name the article or what holds it.
 CONTENT = frozenset("content article main post entry story body text page wrapper container".split())
 #: What points are worth that pass out of an element that is marked as no article, or that are compared within it. An element with a main heading
 #: and so much text is not apart, whatever it is called.
 MARKED, MIXED, TITLED_CHARS = 0.05, 0.5, 250
+#: An unsure mark counts on what is short, or mostly links, or a form; a post of a thread has no more than so many characters, and its own lines no more than so many.
+SHORT_CHARS, LINKED, POST_CHARS, LINE_CHARS = 160, 0.5, 3000, 60
 _TEXT = re.compile(r"[^<]+")
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _UNQUOTED = re.compile(r"[^>\"']*")
@@ -67,10 +79,10 @@ class Node:
     holds a main heading or an article. score: its points; trust: the product of the weights from the root down to it.
     """
 
-    __slots__ = ("chars", "children", "commas", "depth", "links", "name", "parent", "run", "score", "titled", "trust", "weight")
+    __slots__ = ("chars", "children", "commas", "depth", "links", "name", "parent", "run", "score", "titled", "trust", "unsure", "weight")
 
-    def __init__(self, name: str, parent: Node | None, weight: float):
-        self.name, self.parent, self.weight, self.children = name, parent, weight, []
+    def __init__(self, name: str, parent: Node | None, weight: float, unsure: bool = False):
+        self.name, self.parent, self.weight, self.unsure, self.children = name, parent, weight, unsure, []
         self.chars = self.links = self.run = self.commas = 0
         self.score, self.trust, self.titled = 0.0, 1.0, name in ("h1", "article", "main")
         # blocks up to the root, where nothing else lies between
@@ -80,21 +92,24 @@ class Node:
             self.depth = 1 if parent is None else min(99, parent.depth + 1)
 
 
-def _weight(name: str, attributes: str, depth: int) -> float:
+def _weight(name: str, attributes: str, depth: int) -> tuple[float, bool]:
+    """An element's weight, and whether its name may but need not mark it."""
+    unsure = False
     if name in APART:
-        return 0.0
+        return 0.0, unsure
     if name in ("html", "body", "main"):
-        return 1.0
+        return 1.0, unsure
     weight = MARKED if name in ("form", "fieldset") or name == "header" and depth <= 2 else 1.0
     for key, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), "".join(values)
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
             weight = min(weight, MARKED)
         elif key in ("class", "id", "role"):
-            words = value.split()
+            words = [_CAMEL.sub("-", x) for x in value.split()]
             if any(ASIDE.search(x) and not LAYOUT.match(x) for x in words):
                 weight = min(weight, MIXED if CONTENT.intersection(x.lower() for x in words) else MARKED)
-    return weight
+            unsure = unsure or any(UNSURE.search(x) and not LAYOUT.match(x) for x in words)
+    return weight, unsure
 
 
 def _tag_end(text: str, pos: int) -> int:
@@ -158,7 +173,7 @@ class Tree:
         if ends:
             self._close(min(ends))
         up = self.open[-1]
-        node = Node(name, up, _weight(name, attributes, up.depth))
+        node = Node(name, up, *_weight(name, attributes, up.depth))
         up.children.append(node)
         self.nodes.append(node)
         return node
@@ -213,6 +228,10 @@ class Tree:
                     node.commas += c.count(",")
                     if within[id(node)]:
                         node.links += n
+            if node.unsure and node.weight == 1 and (node.chars < SHORT_CHARS or link_density(node) > LINKED or any(isinstance(c, Node) and c.name == "form" for c in node.children)):
+                node.weight = MARKED
+            if node.weight == 1 and is_thread(node):
+                node.weight = MARKED
             if node.titled and node.weight < 1 and node.chars >= TITLED_CHARS:
                 node.weight = 1.0
             up = node.parent
@@ -231,6 +250,32 @@ class Tree:
 _CLOSED_BY = {name: tuple(c for c, begins in _CLOSES.items() if name in begins) for name in frozenset().union(*_CLOSES.values())}
 
 
+def own_lines(node: Node) -> list[str]:
+    """The short lines of a node, whatever they are marked as."""
+    return [x for x in _lines(node) if len(x) <= LINE_CHARS]
+
+
+def is_thread(node: Node) -> bool:
+    """Whether a node holds readers' posts: most of its elements are of one kind, two or more, and each of these has a short line that says when it was written and one
+    by which it is answered, or three or more that say when. A post has no main heading and is no longer than POST_CHARS."""
+    if node.name in ("html", "body", "main", "table", "tbody", "tr") or node.titled:
+        return False
+    kinds: dict[str, list[Node]] = {}
+    for c in node.children:
+        if isinstance(c, Node) and c.name in ("div", "li", "article", "section", "dd", "blockquote") and 0 < c.chars <= POST_CHARS:
+            kinds.setdefault(c.name, []).append(c)
+    posts = max(kinds.values(), key=len, default=[])
+    if len(posts) < 2 or sum(c.chars for c in posts) < 0.6 * node.chars:
+        return False
+    stamped = answered = 0
+    for c in posts:
+        lines = own_lines(c)
+        when = any(STAMP.search(x) for x in lines)
+        stamped += when
+        answered += when and any(ANSWER.search(x) and not x.endswith((".", "!", "?")) for x in lines)
+    return answered >= max(2, 0.6 * len(posts)) or len(posts) >= 3 and stamped >= 0.8 * len(posts) and answered > 0
+
+
 def parse(text: str) -> Tree:
     return Tree(text)
 
@@ -307,30 +352,34 @@ def best_nodes(tree: Tree) -> tuple[list[Node], frozenset[int]]:
 def blocks(node: Node, held: frozenset[int]) -> list[str]:
     """The texts of a node's blocks in page order, white space run together, character references decoded; empty ones left out, as is what stands
     apart and is not in held."""
-    out, line = [], []
+    return list(_lines(node, held))
+
+
+def _lines(node: Node, held: frozenset[int] | None = None) -> Iterator[str]:
+    """blocks(), or, without held, those of all that is within."""
+    line: list[str] = []
 
-    def end():
+    def end() -> Iterator[str]:
         text = _BLANK.sub(" ", entities.unescape("".join(line))).strip()
         line.clear()
         if text:
-            out.append(text)
+            yield text
 
     stack: list = [node]
     while stack:
         x = stack.pop()
         if x is None:
-            end()
+            yield from end()
         elif isinstance(x, str):
             line.append(x)
         elif x.name == "br":
             line.append(" ")
-        elif x.weight == 1 or id(x) in held:
+        elif x.weight == 1 or held is None and x.weight > 0 or held is not None and id(x) in held:
             if x.name in BLOCK:
-                end()
+                yield from end()
                 stack.append(None)
             stack.extend(reversed(x.children))
-    end()
-    return out
+    yield from end()
 
 
 def main_text(page: str | None) -> str:

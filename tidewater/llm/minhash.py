@@ -142,16 +142,17 @@ def _band_rows(classes: DataFrame) -> DataFrame:
 PIVOTS = 4
 
 
-def spanning_links(members: DataFrame, solve: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def spanning_links(members: DataFrame, solve: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame], few: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that connect, within each group, whatever its links connect, and the parts (node, root) that they make.
 
     members: grp, node, blocks, the number of blocks in which a group is dealt. solve takes units (grp, i, j, node, own, part): of each (grp, i, j)
     the members of blocks i and j (own says which) with what they are known to be connected with; it returns links between members of i and of j
-    that join all of their parts that any such link joins.
+    that join all of their parts that any such link joins. finish takes nodes (node, part, outside) and returns the links between an outside one and any other of
+    another part, found without comparing all of them.
 
     Groups of one block are solved at once. Of larger ones each block is first solved together with a few pivots that go to all blocks: where
     copies are near each other, that connects nearly all, and the work is in proportion to the group. Then only those outside the group's largest
-    part are compared with the other blocks, and those within it are not compared again. No link between different parts is lost.
+    part are compared with the rest of it: block by block where they are `few` at most, else as finish() does. No link between different parts is lost.
     """
     blocks = F.col("blocks")
     own = F.pmod(F.xxhash64(F.lit(3), "node"), blocks).cast("int")
@@ -170,19 +171,45 @@ def spanning_links(members: DataFrame, solve: Callable[[DataFrame], DataFrame])
     most = stored(most, "parts")
     if most.isEmpty():
         return links, parts
+    scattered = (F.col("all") - F.col("inside")) > few
     share = lambda n: F.greatest(F.lit(1), F.ceil(n * blocks / F.col("all"))).cast("int")
     hashed, outside = F.xxhash64(F.lit(4), "node"), F.col("part") != F.col("main")
     dealt = (
-        placed.join(most, "grp")
+        placed.join(most.where(~scattered), "grp")
         .withColumns({"few": share(F.col("all") - F.col("inside")), "rest": share(F.col("inside"))})
         .withColumn("own", F.when(outside, F.pmod(hashed, F.col("few"))).otherwise(F.col("few") + F.pmod(hashed, F.col("rest"))).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(outside, F.col("few") + F.col("rest") - 1).otherwise(F.col("few") - 1))))
     )
     again = dealt.select("grp", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"), "node", "own", "part")
     links = links.unionByName(stored(solve(again), "links"))
+    loose = placed.join(most.where(scattered), "grp").groupBy("node").agg(F.min("part").alias("part"), F.max(outside).alias("outside"))
+    loose = stored(loose, "loose")
+    if not loose.isEmpty():
+        links = links.unionByName(stored(finish(loose), "links"))
     return links, connected_components(links)
 
 
+def prefix_pairs(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs of an outside node and another one of a different part that may have as many tokens in common as they need; none that do is left out.
+
+    tokens: node, token, distinct for each node; nodes: node, part, outside, size (of the whole), short and long. Tokens have one order, those of the fewest outside nodes first.
+    Two sets with so much in common share one of the first `short` tokens of the smaller and of the first `long` ones of the larger. What sets of
+    one template have in common stands last, and what sets them apart first, so they hardly ever meet.
+    """
+    held = stored(tokens, "tokens")
+    counts = held.join(nodes.where("outside").select("node"), "node", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    ranked = held.join(counts.select(apart(F.col("token")).alias("token"), "c"), "token", "left").groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "token"))).alias("t"))
+    first = ranked.join(nodes, "node").select("node", "part", "outside", "size", "short", F.posexplode(F.slice("t", F.lit(1), F.greatest("short", "long"))).alias("at", "x")).where("x.c > 0")
+    first = stored(first.select("node", "part", "outside", "size", (F.col("at") < F.col("short")).alias("near"), F.col("x.token").alias("token")), "prefixes")
+    # the outside node on the left, the other on the right
+    left, right = first.where("outside").alias("l"), first.alias("r")
+    apart_parts = (F.col("l.token") == F.col("r.token")) & (F.col("l.part") != F.col("r.part"))
+    smaller = left.where("l.near").join(right, apart_parts & (F.col("l.size") <= F.col("r.size")))
+    larger = left.join(right.where("r.near"), apart_parts & (F.col("r.size") < F.col("l.size")))
+    ends = [F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")]
+    return smaller.select(*ends).unionByName(larger.select(*ends)).distinct()
+
+
 def joined_parts(left: np.ndarray, right: np.ndarray, part: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
     """Links (indices) between left and right that join all parts that any such link joins; linked(x, others) gives those of others that x links
     with. A member is not compared with those of its own part, so near copies cost about one comparison each."""
@@ -272,7 +299,46 @@ def estimated_parts(bands: DataFrame, classes: DataFrame, threshold: float, bloc
         rows = units.join(classes.select(F.col("cls").alias("node"), "n", "sketch"), "node")
         return _in_order(rows).mapInArrow(find, "a long, b long")
 
-    return spanning_links(members, solve)[1]
+    def registers_of(batches):
+        """Each node's filled registers as tokens, and how many of the rarest two nodes must share one of whose estimate may reach the threshold."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            regs = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+            filled = regs != EMPTY
+            node = np.broadcast_to(batch.column("node").to_numpy()[:, None], regs.shape)
+            token = np.arange(BUCKETS, dtype=np.int64) << 16 | regs
+            yield pa.RecordBatch.from_arrays([pa.array(node[filled]), pa.array(token[filled])], names=["node", "token"])
+
+    def needed(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            regs = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+            n, f = batch.column("n").to_numpy(), (regs != EMPTY).sum(axis=1)
+            # a partner has between threshold and 1 / threshold times as many shingles
+            wide = np.max([slack(threshold, n, n * k) for k in np.linspace(1, 1 / threshold, 9)], axis=0) + 0.01
+            least = np.maximum(1, np.ceil((threshold - wide) * f - 1e-9).astype(np.int64))
+            first = np.maximum(1, f - least + 1)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("part"), batch.column("outside"), pa.array(f.astype(np.int64)), pa.array(first.astype(np.int32)), pa.array(first.astype(np.int32))], names=["node", "part", "outside", "size", "short", "long"])
+
+    def compare(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            regs = np.concatenate([np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, BUCKETS) for k in ("sketch_a", "sketch_b")])
+            n = np.concatenate([batch.column(k).to_numpy() for k in ("n_a", "n_b")])
+            x, _ = near(n, regs, np.arange(batch.num_rows), np.arange(batch.num_rows) + batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(x)), batch.column("b").take(pa.array(x))], names=["a", "b"])
+
+    def finish(nodes: DataFrame) -> DataFrame:
+        drawn = stored(nodes.join(classes.select(F.col("cls").alias("node"), "n", "sketch"), "node"), "loose-sketches")
+        sized = stored(drawn.mapInArrow(needed, "node long, part long, outside boolean, size long, short int, long int"), "loose-sizes")
+        pairs = prefix_pairs(drawn.select("node", "sketch").mapInArrow(registers_of, "node long, token long"), sized)
+        side = lambda k: drawn.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "a long, b long")
+
+    return spanning_links(members, solve, finish, block)[1]
 
 
 def verified_parts(around: DataFrame, classes: DataFrame, texts: DataFrame, width: int, threshold: float, block: int, block_shingles: int) -> DataFrame:
@@ -314,7 +380,36 @@ def verified_parts(around: DataFrame, classes: DataFrame, texts: DataFrame, widt
         rows = units.join(own_texts.hint("merge"), "node").select("grp", "i", "j", "node", "own", "part", "packed")
         return _in_order(rows).mapInArrow(find, "a long, b long")
 
-    return spanning_links(members, solve)[1]
+    def shingles_of(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for node, packed in zip(batch.column("node").to_pylist(), batch.column("packed"), strict=True):
+                found = shingle_sets([unpack.decompress(packed.as_py())], width)[0].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node)), pa.array(found)], names=["node", "token"])
+
+    def compare(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            keep, one, own = [], None, None
+            for k, (a, packed_a, packed_b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("packed_a"), batch.column("packed_b"), strict=True)):
+                if a != one:
+                    one, own = a, shingle_sets([unpack.decompress(packed_a.as_py())], width)[0]
+                other = shingle_sets([unpack.decompress(packed_b.as_py())], width)[0]
+                both = int(common_counts(own, [other])[0])
+                if 100 * both >= percent * (len(own) + len(other) - both):
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
+
+    def finish(nodes: DataFrame) -> DataFrame:
+        n, t = F.col("n"), percent / 100
+        least = lambda share: F.greatest(F.lit(1), n - F.ceil(n * F.lit(share) - F.lit(1e-9)) + 1).cast("int")
+        sized = nodes.join(classes.select(F.col("cls").alias("node"), "n"), "node").select("node", "part", "outside", n.alias("size"), least(2 * t / (1 + t)).alias("short"), least(t).alias("long"))
+        texts_of = stored(nodes.select("node").join(own_texts.hint("merge"), "node"), "loose-texts")
+        pairs = stored(prefix_pairs(texts_of.mapInArrow(shingles_of, "node long, token long"), stored(sized, "loose-sizes")), "loose-pairs")
+        side = lambda k: texts_of.select(F.col("node").alias(k), F.col("packed").alias(f"packed_{k}")).hint("merge")
+        return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(compare, "a long, b long")
+
+    return spanning_links(members, solve, finish, block)[1]
 
 
 def common_counts(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:

@@ -12,6 +12,8 @@ from .shared import WORD, stored
 #: Characters that a text of good quality seldom holds, and the characters for a word (blanks counted) between which texts in general lie.
 ODD = "!%$#*|&=+<>{}[]~^0123456789"
 STRIDE = (4.0, 11.0)
+#: A text's different words are at least so many times the root of all its words, where it does not say the same over and over.
+VARIETY = 4.0
 
 
 def words(text: Column) -> Column:
@@ -19,12 +21,18 @@ def words(text: Column) -> Column:
 
 
 def quality_weight(text: Column, size: Column | None = None) -> Column:
-    """From 1/4 to 1: the share of a text's characters that are not ODD ones, less where its words (size of them) are shorter or longer than in
-    general. Texts without words weigh 1."""
+    """From 1/4 to 1, the product of four signs of quality: the share of a text's characters that are not ODD ones; less where its words (size of them) are shorter or longer than in
+    general, where it has few different words for its length, and where its lines repeat. Texts without words weigh 1."""
     n = F.length(text)
+    size = words(text) if size is None else size
+    count = F.nullif(size, F.lit(0)).cast("double")
     share = F.length(F.translate(text, ODD, "")) / F.nullif(n, F.lit(0))
-    stride = n / F.nullif(words(text) if size is None else size, F.lit(0))
-    return F.coalesce(F.lit(0.25) + F.lit(0.75) * share * F.least(F.lit(1.0), stride / F.lit(STRIDE[0]), F.lit(STRIDE[1]) / stride), F.lit(1.0))
+    stride = n / count
+    different = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))))
+    variety = F.least(F.lit(1.0), different / F.least(count, F.lit(VARIETY) * F.sqrt(count)))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit("\t\n\x0b\x0c\r ")) != "")
+    unlike = F.size(F.array_distinct(lines)) / F.nullif(F.size(lines), F.lit(0))
+    return F.coalesce(F.lit(0.25) + F.lit(0.75) * share * F.least(F.lit(1.0), stride / F.lit(STRIDE[0]), F.lit(STRIDE[1]) / stride) * variety * unlike, F.lit(1.0))
 
 
 def draw_key(seed: int, doc_id: Column, weight: Column) -> Column:
@@ -88,6 +96,7 @@ def mix_sources(
     bucket_rows: int = 50_000,
     broadcast_sources: int = 100_000,
     salts: int = 64,
+    most_in_order: int = 500_000,
 ) -> DataFrame:
     """Chooses how often each document enters a mix of sources; keeps every row of docs and adds size, source_size, target, copies and taken.
 
@@ -97,7 +106,8 @@ def mix_sources(
     1), while the prefix sum of sizes fits what is left, and the one that crosses it if that brings the sum nearer.
 
     The order within a source is found in two levels, so that no source is sorted in one task: sizes are summed by bucket of key, and only the
-    one bucket in which the target falls is put in order. There are as many buckets as hold about bucket_rows rows each. Up to broadcast_sources
+    one bucket in which the target falls is put in order: by one task for each source, or, where a bucket has more than most_in_order rows (rows without ids, or copies of a
+    row, share a draw), by ranges in many. There are as many buckets as hold about bucket_rows rows each. Up to broadcast_sources
     sources, a row for each goes to every task; beyond that sources are summed over ranges and documents meet their source in one of `salts` parts.
 
     Nulls: null text has size 0; a null source is a source of its own, last in order; a null doc_id draws as the text "null". Empty table: no rows.
@@ -111,7 +121,7 @@ def mix_sources(
     buckets = max(1024, -(-sized.count() // bucket_rows))
     # the key is exponential with a rate of 1/4 to 1; this maps it to buckets in order, all of them used
     sized = sized.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("draw") / 2)) * buckets).cast("int"), F.lit(buckets - 1)))
-    by_bucket = stored(sized.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket")), "mix-buckets")
+    by_bucket = stored(sized.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"), F.count(F.lit(1)).alias("rows_in_bucket")), "mix-buckets")
     sources = stored(by_bucket.groupBy("source").agg(F.sum("in_bucket").alias("source_size")), "mix-sources")
     many = sources.count() > broadcast_sources
     targets = (
@@ -136,14 +146,20 @@ def mix_sources(
     else:
         rows = sized.join(F.broadcast(edge), same)
     outside = rows.where(~F.col("bucket").eqNullSafe(F.col("edge_bucket"))).withColumn("part", F.when(F.col("edge_bucket").isNull() | (F.col("bucket") < F.col("edge_bucket")), 1).otherwise(0))
-    within = Window.partitionBy("source").orderBy("draw", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = (
-        rows.where(F.col("bucket") == F.col("edge_bucket"))
-        .withColumn("sum", F.col("under") + F.sum("size").over(within))
-        .withColumn("part", F.when((F.col("sum") <= F.col("left")) | (F.col("sum") - F.col("left") < F.col("left") - (F.col("sum") - F.col("size"))), 1).otherwise(0))
-        .drop("sum")
-    )
-    copies = F.col("epochs") + F.col("part")
+    order = ["draw", F.col("doc_id").asc_nulls_last(), "size"]
+    edges = rows.where(F.col("bucket") == F.col("edge_bucket"))
+    # rows that share a draw share a bucket, however many: null ids of one weight, or copies of a row
+    if (edge.agg(F.max("edge_rows")).first()[0] or 0) > most_in_order:
+        numbered_rows = stored(edges, "mix-edge").withColumn("row_", F.monotonically_increasing_id())
+        summed = _running(numbered_rows, [F.col("source").asc_nulls_last(), *order, "row_"], {"before_": "size"}, True).drop("nth", "row_")
+        starts = summed.groupBy(F.col("source").alias("of_source")).agg(F.min("before_").alias("start_"))
+        # a row for each source that is cut
+        placed = summed.join(F.broadcast(starts) if not many else starts, F.col("source").eqNullSafe(F.col("of_source")))
+        inside = placed.withColumn("sum", F.col("under") + F.col("before_") - F.col("start_") + F.col("size")).drop("before_", "start_", "of_source")
+    else:
+        within = Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        inside = edges.withColumn("sum", F.col("under") + F.sum("size").over(within))
+    inside = inside.withColumn("part", F.when((F.col("sum") <= F.col("left")) | (F.col("sum") - F.col("left") < F.col("left") - (F.col("sum") - F.col("size"))), 1).otherwise(0)).drop("sum")
     added = ["size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")]
     return outside.unionByName(inside).select(*[F.col("doc")[c].alias(c) for c in extra], *added)
 
@@ -159,9 +175,10 @@ OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, size,
     -ln((CAST(('0x' || substr(md5('20:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12)) AS BIGINT) + 0.5e0) / 281474976710656e0)
-      / coalesce(25e-2 + 75e-2 * (CAST(length(translate(text, '!%$#*|&=+<>{}[]~^0123456789', '')) AS DOUBLE) / nullif(length(text), 0)) * least(1e0, stride / 4e0, 11e0 / stride), 1e0) AS k
-  FROM (SELECT *, CAST(length(text) AS DOUBLE) / nullif(size, 0) AS stride
-    FROM (SELECT *, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents))),
+      / coalesce(25e-2 + 75e-2 * (CAST(length(translate(text, '!%$#*|&=+<>{}[]~^0123456789', '')) AS DOUBLE) / nullif(length(text), 0)) * CASE WHEN size > 0 THEN least(1e0, stride / 4e0, 11e0 / stride) END
+        * CASE WHEN size > 0 THEN least(1e0, different / least(CAST(size AS DOUBLE), 4e0 * sqrt(size))) END * (CAST(len(list_distinct(lines)) AS DOUBLE) / nullif(len(lines), 0)), 1e0) AS k
+  FROM (SELECT *, CAST(length(text) AS DOUBLE) / nullif(size, 0) AS stride, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    FROM (SELECT *, CAST(len(w) AS BIGINT) AS size, len(list_distinct(w)) AS different FROM (SELECT *, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)))),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
     CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS w

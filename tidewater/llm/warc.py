@@ -254,10 +254,12 @@ def parse_record(record: bytes) -> dict | None:
 
 
 def with_first_copies(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """pages (page_id, url, html) with `first`: the smallest page_id of equal payloads of least_bytes bytes or more. Only digests are grouped."""
+    """pages (page_id, url, html) with `first`: the smallest page_id of equal payloads of least_bytes bytes or more. Only digests are grouped. The join that brings `first` to the
+    pages has its digest by another expression than the sum, so that it is a stage of two plain shuffles, whose hot payloads adaptive execution splits."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", "html", F.sha1(payload).alias("_sha1"), F.octet_length(payload).alias("_n"))
     again = keyed.where(F.col("_n") >= least_bytes).groupBy("_sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
+    again = again.select(F.concat("_sha1", F.lit("")).alias("_sha1"), "first", "_copies")
     return keyed.join(again, "_sha1", "left").drop("_copies", "_sha1", "_n")
 
 
