@@ -180,3 +180,15 @@ def test_columns_of_other_names_keep_their_values(spark, broadcast):
             assert [r[n] for n in NAMES] == [f"{n}{r.doc_id}" for n in NAMES], name
     assert {r.doc_id for r in made["minhash"].collect()} == {0, 1, 2, 5, 8, 11}
     assert made["lines"].count() == made["mixing"].count() == made["quality"].count() == made["decontaminate"].count() == 12
+
+
+def test_mixing_in_ranges_is_the_same(docs, spark):
+    """Rows that share a draw fill one bucket; its order by ranges in many tasks takes what one window takes."""
+    copies = spark.createDataFrame([(None, f"w{k % 5} b c", None, f"s{k % 3}", None, "c", "c", "c", "c", "c") for k in range(90)], SCHEMA)
+    # rows that tie in draw, id and size may stand for each other
+    held = ["doc_id", "source", "size", "source_size", "target", "copies", "taken"]
+    for table in (docs, copies):
+        rows = [sorted(map(str, mixing.mix_sources(table, most_in_order=most, broadcast_sources=few).select(*held).collect())) for most in (500_000, 1) for few in (100_000, 0)]
+        assert len(rows[0]) == table.count() and all(x == rows[0] for x in rows[1:])
+    taken = mixing.mix_sources(copies, most_in_order=1).groupBy("target").agg(F.sum("taken").alias("taken")).collect()
+    assert all(abs(r.taken - r.target) <= 3 for r in taken)
