@@ -202,3 +202,20 @@ def test_lists_and_names_of_files(spark):
     assert [r.v for r in got] == [["a", "b"], ["x"], ["[bad"], ["7"], [], [], []]
     names = ["Doc.HTM", "x.txt", "x-index.htm", "y_lab.xml", "z.pdf", "FilingSummary.xml", None]
     assert [r.v for r in spark.createDataFrame([(n,) for n in names], "c string").select(X.is_document(F.col("c")).alias("v")).collect()] == [True, True, False, False, False, False, False]
+
+
+def test_shares_print_as_in_c(spark):
+    middles = [(2 * k + 1) / 200 for k in range(100)]
+    values = [x for m in middles for x in (m, math.nextafter(m, 0), math.nextafter(m, 1))] + [k / 100 for k in range(101)] + [k / 7919 for k in range(7920)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", N.hundredths(F.col("v")).alias("s")).collect()
+    assert [r.s for r in got if r.s != f"{r.v:.2f}"] == []
+
+
+def test_pools_leave_what_their_caps_leave(spark):
+    C, caps, q = capacity, (0.1, 0.2, 0.5), 0.7
+    pools = F.array(*[C.pool(f"p{k}", F.lit(c), F.lit(k / 2)) for k, c in enumerate(caps)])
+    got = spark.range(1).select(F.inline(F.array(C.allocate(pools, F.lit(q))))).first()
+    takes = (caps[0], caps[1], q - caps[0] - caps[1])
+    assert got.source_mix == "|".join(f"p{k}:{t / q:.2f}" for k, t in enumerate(takes)) and got.cash_prob == (takes[1] / 2 + takes[2]) / sum(takes)
+    eighths = spark.range(1).select(F.inline(F.array(C.allocate(F.array(C.pool("a", F.lit(0.625), F.lit(0.0)), C.pool("b", F.lit(1.0), F.lit(0.0))), F.lit(1.0))))).first()
+    assert eighths.source_mix == "a:0.62|b:0.38"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -157,3 +158,14 @@ def number_or_null(columns: Sequence[str], name: str, missing: float | None = No
     """A column as numbers, or null (or a value) throughout where a table does not have it."""
     fill = F.lit(missing).cast("double")
     return F.coalesce(F.col(name).try_cast("double"), fill) if name in columns else fill
+
+
+def hundredths(share: Column) -> Column:
+    """A share of 0 to 1 as C prints it with two digits: by the exact value of the double, halves to even. Java's format rounds the shortest decimal that stands for it,
+    halves up."""
+    middles = [(2 * k + 1) / 200 for k in range(100)]
+    # the least double that goes up from each hundredth
+    least = [m if float(f"{m:.2f}") > m else math.nextafter(m, 1) for m in middles]
+    down = F.greatest(F.lit(0), F.least(F.lit(99), F.floor(share * 100).cast("int")))
+    whole = down + (share >= F.element_at(F.array(*[F.lit(x) for x in least]), down + 1)).cast("int")
+    return F.format_string("%d.%02d", F.floor(whole / 100).cast("int"), whole % 100)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.numbers import bounded_share
+from ..functions.numbers import bounded_share, hundredths
 from ..functions.text import default_rule_probability
 
 
@@ -92,10 +92,11 @@ def allocate(pools: Column, ownership: Column) -> Column:
     """struct(cash_prob, source_mix, unfilled): takes from each pool in order until the ownership is filled."""
     q = F.greatest(F.lit(0.0), F.coalesce(ownership, F.lit(0.0)))
     none = F.array().cast("array<struct<name:string,take:double,cash:double>>")
-    start = F.struct(F.lit(0.0).alias("used"), none.alias("taken"))
+    start = F.struct(q.alias("left"), none.alias("taken"))
+    # what is left falls by each whole cap, below 0 once one is not used up
     step = lambda a, x: F.struct(
-        (a["used"] + F.least(F.greatest(F.lit(0.0), q - a["used"]), x["cap"])).alias("used"),
-        F.concat(a["taken"], F.array(F.struct(x["name"].alias("name"), F.least(F.greatest(F.lit(0.0), q - a["used"]), x["cap"]).alias("take"), x["cash"].alias("cash")))).alias("taken"),
+        (a["left"] - x["cap"]).alias("left"),
+        F.concat(a["taken"], F.array(F.struct(x["name"].alias("name"), F.least(F.greatest(F.lit(0.0), a["left"]), x["cap"]).alias("take"), x["cash"].alias("cash")))).alias("taken"),
     )
     walked = F.aggregate(pools, start, step)
     used = F.filter(walked["taken"], lambda x: x["take"] > 0)
@@ -103,7 +104,7 @@ def allocate(pools: Column, ownership: Column) -> Column:
     cash = F.aggregate(used, F.lit(0.0), lambda a, x: a + x["take"] * x["cash"])
     return F.struct(
         F.when((q > 0) & (total > 0), cash / total).alias("cash_prob"),
-        F.when(q > 0, F.array_join(F.transform(used, lambda x: F.concat(x["name"], F.lit(":"), F.format_string("%.2f", x["take"] / q))), "|")).otherwise("").alias("source_mix"),
+        F.when(q > 0, F.array_join(F.transform(used, lambda x: F.concat(x["name"], F.lit(":"), hundredths(x["take"] / q))), "|")).otherwise("").alias("source_mix"),
         F.when(q > 0, F.greatest(F.lit(0.0), q - total)).otherwise(0.0).alias("unfilled"),
     )
 
