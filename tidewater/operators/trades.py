@@ -83,8 +83,12 @@ def priced(deals: DataFrame, draws: Draws) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            made = [one_deal(*draws.of(x["event_id"], x["a"], x["b"]), x) for x in _rows(batch, _TERMS)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([v[k] for v in made], pa.float64()) for k in range(len(_PRICED)))], names=schema.names)
+            if draws.even:
+                parts = [deals_together(*draws.of(None, 1.0, 1.0), _floats(batch.slice(i, TOGETHER), _TERMS[3:])) for i in range(0, batch.num_rows, TOGETHER)]
+                made = [np.concatenate(v) for v in zip(*parts, strict=True)] or [[]] * len(_PRICED)
+            else:
+                made = list(zip(*(one_deal(*draws.of(x["event_id"], x["a"], x["b"]), x) for x in _rows(batch, _TERMS)), strict=True)) or [[]] * len(_PRICED)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, pa.float64()) for v in made)], names=schema.names)
 
     return deals.mapInArrow(run, schema)
 
@@ -184,11 +188,11 @@ def gate_reasons(stats: dict[str, np.ndarray], cfg: GateConfig) -> np.ndarray:
 
 def allocated(pools: list[dict], q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each size the cash probability of those who sell it, pool by pool in order, and what they leave unfilled."""
-    taken, cash = np.zeros(len(q)), np.zeros(len(q))
+    taken, cash = np.zeros(q.shape), np.zeros(q.shape)
     for pool in pools:
-        take = np.minimum(np.maximum(q - taken, 0.0), max(0.0, pool["cap"]))
+        take = np.minimum(np.maximum(q - taken, 0.0), np.maximum(0.0, pool["cap"]))
         taken, cash = taken + take, cash + take * pool["cash"]
-    return np.divide(cash, taken, out=np.full(len(q), np.nan), where=taken > 0), np.maximum(0.0, q - taken)
+    return np.divide(cash, taken, out=np.full(q.shape, np.nan), where=taken > 0), np.maximum(0.0, q - taken)
 
 
 def best_sizes(sizes: Sizes, x: dict, points: int, cfg: GateConfig) -> dict:
@@ -221,6 +225,106 @@ def break_even(sizes: Sizes, x: dict, cfg: GateConfig, points: int = 201, seller
     return {"break_even": None, "proof_reason": None}
 
 
+#: Even draws are few and the same for every deal, so deals go through arrays so many at a time.
+TOGETHER = 256
+
+
+def _floats(batch: pa.RecordBatch, columns: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """Columns as a row for each deal, for arrays whose last axis is draws."""
+    return {c: batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)[:, None] for c in columns}
+
+
+def stats_together(r: np.ndarray) -> list[np.ndarray]:
+    """STATS of the returns on the last axis."""
+    p05, p50, p95 = np.quantile(r, (0.05, 0.5, 0.95), axis=-1)
+    tail = r <= p05[..., None]
+    return [r.mean(-1), p05, p50, p95, np.where(tail, r, 0.0).sum(-1) / tail.sum(-1), (r < 0).mean(-1)]
+
+
+def deals_together(f: np.ndarray, u: np.ndarray, x: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """one_deal() of many deals on the same draws."""
+    f = np.clip(f, CLIP, 1 - CLIP)
+    cash_fill, stock_fill = np.minimum(1.0, x["pi_cash"] / f), np.minimum(1.0, (1 - x["pi_cash"]) / (1 - f))
+    cash, stock, m = x["cash"], x["stock"], x["entry"]
+    by_cash, by_stock = cash_fill * cash + (1 - cash_fill) * stock, stock_fill * stock + (1 - stock_fill) * cash
+    means = by_cash.mean(-1), by_stock.mean(-1)
+    held = np.where((np.round(means[0], 9) >= np.round(means[1], 9))[:, None], by_cash, by_stock)
+    done = u < x["p_completed"]
+    broken = np.where(u < x["p_completed"] + x["p_terminated"], x["terminated_value"], x["withdrawn_value"])
+    blend = x["pi_cash"] * cash + (1 - x["pi_cash"]) * stock
+    long, reverse = (np.where(done, held, broken) - m) / m, (m - np.where(done, blend, broken)) / m
+    return [*means, (1 - cash_fill).mean(-1), stock_fill.mean(-1), *stats_together(long), *stats_together(reverse)]
+
+
+class SizesTogether:
+    """Sizes of many deals on the same draws: stats() takes the deals wanted and a row of shifts for each."""
+
+    def __init__(self, f: np.ndarray, u: np.ndarray, x: dict[str, np.ndarray], by_cash: np.ndarray):
+        cash = by_cash[:, None]
+        self.m, self.sign = x["entry"], np.where(cash, 1.0, -1.0)
+        self.all = np.where(cash, f, 1 - f)[:, None, :]
+        self.pool = np.where(cash, x["pi_cash"], 1 - x["pi_cash"])
+        self.own, self.other = np.where(cash, x["cash"], x["stock"]), np.where(cash, x["stock"], x["cash"])
+        self.done = (u < x["p_completed"])[:, None, :]
+        broken = np.where(u < x["p_completed"] + x["p_terminated"], x["terminated_value"], x["withdrawn_value"])
+        self.broken = ((broken - self.m) / self.m)[:, None, :]
+
+    def stats(self, i: np.ndarray, shift: np.ndarray, tail: bool = False) -> dict[str, np.ndarray]:
+        of = lambda a: a[i][:, :, None]
+        at = np.clip(self.all[i] + (self.sign[i] * shift)[:, :, None], CLIP, 1 - CLIP)
+        r = np.where(self.done[i], (of(self.other) + np.minimum(1.0, of(self.pool) / at) * of(self.own - self.other) - of(self.m)) / of(self.m), self.broken[i])
+        demand = at.mean(-1)
+        place = (r.shape[-1] - 1) * 0.05
+        k = math.floor(place)
+        least = np.partition(r, (k, min(k + 1, r.shape[-1] - 1)), axis=-1)
+        low, high = least[..., k], least[..., min(k + 1, r.shape[-1] - 1)]
+        p05 = low + (high - low) * (place - k)
+        out = {"mean": r.mean(-1), "p05": p05, "loss_probability": (r < 0).mean(-1), "impacted_demand": np.where(self.sign[i] > 0, demand, 1 - demand)}
+        if tail:
+            under = r <= p05[..., None]
+            out["cvar05"] = np.where(under, r, 0.0).sum(-1) / np.maximum(1, under.sum(-1))
+        return out
+
+
+def sizes_together(sizes: SizesTogether, by_cash: np.ndarray, raw_q: np.ndarray, pools: list[list[dict]], points: int, cfg: GateConfig) -> list[dict]:
+    """best_sizes() of many deals."""
+    n, most = len(raw_q), max(map(len, pools))
+    q = np.linspace(raw_q / points, raw_q, points, axis=-1)
+    padded = [[*p, *({"cap": 0.0, "cash": 0.0},) * (most - len(p))] for p in pools]
+    seller, unfilled = allocated([{k: np.array([p[j][k] for p in padded])[:, None] for k in ("cap", "cash")} for j in range(most)], q)
+    own = np.where(by_cash, 1.0, 0.0)[:, None]
+    shift = q * (own - np.where(np.isnan(seller), own, seller))
+    found = {**sizes.stats(np.arange(n), shift, cfg.metric == "cvar05"), "q": q, "shift": shift, "seller_cash_prob": seller}
+    reason = np.where(np.isnan(seller) | (unfilled > 1e-9), 4, gate_reasons(found, cfg))
+    passed = reason == 0
+    pnl = np.where(passed, np.round(q * found["mean"], 12), -np.inf)
+    last = lambda mask: points - 1 - np.argmax(mask[:, ::-1], axis=1)
+    at = {"max": last(passed), "optimal": np.argmax(pnl, axis=1)}
+    failed, any_failed, any_passed = reason[np.arange(n), last(~passed)], (~passed).any(1), passed.any(1)
+    picked = {f"{p}_{s}": found[s][np.arange(n), at[p]] for p in PREFIXES for s in SIZE_STATS}
+    return [
+        {"fail_reason": REASONS[failed[i]] if any_failed[i] else None} | ({c: float(v[i]) for c, v in picked.items()} if any_passed[i] else {})
+        for i in range(n)
+    ]
+
+
+def proofs_together(sizes: SizesTogether, by_cash: np.ndarray, cfg: GateConfig, points: int = 201, seller: float = 0.5) -> list[dict]:
+    """break_even() of many deals; those that have failed look no further."""
+    n = len(by_cash)
+    own, q, live = np.where(by_cash, 1.0, 0.0), np.linspace(0.0, 1.0, points), np.arange(n)
+    out: list[dict] = [{"break_even": None, "proof_reason": None} for _ in range(n)]
+    for k in range(0, points, 16):
+        if not len(live):
+            break
+        reason = gate_reasons(sizes.stats(live, q[k : k + 16] * (own[live] - seller)[:, None], cfg.metric == "cvar05"), cfg)
+        hit = (reason != 0).any(1)
+        first = np.argmax(reason != 0, axis=1)
+        for i in np.flatnonzero(hit):
+            out[live[i]] = {"break_even": float(q[k + first[i]]), "proof_reason": REASONS[reason[i, first[i]]]}
+        live = live[~hit]
+    return out
+
+
 _SIZED = tuple(f"{p}_{s}" for p in PREFIXES for s in SIZE_STATS)
 _SIZE_TERMS = (*_TERMS, "elect", "raw_q", "pools")
 
@@ -235,13 +339,22 @@ def sized(deals: DataFrame, draws: Draws, points: int, cfg: GateConfig, wanted:
 
     def run(batches):
         for batch in batches:
-            made = []
-            for x, on in zip(_rows(batch, _SIZE_TERMS), batch.column(wanted).to_pylist(), strict=True):
-                if on and x["raw_q"] is not None and x["raw_q"] > 0:
+            wants = np.array([bool(on) and q is not None and q > 0 for on, q in zip(batch.column(wanted).to_pylist(), batch.column("raw_q").to_pylist(), strict=True)], bool)
+            made, places = [{} for _ in range(batch.num_rows)], np.flatnonzero(wants)
+            if draws.even:
+                for k in range(0, len(places), TOGETHER):
+                    mine = places[k : k + TOGETHER]
+                    part = batch.take(pa.array(mine))
+                    by_cash = np.array([v == "CASH" for v in part.column("elect").to_pylist()])
+                    together = SizesTogether(*draws.of(None, 1.0, 1.0), _floats(part, _TERMS[3:]), by_cash)
+                    best = sizes_together(together, by_cash, part.column("raw_q").to_numpy(zero_copy_only=False), part.column("pools").to_pylist(), points, cfg)
+                    proofs = proofs_together(together, by_cash, cfg) if proof else [{}] * len(mine)
+                    for i, one, other in zip(mine, best, proofs, strict=True):
+                        made[i] = one | other
+            else:
+                for i, x in zip(places, _rows(batch.take(pa.array(places)), _SIZE_TERMS), strict=True):
                     sizes = Sizes(*draws.of(x["event_id"], x["a"], x["b"]), x)
-                    made.append(best_sizes(sizes, x, points, cfg) | (break_even(sizes, x, cfg) if proof else {}))
-                else:
-                    made.append({})
+                    made[i] = best_sizes(sizes, x, points, cfg) | (break_even(sizes, x, cfg) if proof else {})
             added = [pa.array([v.get(c) for v in made], pa.string() if t == T.StringType() else pa.float64()) for c, t in fields]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.names)
 
