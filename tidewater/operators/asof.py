@@ -47,6 +47,23 @@ def valid_name(left: DataFrame, names: DataFrame, on: str, at: str, start: str,
     return best_row(joined, by, [F.col("in_window").desc(), F.col(end).desc_nulls_last(), *order])
 
 
+def best_window(left: DataFrame, names: DataFrame, on: str, at: str, start: str, end: str, tie: str, values: Sequence[str]) -> DataFrame:
+    """left with the values of the name of its key whose window holds `at`, of several (or where none does) of the one that ends last, then of the least tie; a name without a whole
+    window comes after all others. A row without a name of its key goes.
+
+    No pair is made: of the windows that have begun by `at` the one that ends last holds it if any does, so names become the best one by each start, and left looks up one of those.
+    """
+    best = [F.col(end).alias("_end"), (-F.col(tie)).alias("_tie"), *values]
+    known = F.col(start).isNotNull() & F.col(end).isNotNull()
+    begun = names.where(known).groupBy(on, start).agg(F.max(F.struct(*best)).alias("_best"))
+    upto = Window.partitionBy(on).orderBy(start).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = asof(left, begun.withColumn("_best", F.max("_best").over(upto)), [on], at, start, ["_best"])
+    last = names.groupBy(on).agg(F.max(F.struct(known.alias("_known"), *best)).alias("_last"))
+    inside = F.coalesce(F.col(at) <= F.col("_best._end"), F.lit(False))
+    joined = found.join(last, on)
+    return joined.select(*left.columns, *[F.when(inside, F.col("_best")[v]).otherwise(F.col("_last")[v]).alias(v) for v in values])
+
+
 def override(df: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """df without the rows whose keys are in changes, and those of changes instead."""
     return df.join(changes.select(*keys).distinct(), list(keys), "left_anti").unionByName(changes, allowMissingColumns=True)
