@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -123,17 +123,28 @@ def signed_log(x: Column) -> Column:
     return F.signum(x) * F.log1p(F.abs(x))
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x worked out one time for each row however often f names it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def proration_factor(c: Column, option: str) -> Column:
     """The share of an option's elections that is filled, out of prose: the first percentage, else decimal below 1, in a window around a mention of the
     option that speaks of proration or elections; the whole text where it is mentioned but no window does."""
-    t = F.lower(clean(c))
-    parts, width = F.split(t, option), len(option)
-    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.length(F.array_join(F.slice(parts, F.lit(1), i), option)))
-    cut = F.transform(F.slice(starts, F.lit(1), F.size(parts) - 1), lambda s: F.substr(t, F.greatest(F.lit(0), s - 120) + 1, s + width + 180 - F.greatest(F.lit(0), s - 120)))
-    near = F.filter(cut, lambda w: F.contains(w, F.lit("prorat")) | F.contains(w, F.lit("election")))
-    windows = F.when(F.size(near) > 0, near).when(F.contains(t, F.lit(option)), F.array(t)).otherwise(F.array().cast("array<string>"))
-    found = F.transform(windows, lambda w: F.coalesce(extracted(w, r"([0-9]+(?:\.[0-9]+)?)\s*%") / 100, extracted(w, r"\b(0\.[0-9]+)\b")))
-    return bounded_share(F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0)))
+    width, none = len(option), F.array().cast("array<string>")
+
+    def windows(t: Column, parts: Column) -> Column:
+        starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.length(F.array_join(F.slice(parts, F.lit(1), i), option)))
+        cut = F.transform(F.slice(starts, F.lit(1), F.size(parts) - 1), lambda s: F.substr(t, F.greatest(F.lit(0), s - 120) + 1, s + width + 180 - F.greatest(F.lit(0), s - 120)))
+        near = F.filter(cut, lambda w: F.contains(w, F.lit("prorat")) | F.contains(w, F.lit("election")))
+        return once(near, lambda n: F.when(F.size(n) > 0, n).otherwise(F.array(t)))
+
+    def first(found: Column) -> Column:
+        return once(F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0)), bounded_share)
+
+    read = lambda w: F.coalesce(extracted(w, r"([0-9]+(?:\.[0-9]+)?)\s*%") / 100, extracted(w, r"\b(0\.[0-9]+)\b"))
+    in_windows = lambda t: F.when(F.contains(t, F.lit(option)), once(F.split(t, option), lambda parts: windows(t, parts))).otherwise(none)
+    return F.when(c.isNotNull(), first(F.transform(once(F.lower(clean(c)), in_windows), read)))
 
 
 def cap_fraction(c: Column, shares_out: Column) -> Column:

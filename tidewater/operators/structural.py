@@ -174,13 +174,56 @@ def drawn_choice(x: dict, choice: str, cfg: TradeConfig, draws: int, even: bool)
     return [net.mean(), p05, p50, p95, net[net <= p05].mean(), (net < 0).mean(), gross[done].mean() if done.any() else None, cash_fill[done].mean() if done.any() else None]
 
 
+#: Even draws are few, so deals go through arrays so many at a time.
+TOGETHER = 4096
+
+
+def drawn_together(x: dict[str, np.ndarray], choice: str, cfg: TradeConfig, draws: int) -> list[np.ndarray]:
+    """drawn_choice() of many deals on even draws, whose uniforms are the same for each deal; x: a column of rows for each name, NaN for null."""
+    k = np.arange(draws)
+    u, mean = (k + 1) * GOLDEN % 1, x["cash_demand"]
+    missing = np.isnan(sum(x[c] for c in ("cash", "stock", "entry", "cash_cap", "stock_cap", "cash_demand")))[:, 0]
+    none0 = lambda c: np.nan_to_num(x[c], nan=0.0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        wide = np.sqrt(3 * mean * (1 - mean) / (cfg.concentration + 1))
+        f = np.clip(mean + wide * (2 * (k + 0.5) / draws - 1), 1e-6, 1 - 1e-6)
+        f = f * (1 - x["own_share"]) + (x["own_share"] if choice == "cash" else 0.0)
+        cash_fill, stock_fill = np.minimum(1, x["cash_cap"] / np.maximum(f, 1e-12)), np.minimum(1, x["stock_cap"] / np.maximum(1 - f, 1e-12))
+        stock_part = 1 - cash_fill if choice == "cash" else stock_fill
+        gross = (1 - stock_part) * x["cash"] + stock_part * x["stock"] - x["entry"]
+        if cfg.hedge == "conversion_expected":
+            ratio = np.maximum(0, stock_part * none0("ratio"))
+        else:
+            ratio = np.where(none0("entry_acq") != 0, x["entry"] / x["entry_acq"], 0.0) if cfg.hedge == "dollar_neutral" else 0.0
+        short = ratio * x["entry_acq"]
+        cost = (x["entry"] + short) * cfg.cost_bps / 1e4 + 0.5 * x["entry"] * none0("target_spread") + short * none0("acq_spread") + short * cfg.borrow_bps / 1e4 * x["days"] / 365
+        broken = x["p_terminated"] + x["p_withdrawn"]
+        net = np.where(u < x["p_terminated"], x[f"{choice}_terminated"], np.where(u < broken, x[f"{choice}_withdrawn"], gross - cost))
+        done = u >= broken
+        n_done = done.sum(-1)
+        p05, p50, p95 = np.quantile(net, (0.05, 0.5, 0.95), axis=-1)
+        tail = net <= p05[:, None]
+        completed = [np.where(n_done > 0, np.where(done, v, 0.0).sum(-1) / n_done, np.nan) for v in (gross, cash_fill)]
+        found = [net.mean(-1), p05, p50, p95, np.where(tail, net, 0.0).sum(-1) / tail.sum(-1), (net < 0).mean(-1), *completed]
+    return [np.where(missing, np.nan, v) for v in found]
+
+
 def simulated(df: DataFrame, cfg: TradeConfig, draws: int = 20_000, even: bool = False) -> DataFrame:
     """df, as elections() gives it, with CHOICE_DRAWN for both choices: net alphas of draws of the outcome and, where the deal completes, of the demand."""
     need = ["event_id", "cash", "stock", "ratio", "entry", "entry_acq", "cash_cap", "stock_cap", "cash_demand", "own_share", "target_spread", "acq_spread", "days", "p_terminated", "p_withdrawn", *[f"{c}_{x}" for c in CHOICES for x in ("terminated", "withdrawn")]]
     schema = T.StructType([*df.schema.fields, *(T.StructField(f"{c}_{x}", T.DoubleType()) for c in CHOICES for x in DRAWN)])
 
+    def together(batch: pa.RecordBatch) -> list[np.ndarray]:
+        x = {k: batch.column(k).cast(pa.float64()).to_numpy(zero_copy_only=False)[:, None] for k in need[1:]}
+        return [v for c in CHOICES for v in drawn_together(x, c, cfg, draws)]
+
     def run(batches):
         for batch in batches:
+            if even:
+                for i in range(0, batch.num_rows, TOGETHER):
+                    part = batch.slice(i, TOGETHER)
+                    yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(v, pa.float64(), from_pandas=True) for v in together(part))], names=schema.names)
+                continue
             rows = [dict(zip(need, v, strict=True)) for v in zip(*(batch.column(k).to_pylist() for k in need), strict=True)]
             made = [[v for c in CHOICES for v in drawn_choice(x, c, cfg, draws, even)] for x in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([m[k] for m in made], pa.float64()) for k in range(2 * len(DRAWN))]], names=schema.names)

@@ -251,8 +251,8 @@ def label_quality(t):
 
 def realized_share(cash, stock, cap, final_fill, preliminary_fill):
     """(share, source, weight): cash as reported, else what stock leaves, else the cap over the fill of the final or the preliminary proration."""
-    backed = lambda fill: N.clamp(cap / F.nullif(fill, F.lit(0.0)))
-    as_struct = lambda v, source, w: F.when(v.isNotNull(), F.struct(v.alias("share"), F.lit(source).alias("source"), F.lit(w).alias("weight")))
+    backed = lambda fill: N.once(cap / F.nullif(fill, F.lit(0.0)), N.clamp)
+    as_struct = lambda v, source, w: N.once(v, lambda x: F.when(x.isNotNull(), F.struct(x.alias("share"), F.lit(source).alias("source"), F.lit(w).alias("weight"))))
     return F.coalesce(
         as_struct(cash, "direct_realized_cash_election_demand", 1.0),
         as_struct(1 - stock, "direct_realized_stock_election_demand", 1.0),

@@ -20,7 +20,9 @@ from .registry import query
 HOLDERS = C.CapacityConfig()
 #: The gates: no loss expected, a fifth percentile of no less than -6 a share, and a loss less likely than not.
 CFG = S.TradeConfig(least_p05=-6.0, most_loss_probability=0.5)
-EVEN, DRAWS, DEALS = 32, 20_000, 256
+EVEN, DRAWS = 32, 20_000
+#: Deals in a task: each costs some milliseconds of draws, or some microseconds of even ones.
+DEALS, EVEN_DEALS = 256, 1 << 16
 #: The outcome model's features. Shares and percentages enter as they are, the rest by their signed logarithm.
 NUMERIC = (
     "value_mil", "tv_ebitda", "quoted_target", "acq_price", "entry_target", "entry_acquirer", "deal_spread", "deal_spread_pct", "target_adv", "target_dollar_adv", "target_quote_spread_pct", "target_market_cap",
@@ -67,7 +69,7 @@ def elections(t) -> DataFrame:
 
 
 def decided(t, draws: int, even: bool) -> DataFrame:
-    return S.decide(S.simulated(dealt(elections(t), "event_id", DEALS), CFG, draws, even), CFG)
+    return S.decide(S.simulated(dealt(elections(t), "event_id", EVEN_DEALS if even else DEALS), CFG, draws, even), CFG)
 
 
 def _logged(k: str) -> str:
