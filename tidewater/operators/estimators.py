@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cuts import cut
 from .running import running
 
 
@@ -157,10 +158,51 @@ def kolmogorov_p(statistic: Column, n: Column) -> Column:
     return F.when(t < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * terms)))
 
 
+def beta_cdf_of(x: np.ndarray, a: np.ndarray, b: np.ndarray, terms: int = 120) -> np.ndarray:
+    """beta_cdf() of whole arrays; NaN where an argument is missing."""
+    out = np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.nan))
+    inside = np.flatnonzero((x > 0) & (x < 1) & ~np.isnan(a) & ~np.isnan(b))
+    x, a, b = x[inside], a[inside], b[inside]
+    turned = x > (a + 1) / (a + b + 2)
+    x, a, b = np.where(turned, 1 - x, x), np.where(turned, b, a), np.where(turned, a, b)
+    tiny = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
+    c, d = np.ones(len(x)), 1 / tiny(1 - (a + b) * x / (a + 1))
+    f = d
+    for m in range(1, terms + 1):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            c, d = tiny(1 + num / c), 1 / tiny(1 + num * d)
+            f = f * c * d
+    bound = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(x) + b * np.log1p(-x)) / a * f
+    out[inside] = np.where(turned, 1 - bound, bound)
+    return out
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """log_gamma() of an array."""
+    z = x + 8
+    shift = np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7))
+    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7) + 1 / (1188 * z**9)
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + series - shift
+
+
+def held_out(fitted: DataFrame, value: str, rows: int = 8192) -> DataFrame:
+    """(p, c): the probability that each row's fit gives its value, and how many rows have the same value and fit. The continued fraction goes over arrays of so many rows."""
+    asked = fitted.where((F.col(value) > 0) & (F.col(value) < 1)).groupBy(F.col(value).alias("x"), "a", "b").agg(F.count(F.lit(1)).alias("c"))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                part = batch.slice(i, rows)
+                args = [part.column(k).cast(pa.float64()).to_numpy(zero_copy_only=False) for k in ("x", "a", "b")]
+                yield pa.RecordBatch.from_arrays([pa.array(beta_cdf_of(*args), from_pandas=True), part.column("c")], names=["p", "c"])
+
+    return asked.mapInArrow(run, "p double, c long")
+
+
 def pit_calibration(fitted: DataFrame, value: str) -> DataFrame:
     """(n, mean, inside_80, ks, p): held-out probabilities against the uniform distribution. fitted: value, a, b."""
-    p = fitted.where((F.col(value) > 0) & (F.col(value) < 1)).select(beta_cdf(F.col(value), F.col("a"), F.col("b")).alias("p"))
-    at = p.groupBy("p").agg(F.count(F.lit(1)).alias("c"))
+    # kept, as ranges, totals and the number of rows read it
+    at = cut(held_out(fitted, value).groupBy("p").agg(F.sum("c").alias("c")))
     f = running(at, [F.col("p")], {"before": "c"}).withColumn("upto", F.col("before") + F.col("c")).crossJoin(F.broadcast(at.agg(F.sum("c").alias("n"))))  # one row
     gap = F.greatest(F.col("upto") / F.col("n") - F.col("p"), F.col("p") - (F.col("upto") - F.col("c")) / F.col("n"))
     found = f.agg(F.max("n").alias("n"), (F.sum(F.col("p") * F.col("c")) / F.max("n")).alias("mean"), (F.sum(F.when(F.col("p").between(0.1, 0.9), F.col("c")).otherwise(0)) / F.max("n")).alias("inside_80"), F.max(gap).alias("ks"))
