@@ -20,8 +20,8 @@ from .registry import SQL, query
 
 CFG, GATES = C.CapacityConfig(), GateConfig()
 DRAWS, EVEN = T.Draws(), T.Draws(n=16, even=True)
-#: Deals in a task; each costs some milliseconds of draws.
-DEALS = 256
+#: Deals in a task: each costs some milliseconds of draws, or some tens of microseconds of even ones.
+DEALS, EVEN_DEALS = 256, 1 << 14
 
 
 def frame(t) -> DataFrame:
@@ -49,7 +49,7 @@ def frame(t) -> DataFrame:
 
 def priced(t, draws: T.Draws) -> DataFrame:
     """frame() with both trades' summaries, the decision and the flows behind it."""
-    d = T.priced(dealt(frame(t), "event_id", DEALS), draws)
+    d = T.priced(dealt(frame(t), "event_id", EVEN_DEALS if draws.even else DEALS), draws)
     demand = F.lit(0.5) if draws.even else F.col("a") / (F.col("a") + F.col("b"))
     # kept here, so that draws are made once and the plan of what follows stays small
     return T.flows(cut(T.realized(T.decided(d.withColumn("demand_mean", demand), GATES))), CFG)
