@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -17,6 +18,31 @@ def event_seed(event_id: object, salt: int) -> int:
     return (zlib.crc32(str(event_id).encode()) + salt) % 2**32
 
 
+@functools.lru_cache(1024)
+def beta_quantiles(a: float, b: float, nodes: int = 2049) -> tuple[np.ndarray, np.ndarray]:
+    """A Beta's distribution function and its values at places along the log odds that hold all of its mass but e^-45 of the peak, or but what is within e^-30 of 0 or 1.
+
+    Steps are small against the distribution's width, so that a line between two places is off by some 2e-6 of probability at most; 20,000 draws
+    themselves are off by some 7e-3. 33 MB in a worker hold 1,024 pairs of parameters.
+    """
+    weight = lambda z: a * z - (a + b) * np.logaddexp(0.0, z)
+    z = np.linspace(-30.0, 30.0, 241)
+    w = weight(z)
+    near = np.flatnonzero(w > w.max() - 45)
+    z = np.linspace(z[max(near[0] - 1, 0)], z[min(near[-1] + 1, len(z) - 1)], nodes)
+    w = weight(z)
+    w = np.exp(w - w.max())
+    below = np.cumsum(np.concatenate([[w[0] / a], (w[1:] + w[:-1]) * ((z[1] - z[0]) / 2)]))
+    return below / (below[-1] + w[-1] / b), 1 / (1 + np.exp(-z))
+
+
+def sorted_beta(a: float, b: float, n: int, rng: np.random.Generator) -> np.ndarray:
+    """n independent draws of a Beta in ascending order: uniforms come in order from the sums of exponential gaps, so nothing is sorted."""
+    upto = np.cumsum(rng.standard_exponential(n + 1))
+    below, value = beta_quantiles(a, b)
+    return np.interp(upto[:-1], below * upto[-1], value)
+
+
 def _drawn(fits: DataFrame, n: int, salt: int, shape, columns: list[str], rows: int) -> DataFrame:
     """(event_id, draw_id, f, u) from shape(row, rng) -> (a, b), in batches of about so many rows."""
 

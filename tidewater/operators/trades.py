@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from . import capacity as C
 from . import payoff as P
 from .gates import GateConfig, risk_gate
-from .sampling import event_seed
+from .sampling import event_seed, sorted_beta
 
 #: The fraction by which even draws of the outcome go round.
 GOLDEN = 0.6180339887498949
@@ -27,12 +27,14 @@ REASONS = ("risk_adjusted_return_positive", "risk_adjusted_return_below_hurdle",
 PREFIXES = ("max", "optimal")
 SIZE_STATS = ("q", "mean", "p05", "loss_probability", "shift", "impacted_demand", "seller_cash_prob")
 CLIP = P.CLIP
+#: Parts of demand in which the draws of a deal are summed up for many sizes.
+BINS = 256
 
 
 @dataclass(frozen=True)
 class Draws:
-    """n draws of demand and of the outcome's uniform for each deal: of its fitted Beta, from a generator seeded by the event; or, even, the same
-    mid-points for every deal, which SQL can follow."""
+    """n draws of demand, in ascending order, and of the outcome's uniform for each deal: of its fitted Beta, from a generator seeded by the event; or,
+    even, the same mid-points for every deal, which SQL can follow. Outcomes do not depend on demand, so its order changes no joint draw's law."""
 
     n: int = 20_000
     salt: int = 11
@@ -43,7 +45,7 @@ class Draws:
             k = np.arange(self.n)
             return (k + 0.5) / self.n, (k + 1) * GOLDEN % 1
         rng = np.random.default_rng(event_seed(event_id, self.salt))
-        return np.clip(rng.beta(a, b, self.n), CLIP, 1 - CLIP), rng.random(self.n)
+        return np.clip(sorted_beta(a, b, self.n, rng), CLIP, 1 - CLIP), rng.random(self.n)
 
 
 def return_stats(r: np.ndarray) -> tuple[float, ...]:
@@ -68,6 +70,68 @@ def one_deal(f: np.ndarray, u: np.ndarray, x: dict) -> tuple[float, ...]:
     return (float(means[0]), float(means[1]), float((1 - cash_fill).mean()), float(stock_fill.mean()), *return_stats(long), *return_stats(reverse))
 
 
+def _between(r, n: int, share: float) -> float:
+    """The quantile of n values that r gives by their place."""
+    place = (n - 1) * share
+    k = math.floor(place)
+    low, high = r(k), r(min(k + 1, n - 1))
+    return float(low + (high - low) * (place - k))
+
+
+def with_atoms(r: np.ndarray, atoms: list[tuple[float, int]]) -> np.ndarray:
+    """Ascending returns with (value, count) put among them."""
+    parts, at = [], 0
+    for value, count in sorted(atoms):
+        k = int(np.searchsorted(r, value))
+        parts += [r[at:k], np.full(count, value)]
+        at = k
+    return np.concatenate([*parts, r[at:]])
+
+
+def stats_ascending(r: np.ndarray) -> tuple[float, ...]:
+    """return_stats() of ascending returns."""
+    p05, p50, p95 = (_between(r.__getitem__, len(r), q) for q in (0.05, 0.5, 0.95))
+    return float(r.mean()), p05, p50, p95, float(r[: max(1, int(np.searchsorted(r, p05, "right")))].mean()), int(np.searchsorted(r, 0.0)) / len(r)
+
+
+def stats_counted(atoms: list[tuple[float, int]]) -> tuple[float, ...]:
+    """return_stats() of values that occur so often."""
+    atoms = sorted(x for x in atoms if x[1])
+    n = sum(c for _, c in atoms)
+
+    def nth(k: int) -> float:
+        for value, count in atoms:
+            k -= count
+            if k < 0:
+                return value
+        return atoms[-1][0]
+
+    p05, p50, p95 = (_between(nth, n, q) for q in (0.05, 0.5, 0.95))
+    tail = [x for x in atoms if x[0] <= p05] or atoms[:1]
+    mean = lambda some: sum(v * c for v, c in some) / sum(c for _, c in some)
+    return mean(atoms), p05, p50, p95, mean(tail), sum(c for v, c in atoms if v < 0) / n
+
+
+def one_ascending(f: np.ndarray, u: np.ndarray, x: dict) -> tuple[float, ...]:
+    """one_deal() of ascending draws within CLIP: a fill is whole on one side of the pool, a payoff rises or falls along demand, the broken states and the
+    settlement are one value each; so nothing is sorted, and only what is beyond the pool is divided."""
+    pi, cash, stock, m, n = x["pi_cash"], x["cash"], x["stock"], x["entry"], len(f)
+    over, under = int(np.searchsorted(f, pi, "right")), int(np.searchsorted(f, pi))
+    cash_fill = (over + float((pi / f[over:]).sum())) / n
+    stock_fill = (n - under + float(((1 - pi) / (1 - f[:under])).sum())) / n
+    means = cash_fill * cash + (1 - cash_fill) * stock, stock_fill * stock + (1 - stock_fill) * cash
+    done = u < x["p_completed"]
+    g = f[done]
+    ended = int(np.count_nonzero(u < x["p_completed"] + x["p_terminated"])) - len(g)
+    by_cash = round(means[0], 9) >= round(means[1], 9)
+    fill, own, other = (np.minimum(1.0, pi / g), cash, stock) if by_cash else (np.minimum(1.0, (1 - pi) / (1 - g)), stock, cash)
+    r = (other + fill * (own - other) - m) / m
+    falls = (own >= other) == by_cash
+    broken = [((x["terminated_value"] - m) / m, ended), ((x["withdrawn_value"] - m) / m, n - len(g) - ended)]
+    settled = (m - (pi * cash + (1 - pi) * stock)) / m
+    return (*means, 1 - cash_fill, stock_fill, *stats_ascending(with_atoms(r[::-1] if falls else r, broken)), *stats_counted([(settled, len(g)), *((-v, c) for v, c in broken)]))
+
+
 _TERMS = ("event_id", "a", "b", "cash", "stock", "pi_cash", "entry", "p_completed", "p_terminated", "terminated_value", "withdrawn_value")
 _PRICED = ("cash_mean", "stock_mean", "cash_stock_part", "stock_stock_part", *(f"{side}_{s}" for side in ("long", "reverse") for s in STATS))
 
@@ -87,7 +151,7 @@ def priced(deals: DataFrame, draws: Draws) -> DataFrame:
                 parts = [deals_together(*draws.of(None, 1.0, 1.0), _floats(batch.slice(i, TOGETHER), _TERMS[3:])) for i in range(0, batch.num_rows, TOGETHER)]
                 made = [np.concatenate(v) for v in zip(*parts, strict=True)] or [[]] * len(_PRICED)
             else:
-                made = list(zip(*(one_deal(*draws.of(x["event_id"], x["a"], x["b"]), x) for x in _rows(batch, _TERMS)), strict=True)) or [[]] * len(_PRICED)
+                made = list(zip(*(one_ascending(*draws.of(x["event_id"], x["a"], x["b"]), x) for x in _rows(batch, _TERMS)), strict=True)) or [[]] * len(_PRICED)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, pa.float64()) for v in made)], names=schema.names)
 
     return deals.mapInArrow(run, schema)
@@ -106,14 +170,18 @@ class Sizes:
         cash = x["elect"] == "CASH"
         self.n, self.m, self.sign = len(f), x["entry"], 1.0 if cash else -1.0
         # the election's own side: demand for it, its pool, its value, and the other kind's
-        self.all = np.sort(f if cash else 1 - f)
-        self.x = np.sort((f if cash else 1 - f)[done])
+        if (f[1:] < f[:-1]).any():
+            order = np.argsort(f)
+            f, done = f[order], done[order]
+        self.all = f if cash else 1 - f[::-1]
+        self.x = self.all[done if cash else done[::-1]]
         self.pool, self.own, self.other = (x["pi_cash"], x["cash"], x["stock"]) if cash else (1 - x["pi_cash"], x["stock"], x["cash"])
         self.falls = self.own >= self.other
         atoms = sorted([((x["terminated_value"] - self.m) / self.m, ended), ((x["withdrawn_value"] - self.m) / self.m, self.n - len(self.x) - ended)])
         self.value, self.count = np.array([a for a, _ in atoms]), np.array([c for _, c in atoms])
         self.upto = np.concatenate([[0.0], np.cumsum(self.all)])
         self.room = np.empty(len(self.x))
+        self.bins: tuple[np.ndarray, np.ndarray, list[np.ndarray]] | None = None
 
     def _fill(self, at: np.ndarray) -> np.ndarray:
         return np.minimum(1.0, self.pool / np.clip(at, CLIP, 1 - CLIP))
@@ -127,6 +195,16 @@ class Sizes:
     def _below(self, limit: float, shift: np.ndarray) -> np.ndarray:
         """How many completed returns are under a limit, at each shift."""
         low, high = np.zeros(len(shift), np.int64), np.full(len(shift), len(self.x))
+        if len(self.x) and self.own != self.other:
+            # the demand at which the return is the limit tells where to look; what is found there bounds the halving
+            with np.errstate(divide="ignore"):
+                fill = (self.m * (1 + limit) - self.other) / (self.own - self.other)
+                at = np.searchsorted(self.x, (np.inf if fill <= 0 else -np.inf if fill > 1 else self.pool / fill) - shift)
+            at = len(self.x) - at if self.falls else at
+            for near in (at - 2, at + 1):
+                near = np.clip(near, 0, len(self.x) - 1)
+                under = self._return(near, shift) < limit
+                low, high = np.where(under, np.maximum(low, near + 1), low), np.where(under, high, np.minimum(high, near))
         while (low < high).any():
             mid = (low + high) // 2
             under = (self._return(mid, shift) < limit) & (low < high)
@@ -151,21 +229,67 @@ class Sizes:
             np.maximum(part, CLIP, out=part)
         return full + float(np.divide(self.pool, part, out=part).sum())
 
-    def stats(self, shift: np.ndarray, tail: bool = False) -> dict[str, np.ndarray]:
-        """mean, p05, loss_probability and, if tail, cvar05 at each shift of cash demand, and the mean demand for cash after it."""
-        s = self.sign * shift
-        fills = np.array([self._filled(d) for d in s.tolist()])
+    def _summed(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Middles of BINS equal parts of demand, where each begins among the draws, and in each the sums of powers of the distance from its middle, as many as
+        leave less than 1e-16 of a fill out."""
+        if self.bins is None:
+            middle = (np.arange(BINS) + 0.5) / BINS
+            near = 0.5 / BINS / (self.pool - 0.5 / BINS)
+            of = np.minimum((self.x * BINS).astype(np.int64), BINS - 1)
+            far, power, sums = self.x - middle[of], np.ones(len(self.x)), []
+            for _ in range(math.ceil(math.log(1e-16) / math.log(near))):
+                sums.append(np.bincount(of, weights=power, minlength=BINS))
+                power *= far
+            self.bins = middle, np.searchsorted(of, np.arange(BINS + 1)), sums
+        return self.bins
+
+    def _filled_many(self, d: np.ndarray) -> np.ndarray:
+        """_filled() of many moves: 1 / (x + d) of a part's draws by its series about the part's middle, and one by one in the parts where whole or clipped ones end."""
+        if len(d) < 8 or self.pool < 8 / BINS or not len(self.x):
+            return np.array([self._filled(v) for v in d.tolist()])
+        middle, starts, sums = self._summed()
+        full, top = np.searchsorted(self.x, self.pool - d, "right"), np.searchsorted(self.x, 1 - CLIP - d, "right")
+        top = np.maximum(full, top)
+        first, last = np.searchsorted(starts, full), np.searchsorted(starts, top, "right") - 1
+        part = np.arange(BINS)
+        inside = (part >= first[:, None]) & (part < last[:, None])
+        t = 1 / np.where(inside, middle + d[:, None], 1.0)
+        total = np.broadcast_to(sums[-1], t.shape)
+        for m in sums[-2::-1]:
+            total = m - t * total
+        found = np.where(inside, t * total, 0.0).sum(axis=1)
+        for i, v in enumerate(d.tolist()):
+            if first[i] > last[i]:
+                ends = [(full[i], top[i])]
+            else:
+                ends = [(full[i], starts[first[i]]), (starts[last[i]], top[i])]
+            found[i] += sum((1 / (self.x[a:b] + v)).sum() for a, b in ends if a < b)
+        return full + self.pool * (found + (len(self.x) - top) / (1 - CLIP))
+
+    def means(self, shift: np.ndarray) -> np.ndarray:
+        """The mean at each shift of cash demand."""
+        fills = self._filled_many(self.sign * shift)
         completed = (len(self.x) * (self.other - self.m) + fills * (self.own - self.other)) / self.m
+        return (completed + (self.value * self.count).sum()) / self.n
+
+    def tails(self, shift: np.ndarray) -> dict[str, np.ndarray]:
+        """p05 and loss_probability at each shift of cash demand: places, no sum."""
+        s = self.sign * shift
         below = [self._below(v, s) for v in self.value]
         place = (self.n - 1) * 0.05
         k = math.floor(place)
         low, high = self._nth(k, below, s), self._nth(min(k + 1, self.n - 1), below, s)
         p05 = low + (high - low) * (place - k)
         loss = self._below(0.0, s) + int(self.count[self.value < 0].sum())
+        return {"p05": p05, "loss_probability": loss / self.n}
+
+    def stats(self, shift: np.ndarray, tail: bool = False) -> dict[str, np.ndarray]:
+        """mean, p05, loss_probability and, if tail, cvar05 at each shift of cash demand, and the mean demand for cash after it."""
+        s = self.sign * shift
         top, bottom = np.searchsorted(self.all, 1 - CLIP - s, "right"), np.searchsorted(self.all, CLIP - s, "left")
         demand = (self.upto[top] - self.upto[bottom] + s * (top - bottom) + (self.n - top) * (1 - CLIP) + bottom * CLIP) / self.n
-        out = {"mean": (completed + (self.value * self.count).sum()) / self.n, "p05": p05, "loss_probability": loss / self.n, "impacted_demand": demand if self.sign > 0 else 1 - demand}
-        return out | ({"cvar05": self._tail(s, p05)} if tail else {})
+        out = {"mean": self.means(shift), **self.tails(shift), "impacted_demand": demand if self.sign > 0 else 1 - demand}
+        return out | ({"cvar05": self._tail(s, out["p05"])} if tail else {})
 
     def _tail(self, s: np.ndarray, p05: np.ndarray) -> np.ndarray:
         """The mean of what lies at or under the percentile: broken states, and one end of the sorted draws."""
@@ -217,8 +341,15 @@ def break_even(sizes: Sizes, x: dict, cfg: GateConfig, points: int = 201, seller
     """The least share of the company, of `points` from nothing to all, at which a position bought from holders who elect at random fails the gate, and which gate."""
     own = 1.0 if x["elect"] == "CASH" else 0.0
     q = np.linspace(0.0, 1.0, points)
-    for k in range(0, points, 16):
-        reason = gate_reasons(sizes.stats(q[k : k + 16] * (own - seller), cfg.metric == "cvar05"), cfg)
+    tails, step = sizes.tails(q * (own - seller)), 16
+    # up to the first share that fails by its tail only means can fail
+    ends = np.flatnonzero(gate_reasons({cfg.metric: np.full(points, np.inf), **tails}, cfg))
+    last = int(ends[0]) + 1 if len(ends) else points
+    for k in range(0, last, step):
+        part = slice(k, min(k + step, last))
+        shift = q[part] * (own - seller)
+        stats = sizes.stats(shift, True) if cfg.metric == "cvar05" else {"mean": sizes.means(shift), **{c: v[part] for c, v in tails.items()}}
+        reason = gate_reasons(stats, cfg)
         if reason.any():
             i = int(np.flatnonzero(reason)[0])
             return {"break_even": float(q[k + i]), "proof_reason": REASONS[reason[i]]}
@@ -329,8 +460,8 @@ _SIZED = tuple(f"{p}_{s}" for p in PREFIXES for s in SIZE_STATS)
 _SIZE_TERMS = (*_TERMS, "elect", "raw_q", "pools")
 
 
-def sized(deals: DataFrame, draws: Draws, points: int, cfg: GateConfig, wanted: str = "sized", proof: bool = True) -> DataFrame:
-    """deals (as priced() reads them, with elect, raw_q and pools, and a boolean column named by wanted) with best_sizes() and break_even() of those wanted.
+def sized(deals: DataFrame, draws: Draws, points: int, cfg: GateConfig, wanted: str = "sized", proof: bool = True, best: bool = True) -> DataFrame:
+    """deals (as priced() reads them, with elect, raw_q and pools, and a boolean column named by wanted) with best_sizes() (if best) and break_even() (if proof) of those wanted.
 
     The draws of a deal are those that priced() summed up, made again from its seed.
     """
@@ -347,14 +478,14 @@ def sized(deals: DataFrame, draws: Draws, points: int, cfg: GateConfig, wanted:
                     part = batch.take(pa.array(mine))
                     by_cash = np.array([v == "CASH" for v in part.column("elect").to_pylist()])
                     together = SizesTogether(*draws.of(None, 1.0, 1.0), _floats(part, _TERMS[3:]), by_cash)
-                    best = sizes_together(together, by_cash, part.column("raw_q").to_numpy(zero_copy_only=False), part.column("pools").to_pylist(), points, cfg)
+                    found = sizes_together(together, by_cash, part.column("raw_q").to_numpy(zero_copy_only=False), part.column("pools").to_pylist(), points, cfg) if best else [{}] * len(mine)
                     proofs = proofs_together(together, by_cash, cfg) if proof else [{}] * len(mine)
-                    for i, one, other in zip(mine, best, proofs, strict=True):
+                    for i, one, other in zip(mine, found, proofs, strict=True):
                         made[i] = one | other
             else:
                 for i, x in zip(places, _rows(batch.take(pa.array(places)), _SIZE_TERMS), strict=True):
                     sizes = Sizes(*draws.of(x["event_id"], x["a"], x["b"]), x)
-                    made[i] = best_sizes(sizes, x, points, cfg) | (break_even(sizes, x, cfg) if proof else {})
+                    made[i] = (best_sizes(sizes, x, points, cfg) if best else {}) | (break_even(sizes, x, cfg) if proof else {})
             added = [pa.array([v.get(c) for v in made], pa.string() if t == T.StringType() else pa.float64()) for c, t in fields]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.names)
 

@@ -49,10 +49,11 @@ def frame(t) -> DataFrame:
 
 def priced(t, draws: T.Draws) -> DataFrame:
     """frame() with both trades' summaries, the decision and the flows behind it."""
-    d = T.priced(dealt(frame(t), "event_id", EVEN_DEALS if draws.even else DEALS), draws)
+    rows = EVEN_DEALS if draws.even else DEALS
+    d = T.priced(dealt(frame(t), "event_id", rows), draws)
     demand = F.lit(0.5) if draws.even else F.col("a") / (F.col("a") + F.col("b"))
-    # kept here, so that draws are made once and the plan of what follows stays small
-    return T.flows(cut(T.realized(T.decided(d.withColumn("demand_mean", demand), GATES))), CFG)
+    # kept here, so that draws are made once and the plan of what follows stays small; and dealt again, as its files would go into few tasks
+    return T.flows(dealt(T.realized(T.decided(d.withColumn("demand_mean", demand), GATES)), "event_id", rows), CFG)
 
 
 def blotter_of(t, draws: T.Draws) -> DataFrame:
@@ -67,7 +68,8 @@ INNER = ("a", "b", "pools", "lenders", "buyers", "short", "sized", "raw_q", "raw
 def blotter(t, draws=DRAWS):
     """One row for each deal that can be priced: both trades on the same draws, the one taken, its gates, hedge and capacity, and what came of it; those with the greatest
     expected return first. Random draws have no SQL; blotter_even is the same on even ones."""
-    return blotter_of(t, draws).drop(*INNER).orderBy(F.col("e_return").desc(), "event_id")
+    # a sort reads its rows twice, and sizes are found once
+    return cut(blotter_of(t, draws).drop(*INNER)).orderBy(F.col("e_return").desc(), "event_id")
 
 
 #: frame() in SQL, on the oracles of its parts.
@@ -233,7 +235,7 @@ def capacity_grid_even(t):
 
 
 def proof_of(t, draws: T.Draws) -> DataFrame:
-    d = T.sized(priced(t, draws).withColumn("sized", F.lit(True)), draws, CFG.size_points, GATES)
+    d = T.sized(priced(t, draws).withColumn("sized", F.lit(True)), draws, CFG.size_points, GATES, best=False)
     return d.where("raw_q > 0").select("event_id", F.col("break_even").isNotNull().alias("can_eliminate"), "break_even", "proof_reason")
 
 
