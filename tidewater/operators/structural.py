@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from .naive_bayes import MISSING, STATES
 from .payoff import fill_rates
-from .trades import GOLDEN
+from .sampling import sorted_beta
+from .trades import GOLDEN, stats_ascending, with_atoms
 
 CHOICES = ("cash", "stock")
 
@@ -174,6 +175,32 @@ def drawn_choice(x: dict, choice: str, cfg: TradeConfig, draws: int, even: bool)
     return [net.mean(), p05, p50, p95, net[net <= p05].mean(), (net < 0).mean(), gross[done].mean() if done.any() else None, cash_fill[done].mean() if done.any() else None]
 
 
+def drawn_ascending(x: dict, choice: str, cfg: TradeConfig, draws: int) -> list[float | None]:
+    """drawn_choice() of random draws in order: demand is drawn only where the deal completes, as nothing else reads it, and ascending; the part paid in stock rises along
+    demand and net alpha is a line in that part, so nothing is sorted."""
+    if any(x[k] is None for k in ("cash", "stock", "entry", "cash_cap", "stock_cap", "cash_demand")):
+        return [None] * len(DRAWN)
+    rng = np.random.default_rng(stable_seed(cfg.seed, x["event_id"], choice))
+    u = rng.random(draws)
+    terminated, broken = (int(np.count_nonzero(u < p)) for p in (x["p_terminated"], x["p_terminated"] + x["p_withdrawn"]))
+    a, b = (max(cfg.least_alpha_beta, m * cfg.concentration) for m in (x["cash_demand"], 1 - x["cash_demand"]))
+    f = sorted_beta(a, b, draws - broken, rng) * (1 - x["own_share"]) + (x["own_share"] if choice == "cash" else 0.0)
+    cash_fill = np.minimum(1, x["cash_cap"] / np.maximum(f, 1e-12))
+    part = 1 - cash_fill if choice == "cash" else np.minimum(1, x["stock_cap"] / np.maximum(1 - f, 1e-12))
+    gross = lambda y: (1 - y) * x["cash"] + y * x["stock"] - x["entry"]
+    # a line in the part paid in stock
+    fixed, slope = x["entry"] * cfg.cost_bps / 1e4 + 0.5 * x["entry"] * (x["target_spread"] or 0.0), x["stock"] - x["cash"]
+    if cfg.hedge != "none" and x["entry_acq"] is not None:
+        by_short = x["entry_acq"] * (cfg.cost_bps / 1e4 + (x["acq_spread"] or 0.0) + cfg.borrow_bps / 1e4 * x["days"] / 365)
+        if cfg.hedge == "conversion_expected":
+            slope -= max(0.0, x["ratio"] or 0.0) * by_short
+        elif x["entry_acq"]:
+            fixed += x["entry"] / x["entry_acq"] * by_short
+    net = part * slope + (x["cash"] - x["entry"] - fixed)
+    net = with_atoms(net[::-1] if slope < 0 else net, [(x[f"{choice}_terminated"], terminated), (x[f"{choice}_withdrawn"], broken - terminated)])
+    return [*stats_ascending(net), gross(float(part.mean())) if len(f) else None, float(cash_fill.mean()) if len(f) else None]
+
+
 #: Even draws are few, so deals go through arrays so many at a time.
 TOGETHER = 4096
 
@@ -225,7 +252,7 @@ def simulated(df: DataFrame, cfg: TradeConfig, draws: int = 20_000, even: bool =
                     yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(v, pa.float64(), from_pandas=True) for v in together(part))], names=schema.names)
                 continue
             rows = [dict(zip(need, v, strict=True)) for v in zip(*(batch.column(k).to_pylist() for k in need), strict=True)]
-            made = [[v for c in CHOICES for v in drawn_choice(x, c, cfg, draws, even)] for x in rows]
+            made = [[v for c in CHOICES for v in drawn_ascending(x, c, cfg, draws)] for x in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([m[k] for m in made], pa.float64()) for k in range(2 * len(DRAWN))]], names=schema.names)
 
     return df.mapInArrow(run, schema)
