@@ -38,3 +38,11 @@ def test_matches_are_the_best_of_all_scored_candidates(spark, cells, monkeypatch
             want[x.query_norm] = min(want.get(x.query_norm, (0, 0)), (-round(x.score, 9), x.match)) if x.query_norm in want else (-round(x.score, 9), x.match)
     got = {x.query_norm: (-round(x.score, 9), x.match) for x in M.near_matches(q, r, M.LEAST_SCORE, 10, 4).collect()}
     assert want and got == want
+
+
+def test_pairs_that_cannot_count_are_not_scored(spark):
+    pairs = [(i, x, j, y) for i, x in enumerate(made(50, 5)) for j, y in enumerate(made(50, 6))]
+    df = spark.createDataFrame(pairs, "query long, query_norm string, match long, match_norm string")
+    want = {(i, j): s for i, x, j, y in pairs if (s := M.set_ratio(x, y)) >= 84}
+    got = {(r["query"], r["match"]): r["score"] for r in M.scored(df, 84.0).collect()}
+    assert {k: v for k, v in got.items() if v >= 84} == want and len(got) < len(pairs) / 2

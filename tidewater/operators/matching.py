@@ -99,17 +99,6 @@ def candidates(queries: DataFrame, register: DataFrame, least: float = LEAST_SCO
     return pairs.dropDuplicates(["query", "match"])
 
 
-def scored(pairs: DataFrame) -> DataFrame:
-    """candidates() with the score of each pair."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [set_ratio(x, y) for x, y in zip(batch.column("query_norm").to_pylist(), batch.column("match_norm").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], names=[*batch.schema.names, "score"])
-
-    return pairs.mapInArrow(run, _SCORED)
-
-
 def letters(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Of each name's distinct words, with a space between: how often it has each of 32 classes of characters, and its length."""
     bags, sizes = np.zeros((len(names), 32), np.int16), np.zeros(len(names), np.int64)
@@ -131,9 +120,41 @@ def alike_letters(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndar
         yield from zip((i + k).tolist(), j.tolist(), strict=True)
 
 
+def _by_words(a: str, b: str) -> float:
+    """set_ratio() without what unlike words have in common."""
+    wa, wb = set(a.split()), set(b.split())
+    both = wa & wb
+    if not both:
+        return 0.0
+    n, only_a, only_b = sum(map(len, both)) + len(both) - 1, *(sum(len(w) + 1 for w in x - both) for x in (wa, wb))
+    return 100.0 * (1 - min(only_a / (2 * n + only_a), only_b / (2 * n + only_b)))
+
+
 _SCORED = "query long, query_norm string, match long, match_norm string, score double"
 
 
+def scored(pairs: DataFrame, least: float = 0.0) -> DataFrame:
+    """candidates() with the score of each pair; of those that neither common words nor letters let reach `least` none."""
+
+    def may_count(asked: pa.Array, known: pa.Array) -> np.ndarray:
+        sides = [x.dictionary_encode() for x in (asked, known)]
+        (i, j), (a, b) = [x.indices.to_numpy() for x in sides], [letters(x.dictionary.to_pylist()) for x in sides]
+        may = 200.0 * np.minimum(a[0][i], b[0][j]).sum(axis=1) >= least * (a[1][i] + b[1][j]) - 1e-6
+        rest = np.flatnonzero(~may)
+        names = [x.dictionary.to_pylist() for x in sides]
+        may[rest] = [_by_words(names[0][p], names[1][r]) >= least - 1e-6 for p, r in zip(i[rest].tolist(), j[rest].tolist(), strict=True)]
+        return may
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if least > 0 and batch.num_rows:
+                batch = batch.filter(pa.array(may_count(batch.column("query_norm"), batch.column("match_norm"))))
+            made = [set_ratio(x, y) for x, y in zip(batch.column("query_norm").to_pylist(), batch.column("match_norm").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], names=[*batch.schema.names, "score"])
+
+    return pairs.mapInArrow(run, _SCORED)
+
+
 def near_by_pieces(x: DataFrame, y: DataFrame, least: float, cells: int = 1 << 21) -> DataFrame:
     """Pairs of x and y (id, norm, key) of one key, with scores of at least `least`, but for those that only common words make alike. Names meet inside the task that has
     the key, and only those that have the letters for it are compared, so no pair is written that does not count. A key of more than `cells` pairs is dealt in parts of x."""
@@ -179,7 +200,7 @@ def near_matches(queries: DataFrame, register: DataFrame, least: float, pieces:
     """(query_norm, score, match, match_norm): for each of the queries (id, norm) that has one the best of candidates(). Pairs are scored where they meet, and each task
     hands on its best for a query."""
     words, rare = _sides(queries, register, least, pieces, q)
-    near = scored(_paired(*words[0]).unionByName(_paired(*words[1]))).where(F.col("score") >= least).unionByName(near_by_pieces(*rare, least))
+    near = scored(_paired(*words[0]).unionByName(_paired(*words[1])), least).where(F.col("score") >= least).unionByName(near_by_pieces(*rare, least))
     first = F.max(F.struct(F.round("score", 9).alias("rounded"), (-F.col("match")).alias("order"), "score", "match", "match_norm")).alias("best")
     return near.groupBy("query", "query_norm").agg(first).select("query_norm", "best.score", "best.match", "best.match_norm")
 
