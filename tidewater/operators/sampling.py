@@ -22,7 +22,8 @@ def event_seed(event_id: object, salt: int) -> int:
 def beta_quantiles(a: float, b: float, nodes: int = 2049) -> tuple[np.ndarray, np.ndarray]:
     """A Beta's distribution function and its values at places along the log odds that hold all of its mass but e^-45 of the peak, or but what is within e^-30 of 0 or 1.
 
-    Steps are small against the distribution's width, so that a line between two places is off by some 2e-6 of probability at most; 20,000 draws
+    Steps are small against the distribution's width: a line between two places was off by 1.2e-5 of probability at most in six pairs of parameters
+    that were tried. Draws nearer than e^-30 to 0 or 1 count as that near (2e-3 of them for 0.25 and 75), which no payoff tells apart. 20,000 draws
     themselves are off by some 7e-3. 33 MB in a worker hold 1,024 pairs of parameters.
     """
     z = np.linspace(-30.0, 30.0, 241)
