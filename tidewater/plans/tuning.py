@@ -63,8 +63,8 @@ ch AS (SELECT ou.o, coalesce(alpha, 1e0) AS alpha, coalesce(strength, 1e0) AS st
 @query("nested_tuning", f"WITH {_CHOSEN_SQL} SELECT o AS outer_year, {_NAMES}, round(brier, 8) AS inner_brier, CAST(rows AS BIGINT) AS inner_rows FROM ch")
 def nested_tuning(t):
     """For each outer year the candidate that does best on earlier years."""
-    choices, _ = T.nested(t.training, FEATURES)
-    return choices.select(F.col("outer").alias("outer_year"), *T.NAMES, F.round("brier", 8).alias("inner_brier"), F.col("rows").alias("inner_rows"))
+    *_, chosen = T.tuned_years(t.training, FEATURES)
+    return chosen.select(F.col("outer").alias("outer_year"), *T.NAMES, F.round("brier", 8).alias("inner_brier"), F.col("rows").alias("inner_rows"))
 
 
 @query(
@@ -78,7 +78,7 @@ SELECT year AS outer_year, count(*) // 3 AS n, round(sum((p - hit) ** 2) / (coun
 )
 def nested_oos(t):
     """Scores of tuned, untuned and prior probabilities in each outer year, none of which its fit or its tuning has seen."""
-    _, p = T.nested(t.training, FEATURES)
+    p = T.nested(t.training, FEATURES).predictions
     own = F.coalesce(*[F.when(F.col("actual") == s, F.col(f"p_{s}")) for s in STATES])
     e, u, q = T.squared_error(), T.squared_error("untuned_p"), T.squared_error("untuned_prior")
     return p.groupBy(F.col("year").alias("outer_year")).agg(
@@ -90,6 +90,7 @@ def nested_oos(t):
 @query("nested_decisions")
 def nested_decisions(t):
     """For each outer year the decision powers that do best on earlier years, and the class scores that they give in it; tests refit by hand."""
-    choices, p = T.nested(t.training, FEATURES)
-    found = T.class_scores(p, ["year"]).withColumnsRenamed({"year": "outer_year", "rows": "n"})
-    return found.join(choices.select(F.col("outer").alias("outer_year"), "power", "untuned_power"), "outer_year")
+    found = T.nested(t.training, FEATURES)
+    choices = found.choices.select(F.col("outer").alias("year"), *T.NAMES, "power", "untuned_power")
+    scores = T.class_scores(found.taken.join(choices, ["year", *T.NAMES, "power"]), ["year", "power", "untuned_power"], F.col("n"))
+    return scores.select(F.col("year").alias("outer_year"), "balanced_accuracy", "macro_f1", F.col("rows").alias("n"), "power", "untuned_power")
