@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -149,6 +150,99 @@ def mean_paths(deals: DataFrame, n: int, salt: int) -> DataFrame:
     return deals.mapInArrow(sums, "draw_id long, s double, c long").groupBy("draw_id").agg((F.sum("s") / F.sum("c")).alias("r"))
 
 
+def _better(f: np.ndarray, pi: float, cash: float, stock: float) -> np.ndarray:
+    """What the better election pays after proration: the dearer kind, filled up to its pool."""
+    f = np.minimum(np.maximum(f, CLIP), 1 - CLIP)
+    fill = pi / f if cash >= stock else (1 - pi) / (1 - f)
+    return min(cash, stock) + np.minimum(1.0, fill) * abs(cash - stock)
+
+
+@functools.lru_cache(2)
+def _room(n: int) -> tuple[np.ndarray, ...]:
+    """Arrays that a worker's deals write to in turn."""
+    return np.empty(n, np.uint32), np.empty(n, np.intp), np.empty(n, complex), np.empty(n), np.empty(n), np.zeros(-(-n // 8) * 8, bool)
+
+
+class Inverted:
+    """A deal's return as a function of one uniform, which decides the outcome and, where the deal completes, places the demand in its Beta.
+
+    The unit interval is cut into so many even cells. In a smooth one the return is a line between its ends; draws in the others, those with a step or a bend
+    and the eight at either end of the completed part, go through the Beta's own table. Uniforms have 32 bits."""
+
+    def __init__(self, x: tuple, bits: int = 10, ends: int = 8):
+        self.a, self.b, self.cash, self.stock, self.pi, self.m, done, ended = x
+        self.done, self.least, self.bits = done, done + ended, bits
+        cells = 1 << bits
+        whole = min(cells, max(0, int(done * cells)))  # cells that complete throughout
+        below, value = beta_quantiles(self.a, self.b)
+        self.line = np.empty(cells, complex)  # start and slope as one number, read at once
+        start, slope = self.line.real, self.line.imag
+        start[:], slope[:] = -0.25, 0.0
+        start[min(cells, max(0, int(self.least * cells))) :] = -0.35
+        if whole:
+            at = np.arange(whole + 1)
+            made = _better(np.interp(at / (cells * done), below, value), self.pi, self.cash, self.stock) / self.m - 1
+            slope[:whole] = np.diff(made) * (cells / 2**32)
+            start[:whole] = made[:-1] - slope[:whole] * (at[:-1] * (2**32 / cells))
+        bend = done * np.interp(self.pi, value, below) * cells
+        start[: min(ends, whole)] = start[max(0, whole - ends) : whole] = np.nan
+        for c in (whole, int(bend), int(self.least * cells)):
+            if 0 <= c < cells:
+                start[c] = np.nan
+
+    def exact(self, u: np.ndarray) -> np.ndarray:
+        """Returns of these uniforms, without cells."""
+        out = np.where(u < self.least, -0.25, -0.35)
+        done = u < self.done
+        if done.any():
+            out[done] = _better(np.interp(u[done] / self.done, *beta_quantiles(self.a, self.b)), self.pi, self.cash, self.stock) / self.m - 1
+        return out
+
+    def returns(self, words: np.ndarray) -> np.ndarray:
+        """Returns of uniforms given as 32-bit words, in an array that the next deal writes to."""
+        n = len(words)
+        short, cell, line, r, more, off = _room(n)
+        np.right_shift(words, np.uint32(32 - self.bits), out=short)
+        np.copyto(cell, short)
+        np.take(self.line, cell, out=line, mode="clip")
+        np.copyto(more, words)
+        np.multiply(line.imag, more, out=r)
+        r += line.real
+        np.isnan(r, out=off[:n])
+        eights = np.flatnonzero(off.view(np.uint64))  # few cells are rough, so most eights have none
+        rough = (eights[:, None] * 8 + np.arange(8)).ravel()
+        rough = rough[off[rough]]
+        r[rough] = self.exact((words[rough] + 0.5) / 2**32)
+        return r
+
+
+def words_of(event_id: object, salt: int, n: int, source: np.random.PCG64) -> np.ndarray:
+    """n random 32-bit words from a stream of the event's own, whatever came before: a hash of its id is the generator's state."""
+    key = hashlib.blake2b(f"{salt}:{event_id}".encode(), digest_size=32).digest()
+    source.state = {"bit_generator": "PCG64", "state": {"state": int.from_bytes(key[:16], "little"), "inc": int.from_bytes(key[16:], "little") | 1}, "has_uint32": 0, "uinteger": 0}
+    return source.random_raw((n + 1) // 2).view(np.uint32)[:n]
+
+
+def mean_paths_inverted(deals: DataFrame, n: int, salt: int) -> DataFrame:
+    """mean_paths() by Inverted: the same law, other draws. A deal's draws are its own and independent of all others; neither order nor partitioning changes them."""
+    names = ("event_id", "a", "b", "cash", "stock", "pi_cash", "m", "p_completed", "p_terminated")
+
+    def sums(batches):
+        total, count, default, source = np.zeros(n), 0, OutcomeDefaults(), np.random.PCG64(0)
+        for batch in batches:
+            for event_id, *x, done, ended in zip(*(batch.column(k).to_pylist() for k in names), strict=True):
+                if done is None or ended is None:
+                    done, ended = default.completed, default.terminated
+                total += Inverted((*x, done, ended)).returns(words_of(event_id, salt, n, source))
+                count += 1
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(total), pa.array(np.full(n, count))], names=["draw_id", "s", "c"])
+
+    # equal Betas follow each other, so that a table serves all of them
+    made = deals.sortWithinPartitions("a", "b").mapInArrow(sums, "draw_id long, s double, c long")
+    return made.groupBy("draw_id").agg((F.sum("s") / F.sum("c")).alias("r"))
+
+
 def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """mean, p05, p50, p95, the mean of what is at or below p05, and the share below 0."""
     q = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"), F.avg(F.when(F.col(value) < 0, 1.0).otherwise(0.0)).alias("loss_probability"))

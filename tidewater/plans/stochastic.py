@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import estimators as E
 from ..operators import sampling as S
+from ..operators.cuts import cut
 from .outcome import outcome_probabilities
 from .panel import mc_ready
 from .registry import query
@@ -15,10 +16,10 @@ DRAWS = 20_000
 
 def fitted(t):
     """Each deal with the terms of its payoff, the leave-one-out fit of its demand and the outcome model's probabilities."""
-    d = mc_ready(t.deals)
-    fits = E.beta_leave_one_out(d.select("event_id", "deal_type", "f_cash"), ["deal_type"], "f_cash").select("event_id", "a", "b")
-    j = fits.join(d.select("event_id", "cash", F.expr("ratio * acq_price").alias("stock"), "pi_cash", F.expr("cash * 95e-2").alias("m")), "event_id")
-    j = j.join(outcome_probabilities(t).select("event_id", "p_completed", "p_terminated"), "event_id", "left")
+    # read three times; its orders and lines are joined and summed once
+    d = cut(mc_ready(t.deals).select("event_id", "deal_type", "f_cash", "cash", F.expr("ratio * acq_price").alias("stock"), "pi_cash", F.expr("cash * 95e-2").alias("m")))
+    j = E.beta_leave_one_out(d, ["deal_type"], "f_cash").select("event_id", "a", "b", "cash", "stock", "pi_cash", "m")
+    j = j.join(outcome_probabilities(t, d.select("event_id")).select("event_id", "p_completed", "p_terminated"), "event_id", "left")
     # few bytes but much work: by a fixed count, which is not coalesced
     return j.repartition(4 * t.spark.sparkContext.defaultParallelism, "event_id")
 
@@ -31,7 +32,8 @@ def mc_summary(t, n=DRAWS):
 @query("portfolio_mc")
 def portfolio_mc(t, n=DRAWS):
     """Equal-weight means of all deals along each draw, and their summary."""
-    return S.summary(S.mean_paths(fitted(t), n, 11).withColumn("book", F.lit("all")), ["book"], "r")
+    paths = cut(S.mean_paths_inverted(fitted(t), n, 11))  # the summary reads them twice; they are drawn once
+    return S.summary(paths.withColumn("book", F.lit("all")), ["book"], "r")
 
 
 @query(
