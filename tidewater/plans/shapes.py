@@ -99,7 +99,7 @@ def request_plan(t):
 )
 def histogram_bins(t):
     x = F.col("pi_cash") - 0.25
-    return t.deals.where(x.between(0, 1)).groupBy("deal_type", F.least(F.lit(9), F.floor(x * 10)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return t.in_order.deals.where(x.between(0, 1)).groupBy("deal_type", F.least(F.lit(9), F.floor(x * 10)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("union_superset", "SELECT event_id, deal_status, CAST(NULL AS DOUBLE) AS notional FROM {deals} UNION ALL SELECT event_id, NULL, notional FROM {trades}")
