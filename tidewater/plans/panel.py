@@ -226,7 +226,7 @@ def panel_derive(t):
     rule = F.when(F.col("payment_type").startswith("1"), 1.0).when(F.col("payment_type").startswith("2"), 0.0).otherwise(0.5)
     passive = (F.col("party") % 32) / 64.0
     active = 1 - passive
-    return t.deals.select(
+    return t.in_order.deals.select(
         "event_id",
         (F.col("cash") - F.col("ratio") * F.col("acq_price")).alias("spread"),
         F.coalesce(F.col("f_cash") > F.col("pi_cash"), F.lit(False)).alias("oversubscribed"),
