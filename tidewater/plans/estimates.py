@@ -129,5 +129,5 @@ def qq_positions(t):
     from pyspark.sql import Window
 
     w = Window.partitionBy("deal_type")
-    d = t.deals.where("f_cash > 0 AND f_cash < 1")
+    d = t.in_order.deals.where("f_cash > 0 AND f_cash < 1")
     return d.select("deal_type", "f_cash", ((F.row_number().over(w.orderBy("f_cash", "event_id")) - 0.5) / F.count(F.lit(1)).over(w)).alias("position"), "event_id")
