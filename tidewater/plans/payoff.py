@@ -200,7 +200,7 @@ SELECT event_id, CASE WHEN e_cash >= e_stock THEN 'CASH' ELSE 'STOCK' END AS ele
 )
 def elect_hedge(t):
     """Expected payoffs over a midpoint quadrature of uniform demand, exact in both engines."""
-    d = mc_ready(t.deals, with_demand=False).withColumn("stock", F.col("ratio") * F.col("acq_price"))
+    d = mc_ready(t.in_order.deals, with_demand=False).withColumn("stock", F.col("ratio") * F.col("acq_price"))
     d = d.select("event_id", "cash", "stock", "pi_cash", "ratio", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k")).withColumn("f", (F.col("k") + 0.5) / 16.0)
     pi, f = F.col("pi_cash"), F.col("f")
     made = P.prorate(f, pi, F.col("cash"), F.col("stock"))
