@@ -45,7 +45,7 @@ def _rows(names, rows):
     return sorted(tuple(f"{r[i] + 0.0:.8g}" if isinstance(r[i], float) else str(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["histogram_bins", "panel_derive", "qq_positions", "risk_block", "elect_hedge"])
+@pytest.mark.parametrize("name", ["histogram_bins", "panel_derive", "qq_positions", "risk_block", "elect_hedge", "realized_block"])
 def test_rows_of_many_files(spark, apart, one_thread, name):
     got, want = QUERIES[name](spark, apart), one_thread.execute(SQL[name])
     assert _rows(got.columns, got.collect()) == _rows([d[0] for d in want.description], want.fetchall())

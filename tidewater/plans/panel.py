@@ -151,7 +151,7 @@ FROM {trades} WHERE signal IN ('ENTER', 'REVERSE') AND notional > 0""",
 )
 def realized_block(t):
     r, n = F.col("realized_return"), F.col("notional")
-    return t.trades.where("signal IN ('ENTER', 'REVERSE') AND notional > 0").agg(
+    return t.in_order.trades.where("signal IN ('ENTER', 'REVERSE') AND notional > 0").agg(
         F.count(r).alias("covered"),
         F.sum(n * r).alias("pnl"),
         G.weighted_return_pct(n * r, n).alias("pct"),
