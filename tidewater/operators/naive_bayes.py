@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -62,12 +62,17 @@ def gaussian(x: Column, mean: Column, var: Column) -> Column:
     return -0.5 * (F.ln(2 * math.pi * var) + (x - mean) * (x - mean) / var)
 
 
-def predict(train: DataFrame, rows: DataFrame, key: str, label: str, numeric: Sequence[str], categorical: Sequence[str], p: NBParams) -> DataFrame:
-    """(key, label, probability): log prior plus the weighted sum of log likelihoods, then a softmax that takes the greatest off first."""
+def predict(train: DataFrame, rows: DataFrame, key: str, label: str, numeric: Sequence[str], categorical: Sequence[str], p: NBParams, kept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(key, label, probability): log prior plus the weighted sum of log likelihoods, then a softmax that takes the greatest off first.
+
+    With kept (as cut()) the fit is stored before rows are scored, so Spark knows how small its tables are and moves no features of rows to meet them."""
     pri = priors(train, label, p)
     num = numeric_stats(long_numeric(train, [label], numeric), label, p)
     long_train = long_categorical(train, [label], categorical)
     counts = categorical_counts(long_train, label)
+    if kept:
+        pri, num, counts = kept(pri), kept(num), kept(counts)
+        long_train = counts
     totals = counts.groupBy(label, "feature").agg(F.sum("n").alias("total"))
     # the vocabulary with both sentinels
     vocab = long_train.select("feature", "v").unionByName(long_train.select("feature", F.lit(MISSING).alias("v"))).unionByName(long_train.select("feature", F.lit(OTHER).alias("v"))).distinct()

@@ -142,7 +142,7 @@ def _rows(batch: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[dict]:
 
 
 def priced(deals: DataFrame, draws: Draws) -> DataFrame:
-    """deals (event_id, a, b, cash, stock, pi_cash, entry, p_completed, p_terminated, terminated_value, withdrawn_value, and any others) with both trades' summaries."""
+    """deals (event_id, a, b, cash, stock, pi_cash, entry, p_completed, p_terminated, terminated_value, withdrawn_value, without a and b for even draws, and any others) with both trades' summaries."""
     schema = T.StructType([*deals.schema.fields, *(T.StructField(c, T.DoubleType()) for c in _PRICED)])
 
     def run(batches):

@@ -88,12 +88,12 @@ ex AS (SELECT *, exp(s - max(s) OVER (PARTITION BY event_id)) AS e FROM sc),
 po AS (SELECT event_id, label, 9e-1 * e / sum(e) OVER (PARTITION BY event_id) + 1e-1 * prior AS probability FROM ex)"""
 
 
-def predicted(t, events=None):
-    """Probabilities of every event, or of those in a table of event_id; the fit is on all of them."""
+def predicted(t, events=None, kept=None):
+    """Probabilities of every event, or of those in a table of event_id; the fit is on all of them, and stored by kept if given."""
     rows = t.training.withColumn("deal_type", F.when(F.col("event_id") % 10 == 0, "unseen").otherwise(F.col("deal_type")))
     if events is not None:
         rows = rows.join(events, "event_id", "left_semi")
-    return B.predict(t.training, rows.drop("label"), "event_id", "label", NUMERIC, CATEGORICAL, PARAMS)
+    return B.predict(t.training, rows.drop("label"), "event_id", "label", NUMERIC, CATEGORICAL, PARAMS, kept)
 
 
 @query("nb_predict", f"WITH {PREDICT_SQL} SELECT event_id, label, round(probability, 9) AS probability FROM po")
@@ -164,7 +164,7 @@ def decision_power(t):
     f"""WITH {PREDICT_SQL} SELECT event_id, round(max(probability) FILTER (label = 'completed'), 9) AS p_completed, round(max(probability) FILTER (label = 'terminated'), 9) AS p_terminated, round(max(probability) FILTER (label = 'withdrawn'), 9) AS p_withdrawn,
   'naive_bayes' AS outcome_probability_source, (SELECT count(*) FROM {{training}}) AS outcome_train_n FROM po GROUP BY event_id""",
 )
-def outcome_probabilities(t, events=None):
+def outcome_probabilities(t, events=None, kept=None):
     one = lambda s: F.round(F.max(F.when(F.col("label") == s, F.col("probability"))), 9).alias(f"p_{s}")
     n = t.training.agg(F.count(F.lit(1)).alias("outcome_train_n"))
-    return predicted(t, events).groupBy("event_id").agg(*[one(s) for s in B.STATES]).withColumn("outcome_probability_source", F.lit("naive_bayes")).crossJoin(n)
+    return predicted(t, events, kept).groupBy("event_id").agg(*[one(s) for s in B.STATES]).withColumn("outcome_probability_source", F.lit("naive_bayes")).crossJoin(n)

@@ -24,23 +24,28 @@ DRAWS, EVEN = T.Draws(), T.Draws(n=16, even=True)
 DEALS, EVEN_DEALS = 256, 1 << 14
 
 
-def frame(t) -> DataFrame:
-    """Each deal with an entry price: its terms, the leave-one-out fit of its demand, its outcome probabilities (the model's where its table has the deal, here every third; else
-    those of the deal's own row, else the defaults), the rolling holder fit, and what its capacity follows from."""
-    fits = E.beta_leave_one_out(t.deals.select("event_id", "deal_type", "f_cash"), ["deal_type"], "f_cash").select("event_id", "a", "b")
+def offered(t) -> DataFrame:
+    """Each deal with an entry price: its terms, its outcome probabilities (the model's where its table has the deal, here every third; else those of the deal's own row, else the
+    defaults), and what is left of it where it breaks."""
     states = ("p_completed", "p_terminated", "p_withdrawn")
-    model = outcome_probabilities(t).where(F.col("event_id") % 3 == 0).select("event_id", *[F.col(c).alias(f"m{c}") for c in states])
+    model = outcome_probabilities(t, kept=cut).where(F.col("event_id") % 3 == 0).select("event_id", *[F.col(c).alias(f"m{c}") for c in states])
     own = P.resolved_probabilities(*(F.col(c) for c in (*states, "p_break")), P.OutcomeDefaults(), "event")
     odds = t.odds.select("event_id", F.inline(F.array(own))).join(model, "event_id", "left")
     source = F.when(F.col("mp_completed").isNotNull(), "external_outcome_probabilities_explicit_three_state").otherwise(F.col("source"))
     odds = odds.select("event_id", *[F.coalesce(f"m{c}", c).alias(c) for c in states], source.alias("outcome_probability_source"))
+    terminated, withdrawn = P.break_values(F.col("entry"), F.col("recovery"), P.BreakLosses())
+    return t.quotes.join(odds, "event_id").withColumns({"terminated_value": terminated, "withdrawn_value": withdrawn})
+
+
+def frame(t) -> DataFrame:
+    """offered() with the leave-one-out fit of each deal's demand, the rolling holder fit, and what its capacity follows from."""
+    fits = E.beta_leave_one_out(t.deals.select("event_id", "deal_type", "f_cash"), ["deal_type"], "f_cash").select("event_id", "a", "b")
     holders = H.rolling_fit(H.panel(t.deals), CFG).select("event_id", "p_hat", "q_hat", "fit_n")
     supply = t.capacity.select("event_id", "shares", F.col("adv").alias("daily"), "dollar_adv", "passive", "default_rule")
-    d = t.quotes.join(fits, "event_id").join(odds, "event_id").join(holders, "event_id").join(supply, "event_id")
+    d = offered(t).join(fits, "event_id").join(holders, "event_id").join(supply, "event_id")
     inputs = C.inputs(F.col("shares"), F.col("daily"), F.col("dollar_adv"), F.col("entry"), F.col("passive"), F.col("q_hat"), F.col("p_hat"), CFG)
-    terminated, withdrawn = P.break_values(F.col("entry"), F.col("recovery"), P.BreakLosses())
     votes = P.predicted_votes(F.col("p_hat"), F.col("q_hat"), F.col("passive"), F.col("default_rule"), F.col("cash"), F.col("stock"), F.col("entry"))
-    d = d.withColumns({**inputs, "terminated_value": terminated, "withdrawn_value": withdrawn, "holder_cash_demand": votes["cash_demand"], "holder_action": votes["action"]})
+    d = d.withColumns({**inputs, "holder_cash_demand": votes["cash_demand"], "holder_action": votes["action"]})
     d = d.withColumn("holder_source", F.when(F.col("fit_n") > 0, "rolling_structural_fit").otherwise("rolling_structural_default"))
     keep = ["event_id", "party", "announce_date", "cash", "ratio", "pi_cash", "stock", "deadline_stock", "entry", "entry_acq", "recovery", "outcome", "f_cash", "a", "b", "p_completed", "p_terminated", "p_withdrawn", "outcome_probability_source"]
     keep += ["p_hat", "q_hat", "fit_n", "holder_source", "holder_cash_demand", "holder_action", "shares", "default_rule", "adv", "adv_pct", "passive_share", "active_share", "positive_share", "noisy_share", "noisy_cash", "terminated_value", "withdrawn_value"]
@@ -202,8 +207,11 @@ FROM g3""",
     ),
 )
 def trade_decision_even(t):
-    """Both trades of each deal on the same draws, and the one taken."""
-    d = priced(t, EVEN).withColumnsRenamed({"long_loss_probability": "long_loss", "reverse_loss_probability": "reverse_loss"})
+    """Both trades of each deal on the same draws, and the one taken. Even draws know nothing of fits, holders or supply, and are drawn where the terms are joined: only the
+    deals, which are read many times, are kept on disk."""
+    t = t.replaced(deals=cut(t.deals))
+    terms = ["event_id", "cash", "ratio", "pi_cash", "stock", "deadline_stock", "entry", "outcome", "f_cash", "p_completed", "p_terminated", "terminated_value", "withdrawn_value"]
+    d = T.realized(T.decided(T.priced(offered(t).select(*terms), EVEN), GATES)).withColumnsRenamed({"long_loss_probability": "long_loss", "reverse_loss_probability": "reverse_loss"})
     nine = {"hedge_ratio", "arb_return", "reverse_completion_return", "long_mean", "long_p05", "long_cvar05", "reverse_mean", "reverse_p05", "reverse_cvar05", "e_return", "fair_value", "risk_adjusted_value", "realized_return"}
     plain = ["event_id", "elect", "signal", "signal_reason", "hedge_side", "long_loss", "reverse_loss", "realized_source"]
     return d.select(*plain, *[F.round(c, 9).alias(c) for c in sorted(nine)], F.round("size", 6).alias("size"))
